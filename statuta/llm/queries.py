@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statuta.llm import licenses, mixing
+from statuta.llm import epsilon, licenses, mixing, simhash, substrings, topk
 from statuta.llm.common import table
 
 
+def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"), width=13)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -18,9 +27,22 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_amounts(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=2)
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nra_top_k": op2_nra_top_k,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
+    "op8_simhash_vptree": op8_simhash_vptree,
+    "op10_epsilon_grid_join": op10_epsilon_grid_join,
 }
 
 #: Queries that SQL can express.
