@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import epsilon, licenses, mixing, simhash, substrings, topk
+from statuta.llm import attribution, epsilon, language, licenses, mixing, packing, scoring, simhash, substrings, topk
 from statuta.llm.common import table
 
 
+def op1_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"), rounds=2, share=4)
+
+
 def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op3_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"), width=13)
 
 
+def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), capacity=1024)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -32,18 +44,21 @@ def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op9_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), rule="most")
+
+
 def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_nra_top_k": op2_nra_top_k,
-    "op4_substring_dedup": op4_substring_dedup,
-    "op6_license_scan": op6_license_scan,
-    "op7_source_mix": op7_source_mix,
-    "op8_simhash_vptree": op8_simhash_vptree,
-    "op10_epsilon_grid_join": op10_epsilon_grid_join,
-}
+    f.__name__: f
+    for f in (
+        op1_masked_likelihood, op2_nra_top_k, op3_word_backoff_language, op4_substring_dedup, op5_vector_best_fit,
+        op6_license_scan, op7_source_mix, op8_simhash_vptree, op9_offset_attribution, op10_epsilon_grid_join,
+    )
+}
 
 #: Queries that SQL can express.
 SQL: dict[str, str] = {"op6_license_scan": licenses.scan_sql()}
