@@ -1,31 +1,140 @@
-"""Top-1 and top-k per group, percentile ranks and other window queries."""
+"""Top-1 and top-k per group, percentile ranks and other ranking queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.operators.impact import percentile_vs_reference
+from statuta.operators.jobs import packed_by_budget
+from statuta.plans.tables import Registry
+from statuta.sources.sinks import positioned
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+R = Registry()
+QUERIES, SQL = R.queries, R.sql
 
 
-def w01_top1_per_group(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's largest order, rolled up by nation."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    top = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
-    n = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    j = top.join(c, top.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    return j.groupBy("n_name").agg(F.count("*").alias("n_customers"), F.round(F.avg("o_totalprice"), 4).alias("avg_top"))
-
-
-QUERIES = {"w01_top1_per_group": w01_top1_per_group}
-SQL = {
-    "w01_top1_per_group": """
+@R.query("""
 SELECT n_name, count(*) AS n_customers, round(avg(o_totalprice), 4) AS avg_top
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE rn = 1 GROUP BY n_name"""
-}
+WHERE rn = 1 GROUP BY n_name""")
+def w01_top1_per_group(t):
+    """Each customer's largest order, rolled up by nation."""
+    best = F.max_by(F.struct("o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey")))
+    top = t.orders.groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", "b.o_totalprice")
+    j = top.join(t.customer, top.o_custkey == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return j.groupBy("n_name").agg(F.count("*").alias("n_customers"), F.round(F.avg("o_totalprice"), 4).alias("avg_top"))
+
+
+@R.query("""
+SELECT o_orderkey, o_orderpriority, round(CASE WHEN n > 0 THEN 100.0::DOUBLE * upto / n ELSE 0 END, 6) AS pct
+FROM (SELECT *, sum((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS upto,
+  sum((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_orderpriority) AS n FROM orders)""")
+def w02_percentile_vs_reference(t):
+    """Percentile of every order against finished ones of its priority."""
+    r = percentile_vs_reference(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus"), "o_orderpriority", "o_totalprice", F.col("o_orderstatus") == "F", "pct")
+    return r.select("o_orderkey", "o_orderpriority", F.round("pct", 6).alias("pct"))
+
+
+@R.query("""
+SELECT o_custkey, o_orderkey, o_totalprice, rn AS place FROM
+(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rn FROM orders) WHERE rn <= 3""")
+def w04_top3(t):
+    """Three largest orders of each customer."""
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return t.orders.select("o_custkey", "o_orderkey", "o_totalprice").withColumn("place", r).where("place <= 3")
+
+
+@R.query("""
+SELECT o_custkey, o_orderkey, round(o_totalprice - nxt, 4) AS margin FROM
+(SELECT *, row_number() OVER w AS rn, lead(o_totalprice) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn = 1""")
+def w05_margin(t):
+    """Lead of the best over the runner-up."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    r = t.orders.withColumn("rn", F.row_number().over(w)).withColumn("nxt", F.lead("o_totalprice").over(w)).where("rn = 1")
+    return r.select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") - F.col("nxt"), 4).alias("margin"))
+
+
+@R.query("""
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS idx
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10)""")
+def w06_reindex(t):
+    """Positions from 0 after rows are dropped."""
+    k = t.lineitem.where("l_quantity >= 10").select("l_orderkey", "l_linenumber").distinct()
+    return k.withColumn("idx", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("long"))
+
+
+@R.query("""
+SELECT vec_id, label FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 100) = 0 ORDER BY vec_id LIMIT 100""")
+def w07_systematic_sample(t):
+    """A sampling operator, every n-th id up to 100 rows."""
+    e = t.embeddings.select("vec_id", "label")
+    step = max(1, e.count() // 100)
+    return e.where(F.pmod("vec_id", F.lit(step)) == 0).orderBy("vec_id").limit(100)
+
+
+@R.query()
+def w08_budget_packing(t):
+    """Lines of each document in batches of at most 1000 characters, in order; a longer line alone."""
+    lines = t.documents.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("sizes"))
+    b = packed_by_budget(F.col("sizes"), 1000)
+    e = lines.select("doc_id", F.explode(F.arrays_zip(b.alias("batch"), F.col("sizes").alias("size"))).alias("z"))
+    return e.groupBy("doc_id", F.col("z.batch").alias("batch")).agg(F.count("*").alias("n_lines"), F.sum("z.size").alias("n_chars"))
+
+
+@R.query("SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS idx FROM customer")
+def w09_positional_index(t):
+    """Positions of all customers by name."""
+    return positioned(t.customer.select("c_custkey", "c_name"), [F.col("c_name"), F.col("c_custkey")], "idx").select("c_custkey", "idx")
+
+
+@R.query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 50")
+def t01_topk(t):
+    """The next batch by priority, then age."""
+    return t.orders.where("o_orderstatus = 'O'").orderBy(F.desc("o_totalprice"), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "o_totalprice", "o_orderdate")
+
+
+@R.query("""
+SELECT o_orderkey, o_orderstatus FROM orders
+ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey DESC LIMIT 40""")
+def t03_case_order(t):
+    """Running first, then queued, then the rest; newest first."""
+    rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return t.orders.select("o_orderkey", "o_orderstatus").orderBy(rank, F.desc("o_orderkey")).limit(40)
+
+
+@R.query("""
+SELECT p_partkey, 2 * (p_name ILIKE '%a%')::INT + 4 * (p_size > 25)::INT + (p_brand IS NOT NULL)::INT AS points FROM part
+WHERE p_retailprice >= 900 ORDER BY points DESC, p_partkey LIMIT 30""")
+def t07_candidate_ranking(t):
+    """Points for each property, ties by key."""
+    points = 2 * F.col("p_name").ilike("%a%").cast("int") + 4 * (F.col("p_size") > 25).cast("int") + F.col("p_brand").isNotNull().cast("int")
+    return t.part.where("p_retailprice >= 900").select("p_partkey", points.alias("points")).orderBy(F.desc("points"), "p_partkey").limit(30)
+
+
+@R.query("""
+SELECT l_orderkey, l_partkey, l_linenumber, round(share, 6) AS share FROM
+(SELECT *, 100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS share FROM lineitem) WHERE share >= 40""")
+def t08_large_shares(t):
+    """Lines that make up a stated share of their order."""
+    share = 100 * F.col("l_extendedprice") / F.sum("l_extendedprice").over(Window.partitionBy("l_orderkey"))
+    return t.lineitem.withColumn("share", share).where("share >= 40").select("l_orderkey", "l_partkey", "l_linenumber", F.round("share", 6).alias("share"))
+
+
+@R.query("""
+SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY o_custkey""")
+def t09_in_order(t):
+    """All keys of a group joined in order."""
+    s = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
+    return t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(s, lambda x: x["o_orderkey"].cast("string")), ",").alias("keys"))
+
+
+@R.query("""
+SELECT event_id, user_id, ts FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r
+FROM events WHERE list_contains(['purchase', 'signup'], event_type)) WHERE r <= 5""")
+def t10_group_listing(t):
+    """Newest rows of a group by membership."""
+    e = t.events.where(F.array_contains(F.array(F.lit("purchase"), F.lit("signup")), F.col("event_type")))
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))
+    return e.withColumn("r", r).where("r <= 5").select("event_id", "user_id", "ts")
