@@ -110,8 +110,7 @@ def interval_pairs(placed: DataFrame, lead: int, eps: float) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    rows = rows.withColumn("v", F.when(usable(F.col("v")), F.col("v"))).withColumn("v", F.when(norm2 > 0, F.col("v")))
+    rows = rows.withColumn("v", F.when(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.col("v")))
     rows = materialise(rows, "epsilon-rows")
     idle = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     held = rows.where("v IS NOT NULL")

@@ -156,8 +156,8 @@ def fit(docs: DataFrame, rows_per_language: int = 8000, words: int = 160_000, gr
     return Model(languages, kept, totals)
 
 
-def predicted(docs: DataFrame, *columns: str, **bounds: int) -> DataFrame:
-    """The named columns of docs with held_out, lang_pred and score."""
+def told(docs: DataFrame, **bounds: int) -> DataFrame:
+    """docs with the struct column _told (lang_pred, score)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, **bounds))
 
     @F.pandas_udf("lang_pred string, score double")
@@ -167,10 +167,14 @@ def predicted(docs: DataFrame, *columns: str, **bounds: int) -> DataFrame:
             parts = [pd.DataFrame(model.value.predict(list(texts[i : i + 500])), columns=["lang_pred", "score"]) for i in range(0, len(texts), 500)]
             yield pd.concat(parts, ignore_index=True)
 
-    return docs.select(*columns, held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("_p")).select(*columns, "held_out", "_p.lang_pred", "_p.score")
+    return docs.withColumn("_told", predict("text"))
+
+
+def predicted(docs: DataFrame, *columns: str, **bounds: int) -> DataFrame:
+    """The named columns of docs with held_out, lang_pred and score."""
+    return told(docs, **bounds).select(*columns, held_out(F.col("doc_id")).alias("held_out"), "_told.lang_pred", "_told.score")
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is told with a score of at least `least`, columns as given."""
-    p = predicted(docs, *docs.columns)
-    return p.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    return told(docs).where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= least)).drop("_told")
