@@ -63,7 +63,7 @@ def slug(x: Column | str) -> Column:
 
 
 #: Endings of local numbers, slugs that say nothing, and the shape that slugs keep apart.
-LOCAL_ENDING, EMPTY_SLUGS, EXACT_SHAPE = r"(?i)(UBND|HĐND|HDND)$", ("", "khong-so"), r"^\d+/\d{4}/[A-Za-z0-9]+(-[A-Za-z0-9]+)*$"
+LOCAL_ENDING, EMPTY_SLUGS, EXACT_SHAPE = r"(?iu)-(UBND|HĐND|HDND)\s*$", ("", "khong-so", "khong-xac-dinh"), r"^\d+/\d{4}/[A-Za-z0-9]+(-[A-Za-z0-9]+)*$"
 
 
 def public_slug(number: Column | str, key: Column | str) -> Column:

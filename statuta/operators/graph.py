@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from statuta.session import written
 
-#: Relations that end or amend their target, and weights of relations for a crawl.
+#: Relations that end or amend their target, statuses, and weights of relations for a crawl.
 ENDING = ("Bãi bỏ", "Hủy bỏ", "Thay thế", "Đình chỉ")
 AMENDING = ("Sửa đổi, bổ sung",)
 EXPIRED = ("hết hiệu lực toàn bộ", "hết hiệu lực")
+WEIGHTS = {"Sửa đổi, bổ sung": 3.0, "Thay thế": 3.0, "Bãi bỏ": 3.0, "Hủy bỏ": 3.0, "Đình chỉ": 3.0, "Căn cứ": 1.0}
+OTHER_WEIGHT = 0.5
 
 
 def hops(edges: DataFrame, seeds: DataFrame, limit: int | None = None, directed: bool = False) -> DataFrame:
@@ -76,6 +78,11 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
 
 
+def relation_weight(relation: Column) -> Column:
+    known = F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv])
+    return F.coalesce(F.try_element_at(known, relation), F.lit(OTHER_WEIGHT))
+
+
 def crawl_priority(weight: Column, in_degree: Column, depth: Column) -> Column:
     """3 * relation weight + 2 * ln(1 + in-degree) - 1.5 * depth."""
     return 3 * weight + 2 * F.log1p(F.greatest(F.lit(0), in_degree).cast("double")) - 1.5 * depth

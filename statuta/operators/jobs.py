@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ALWAYS, BYPASS, INTENSITY, COOLDOWN, HORIZON = 5, 3, 60.0, 14, 7
+ALWAYS, BYPASS, INTENSITY, COOLDOWN, HORIZON = 5, 3, 60.0, 7, 7
 
 
 def materiality(level: Column, status_changed: Column, intensity: Column) -> Column:

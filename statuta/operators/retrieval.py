@@ -28,7 +28,7 @@ def query_terms(text: Column) -> Column:
 
 def search_mode(text: Column) -> Column:
     """KEYWORD for one word or code-like text, else HYBRID."""
-    code = text.rlike(r"[{}();=<>\[\]]|[/\\]|\.\w{1,4}$")
+    code = F.trim(text).rlike(r"[{}();=<>\[\]]|[/\\]|\.\w{2,4}$")
     return F.when(code | (F.size(F.split(F.trim(text), r"\s+")) <= 1), "KEYWORD").otherwise("HYBRID")
 
 

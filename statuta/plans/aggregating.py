@@ -235,7 +235,7 @@ def m05_materiality(t):
 
 
 @R.query("""
-WITH c AS (SELECT DISTINCT user_id AS code, user_id % 10 AS level FROM events), busy AS (SELECT DISTINCT user_id AS code FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-17')
+WITH c AS (SELECT DISTINCT user_id AS code, user_id % 10 AS level FROM events), busy AS (SELECT DISTINCT user_id AS code FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-24')
 SELECT code, level FROM c WHERE code NOT IN (SELECT code FROM busy) OR level <= 3""")
 def m06_cooldown(t):
     """M6: candidates without a recent job, or of a level that needs no pause."""

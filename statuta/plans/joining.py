@@ -52,24 +52,24 @@ def j06_not_exists_group(t):
 
 
 @R.query("""
-WITH refs AS (SELECT l_orderkey AS source, l_partkey::VARCHAR AS target, 'P' || l_suppkey AS number, l_returnflag AS relation FROM lineitem),
+WITH refs AS (SELECT l_orderkey AS source, l_partkey::VARCHAR AS target, 'P' || l_suppkey AS number, CASE l_returnflag WHEN 'A' THEN 'Căn cứ' WHEN 'R' THEN 'Thay thế' ELSE 'N' END AS relation FROM lineitem),
 src AS (SELECT o_orderkey AS source, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey::VARCHAR END AS ext, CASE WHEN o_orderstatus = 'F' THEN 1 END AS depth FROM orders),
 known AS (SELECT p_partkey::VARCHAR AS target FROM part WHERE p_size <= 25),
 q AS (SELECT o_orderkey::VARCHAR AS target, CASE WHEN o_orderkey % 5 = 0 THEN 'HUB_NOT_EXPANDED' ELSE 'PENDING' END AS state FROM orders WHERE o_orderpriority LIKE '1%')
 SELECT target, number, min(relation) AS relation, count(*) AS in_degree, (min(coalesce(depth, 0)) + 1)::INT AS depth,
-  round(3 * 1.0 + 2 * ln(1 + count(*)) - 1.5 * (min(coalesce(depth, 0)) + 1), 6) AS priority
+  round(3 * CASE min(relation) WHEN 'Thay thế' THEN 3.0 WHEN 'Căn cứ' THEN 1.0 ELSE 0.5 END + 2 * ln(1 + count(*)) - 1.5 * (min(coalesce(depth, 0)) + 1), 6) AS priority
 FROM refs JOIN src USING (source)
 WHERE target NOT IN (SELECT target FROM known) AND target NOT IN (SELECT target FROM q) AND ext NOT IN (SELECT target FROM q WHERE state = 'HUB_NOT_EXPANDED')
 GROUP BY target, number""")
 def j07_frontier_seed(t):
     """New crawl targets with priority; a null source id meets a non-empty hub set."""
-    refs = t.lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.concat(F.lit("P"), "l_suppkey").alias("number"), F.col("l_returnflag").alias("relation"))
+    refs = t.lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.concat(F.lit("P"), "l_suppkey").alias("number"), F.when(F.col("l_returnflag") == "A", "Căn cứ").when(F.col("l_returnflag") == "R", "Thay thế").otherwise("N").alias("relation"))
     src = t.orders.select(F.col("o_orderkey").alias("source"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey").cast("string")).alias("source_ext"), F.when(F.col("o_orderstatus") == "F", 1).alias("depth"))
     known = t.part.where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("target"))
     state = F.when(F.col("o_orderkey") % 5 == 0, "HUB_NOT_EXPANDED").otherwise("PENDING")
     queued = t.orders.where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").cast("string").alias("target"), state.alias("state"))
     f = graph.frontier(refs, src, known, queued)
-    return f.withColumn("priority", F.round(graph.crawl_priority(F.lit(1.0), F.col("in_degree"), F.col("depth")), 6))
+    return f.withColumn("priority", F.round(graph.crawl_priority(graph.relation_weight(F.col("relation")), F.col("in_degree"), F.col("depth")), 6))
 
 
 @R.query("""

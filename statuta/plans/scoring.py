@@ -185,7 +185,7 @@ def r08_multi_query(t):
 
 
 @R.query("""
-SELECT doc_id, CASE WHEN regexp_matches(w, '[{}();=<>\\[\\]]|[/\\\\]|\\.\\w{1,4}$') OR len(string_split_regex(trim(w), '\\s+')) <= 1 THEN 'KEYWORD' ELSE 'HYBRID' END AS mode
+SELECT doc_id, CASE WHEN regexp_matches(trim(w), '[{}();=<>\\[\\]]|[/\\\\]|\\.\\w{2,4}$') OR len(string_split_regex(trim(w), '\\s+')) <= 1 THEN 'KEYWORD' ELSE 'HYBRID' END AS mode
 FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 4) WHEN 1 THEN substr(text, 1, 30) ELSE 'a/b c' END AS w FROM documents)""")
 def r04_search_mode(t):
     """Keyword or hybrid search."""

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.functions.facts import hierarchy
 from statuta.functions.values import any_date
 
-#: Reference kinds by code.
-RELATIONS = {1: "Căn cứ", 2: "Sửa đổi, bổ sung", 3: "Thay thế", 4: "Bãi bỏ", 5: "Hướng dẫn"}
+#: Reference kinds by code; other codes are not verified and keep their number.
+RELATIONS = {1: "Bãi bỏ", 3: "Căn cứ", 9: "Căn cứ", 10: "Sửa đổi, bổ sung", 12: "Thay thế"}
 ITEM = (
     "id string, docNum string, title string, docType struct<name:string>, effStatus struct<name:string>, agencyName string, "
     "organization struct<name:string>, issueDate string, effFrom string, effTo string, fields array<struct<name:string>>, "
@@ -42,13 +43,13 @@ def _inline(fields: str) -> str:
     return ",".join(x.replace(" ", ":", 1) for x in out)
 
 
-def document_rows(items: DataFrame) -> DataFrame:
-    """One flat row a registry item; the agency's own name beats that of its organisation."""
+def document_rows(items: DataFrame, base_url: str = "") -> DataFrame:
+    """One flat row a registry item; the agency named beats its organisation, the number's own agency beats both."""
     return items.select(
         F.col("id").alias("moj_id"), F.col("docNum").alias("doc_num"), "title", F.col("docType.name").alias("doc_type"), F.col("effStatus.name").alias("eff_status"),
-        F.coalesce("agencyName", "organization.name").alias("agency_name"), any_date(F.col("issueDate")).alias("issue_date"),
+        F.coalesce(hierarchy(F.col("docNum"))["agency"], "agencyName", "organization.name").alias("agency_name"), any_date(F.col("issueDate")).alias("issue_date"),
         any_date(F.col("effFrom")).alias("eff_from"), any_date(F.col("effTo")).alias("eff_to"),
-        F.concat(F.lit("https://vbpl.vn/pages/vbpq-toanvan.aspx?ItemID="), F.col("id")).alias("url"),
+        F.when(F.trim("id") != "", F.concat(F.lit(f"{base_url}/doc/"), F.trim("id"))).otherwise("").alias("url"),
         F.coalesce("documentContent.content", "content").alias("html"),
     )
 
@@ -80,7 +81,7 @@ def feed(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     wanted = F.lit(False)
     for f in fields:
         wanted = wanted | F.contains(hay, F.lit(f.lower()))
-    return x.where(wanted & (F.col("tvpl_id") != "")).withColumn("pub_date", F.try_to_date("pubDate", "EEE, dd MMM yyyy HH:mm:ss Z"))
+    return x.where(wanted & (F.col("tvpl_id") != "")).withColumn("pub_date", F.try_to_date(F.nullif(F.regexp_extract("pubDate", r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), F.lit("")), "d MMM yyyy"))
 
 
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
