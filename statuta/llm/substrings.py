@@ -25,14 +25,14 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import NO_ID, partitions_of
 
 #: Documents of the sample for frequent words, a word's share of them that makes it frequent,
-#: most frequent words held; words of a batch; buckets for each input split.
-SAMPLE, SHARE, FREQUENT, BATCH, BUCKETS = 4096, 0.01, 1 << 14, 400_000, 16
+#: most frequent words held; words of a batch; buckets for each input split; level of compression.
+SAMPLE, SHARE, FREQUENT, BATCH, BUCKETS, LEVEL = 4096, 0.01, 1 << 14, 400_000, 16, 6
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 R = 0x9E3779B97F4A7C15
 R_INVERSE = pow(R, -1, 1 << 64)
@@ -118,17 +118,18 @@ def pack(strings: list[bytes], doc: np.ndarray, first: np.ndarray, ids: np.ndarr
     which, local = np.unique(doc, return_inverse=True)
     head = np.array([len(strings), len(which)], np.int64).tobytes()
     numbers = np.concatenate([np.diff(local, prepend=0), first]).astype(np.int32).tobytes()
-    return squeeze.compress(head + ids[which].tobytes() + keys[which].tobytes() + numbers + b"\n".join(strings))
+    # Ids ascend within a batch, so their differences are small numbers that compress well.
+    return squeeze.compress(head + np.diff(ids[which], prepend=0).tobytes() + keys[which].astype(np.int32).tobytes() + numbers + b"\n".join(strings))
 
 
 def unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """(strings joined by newlines, doc_id, key, first word) of a packed bucket part."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
-    ids, keys = np.frombuffer(raw, np.int64, m, 16), np.frombuffer(raw, np.int64, m, 16 + 8 * m)
-    local = np.cumsum(np.frombuffer(raw, np.int32, n, 16 + 16 * m))
-    first = np.frombuffer(raw, np.int32, n, 16 + 16 * m + 4 * n)
-    return raw[16 + 16 * m + 8 * n :], ids[local], keys[local], first
+    ids, keys = np.cumsum(np.frombuffer(raw, np.int64, m, 16)), np.frombuffer(raw, np.int32, m, 16 + 8 * m)
+    local = np.cumsum(np.frombuffer(raw, np.int32, n, 16 + 12 * m))
+    first = np.frombuffer(raw, np.int32, n, 16 + 12 * m + 4 * n)
+    return raw[16 + 12 * m + 8 * n :], ids[local], keys[local], first
 
 
 def repeated_windows(data: bytes, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +188,16 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
+def text_key(text: Column) -> Column:
+    """Tells apart rows that share a doc_id but not their text, in 32 bits."""
+    return F.shiftright(F.xxhash64(text), 32)
+
+
 def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id (NO_ID for null), key, ranges: word ranges to drop, an array of binaries a document."""
     frequent = frequent_words(docs)
     buckets = max(8, BUCKETS * partitions_of(docs))
-    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text IS NOT NULL")
+    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").where("text IS NOT NULL")
 
     def send(ids: list[int], keys: list[int], docs: list[list[bytes]]) -> pd.DataFrame:
         order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
@@ -202,7 +208,7 @@ def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
         known = ids[doc] > ids[doc[lead]] if len(strings) else np.zeros(0, bool)
         out = range_rows(ids, keys, doc[known], first[known], first[known] + n[known] + width - 1)
         rows = [(int(d) % buckets, int(d), int(k), r, None) for d, k, r in zip(out["doc_id"], out["key"], out["ranges"])]
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         live = np.flatnonzero(~known)
         bucket = ((least[live] * np.uint64(R)) >> np.uint64(33)).astype(np.int64) % buckets
         live = live[np.argsort(bucket, kind="stable")]
@@ -265,7 +271,7 @@ def joined(words: list[bytes], keep: np.ndarray) -> bytes:
 def with_ranges(docs: DataFrame, width: int) -> DataFrame:
     """docs with the column _ranges; the small side is hashed, texts are dealt but not sorted."""
     ranges = removed_ranges(docs, width).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("ranges").alias("_ranges"))
-    on = (F.coalesce(docs["doc_id"], F.lit(NO_ID)).cast("long") == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    on = (F.coalesce(docs["doc_id"], F.lit(NO_ID)).cast("long") == F.col("_d")) & (text_key(docs["text"]) == F.col("_k"))
     return docs.join(ranges.hint("shuffle_hash"), on, "left").drop("_d", "_k")
 
 

@@ -15,16 +15,16 @@ QUERIES, SQL = R.queries, R.sql
 
 
 @R.query("""
-SELECT n_name, count(*) AS n_customers, round(avg(o_totalprice), 4) AS avg_top
+SELECT n_name, count(*) AS n_customers, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / (100 * count(*)) AS avg_top
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE rn = 1 GROUP BY n_name""")
 def w01_top1_per_group(t):
-    """Each customer's largest order, rolled up by nation."""
+    """Each customer's largest order, rolled up by nation; sums in cents, so that any order of rows gives the same."""
     best = F.max_by(F.struct("o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey")))
     top = t.orders.groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", "b.o_totalprice")
     j = top.join(t.customer, top.o_custkey == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    return j.groupBy("n_name").agg(F.count("*").alias("n_customers"), F.round(F.avg("o_totalprice"), 4).alias("avg_top"))
+    return j.groupBy("n_name").agg(F.count("*").alias("n_customers"), (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / (100 * F.count("*"))).alias("avg_top"))
 
 
 @R.query("""
