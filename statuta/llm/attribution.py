@@ -12,7 +12,6 @@ give empty results. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statuta.llm.common import no_cycle_search
 from statuta.llm.tokens import VOCABULARY, byte_lengths, encode
 
 RULES = ("first", "most", "share")
@@ -64,16 +64,16 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABU
 
     @F.pandas_udf(f"n_bytes array<long>, n_tokens array<{kind}>, n_crossing array<long>")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        gc.disable()
         lengths = byte_lengths(vocabulary)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                data = (t or "").encode()
-                ends = line_borders(data)
-                tokens, crossing = allocate(np.cumsum(lengths[encode(t or "", vocabulary)]), ends, rule)
-                rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
+        with no_cycle_search():
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    data = (t or "").encode()
+                    ends = line_borders(data)
+                    tokens, crossing = allocate(np.cumsum(lengths[encode(t or "", vocabulary)]), ends, rule)
+                    rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
+                yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
 
     each = docs.select("doc_id", count("text").alias("c"))
     each = each.select("doc_id", F.posexplode(F.arrays_zip("c.n_bytes", "c.n_tokens", "c.n_crossing")).alias("section", "s"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """For tasks that hold large tables, which the search for reference cycles would walk again and again.
+
+    A worker serves many tasks, and what those leave behind has cycles, so the search is made once at the end.
+    """
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+
+
 def partitions_of(df: DataFrame) -> int:
     """Number of input splits: follows the bytes to read, so it scales bucket counts."""
     return max(1, df.rdd.getNumPartitions())

@@ -17,7 +17,6 @@ than doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import materialise
+from statuta.llm.common import materialise, no_cycle_search
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -162,10 +161,10 @@ def told(docs: DataFrame, **bounds: int) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        gc.disable()
-        for texts in batches:
-            parts = [pd.DataFrame(model.value.predict(list(texts[i : i + 500])), columns=["lang_pred", "score"]) for i in range(0, len(texts), 500)]
-            yield pd.concat(parts, ignore_index=True)
+        with no_cycle_search():
+            for texts in batches:
+                parts = [pd.DataFrame(model.value.predict(list(texts[i : i + 500])), columns=["lang_pred", "score"]) for i in range(0, len(texts), 500)]
+                yield pd.concat(parts, ignore_index=True)
 
     return docs.withColumn("_told", predict("text"))
 

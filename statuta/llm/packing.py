@@ -17,7 +17,6 @@ text are ignored.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import grouped_prefix, materialise
+from statuta.llm.common import grouped_prefix, materialise, no_cycle_search
 from statuta.llm.tokens import VOCABULARY, encode
 
 END = 2
@@ -38,18 +37,18 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END, vocabulary: st
 
     @F.pandas_udf(kind)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # nothing here makes cycles, and walking the table of pieces takes long
         stop = np.array([end], np.uint32)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                ids = np.concatenate([encode(t or "", vocabulary), stop])
-                first = (len(ids) - 1) % capacity + 1
-                edges = [0, *range(first, len(ids) + 1, capacity)]
-                parts = [ids[a:b] for a, b in zip(edges, edges[1:])]
-                row = (len(ids), [zlib.crc32(p.tobytes()) for p in parts])
-                rows.append((*row, [p.astype(np.int32) for p in parts]) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["n", "crc", "ids"][: 2 + with_ids])
+        with no_cycle_search():
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    ids = np.concatenate([encode(t or "", vocabulary), stop])
+                    first = (len(ids) - 1) % capacity + 1
+                    edges = [0, *range(first, len(ids) + 1, capacity)]
+                    parts = [ids[a:b] for a, b in zip(edges, edges[1:])]
+                    row = (len(ids), [zlib.crc32(p.tobytes()) for p in parts])
+                    rows.append((*row, [p.astype(np.int32) for p in parts]) if with_ids else row)
+                yield pd.DataFrame(rows, columns=["n", "crc", "ids"][: 2 + with_ids])
 
     cuts = docs.select("doc_id", cut("text").alias("c")).select("doc_id", "c.*")
     each = cuts.select("doc_id", "n", F.size("crc").alias("m"), F.posexplode("crc").alias("piece", "ids_crc32"), *(["ids"] if with_ids else []))

@@ -42,7 +42,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(n, base, np.uint64)
     out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    return np.cumprod(out, out=out)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -144,8 +144,13 @@ def repeated_windows(data: bytes, ids: np.ndarray, width: int) -> tuple[np.ndarr
     kmer = np.concatenate([[0], np.cumsum(buffer[sep] == 10)])
     begin = np.flatnonzero(kmer[: len(kmer) - width + 1] == kmer[width - 1 :])
     a, b, kmer_of = starts[begin], ends[begin + width - 1], kmer[begin]
-    total = np.concatenate([[np.uint64(0)], np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(R, len(buffer)), dtype=np.uint64)])
-    h = (total[b] - total[a]) * powers(R_INVERSE, len(buffer) + 1)[a]
+    total = powers(R, len(buffer) + 1)  # turned into sums in place: one number a byte is much as it is
+    total[1:] *= buffer + np.uint8(1)  # no byte of a text is 255
+    total[0] = 0
+    np.cumsum(total, out=total)
+    h = total[b] - total[a]
+    del total
+    h *= powers(R_INVERSE, len(buffer) + 1)[a]
     doc = ids[kmer_of]
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
