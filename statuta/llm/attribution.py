@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import no_cycle_search
+from statuta.llm.common import long_texts, no_cycle_search
 from statuta.llm.tokens import VOCABULARY, byte_lengths, encode
 
 RULES = ("first", "most", "share")
@@ -75,6 +75,6 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABU
                     rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
                 yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
 
-    each = docs.select("doc_id", count("text").alias("c"))
+    each = long_texts(docs).select("doc_id", count("text").alias("c"))
     each = each.select("doc_id", F.posexplode(F.arrays_zip("c.n_bytes", "c.n_tokens", "c.n_crossing")).alias("section", "s"))
     return each.select("doc_id", "section", "s.n_bytes", "s.n_tokens", "s.n_crossing")

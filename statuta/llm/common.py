@@ -53,6 +53,15 @@ def no_cycle_search() -> Iterator[None]:
         gc.collect()
 
 
+def long_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, with Arrow batches of at most `rows` rows from now on in its session: what a task and its
+    Python worker hold of texts at a time follows this number. A smaller setting stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return docs
+
+
 def partitions_of(df: DataFrame) -> int:
     """Number of input splits: follows the bytes to read, so it scales bucket counts."""
     return max(1, df.rdd.getNumPartitions())

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import materialise, no_cycle_search
+from statuta.llm.common import long_texts, materialise, no_cycle_search
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, rows_per_language: int = 8000, words: int = 160_000, gr
 
 def told(docs: DataFrame, **bounds: int) -> DataFrame:
     """docs with the struct column _told (lang_pred, score)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, **bounds))
+    model = docs.sparkSession.sparkContext.broadcast(fit(long_texts(docs), **bounds))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import grouped_prefix, materialise, no_cycle_search
+from statuta.llm.common import grouped_prefix, long_texts, materialise, no_cycle_search
 from statuta.llm.tokens import VOCABULARY, encode
 
 END = 2
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END, vocabulary: st
                     rows.append((*row, [p.astype(np.int32) for p in parts]) if with_ids else row)
                 yield pd.DataFrame(rows, columns=["n", "crc", "ids"][: 2 + with_ids])
 
-    cuts = docs.select("doc_id", cut("text").alias("c")).select("doc_id", "c.*")
+    cuts = long_texts(docs).select("doc_id", cut("text").alias("c")).select("doc_id", "c.*")
     each = cuts.select("doc_id", "n", F.size("crc").alias("m"), F.posexplode("crc").alias("piece", "ids_crc32"), *(["ids"] if with_ids else []))
     first = F.col("n") - (F.col("m") - 1) * capacity
     return each.select(

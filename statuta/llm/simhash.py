@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from statuta.llm.common import connected_components, materialise
+from statuta.llm.common import connected_components, long_texts, materialise
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
 SAMPLE, MAX_LEAVES, CAPACITY = 1 << 16, 1 << 14, 1 << 15
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in s], np.uint64).view(np.int64))
 
     fp = F.pandas_udf(compute, LongType())
-    return docs.select("doc_id", F.xxhash64("text").alias("_key"), fp("text").alias("fp"))
+    return long_texts(docs).select("doc_id", F.xxhash64("text").alias("_key"), fp("text").alias("fp"))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import NO_ID, partitions_of
+from statuta.llm.common import NO_ID, long_texts, partitions_of
 
 #: Documents of the sample for frequent words, a word's share of them that makes it frequent,
 #: most frequent words held; words of a batch; buckets for each input split; level of compression.
@@ -200,7 +200,7 @@ def text_key(text: Column) -> Column:
 
 def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id (NO_ID for null), key, ranges: word ranges to drop, an array of binaries a document."""
-    frequent = frequent_words(docs)
+    frequent = frequent_words(long_texts(docs))
     buckets = max(8, BUCKETS * partitions_of(docs))
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").where("text IS NOT NULL")
 
