@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine. Workers outlive their tasks and wait for the next ones beside those
+    that run; what they no longer use would count against the executor all that time."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 @contextlib.contextmanager
 def no_cycle_search() -> Iterator[None]:
     """For tasks that hold large tables, which the search for reference cycles would walk again and again.
@@ -51,6 +62,7 @@ def no_cycle_search() -> Iterator[None]:
     finally:
         gc.enable()
         gc.collect()
+        give_back()
 
 
 def long_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:

@@ -19,19 +19,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import long_texts, materialise, no_cycle_search
+from statuta.llm.common import give_back, long_texts, materialise, no_cycle_search
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Longest known word, n-gram lengths from the longest, added count, words that a task holds.
-LONGEST, LENGTHS, ADDED, HELD = 32, (4, 3, 2, 1), 0.5, 300_000
+LONGEST, LENGTHS, ADDED, HELD = 32, (4, 3, 2, 1), 0.5, 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,18 +48,17 @@ def count_terms(rows: DataFrame) -> DataFrame:
     """(n, term, lang, count): words (n = 0) and n-grams of the given (lang, text) rows."""
 
     def flush(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
-        parts = []
         for lang, words in held.items():
-            tables = {0: {w: c for w, c in words.items() if len(w) <= LONGEST}}
-            for n in LENGTHS:
-                grams: Counter = Counter()
+            for n in (0, *LENGTHS):
+                terms: Counter = Counter()
                 for w, c in words.items():
-                    for g in grams_of(w, n):
-                        grams[g] += c
-                tables[n] = grams
-            parts += [pd.DataFrame({"n": n, "term": list(t), "lang": lang, "count": list(t.values())}) for n, t in tables.items() if t]
-        if parts:
-            yield pd.concat(parts)
+                    if n:
+                        for g in grams_of(w, n):
+                            terms[g] += c
+                    elif len(w) <= LONGEST:
+                        terms[w] = c
+                if terms:
+                    yield pd.DataFrame({"n": n, "term": list(terms), "lang": lang, "count": list(terms.values())})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -70,21 +69,26 @@ def count_terms(rows: DataFrame) -> DataFrame:
                     yield from flush(held)
                     held = {}
         yield from flush(held)
+        held = {}
+        give_back()
 
     counted = rows.select("lang", "text").mapInPandas(count, "n int, term string, lang string, count long")
     return counted.groupBy("n", "term", "lang").agg(F.sum("count").alias("count"))
 
 
 class Model:
-    """Log frequencies: `rows` has a line for every term; a table for words and for each n maps terms to lines."""
+    """Log frequencies: `rows` has a line for every term; a table for words and for each n maps terms to lines.
+
+    counts: columns n, term, lang and count, or a function that gives those of one n, so that one table is held at a time.
+    """
 
-    def __init__(self, languages: list[str], counts: pd.DataFrame, totals: dict[tuple[int, str], int]) -> None:
+    def __init__(self, languages: list[str], counts: pd.DataFrame | Callable[[int], pd.DataFrame], totals: dict[tuple[int, str], int]) -> None:
         self.languages = languages
         self.tables: dict[int, dict[str, int]] = {}
         at = {lang: i for i, lang in enumerate(languages)}
         blocks, line = [], 0
         for n in (0, *LENGTHS):
-            mine = counts[counts["n"] == n]
+            mine = counts(n) if callable(counts) else counts[counts["n"] == n]
             terms = sorted(set(mine["term"]))
             table = {t: i for i, t in enumerate(terms)}
             m = np.full((len(terms), len(languages)), ADDED)
@@ -151,13 +155,14 @@ def fit(docs: DataFrame, rows_per_language: int = 8000, words: int = 160_000, gr
         cuts.append((int(n), lang, int(fits.min()) if len(fits) else 1 << 30))
     limits = docs.sparkSession.createDataFrame(cuts, "n int, lang string, least int")
     top = counts.join(F.broadcast(limits), ["n", "lang"]).where(level >= F.col("least")).select("n", "term").distinct()
-    kept = counts.join(top, ["n", "term"]).toPandas()  # at most languages * (words + 4 * grams) rows
-    return Model(languages, kept, totals)
+    kept = materialise(counts.join(top, ["n", "term"]), "language-kept")  # at most languages * (words + 4 * grams) rows
+    return Model(languages, lambda n: kept.where(F.col("n") == n).select("term", "lang", "count").toPandas(), totals)
 
 
 def told(docs: DataFrame, **bounds: int) -> DataFrame:
     """docs with the struct column _told (lang_pred, score)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(long_texts(docs), **bounds))
+    give_back()
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import NO_ID, long_texts, partitions_of
+from statuta.llm.common import NO_ID, give_back, long_texts, partitions_of
 
 #: Documents of the sample for frequent words, a word's share of them that makes it frequent,
 #: most frequent words held; words of a batch; buckets for each input split; level of compression.
@@ -237,8 +237,10 @@ def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
                     ids, keys, held, n = [], [], [], 0
         if held:
             yield send(ids, keys, held)
+            ids, keys, held = [], [], []
+        give_back()
 
-    def resolve(f: pd.DataFrame) -> pd.DataFrame:
+    def resolved(f: pd.DataFrame) -> pd.DataFrame:
         done = f[f["packed"].isna()]
         known = [done[["doc_id", "key", "ranges"]]]
         parts = [unpack(b) for b in f["packed"].dropna()]
@@ -254,6 +256,11 @@ def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
                 known.append(pd.DataFrame(range_rows(names[:, 0], names[:, 1], dense.ravel()[kmer], at, at + width)))
         return pd.concat(known)
 
+    def resolve(f: pd.DataFrame) -> pd.DataFrame:
+        out = resolved(f)
+        give_back()
+        return out
+
     sent = source.mapInPandas(cut, ROW)
     back = sent.groupBy("bucket").applyInPandas(resolve, "doc_id long, key long, ranges binary")
     return back.groupBy("doc_id", "key").agg(F.collect_list("ranges").alias("ranges"))
