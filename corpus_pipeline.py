@@ -14,8 +14,8 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near copies the document of the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Operator 8 and shared five-word shingles: of each group of near copies the document of the smallest doc_id stays."""
+    return simhash.keep_first_similar(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ Leaves over `capacity` rows (balls of near copies that no vantage point splits)
 way: two fingerprints are within 2 bits just if they share one of the 65 words within 1 bit.
 Leaves return spanning links, not pairs; components come from links by stars.
 
+Near copies that share at least 4/5 of their five-word shingles can be up to 20 bits apart, where
+no triangle bound prunes. keep_first_similar finds those exactly, too: two sets of that Jaccard
+similarity share a shingle among the first n - ceil(4n/5) + 1 of each in any one order, so sets meet
+by these shingles (commonest last) and are compared whole.
+
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id is
 larger than all ids (null if a component has no other). Repeated rows stay rows of one class.
 Empty tables give empty results. Columns other than doc_id and text are ignored.
@@ -193,10 +198,130 @@ def hex_digits(fp: str) -> F.Column:
 
 def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
     """One row of each component: that of the smallest doc_id. Columns of docs."""
-    found = materialise(near_duplicates(docs, shingle, reach), "simhash-kept")
+    return first_of(docs, near_duplicates(docs, shingle, reach))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    found = materialise(groups, "simhash-kept")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = first.groupBy("doc_id").agg(F.min("_key").alias("_k")).withColumnRenamed("doc_id", "_d")
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     out = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_d"]) & (keyed["_key"] == stays["_k"]), "left_semi").drop("_key")
     repeated = first.count() > stays.count()
     return out.dropDuplicates(["doc_id"]) if repeated else out
+
+
+#: Similarity of near copies as a fraction; words of a shingle; sampled documents and shingles whose order they set.
+SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
+
+
+def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text, in words as fingerprint() has them."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that several of a bounded sample of documents have, rarest first (at most COMMON)."""
+    one_in = max(1, docs.count() // ORDERED)
+
+    def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([shingles(t).view(np.int64) for t in s])
+
+    each = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.explode(F.pandas_udf(compute, "array<long>")("text")).alias("s"))
+    top = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.col("n").desc(), "s").limit(COMMON).toPandas()
+    return top["s"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, _key, fp, cls (hash of the set of five-word shingles), n, shared (its first shingles), all (the set)."""
+    common = common_shingles(long_texts(docs))
+    by = np.argsort(common, kind="stable")
+    known = common[by]
+
+    def compute(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            rows = []
+            for t in s:
+                x = shingles(t)
+                first = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1 if len(x) else 0
+                place = np.zeros(len(x), np.int64)
+                if len(known) and len(x):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    place = np.where(known[at] == x, by[at] + 1, 0)
+                shared = x[np.lexsort((x, place))[:first]]
+                rows.append((fingerprint(t, shingle), xxhash.xxh64_intdigest(x.tobytes(), 7), len(x), shared.view(np.int64), x.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "shared", "all"])
+            for c in ("fp", "cls"):
+                out[c] = np.array(out[c].tolist(), np.uint64).view(np.int64)
+            yield out
+
+    one = F.pandas_udf(compute, "fp long, cls long, n int, shared array<long>, all array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("_key"), one("text").alias("s")).select("doc_id", "_key", "s.*")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes whose sets are similar enough."""
+    pairs = materialise(pairs.distinct(), "simhash-candidates")
+    asked = pairs.select(F.col("u").alias("cls")).unionAll(pairs.select(F.col("v").alias("cls"))).distinct()
+    held = materialise(sets.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "simhash-sets")
+    a, b = (held.select(F.col("cls").alias(x), F.col("all").alias(f"_{x}")) for x in "uv")
+
+    @F.pandas_udf("boolean")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = (len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y))
+        top, below = SIMILAR
+        return pd.Series([i * (top + below) >= top * (len(p) + len(q)) for i, p, q in zip(both, x, y)], dtype=bool)
+
+    found = pairs.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v")
+    return materialise(found, "simhash-similar")
+
+
+def similar_links(sets: DataFrame, links: DataFrame, rounds: int = 2) -> DataFrame:
+    """links and, between their components, links of classes (cls, n, shared, all) that are similar enough.
+
+    First each class only meets one other of a shingle's, which joins large groups of near copies;
+    last, all classes meet that share a shingle and are not in one component yet: no pair is left out.
+    """
+    rows = sets.dropDuplicates(["cls"]).select("cls", "n", F.explode("shared").alias("s"))
+    rows = materialise(rows, "simhash-shingles")
+    shared = materialise(rows.join(rows.groupBy("s").agg(F.count("*").alias("_c")).where("_c > 1").select("s"), "s"), "simhash-shared")
+    top, below = SIMILAR
+    alike = (F.col("n") * below >= F.col("_n") * top) & (F.col("_n") * below >= F.col("n") * top)
+    for k in range(rounds + 1):
+        parts = materialise(connected_components(links, "simhash-rounds"), "simhash-parts")
+        named = shared.join(parts, shared["cls"] == parts["node"], "left").select("s", "cls", "n", F.coalesce("component", "cls").alias("part"))
+        other = F.struct(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("part").alias("_part"))
+        if k < rounds:
+            met = named.groupBy("s").agg(F.min_by(other, F.xxhash64("cls", F.lit(k))).alias("o"), F.min("part").alias("_a"), F.max("part").alias("_b"))
+            met = met.where("_a <> _b").select("s", "o.*")
+            pairs = named.join(met, "s").where((F.col("part") != F.col("_part")) & alike)
+        else:
+            pairs = named.join(named.select("s", other.alias("o")).select("s", "o.*"), "s").where((F.col("part") < F.col("_part")) & alike)
+        links = links.unionAll(verified(pairs.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v")), sets))
+    return links
+
+
+def similar_groups(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
+    """doc_id, _key and component_id: documents joined by fingerprints within reach or by similar sets of shingles."""
+    sets = materialise(shingled(docs, shingle), "simhash-shingled")
+    prints = sets.groupBy("fp").agg(F.min("cls").alias("rep"))
+    prints = materialise(prints, "simhash-prints")
+    near = links(prints.select("fp"), reach)
+    reps = [prints.select(F.col("fp").alias(x), F.col("rep").alias(f"_{x}")) for x in "uv"]
+    near = near.join(reps[0], "u").join(reps[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    same = sets.join(prints, "fp").where("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
+    start = materialise(near.unionAll(same).distinct(), "simhash-near")
+    parts = connected_components(similar_links(sets, start), "simhash-links")
+    named = sets.select("doc_id", "_key", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "_key", F.coalesce("component", "cls").alias("_part"))
+    first = named.groupBy("_part").agg(F.min("doc_id").alias("component_id"))
+    return named.join(first, "_part").select("doc_id", "_key", "component_id")
+
+
+def keep_first_similar(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
+    """keep_first for documents joined by fingerprints or by 4/5 of their five-word shingles."""
+    return first_of(docs, similar_groups(docs, shingle, reach))
