@@ -21,7 +21,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases with their labels that every result counts.
 BASE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: label, keyword that must occur, ways to name the license (words; [x] optional, a|b either).
+#: label, keyword that must occur (for names without it see gate_word), ways to name the license (words; [x] optional, a|b either).
 FAMILIES = [
     ("mit", "mit", ["mit", "expat"]),
     ("mit-0", "mit", ["mit 0", "mit no attribution"]),
@@ -114,12 +114,18 @@ def pattern(words: str) -> str:
     return "".join(out)
 
 
+def gate_word(word: str, name: str) -> str:
+    """The family's keyword if the name must hold it, else the name's own longest word that must occur."""
+    fixed = [w for w in name.split() if not w.startswith("[") and "|" not in w]
+    return word if word in fixed else max(fixed, key=len)
+
+
 def signature_rules() -> list[tuple[int, str, str, str, int, float]]:
     """(rule, label, keyword, regex, priority, confidence), ordered best first; a few hundred."""
     rules = [(label, word, pattern(text), 1, 1.0) for label, word, text in SENTENCES]
     for priority, confidence, around in TEMPLATES:
-        rules += [(label, word, pattern(around.replace("{}", name)), priority, confidence) for label, word, names in FAMILIES for name in names]
-    rules += [(label, word, pattern(name), 5, 0.5) for label, word, names in FAMILIES if label in BARE for name in names]
+        rules += [(label, gate_word(word, name), pattern(around.replace("{}", name)), priority, confidence) for label, word, names in FAMILIES for name in names]
+    rules += [(label, gate_word(word, name), pattern(name), 5, 0.5) for label, word, names in FAMILIES if label in BARE for name in names]
     return [(i, *r) for i, r in enumerate(rules)]
 
 

@@ -357,6 +357,22 @@ def test_license_base_places_and_suppression(spark):
     assert len(licenses.signature_rules()) >= 200
 
 
+def test_every_license_rule_can_fire_alone(spark):
+    import re
+
+    for _, _, word, regex, _, _ in licenses.signature_rules():
+        must = re.sub(r"\(\?:[^()]*(?:\([^()]*\)\?)?[^()]*\)\??", "", regex)
+        assert f" {word} " in must
+    names = [(label, " ".join(w.strip("[]").split("|")[0] for w in name.split())) for label, _, ways in licenses.FAMILIES for name in ways]
+    rows = [(i, f"It is licensed under the {name.upper()} license") for i, (_, name) in enumerate(names)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [(name, got[i]) for i, (_, name) in enumerate(names) if not got[i]]
+    assert not missed
+    mine = {"expat": "mit", "asl 2 0": "apache-2", "freebsd": "bsd-2-clause", "0bsd": "0bsd", "gplv1": "gpl-1", "gplv2": "gpl-2", "gplv3": "gpl-3", "lgplv2": "lgpl-2", "lgplv2 1": "lgpl-2.1",
+            "lgplv3": "lgpl-3", "agplv3": "agpl-3", "psf": "psf", "creative commons zero": "cc0", "gfdl": "gfdl", "odbl": "odbl"}
+    assert {name: got[i] for i, (_, name) in enumerate(names) if name in mine} == mine
+
+
 def test_licenses_odd_rows(spark, odd, none):
     assert licenses.scan(odd).count() == 10 and licenses.scan(none).count() == 0
 
