@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import long_texts, no_cycle_search
-from statuta.llm.tokens import VOCABULARY, byte_lengths, encode
+from statuta.llm.tokens import VOCABULARY, byte_lengths, encode_document
 
 RULES = ("first", "most", "share")
 
@@ -71,7 +71,7 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABU
                 for t in texts:
                     data = (t or "").encode()
                     ends = line_borders(data)
-                    tokens, crossing = allocate(np.cumsum(lengths[encode(t or "", vocabulary)]), ends, rule)
+                    tokens, crossing = allocate(np.cumsum(lengths[encode_document(t or "", vocabulary)]), ends, rule)
                     rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
                 yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import grouped_prefix, long_texts, materialise, no_cycle_search
-from statuta.llm.tokens import VOCABULARY, encode
+from statuta.llm.tokens import VOCABULARY, encode_document
 
 END = 2
 
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END, vocabulary: st
             for texts in batches:
                 rows = []
                 for t in texts:
-                    ids = np.concatenate([encode(t or "", vocabulary), stop])
+                    ids = np.concatenate([encode_document(t or "", vocabulary), stop])
                     first = (len(ids) - 1) % capacity + 1
                     edges = [0, *range(first, len(ids) + 1, capacity)]
                     parts = [ids[a:b] for a, b in zip(edges, edges[1:])]

@@ -16,6 +16,8 @@ import numpy as np
 
 #: Vocabulary file (its stem; `.json` and `.tiktoken` hold the same vocabulary).
 VOCABULARY = "byte_bpe_50k"
+#: Special string of the vocabulary and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Pieces remembered by a task; past that the table starts anew.
 REMEMBERED = 400_000
 #: The vocabulary's own split, for texts of these characters only: letters of Latin script, ASCII
@@ -38,7 +40,7 @@ def encoding(vocabulary: str = VOCABULARY):
 def byte_lengths(vocabulary: str = VOCABULARY) -> np.ndarray:
     """Bytes of the text that each id stands for."""
     e = encoding(vocabulary)
-    return np.array([len(e.decode_single_token_bytes(i)) for i in range(e.n_vocab)], np.int64)
+    return np.array([len(e.decode_single_token_bytes(i)) for i in range(SPECIAL_ID)] + [len(SPECIAL)], np.int64)
 
 
 class _Pieces(dict):
@@ -56,10 +58,18 @@ _pieces = functools.cache(_Pieces)
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a whole text as unsigned 32-bit numbers; special strings are ordinary text."""
+    """Ids of a text as unsigned 32-bit numbers; special strings are ordinary text."""
     if not SIMPLE.fullmatch(text):
         return np.array(encoding(vocabulary).encode_ordinary(text), np.uint32)
     known = _pieces(vocabulary)
     if len(known) > REMEMBERED:
         known.clear()
     return np.frombuffer(b"".join(map(known.__getitem__, SPLIT.findall(text))), np.uint32)
+
+
+def encode_document(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Ids of a whole document; a special string in it is one id, as in the `tokenizers` library."""
+    if SPECIAL not in text:
+        return encode(text, vocabulary)
+    special, first, *others = np.array([SPECIAL_ID], np.uint32), *(encode(part, vocabulary) for part in text.split(SPECIAL))
+    return np.concatenate([first, *(x for part in others for x in (special, part))])

@@ -326,6 +326,25 @@ def test_tokens_equal_those_of_the_other_library():
     assert tokens.byte_lengths()[tokens.encode("naïve 日本")].sum() == len("naïve 日本".encode())
 
 
+def test_special_strings_are_one_id_in_documents(spark):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  ", "日本 \n<|endoftext|>\n\n y", "<|endoftext| >", ""]
+    for text in texts:
+        ids = tokens.encode_document(text)
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and ids.dtype == np.uint32
+        assert tokens.byte_lengths()[ids].sum() == len(text.encode())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = {r["doc_id"]: r["ids"] for r in packing.packed_documents(docs, with_ids=True).collect()}
+    assert packed == {i: [*t.encode(x, add_special_tokens=False).ids, packing.END] for i, x in enumerate(texts)}
+    counts = {r["doc_id"]: r["n"] for r in attribution.section_tokens(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert counts == {i: len(n) - 1 for i, n in packed.items()}
+
+
 def test_packing_odd_rows(spark, odd, none):
     got = packing.packed_documents(odd).toPandas()
     assert (got.groupby("sequence_id")["length"].sum() <= 1024).all() and len(got[(got["start"] == 0)]) == 10
