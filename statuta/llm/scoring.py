@@ -6,8 +6,9 @@ share the remaining tokens. The network predicts a token from the `reach` tokens
 embeddings by position are summed, squashed and scored in two steps (group of tokens, token in its
 group), so that every probability is normalised. Training goes over every document; each task
 trains its own copy on a share of its positions, and copies are averaged by their positions in
-every round. A document's score is the sum of the log-probabilities of all its tokens, each given
-both sides.
+every round. Words of one token are told apart by the corpus: a table counts every word, and a
+word's probability within its token is its share of the token's occurrences. A document's score is
+the sum of the log-probabilities of all its words, each given the tokens on both sides.
 
 Nulls: a null or empty text has n_tokens 0, log_likelihood 0 and a null per_token. Null doc_ids
 and repeated rows are kept. Empty tables give empty results. Columns other than doc_id and text
@@ -25,37 +26,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import long_texts
+from statuta.llm.common import long_texts, materialise
 
 #: Hash buckets of words; groups of tokens and tokens of a group; frequent buckets with a token of
 #: their own; width; tokens on each side; positions of a step; tokens of a batch of documents.
 BUCKETS, GROUPS, EACH, OWN, WIDTH, REACH, STEP, BATCH = 1 << 16, 32, 32, 512, 16, 2, 2048, 1 << 16
 TOKENS = GROUPS * EACH
+#: Most frequent words whose counts every task holds; the others' are joined.
+HELD = 1 << 16
 
 
-def buckets_of(text: str | None) -> np.ndarray:
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text."""
     words = (text or "").lower().encode().split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return (h % np.uint64(BUCKETS)).astype(np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of every bucket over all documents."""
+def buckets_of(text: str | None) -> np.ndarray:
+    return (words_of(text) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), n: occurrences of every word over all documents, as a written table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(BUCKETS, np.int64)
         for f in batches:
-            for t in f["text"]:
-                np.add.at(n, buckets_of(t), 1)
-        some = np.flatnonzero(n)
-        yield pd.DataFrame({"bucket": some, "n": n[some]})
+            word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(words_of, f["text"])]), return_counts=True)
+            yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+
+    rows = docs.select("text").mapInPandas(count, "word long, n long")
+    return materialise(rows.groupBy("word").agg(F.sum("n").alias("n")), "scoring-words")
 
-    rows = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+
+def bucket_counts(words: DataFrame) -> np.ndarray:
+    """Occurrences of every bucket, from those of words."""
+    rows = words.groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences of every bucket over all documents."""
+    return bucket_counts(word_counts(docs))
+
+
 def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token of every bucket, occurrences of every token)."""
     order = np.argsort(-counts, kind="stable")
@@ -141,11 +156,11 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.stack([flat[at + k] for k in offsets]), flat[at], doc[at]
 
 
-def batches_of(texts, token: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def batches_of(words, token: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Rows and tokens of documents with words, in batches of about BATCH tokens."""
     rows, held, n = [], [], 0
-    for i, t in enumerate(texts):
-        ids = token[buckets_of(t)]
+    for i, w in enumerate(words):
+        ids = token[(w % np.uint64(BUCKETS)).astype(np.int64)]
         if len(ids):
             rows.append(i), held.append(ids)
             n += len(ids)
@@ -164,7 +179,7 @@ def trained(docs: DataFrame, token: np.ndarray, net: Network, share: int, rate:
         power = np.full(own.flat.size, 1e-6, np.float32)
         rng = np.random.default_rng(seed)
         for f in frames:
-            for _, held in batches_of(f["text"], token):
+            for _, held in batches_of(map(words_of, f["text"]), token):
                 around, target, _ = windows(held)
                 chosen = rng.permutation(np.flatnonzero((np.arange(len(target)) + seed) % share == 0))
                 for at in range(0, len(chosen), STEP):
@@ -185,8 +200,9 @@ def trained(docs: DataFrame, token: np.ndarray, net: Network, share: int, rate:
     return Network(flat)
 
 
-def fit(docs: DataFrame, rounds: int = 2, share: int = 4, rate: float = 0.1) -> tuple[np.ndarray, Network]:
-    token, occurrences = vocabulary(corpus_counts(docs))
+def fit(docs: DataFrame, rounds: int = 2, share: int = 4, rate: float = 0.1, counts: np.ndarray | None = None) -> tuple[np.ndarray, Network]:
+    """Rounds r = 0, 1, ... take positions p with (p + r) % share = 0: `share` rounds go over all once."""
+    token, occurrences = vocabulary(corpus_counts(docs) if counts is None else counts)
     net = Network.start(occurrences)
     for r in range(rounds):
         net = trained(docs, token, net, share, rate / (1 + r), r)
@@ -195,23 +211,44 @@ def fit(docs: DataFrame, rounds: int = 2, share: int = 4, rate: float = 0.1) ->
 
 def pseudo_likelihood(docs: DataFrame, **training) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, per_token of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(long_texts(docs), **training))
-
-    @F.pandas_udf("n_tokens long, log_likelihood double")
+    words = word_counts(long_texts(docs))
+    counts = bucket_counts(words)
+    token, net = fit(docs, counts=counts, **training)
+    top = words.orderBy(F.col("n").desc(), "word").limit(HELD).toPandas()  # at most HELD rows
+    held_words = top["word"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(held_words)
+    occurrences = np.bincount(token, weights=counts, minlength=TOKENS)
+    tables = token, net.flat, np.log(np.maximum(occurrences, 1)), held_words[by], np.log(top["n"].to_numpy(np.float64))[by]
+    model = docs.sparkSession.sparkContext.broadcast(tables)
+
+    @F.pandas_udf("n_tokens long, log_likelihood double, rare array<long>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        token, net = model.value
-        net = Network(net.flat)
+        token, flat, log_token, known, log_word = model.value
+        net = Network(flat)
         for texts in batches:
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for rows, held in batches_of(texts, token):
+            n, total, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts)), []
+            hashes = [words_of(t) for t in texts]
+            for rows, held in batches_of(hashes, token):
                 around, target, doc = windows(held)
                 for at in range(0, len(target), 1 << 14):
                     s = slice(at, at + (1 << 14))
                     logs, _ = net.forward(around[:, s], target[s])
                     where = np.array(rows)[doc[s]]
-                    total += np.bincount(where, weights=logs, minlength=len(texts))
+                    total += np.bincount(where, weights=logs - log_token[target[s]], minlength=len(texts))
                     n += np.bincount(where, minlength=len(texts))
-            yield pd.DataFrame({"n_tokens": n, "log_likelihood": total})
-
-    out = docs.select("doc_id", score("text").alias("s")).select("doc_id", "s.*")
+            for i, w in enumerate(hashes):
+                if len(w):
+                    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                    there = known[at] == w
+                    total[i] += log_word[at[there]].sum()
+                    w = w[~there]
+                rare.append(w.view(np.int64))
+            yield pd.DataFrame({"n_tokens": n, "log_likelihood": total, "rare": rare})
+
+    rows = docs.select("doc_id", score("text").alias("s")).select("doc_id", "s.*").withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(rows, "scoring-rows")
+    rare = rows.select("_row", F.explode("rare").alias("word")).join(words, "word")
+    rare = rare.groupBy("_row").agg(F.sum(F.log("n")).alias("_more"))
+    total = F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))
+    out = rows.drop("rare").join(rare, "_row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -512,6 +512,31 @@ def test_gradient_is_that_of_the_score():
         assert abs(slope - g[j]) < 2e-4
 
 
+def test_registered_training_takes_every_position(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(scoring, "trained", lambda docs, token, net, share, rate, seed: taken.append((share, seed)) or net)
+    queries.op1_masked_likelihood(spark, SMALL)
+    assert all(any((p + seed) % share == 0 for share, seed in taken) for p in range(12))
+
+
+@pytest.mark.parametrize("held", [4, 1 << 16])
+def test_scores_tell_words_of_one_token_apart(spark, docs, monkeypatch, held):
+    monkeypatch.setattr(scoring, "HELD", held)
+    counts = scoring.corpus_counts(docs)
+    token, net = scoring.fit(docs, rounds=1)
+    monkeypatch.setattr(scoring, "fit", lambda *_, **__: (token, net))
+    got = scoring.pseudo_likelihood(docs).toPandas().set_index("doc_id")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    times = collections.Counter(w for t in texts.values() for w in t.lower().encode().split())
+    occurrences = np.bincount(token, weights=counts, minlength=scoring.TOKENS)
+    for doc in sorted(texts)[:40]:
+        words = texts[doc].lower().encode().split()
+        if words:
+            around, target, _ = scoring.windows([token[scoring.buckets_of(texts[doc])]])
+            want = net.forward(around, target)[0].sum(dtype=np.float64) + sum(np.log(times[w] / occurrences[c]) for w, c in zip(words, target))
+            assert np.isclose(got.loc[doc, "log_likelihood"], want, rtol=1e-4)
+
+
 def test_scoring_odd_rows(spark, odd, none):
     got = scoring.pseudo_likelihood(odd, rounds=1).toPandas()
     assert len(got) == 10 and (got.loc[got["n_tokens"] == 0, "log_likelihood"] == 0).all() and (got["log_likelihood"] <= 0).all()
