@@ -17,6 +17,7 @@ def build(name: str = "statuta", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The application's folder among what all executors share. A local one serves only a single-machine session."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir")
     if not root:
@@ -27,8 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write once to the shared folder and read back, so that loops keep a short lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The application's folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    p, files = _file_system(spark, folder)
+    files.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing will read again."""
+    for t in tables:
+        for name in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            p, files = _file_system(t.sparkSession, name)
+            files.delete(p, True)
