@@ -6,8 +6,10 @@ interval join of both gives each section its tokens. A token that crosses sectio
 allocated by rule: `first` (the section of its first byte), `most` (the section with most of its
 bytes, the earlier of equals) or `share` (each section in proportion to its bytes).
 
-A null or empty text has one empty section 0. Null doc_ids and repeated rows are kept. Empty tables
-give empty results. Columns other than doc_id and text are ignored.
+A null or empty text has one empty section 0. Null doc_ids and repeated rows are kept. Ties: of
+sections with equally many bytes of a token `most` takes the earlier. A text of any length is
+encoded whole. Empty tables give empty results. Columns other than doc_id and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import long_texts, no_cycle_search
-from statuta.llm.tokens import VOCABULARY, byte_lengths, encode_document
+from statuta.llm.common import give_back
+from statuta.llm.tokens import VOCABULARY, byte_lengths, encode_document, forget
 
 RULES = ("first", "most", "share")
 
@@ -65,16 +67,17 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABU
     @F.pandas_udf(f"n_bytes array<long>, n_tokens array<{kind}>, n_crossing array<long>")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lengths = byte_lengths(vocabulary)
-        with no_cycle_search():
-            for texts in batches:
-                rows = []
-                for t in texts:
-                    data = (t or "").encode()
-                    ends = line_borders(data)
-                    tokens, crossing = allocate(np.cumsum(lengths[encode_document(t or "", vocabulary)]), ends, rule)
-                    rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
-                yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
+        for texts in batches:
+            rows = []
+            for t in texts:
+                data = (t or "").encode()
+                ends = line_borders(data)
+                tokens, crossing = allocate(np.cumsum(lengths[encode_document(t or "", vocabulary)]), ends, rule)
+                rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
+        forget()
+        give_back()
 
-    each = long_texts(docs).select("doc_id", count("text").alias("c"))
+    each = docs.select("doc_id", count("text").alias("c"))
     each = each.select("doc_id", F.posexplode(F.arrays_zip("c.n_bytes", "c.n_tokens", "c.n_crossing")).alias("section", "s"))
     return each.select("doc_id", "section", "s.n_bytes", "s.n_tokens", "s.n_crossing")

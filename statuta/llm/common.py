@@ -1,44 +1,44 @@
-"""Shared pieces of the training-data operators: tables, written intermediates, ranks, components."""
+"""Shared pieces of the training-data operators: tables, ranks, hot keys, components, worker memory."""
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta.session import dropped, written
+
+__all__ = ["NO_ID", "attached", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "table", "text_parts", "with_global_index", "written"]
+
 #: Stands for a missing doc_id inside operators: it is larger than every other id.
 NO_ID = (1 << 63) - 1
+#: Rows of one key past which a join no longer leaves the key to one task.
+HOT = 1 << 20
+#: Bytes of text that a function takes from an Arrow batch at a time.
+PART = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local folder serves only a single-machine session."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir")
-    if not root:
-        if not conf.get("spark.master", "").startswith("local") or "cluster" in conf.get("spark.master", ""):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"{tempfile.gettempdir()}/statuta-work"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_parts(batch: pa.RecordBatch, column: str = "text", most: int = PART) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `most` bytes of text each (or one row): batches are bounded in
+    bytes by the session, and what a function makes of a slice is bounded by this."""
+    text = batch.column(column)
+    sizes = [0 if n is None else n for n in pa.compute.binary_length(text).to_pylist()]
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
 
 
 def give_back() -> None:
@@ -50,30 +50,6 @@ def give_back() -> None:
         trim(0)
 
 
-@contextlib.contextmanager
-def no_cycle_search() -> Iterator[None]:
-    """For tasks that hold large tables, which the search for reference cycles would walk again and again.
-
-    A worker serves many tasks, and what those leave behind has cycles, so the search is made once at the end.
-    """
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-        gc.collect()
-        give_back()
-
-
-def long_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """docs, with Arrow batches of at most `rows` rows from now on in its session: what a task and its
-    Python worker hold of texts at a time follows this number. A smaller setting stays."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-    return docs
-
-
 def partitions_of(df: DataFrame) -> int:
     """Number of input splits: follows the bytes to read, so it scales bucket counts."""
     return max(1, df.rdd.getNumPartitions())
@@ -90,7 +66,7 @@ def with_global_index(df: DataFrame, order: list, name: str, tag: str, parts: in
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    ranged = materialise(ranged, tag)
+    ranged = written(ranged, tag)
     part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,6 +79,23 @@ def with_global_index(df: DataFrame, order: list, name: str, tag: str, parts: in
     )
 
 
+def prefix_sums(sums: DataFrame, group: list[str], at: str, size: str, name: str, span: int = 4096) -> DataFrame:
+    """Add the sum of `size` before each row of its group, in the order of the whole numbers `at` (unique in a group).
+
+    Two levels: stretches of `span` numbers are summed, the sums summed up, so that no task sees a
+    group's rows, only its stretches.
+    """
+    before = lambda *keys: Window.partitionBy(*keys)
+    up_to = lambda w, o: w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    cut = sums.withColumn("_stretch", F.floor(F.col(at) / span))
+    high = cut.groupBy(*group, "_stretch").agg(F.sum(size).alias("_s"))
+    high = high.select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)], F.col("_stretch").alias("_st"),
+                       F.coalesce(F.sum("_s").over(up_to(before(*group), "_stretch")), F.lit(0)).alias("_high"))
+    low = cut.withColumn("_low", F.coalesce(F.sum(size).over(up_to(before(*group, "_stretch"), at)), F.lit(0)))
+    on = [low[g].eqNullSafe(F.col(f"_h{i}")) for i, g in enumerate(group)] + [low["_stretch"] == F.col("_st")]
+    return low.join(high, on).withColumn(name, F.col("_high") + F.col("_low")).drop("_stretch", "_st", "_low", "_high", *[f"_h{i}" for i in range(len(group))])
+
+
 def grouped_prefix(df: DataFrame, group: list[str], order: list[str], size: str, salts: int, name: str) -> DataFrame:
     """Running sum of `size` before each row, per group in the order of `order`.
 
@@ -111,9 +104,8 @@ def grouped_prefix(df: DataFrame, group: list[str], order: list[str], size: str,
     """
     slices = df.withColumn("_slice", F.floor((F.shiftrightunsigned(F.col(order[0]), 33)) * F.lit(salts) / F.lit(1 << 31)).cast("int"))
     # The hash is signed, its unsigned top bits are not in its order; any fixed order does.
-    sums = slices.groupBy(*group, "_slice").agg(F.sum(size).alias("_s"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_sl"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    sums = prefix_sums(slices.groupBy(*group, "_slice").agg(F.sum(size).alias("_s")), group, "_slice", "_s", "_base")
+    bases = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_sl"), "_base")
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = slices.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     on = [rows[g].eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [rows["_slice"] == F.col("_sl")]
@@ -121,25 +113,56 @@ def grouped_prefix(df: DataFrame, group: list[str], order: list[str], size: str,
     return out.withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_slice", "_in", "_base", "_sl", *[f"_g{i}" for i in range(len(group))])
 
 
+def attached(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the facts of their key; facts has each key once, and `count` says how many rows have it.
+
+    Keys of over HOT rows are at most one in HOT of the rows, so theirs are broadcast and their rows
+    stay where they are; the others meet by a shuffle.
+    """
+    most = facts.agg(F.max(count)).first()[0] or 0
+    lean = facts.drop(count)
+    if most <= HOT:
+        return rows.join(lean, key)
+    hot = F.broadcast(facts.where(F.col(count) > HOT).drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(facts.where(F.col(count) <= HOT).drop(count), key))
+
+
+def least_neighbour(both: DataFrame, rows: int) -> DataFrame:
+    """both (u, v) with m, the smallest of u and its neighbours. Hubs keep their rows where they are."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    if rows <= HOT:
+        return both.join(least.drop("_n"), "u")
+    return attached(both, written(least, "components-least"), "u", "_n")
+
+
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
-    """Rows (node, component) for a graph of edges (u, v) of longs; component is the smallest node.
+    """Rows (node, component) for a graph of edges (u, v); component is the smallest node.
 
-    Alternating large-star and small-star steps: every step is one minimum per node and one
-    join, so no neighbourhood is ever gathered; each round is written, so lineage stays short.
+    Nodes are of any ordered type: a struct carries facts of its node along, so that no join on the
+    component is needed to name it. Alternating large-star and small-star steps: every step is one
+    minimum per node and one join, so no neighbourhood is ever gathered; each round is written, so
+    lineage stays short, and the round before is deleted.
     """
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     before = None
-    while True:
+    state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    now = tuple(e.agg(*state).first())
+    while now != before:
+        before = now
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = least_neighbour(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: every node now points at smaller ones only.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), tag)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        new = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), tag)
+        dropped(e)
+        e = new
+        now = tuple(e.agg(*state).first())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def fresh(df: DataFrame) -> Column:
+    """All columns of df as one struct, beside which other columns can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -11,7 +11,9 @@ Each interval join returns, per vector, its number of links and a spanning link,
 Equal vectors are one class with a count. Null or empty vectors, those with null or non-finite
 components and zero vectors link with nothing: n_links 0, their own component, kept. Vectors of
 different lengths never link. A null vec_id is larger than all others. Repeated rows count as
-separate vectors. Columns other than vec_id and embedding are ignored.
+separate vectors. Ties: a component is named by its smallest vec_id, however often that repeats.
+Empty tables give empty results. Columns other than vec_id and embedding are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import connected_components, materialise, with_global_index
+from statuta.llm.common import NO_ID, attached, connected_components, with_global_index, written
 from statuta.llm.simhash import spanning
 from statuta.llm.vectors import stacked, unpack, usable, widths
 
@@ -98,7 +100,7 @@ def interval_pairs(placed: DataFrame, lead: int, eps: float) -> DataFrame:
     Boxes meet through the cells they cover on the first coordinate, then all are compared.
     """
     box = placed.groupBy("part").agg(*[f(F.col("lead")[k]).alias(f"{n}{k}") for k in range(lead) for n, f in (("lo", F.min), ("hi", F.max))])
-    box = materialise(box, "epsilon-boxes")
+    box = written(box, "epsilon-boxes")
     cells = box.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo0") / eps), F.floor(F.col("hi0") / eps))))
     wide = box.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo0") / eps) - 1, F.floor(F.col("hi0") / eps) + 1)))
     a, b = cells.alias("a"), wide.alias("b")
@@ -107,14 +109,20 @@ def interval_pairs(placed: DataFrame, lead: int, eps: float) -> DataFrame:
     return close.select(F.least("a.part", "b.part").alias("i"), F.greatest("a.part", "b.part").alias("j")).distinct()
 
 
+LINK = "u struct<first:long,id:long>, v struct<first:long,id:long>, links long"
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.col("v")))
-    rows = materialise(rows, "epsilon-rows")
+    # -0.0 and 0.0 are one number; a digest of the numbers names a class of equal vectors.
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    rows = written(rows.withColumn("cls", F.sha2(F.to_json(F.struct("v")), 256)), "epsilon-rows")
     idle = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     held = rows.where("v IS NOT NULL")
-    classes = held.groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    first = F.coalesce(F.min("vec_id"), F.lit(NO_ID)).cast("long")
+    classes = held.groupBy("cls").agg(F.count("*").alias("copies"), first.alias("first"), F.any_value("v").alias("v"))
     width = widths(held, "v")
     if not width:
         return idle
@@ -125,33 +133,32 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame
             x = stacked(f["v"], width)
             x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            yield pd.DataFrame({"v": f["v"], "copies": f["copies"], "first": f["first"].astype("Int64"), "dim": [len(r) for r in f["v"]], "unit": [r.tobytes() for r in x]})
+            yield pd.DataFrame({"cls": f["cls"], "copies": f["copies"], "first": f["first"], "dim": [len(r) for r in f["v"]], "unit": [r.tobytes() for r in x]})
 
-    units = materialise(classes.mapInPandas(scale, "v array<double>, copies long, first long, dim int, unit binary"), "epsilon-units")
+    units = written(classes.mapInPandas(scale, "cls string, copies long, first long, dim int, unit binary"), "epsilon-units")
     turn = principal_directions(units, width)
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = unpack(f["unit"], width) @ turn
-            out = f[["v", "copies", "first", "dim"]].assign(unit=[r.tobytes() for r in x])
-            out["first"] = out["first"].astype("Int64")
+            out = f[["cls", "copies", "first", "dim"]].assign(unit=[r.tobytes() for r in x])
             out["lead"] = list(x[:, :lead])
             out["cells"] = list(np.floor(x[:, :lead] / eps).astype(np.int32))
             yield out
 
-    turned = units.mapInPandas(project, "v array<double>, copies long, first long, dim int, unit binary, lead array<double>, cells array<int>")
+    turned = units.mapInPandas(project, "cls string, copies long, first long, dim int, unit binary, lead array<double>, cells array<int>")
     parts = max(1, units.count() // INTERVAL)
-    placed = with_global_index(turned, [F.col("dim"), F.col("cells"), F.col("lead"), F.col("v")], "id", "epsilon-order", parts)
-    placed = materialise(placed.withColumn("part", F.floor(F.col("id") / INTERVAL)), "epsilon-placed")
-    pairs = materialise(interval_pairs(placed, lead, eps), "epsilon-pairs")
+    placed = with_global_index(turned, [F.col("dim"), F.col("cells"), F.col("lead"), F.col("cls")], "id", "epsilon-order", parts)
+    placed = written(placed.withColumn("part", F.floor(F.col("id") / INTERVAL)), "epsilon-placed")
+    pairs = written(interval_pairs(placed, lead, eps), "epsilon-pairs")
     sides = pairs.select("i", "j", F.col("i").alias("part"), F.lit(0).alias("side")).unionAll(
         pairs.where("i <> j").select("i", "j", F.col("j").alias("part"), F.lit(1).alias("side"))
     )
-    dealt = sides.join(placed.select("part", "id", "dim", "copies", "unit"), "part").drop("part")
+    dealt = sides.join(placed.select("part", "id", "first", "dim", "copies", "unit"), "part").drop("part")
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["side", "id"])
-        ids, copies, dim = (f[c].to_numpy(np.int64) for c in ("id", "copies", "dim"))
+        ids, firsts, copies, dim = (f[c].to_numpy(np.int64) for c in ("id", "first", "copies", "dim"))
         x, n = unpack(f["unit"], width), int((f["side"] == 0).sum())
         same = n == len(f)
         links, label = np.zeros(len(f), np.int64), np.arange(len(f))
@@ -164,14 +171,14 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame
             u, v = label[p], label[q]
             label = spanning(len(f), u, v)[label] if (u != v).any() else label
         some = np.flatnonzero(links)
-        return pd.DataFrame({"id": ids[some], "root": ids[label[some]], "links": links[some]})
-
-    found = materialise(dealt.groupBy("i", "j").applyInPandas(join, "id long, root long, links long"), "epsilon-links")
-    comps = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), "epsilon-stars")
-    counts = found.groupBy("id").agg(F.sum("links").alias("_links"))
-    c = placed.select("id", "v", "copies", "first").join(counts, "id", "left").join(comps, F.col("id") == F.col("node"), "left")
-    c = c.withColumn("_part", F.coalesce("component", "id"))
-    low = c.groupBy("_part").agg(F.min("first").alias("component_id"))
-    c = c.join(low, "_part").select("v", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
-    out = held.join(c, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return out.unionAll(idle)
+        ends = [pd.Series([{"first": a, "id": b} for a, b in zip(firsts[k].tolist(), ids[k].tolist())], dtype=object) for k in (some, label[some])]
+        return pd.DataFrame({"u": ends[0], "v": ends[1], "links": links[some]})
+
+    found = written(dealt.groupBy("i", "j").applyInPandas(join, LINK), "epsilon-links")
+    comps = connected_components(found, "epsilon-stars")
+    counts = found.groupBy(F.col("u.id").alias("_id")).agg(F.sum("links").alias("_links"))
+    c = placed.select("id", "cls", "copies", "first").join(counts, F.col("id") == F.col("_id"), "left").join(comps, F.struct("first", "id") == F.col("node"), "left")
+    links, name = F.coalesce("_links", F.lit(0)) + F.col("copies") - 1, F.nullif(F.coalesce("component.first", "first"), F.lit(NO_ID))
+    c = written(c.select("cls", links.cast("long").alias("n_links"), name.alias("component_id"), "copies"), "epsilon-classes")
+    out = attached(held.select("vec_id", "cls"), c, "cls", "copies")
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionAll(idle)

@@ -5,14 +5,18 @@ of 4-grams holds any of its 4-grams, their mean log frequency counts; else 3-gra
 down to single characters. A text's language has the largest sum; the score is its share of the
 likelihoods (softmax), from 0 to 1.
 
-The model is fitted on labelled documents: at most about `rows_per_language` of each language,
-drawn by a hash of doc_id; rarer languages are taken whole. Its tables hold at most `words` words
-and `grams` n-grams of each length over all languages, the most frequent ones, so their size is bounded.
+The model is fitted on labelled documents: at most about `rows_per_language` of each of the
+`languages` commonest languages and about `rows` over all of them, drawn by a hash of doc_id; rarer
+languages are taken whole. A term is known if it occurs `least` times in that sample. These bounds
+of the sample bound the tables; every document is judged, by its whole text.
+
+Ties: of languages with equal sums the first by code point is told. A text of any length is one
+bag of words.
 
 Nulls: a null or letterless text is `und` with score 0, and so is every text if nothing was
 learned; rows of null lang or doc_id are not learned from; a null doc_id counts as not held out.
 Repeated rows are predicted alike and all returned. Empty tables give empty results. Columns other
-than doc_id, text and lang are ignored.
+than doc_id, text and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import give_back, long_texts, materialise, no_cycle_search
+from statuta.llm.common import fresh, give_back, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Longest known word, n-gram lengths from the longest, added count, words that a task holds.
-LONGEST, LENGTHS, ADDED, HELD = 32, (4, 3, 2, 1), 0.5, 100_000
+#: N-gram lengths from the longest, added count, words that a task holds, texts judged at a time.
+LENGTHS, ADDED, HELD, BAGS = (4, 3, 2, 1), 0.5, 100_000, 250
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +59,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
                     if n:
                         for g in grams_of(w, n):
                             terms[g] += c
-                    elif len(w) <= LONGEST:
+                    else:
                         terms[w] = c
                 if terms:
                     yield pd.DataFrame({"n": n, "term": list(terms), "lang": lang, "count": list(terms.values())})
@@ -136,49 +140,44 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, rows_per_language: int = 8000, words: int = 160_000, grams: int = 40_000) -> Model:
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
-    if not languages:
+def fit(docs: DataFrame, rows_per_language: int = 8000, languages: int = 1000, rows: int = 64_000, least: int = 2) -> Model:
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).toPandas()  # at most `languages` rows
+    names = sorted(top["lang"])
+    if not names:
         return Model([], pd.DataFrame({"n": [], "term": [], "lang": [], "count": []}), {})
-    one_in = F.coalesce(*[F.when(F.col("lang") == x, F.lit(max(1, n // rows_per_language))) for x, n in sizes.items()])
-    counts = materialise(count_terms(labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), one_in) == 0)), "language-counts")
+    most = max(1, min(rows_per_language, rows // len(names)))
+    shares = docs.sparkSession.createDataFrame([(x, max(1, int(n) // most)) for x, n in zip(top["lang"], top["n"])], "lang string, one_in long")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), "one_in") == 0)
+    counts = written(count_terms(drawn), "language-counts")
     totals = {(r["n"], r["lang"]): r["s"] for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("s")).collect()}
-    # The most frequent terms of each language: a cut on counts in eighths of octaves, found from a small histogram.
-    level = F.floor(F.log2("count") * 8).cast("int")
-    levels = counts.groupBy("n", "lang", level.alias("level")).agg(F.count("*").alias("terms")).toPandas().sort_values("level", ascending=False)
-    cuts = []
-    for (n, lang), g in levels.groupby(["n", "lang"]):
-        room = (words if n == 0 else grams) // len(languages)
-        fits = g["level"][g["terms"].cumsum() <= room]
-        cuts.append((int(n), lang, int(fits.min()) if len(fits) else 1 << 30))
-    limits = docs.sparkSession.createDataFrame(cuts, "n int, lang string, least int")
-    top = counts.join(F.broadcast(limits), ["n", "lang"]).where(level >= F.col("least")).select("n", "term").distinct()
-    kept = materialise(counts.join(top, ["n", "term"]), "language-kept")  # at most languages * (words + 4 * grams) rows
-    return Model(languages, lambda n: kept.where(F.col("n") == n).select("term", "lang", "count").toPandas(), totals)
-
-
-def told(docs: DataFrame, **bounds: int) -> DataFrame:
-    """docs with the struct column _told (lang_pred, score)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(long_texts(docs), **bounds))
+    often = counts.groupBy("n", "term").agg(F.sum("count").alias("all")).where(F.col("all") >= least).drop("all")
+    kept = written(counts.join(often, ["n", "term"]), "language-kept")
+    return Model(names, lambda n: kept.where(F.col("n") == n).select("term", "lang", "count").toPandas(), totals)
+
+
+def told(docs: DataFrame, text: str, **bounds: int) -> Column:
+    """The struct (lang_pred, score) of a text column, by a model fitted on docs."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, **bounds))
     give_back()
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        with no_cycle_search():
-            for texts in batches:
-                parts = [pd.DataFrame(model.value.predict(list(texts[i : i + 500])), columns=["lang_pred", "score"]) for i in range(0, len(texts), 500)]
-                yield pd.concat(parts, ignore_index=True)
+        for texts in batches:
+            parts = [pd.DataFrame(model.value.predict(list(texts[i : i + BAGS])), columns=["lang_pred", "score"]) for i in range(0, len(texts), BAGS)]
+            yield pd.concat(parts, ignore_index=True)
+        give_back()
 
-    return docs.withColumn("_told", predict("text"))
+    return predict(text)
 
 
 def predicted(docs: DataFrame, *columns: str, **bounds: int) -> DataFrame:
     """The named columns of docs with held_out, lang_pred and score."""
-    return told(docs, **bounds).select(*columns, held_out(F.col("doc_id")).alias("held_out"), "_told.lang_pred", "_told.score")
+    rows = docs.select(fresh(docs).alias("doc")).withColumn("told", told(docs, "doc.text", **bounds))
+    return rows.select(*[F.col(f"doc.`{c}`") for c in columns], held_out(F.col("doc.doc_id")).alias("held_out"), "told.lang_pred", "told.score")
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is told with a score of at least `least`, columns as given."""
-    return told(docs).where((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= least)).drop("_told")
+    rows = docs.select(fresh(docs).alias("doc")).withColumn("told", told(docs, "doc.text"))
+    return rows.where((F.col("told.lang_pred") != UNKNOWN) & (F.col("told.score") >= least)).select("doc.*")

@@ -2,7 +2,9 @@
 
 A document's ids end with one end id; a longer one than a sequence is cut into whole sequences,
 its first piece taking the remainder. A piece needs tokens, one place among the documents of a
-sequence, and attention cost (its length squared). Longest first, each piece goes to the open
+sequence, and attention cost (its length squared; a full piece alone has the cost of a sequence, so
+with sequences of one size that capacity is never short before tokens are, and cost decides
+placements by its weight). Longest first, each piece goes to the open
 sequence whose weighted residual norm (or dot product with the piece) is best among those that
 can hold it under every constraint; if none can, a new one opens.
 
@@ -11,8 +13,10 @@ counts: the histogram of lengths (at most `capacity` numbers) goes in, runs of e
 come out. Pieces are ranked within their length by a salted two-level rank and look their run up.
 
 Nulls: a null text is empty (it still has its end id), a null doc_id is kept. Repeated rows are
-packed as documents of their own. Empty tables give empty results. Columns other than doc_id and
-text are ignored.
+packed as documents of their own. Ties: of sequences that are equally good the one opened first is
+taken; pieces of one length are placed in the order of a hash. A text of any length is encoded
+whole. Empty tables give empty results. Columns other than doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import grouped_prefix, long_texts, materialise, no_cycle_search
-from statuta.llm.tokens import VOCABULARY, encode_document
+from statuta.llm.common import give_back, grouped_prefix, written
+from statuta.llm.tokens import VOCABULARY, encode_document, forget
 
 END = 2
+#: Weights of tokens, documents and attention cost in the residual norm.
+WEIGHTS = (1.0, 1.0, 1.0)
 
 
 def pieces(docs: DataFrame, capacity: int = 1024, end: int = END, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
@@ -38,19 +44,20 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END, vocabulary: st
     @F.pandas_udf(kind)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         stop = np.array([end], np.uint32)
-        with no_cycle_search():
-            for texts in batches:
-                rows = []
-                for t in texts:
-                    ids = np.concatenate([encode_document(t or "", vocabulary), stop])
-                    first = (len(ids) - 1) % capacity + 1
-                    edges = [0, *range(first, len(ids) + 1, capacity)]
-                    parts = [ids[a:b] for a, b in zip(edges, edges[1:])]
-                    row = (len(ids), [zlib.crc32(p.tobytes()) for p in parts])
-                    rows.append((*row, [p.astype(np.int32) for p in parts]) if with_ids else row)
-                yield pd.DataFrame(rows, columns=["n", "crc", "ids"][: 2 + with_ids])
-
-    cuts = long_texts(docs).select("doc_id", cut("text").alias("c")).select("doc_id", "c.*")
+        for texts in batches:
+            rows = []
+            for t in texts:
+                ids = np.concatenate([encode_document(t or "", vocabulary), stop])
+                first = (len(ids) - 1) % capacity + 1
+                edges = [0, *range(first, len(ids) + 1, capacity)]
+                parts = [ids[a:b] for a, b in zip(edges, edges[1:])]
+                row = (len(ids), [zlib.crc32(p) for p in parts])
+                rows.append((*row, [p.astype(np.int32) for p in parts]) if with_ids else row)
+            yield pd.DataFrame(rows, columns=["n", "crc", "ids"][: 2 + with_ids])
+        forget()
+        give_back()
+
+    cuts = docs.select("doc_id", cut("text").alias("c")).select("doc_id", "c.*")
     each = cuts.select("doc_id", "n", F.size("crc").alias("m"), F.posexplode("crc").alias("piece", "ids_crc32"), *(["ids"] if with_ids else []))
     first = F.col("n") - (F.col("m") - 1) * capacity
     return each.select(
@@ -107,7 +114,7 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, we
 
 def pack(
     cut: DataFrame, capacity: int = 1024, max_docs: int = 1024, max_cost: int = 1024 * 1024,
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm",
+    weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm",
 ) -> DataFrame:
     """Columns of `cut` (a written table of pieces with length) plus sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -128,4 +135,4 @@ def pack(
 
 def packed_documents(docs: DataFrame, capacity: int = 1024, with_ids: bool = False, **limits) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
-    return pack(materialise(pieces(docs, capacity, with_ids=with_ids), "packing-pieces"), capacity, **limits)
+    return pack(written(pieces(docs, capacity, with_ids=with_ids), "packing-pieces"), capacity, **limits)

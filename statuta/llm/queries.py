@@ -12,7 +12,7 @@ from statuta.llm.common import table
 
 
 def op1_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"), rounds=4, share=4)
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"), rounds=2, share=2)
 
 
 def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,19 @@ Words (lower-cased, split at blanks) fall into hash buckets; the counts of all b
 whole corpus choose the vocabulary: the most frequent buckets are tokens of their own, the others
 share the remaining tokens. The network predicts a token from the `reach` tokens on either side:
 embeddings by position are summed, squashed and scored in two steps (group of tokens, token in its
-group), so that every probability is normalised. Training goes over every document; each task
-trains its own copy on a share of its positions, and copies are averaged by their positions in
-every round. Words of one token are told apart by the corpus: a table counts every word, and a
-word's probability within its token is its share of the token's occurrences. A document's score is
-the sum of the log-probabilities of all its words, each given the tokens on both sides.
+group), so that every probability is normalised. Documents are encoded once, as a table of tokens,
+and dealt by a hash over as many shards as the corpus has SHARD words; each shard trains its own
+copy on a share of all its positions, and copies are averaged by their positions in every round,
+by a tree of sums. Shards and the order within them follow from the documents alone, so results
+don't depend on how the input is split. Words of one token are told apart by the corpus: a table
+counts every word, and a word's probability within its token is its share of the token's
+occurrences. A document's score is the sum of the log-probabilities of all its words, each given
+the tokens on both sides.
 
 Nulls: a null or empty text has n_tokens 0, log_likelihood 0 and a null per_token. Null doc_ids
-and repeated rows are kept. Empty tables give empty results. Columns other than doc_id and text
-are ignored.
+and repeated rows are kept. Ties: buckets of equal counts go by number. A text of any length is
+encoded whole and scored in stretches. Empty tables give empty results. Columns other than doc_id
+and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import long_texts, materialise
+from statuta.llm.common import dropped, give_back, written
 
 #: Hash buckets of words; groups of tokens and tokens of a group; frequent buckets with a token of
 #: their own; width; tokens on each side; positions of a step; tokens of a batch of documents.
 BUCKETS, GROUPS, EACH, OWN, WIDTH, REACH, STEP, BATCH = 1 << 16, 32, 32, 512, 16, 2, 2048, 1 << 16
 TOKENS = GROUPS * EACH
-#: Most frequent words whose counts every task holds; the others' are joined.
-HELD = 1 << 16
+#: Most frequent words whose counts every task holds (the others' are joined); words of a shard; copies summed by a task.
+HELD, SHARD, FAN = 1 << 17, 1 << 21, 32
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -55,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"word": word.view(np.int64), "n": n})
 
     rows = docs.select("text").mapInPandas(count, "word long, n long")
-    return materialise(rows.groupBy("word").agg(F.sum("n").alias("n")), "scoring-words")
+    return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "scoring-words")
 
 
 def bucket_counts(words: DataFrame) -> np.ndarray:
@@ -156,11 +160,10 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.stack([flat[at + k] for k in offsets]), flat[at], doc[at]
 
 
-def batches_of(words, token: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def batches_of(docs: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Rows and tokens of documents with words, in batches of about BATCH tokens."""
     rows, held, n = [], [], 0
-    for i, w in enumerate(words):
-        ids = token[(w % np.uint64(BUCKETS)).astype(np.int64)]
+    for i, ids in enumerate(docs):
         if len(ids):
             rows.append(i), held.append(ids)
             n += len(ids)
@@ -171,84 +174,121 @@ def batches_of(words, token: np.ndarray) -> Iterator[tuple[list[int], list[np.nd
         yield rows, held
 
 
-def trained(docs: DataFrame, token: np.ndarray, net: Network, share: int, rate: float, seed: int) -> Network:
-    """One round: every task improves a copy on 1 in `share` positions of each document; the mean of the copies."""
+def encoded(docs: DataFrame, token: np.ndarray, occurrences: np.ndarray, known: np.ndarray, log_known: np.ndarray, shards: int) -> DataFrame:
+    """A written table of all rows: row, doc_id, shard, place in it, tokens (16 bits each), rare (words that are not
+    held) and within (log counts of the held words less those of all tokens: with those of the rare words, log shares)."""
+    model = docs.sparkSession.sparkContext.broadcast((token.astype(np.uint16), np.log(np.maximum(occurrences, 1)), known, log_known))
 
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("tokens binary, within double, rare array<long>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        token, log_token, known, log_known = model.value
+        for texts in batches:
+            out = []
+            for t in texts:
+                w = words_of(t)
+                ids = token[w % np.uint64(BUCKETS)]
+                within, rare = -log_token[ids].sum(), w
+                if len(known) and len(w):
+                    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                    there = known[at] == w
+                    within, rare = within + log_known[at[there]].sum(), w[~there]
+                out.append((ids.tobytes(), float(within), rare.view(np.int64)))
+            yield pd.DataFrame(out, columns=["tokens", "within", "rare"])
+        give_back()
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), encode("text").alias("e")).select("doc_id", "place", "e.*")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).withColumn("row", F.monotonically_increasing_id())
+    return written(rows, "scoring-tokens")
+
+
+def averaged(copies: DataFrame) -> tuple[np.ndarray, int] | None:
+    """Mean of the copies (shard, weight, flat), summed FAN at a time, and their weight."""
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("shard")
+        flat = sum(np.frombuffer(b, np.float64) for b in f["flat"])
+        return pd.DataFrame({"shard": [f["shard"].iloc[0] // FAN], "weight": [f["weight"].sum()], "flat": [flat.tobytes()]})
+
+    kind = "shard long, weight long, flat binary"
+    copies = written(copies, "scoring-copies")
+    while copies.count() > 1:
+        summed = written(copies.groupBy(F.floor(F.col("shard") / FAN)).applyInPandas(add, kind), "scoring-copies")
+        dropped(copies)
+        copies = summed
+    last = copies.first()
+    dropped(copies)
+    return (np.frombuffer(last["flat"], np.float64) / last["weight"], last["weight"]) if last else None
+
+
+def trained(rows: DataFrame, net: Network, share: int, rate: float, seed: int) -> Network:
+    """One round: every shard improves a copy on 1 in `share` of its positions; the mean of the copies."""
+
+    def train(f: pd.DataFrame) -> pd.DataFrame:
         own, seen = Network(net.flat.copy()), 0
         power = np.full(own.flat.size, 1e-6, np.float32)
         rng = np.random.default_rng(seed)
-        for f in frames:
-            for _, held in batches_of(map(words_of, f["text"]), token):
-                around, target, _ = windows(held)
-                chosen = rng.permutation(np.flatnonzero((np.arange(len(target)) + seed) % share == 0))
-                for at in range(0, len(chosen), STEP):
-                    k = chosen[at : at + STEP]
-                    g = own.gradient(around[:, k], target[k]).flat
-                    power += g * g
-                    own.flat += rate * g / np.sqrt(power)
-                seen += len(chosen)
-        if seen:
-            yield pd.DataFrame({"at": np.arange(own.flat.size, dtype=np.int32), "value": own.flat.astype(np.float64) * seen, "weight": seen})
-
-    copies = docs.select("text").mapInPandas(train, "at int, value double, weight long")
-    mean = copies.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
-    if not len(mean):
-        return net
-    flat = np.empty(net.flat.size, np.float32)
-    flat[mean["at"].to_numpy()] = mean["value"].to_numpy()
-    return Network(flat)
-
-
-def fit(docs: DataFrame, rounds: int = 2, share: int = 4, rate: float = 0.1, counts: np.ndarray | None = None) -> tuple[np.ndarray, Network]:
-    """Rounds r = 0, 1, ... take positions p with (p + r) % share = 0: `share` rounds go over all once."""
-    token, occurrences = vocabulary(corpus_counts(docs) if counts is None else counts)
+        f = f.sort_values(["place", "tokens"])
+        for _, held in batches_of([np.frombuffer(b, np.uint16) for b in f["tokens"]]):
+            around, target, _ = windows(held)
+            chosen = rng.permutation(np.flatnonzero((np.arange(len(target)) + seed) % share == 0))
+            for at in range(0, len(chosen), STEP):
+                k = chosen[at : at + STEP]
+                g = own.gradient(around[:, k], target[k]).flat
+                power += g * g
+                own.flat += rate * g / np.sqrt(power)
+            seen += len(chosen)
+        shard = int(f["shard"].iloc[0])
+        del f
+        give_back()
+        return pd.DataFrame({"shard": [shard], "weight": [seen], "flat": [(own.flat.astype(np.float64) * seen).tobytes()]})
+
+    copies = rows.where(F.length("tokens") > 0).select("shard", "place", "tokens").groupBy("shard").applyInPandas(train, "shard long, weight long, flat binary")
+    mean = averaged(copies)
+    return Network(mean[0]) if mean and mean[1] else net
+
+
+def fit(docs: DataFrame, rounds: int = 2, share: int = 2, rate: float = 0.1, words: DataFrame | None = None) -> tuple[np.ndarray, Network, DataFrame]:
+    """(token of every bucket, network, table of encoded documents).
+
+    Rounds r = 0, 1, ... take positions p with (p + r) % share = 0: `share` rounds go over all once.
+    """
+    words = word_counts(docs) if words is None else words
+    counts = bucket_counts(words)
+    token, occurrences = vocabulary(counts)
+    top = words.orderBy(F.col("n").desc(), "word").limit(HELD).toPandas()  # at most HELD rows
+    known = top["word"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(known)
+    shards = max(1, -(-int(counts.sum()) // SHARD))
+    rows = encoded(docs, token, occurrences, known[by], np.log(top["n"].to_numpy(np.float64))[by], shards)
     net = Network.start(occurrences)
     for r in range(rounds):
-        net = trained(docs, token, net, share, rate / (1 + r), r)
-    return token, net
+        net = trained(rows, net, share, rate / (1 + r), r)
+    return token, net, rows
 
 
 def pseudo_likelihood(docs: DataFrame, **training) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, per_token of every row."""
-    words = word_counts(long_texts(docs))
-    counts = bucket_counts(words)
-    token, net = fit(docs, counts=counts, **training)
-    top = words.orderBy(F.col("n").desc(), "word").limit(HELD).toPandas()  # at most HELD rows
-    held_words = top["word"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(held_words)
-    occurrences = np.bincount(token, weights=counts, minlength=TOKENS)
-    tables = token, net.flat, np.log(np.maximum(occurrences, 1)), held_words[by], np.log(top["n"].to_numpy(np.float64))[by]
-    model = docs.sparkSession.sparkContext.broadcast(tables)
-
-    @F.pandas_udf("n_tokens long, log_likelihood double, rare array<long>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        token, flat, log_token, known, log_word = model.value
+    words = word_counts(docs)
+    _, net, rows = fit(docs, words=words, **training)
+    flat = net.flat
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = Network(flat)
-        for texts in batches:
-            n, total, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts)), []
-            hashes = [words_of(t) for t in texts]
-            for rows, held in batches_of(hashes, token):
+        for blobs in batches:
+            total = np.zeros(len(blobs))
+            for rows, held in batches_of([np.frombuffer(b, np.uint16) for b in blobs]):
                 around, target, doc = windows(held)
                 for at in range(0, len(target), 1 << 14):
                     s = slice(at, at + (1 << 14))
                     logs, _ = net.forward(around[:, s], target[s])
-                    where = np.array(rows)[doc[s]]
-                    total += np.bincount(where, weights=logs - log_token[target[s]], minlength=len(texts))
-                    n += np.bincount(where, minlength=len(texts))
-            for i, w in enumerate(hashes):
-                if len(w):
-                    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-                    there = known[at] == w
-                    total[i] += log_word[at[there]].sum()
-                    w = w[~there]
-                rare.append(w.view(np.int64))
-            yield pd.DataFrame({"n_tokens": n, "log_likelihood": total, "rare": rare})
-
-    rows = docs.select("doc_id", score("text").alias("s")).select("doc_id", "s.*").withColumn("_row", F.monotonically_increasing_id())
-    rows = materialise(rows, "scoring-rows")
-    rare = rows.select("_row", F.explode("rare").alias("word")).join(words, "word")
-    rare = rare.groupBy("_row").agg(F.sum(F.log("n")).alias("_more"))
-    total = F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))
-    out = rows.drop("rare").join(rare, "_row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+                    total += np.bincount(np.array(rows)[doc[s]], weights=logs, minlength=len(total))
+            yield pd.Series(total)
+        give_back()
+
+    rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word")
+    rare = rare.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log("n")).alias("more"))
+    n = (F.length("tokens") / 2).cast("long").alias("n_tokens")
+    scored = rows.select("row", "doc_id", n, (score("tokens") + F.col("within")).alias("known"))
+    out = scored.join(rare, F.col("row") == F.col("_row"), "left").select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

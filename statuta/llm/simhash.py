@@ -5,19 +5,24 @@ Equal fingerprints are one class. A vantage-point tree, fitted on a bounded samp
 deals the classes over leaves: a node sends what lies within its radius left, the rest right.
 By the triangle inequality a pair within r bits can only be parted at a node if the left one's
 distance exceeds radius - r; such left ones also visit the right side as guests, so every pair
-meets in the leaf of its right-hand member. In a leaf the same tree goes on until few are left.
-Leaves over `capacity` rows (balls of near copies that no vantage point splits) go another exact
-way: two fingerprints are within 2 bits just if they share one of the 65 words within 1 bit.
-Leaves return spanning links, not pairs; components come from links by stars.
+meets in the leaf of its right-hand member. Crowded leaves are split by further vantage points,
+again and again, each leaf by its own rows. Leaves that no vantage point splits (balls of near
+copies) go another exact way: two fingerprints are within 2 bits just if they share one of the
+65 words within 1 bit. Leaves return spanning links, not pairs; components come from links by
+stars, whose nodes carry their smallest doc_id along.
 
 Near copies that share at least 4/5 of their five-word shingles can be up to 20 bits apart, where
 no triangle bound prunes. keep_first_similar finds those exactly, too: two sets of that Jaccard
 similarity share a shingle among the first n - ceil(4n/5) + 1 of each in any one order, so sets meet
-by these shingles (commonest last) and are compared whole.
+by these shingles (commonest last); what the two beginnings prove too different goes, the others
+are compared whole.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id is
 larger than all ids (null if a component has no other). Repeated rows stay rows of one class.
-Empty tables give empty results. Columns other than doc_id and text are ignored.
+Ties: of equal fingerprints and of rows that repeat a doc_id all are returned; where one row of a
+component stays, rows of its smallest doc_id are told apart by a hash of all their columns. Long
+texts are hashed in stretches of 16,384 shingles. Empty tables give empty results. Columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,41 +32,59 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, MapType, VariantType
 
-from statuta.llm.common import connected_components, long_texts, materialise
+from statuta.llm.common import NO_ID, attached, connected_components, dropped, fresh, written
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
-SAMPLE, MAX_LEAVES, CAPACITY = 1 << 16, 1 << 14, 1 << 15
-#: Classes that a leaf is meant to own, and rows at which a branch is compared outright.
-PER_LEAF, SMALL = 512, 192
+SAMPLE, MAX_LEAVES, CAPACITY = 1 << 18, 1 << 16, 1 << 15
+#: Classes that a leaf is meant to own, rows at which a branch is compared outright, levels of a further split.
+PER_LEAF, SMALL, LEVELS = 512, 192, 3
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of lower-cased (A-Z) words split at ASCII blanks."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = words[at : min(at + (1 << 14), n) + shingle - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
+def grams_of(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, in stretches; fewer words than a shingle are one, none have none."""
+    if words and len(words) < shingle:
+        words = [b" ".join(words)]
+        shingle = 1
+    for at in range(0, len(words) - shingle + 1, 1 << 14):
+        part = words[at : at + (1 << 14) + shingle - 1]
+        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle))))
+        yield np.fromiter(map(_hash, grams), np.uint64)
+
+
+def _hash(gram: bytes) -> int:
+    return xxhash.xxh64_intdigest(gram, 42)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) words split at ASCII blanks."""
+    return (text or "").encode().lower().split()
+
+
+def majority(stretches: list[np.ndarray]) -> int:
+    """Unsigned 64-bit fingerprint of the hashes."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in stretches:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(list(grams_of(words_of(text), shingle)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, _key (hash of the text), fp (the fingerprint as a signed long)."""
+    """doc_id and fp (the fingerprint as a signed long)."""
 
     def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in s], np.uint64).view(np.int64))
 
-    fp = F.pandas_udf(compute, LongType())
-    return long_texts(docs).select("doc_id", F.xxhash64("text").alias("_key"), fp("text").alias("fp"))
+    return docs.select("doc_id", F.pandas_udf(compute, LongType())("text").alias("fp"))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,9 +109,9 @@ def fit_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return points, radii
 
 
-def route(fp: np.ndarray, points: np.ndarray, radii: np.ndarray, depth: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, guest): each row once as resident of its leaf, and as guest where pairs may cross."""
-    row, node, guest = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
+def route(fp: np.ndarray, guest: np.ndarray, points: np.ndarray, radii: np.ndarray, depth: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, guest): each resident once in its leaf, and as guest where pairs may cross; guests only as such."""
+    row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
     for _ in range(depth):
         d, mu = distance(fp[row], points[node]).astype(np.int64), radii[node]
         left = np.where(guest, d <= mu + reach, d <= mu)
@@ -140,75 +163,126 @@ def vantage_links(home: np.ndarray, guests: np.ndarray, reach: int) -> Iterator[
             yield both[linked], both[label[linked]]
 
 
+LINK = "u struct<first:long,fp:long>, v struct<first:long,fp:long>"
+
+
 def links(classes: DataFrame, reach: int = 2) -> DataFrame:
-    """Spanning links (u, v) between distinct fingerprints (column fp) at most `reach` bits apart."""
+    """Spanning links (u, v) between distinct fingerprints (fp, with `first`) at most `reach` bits apart."""
     n = classes.count()
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / PER_LEAF)))), MAX_LEAVES.bit_length() - 1))
     one_in = max(1, n // SAMPLE)
     drawn = classes.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).select("fp").limit(2 * SAMPLE).toPandas()["fp"]
     sample = np.sort(drawn.to_numpy(np.int64).view(np.uint64))
-    sample = np.random.default_rng(1).permutation(sample)
-    points, radii = fit_tree(sample, depth)
+    points, radii = fit_tree(np.random.default_rng(1).permutation(sample), depth)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fp = f["fp"].to_numpy(np.int64)
-            row, leaf, guest = route(fp.view(np.uint64), points, radii, depth, reach)
-            yield pd.DataFrame({"leaf": leaf.astype(np.int32), "fp": fp[row], "guest": guest})
+            row, leaf, guest = route(fp.view(np.uint64), np.zeros(len(fp), bool), points, radii, depth, reach)
+            yield pd.DataFrame({"leaf": leaf, "fp": fp[row], "first": f["first"].to_numpy(np.int64)[row], "guest": guest})
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
-        fp, guest = f["fp"].to_numpy(np.int64).view(np.uint64), f["guest"].to_numpy(bool)
-        found = list(vantage_links(fp[~guest], fp[guest], reach))
-        u, v = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    dealt = materialise(classes.select("fp").mapInPandas(deal, "leaf int, fp long, guest boolean"), "simhash-leaves")
-    sizes = dealt.groupBy("leaf").agg(F.count("*").alias("_n"))
-    crowded = [r["leaf"] for r in sizes.where(F.col("_n") > CAPACITY).collect()]  # at most MAX_LEAVES numbers
-    out = dealt.where(~F.col("leaf").isin(crowded) if crowded else F.lit(True)).groupBy("leaf").applyInPandas(join, "u long, v long")
-    if crowded:
-        out = out.unionAll(shared_neighbours(dealt.where(F.col("leaf").isin(crowded)).select("fp").distinct(), reach))
+        f = f.sort_values("fp")
+        fp, guest, first = f["fp"].to_numpy(np.int64), f["guest"].to_numpy(bool), f["first"].to_numpy(np.int64)
+        whole = fp.view(np.uint64)
+        found = list(vantage_links(whole[~guest], whole[guest], reach))
+        ends = [np.concatenate([x[i] for x in found]).view(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1)]
+        facts = [first[np.searchsorted(fp, e)] for e in ends]
+        return pd.DataFrame({"u": _structs(facts[0], ends[0]), "v": _structs(facts[1], ends[1])})
+
+    kind = "leaf long, fp long, first long, guest boolean"
+    held = written(classes.select("fp", "first").mapInPandas(deal, kind), "simhash-leaves")
+    out, step = None, 0
+    while held is not None:
+        sizes = held.groupBy("leaf").agg(F.count("*").alias("_n"))
+        # Crowded leaves are at most one in CAPACITY of the rows.
+        crowded = F.broadcast(written(sizes.where(F.col("_n") > CAPACITY).select("leaf"), "simhash-crowded"))
+        ready = held.join(crowded, "leaf", "left_anti").groupBy("leaf").applyInPandas(join, LINK)
+        out = ready if out is None else out.unionAll(ready)
+        if crowded.isEmpty():
+            break
+        dealt = written(split_leaves(held.join(crowded, "leaf"), reach, step), "simhash-split")
+        balls = dealt.where("ball").select("fp", "first").distinct()
+        if not balls.isEmpty():
+            out = out.unionAll(shared_neighbours(balls, reach))
+        held, step = dealt.where("NOT ball").drop("ball"), step + 1
     return out
 
 
+def _structs(first: np.ndarray, fp: np.ndarray) -> pd.Series:
+    return pd.Series([{"first": a, "fp": b} for a, b in zip(first.tolist(), fp.tolist())], dtype=object)
+
+
+def split_leaves(crowded: DataFrame, reach: int, step: int) -> DataFrame:
+    """The rows of each crowded leaf dealt over 2**LEVELS leaves by vantage points from its own rows.
+
+    ball marks the rows of a leaf that this doesn't split: its largest part still has nine tenths of its rows.
+    """
+
+    def split(f: pd.DataFrame) -> pd.DataFrame:
+        fp, guest = f["fp"].to_numpy(np.int64), f["guest"].to_numpy(bool)
+        home = np.sort(fp[~guest].view(np.uint64))
+        if len(home) < 2:
+            return f[["leaf", "fp", "first", "guest"]].assign(ball=True)
+        sample = np.random.default_rng(step + 2).permutation(home)[: 1 << 12]
+        points, radii = fit_tree(sample, LEVELS)
+        row, leaf, late = route(fp.view(np.uint64), guest, points, radii, LEVELS, reach)
+        if np.bincount(leaf).max() > 0.9 * len(f):
+            return f[["leaf", "fp", "first", "guest"]].assign(ball=True)
+        at = f["leaf"].to_numpy(np.int64)[row]
+        return pd.DataFrame({"leaf": at * (1 << LEVELS) + leaf, "fp": fp[row], "first": f["first"].to_numpy(np.int64)[row], "guest": late, "ball": False})
+
+    return crowded.groupBy("leaf").applyInPandas(split, "leaf long, fp long, first long, guest boolean, ball boolean")
+
+
 def shared_neighbours(classes: DataFrame, reach: int) -> DataFrame:
     """Spanning links of all pairs at most 2 bits apart, by the words within 1 bit of each."""
     if reach != 2:
-        raise ValueError("crowded leaves are joined exactly at a reach of 2 bits")
+        raise ValueError("balls are joined exactly at a reach of 2 bits")
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
-    near = classes.select("fp", F.explode(flips).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("_word"))
-    low = near.groupBy("_word").agg(F.min("fp").alias("_low"))
-    return near.join(low, "_word").where("fp <> _low").select(F.col("fp").alias("u"), F.col("_low").alias("v")).distinct()
+    node = F.struct("first", "fp")
+    near = classes.select(node.alias("u"), "fp", F.explode(flips).alias("_m")).select("u", F.col("fp").bitwiseXOR(F.col("_m")).alias("_word"))
+    low = near.groupBy("_word").agg(F.min("u").alias("v"))
+    return near.join(low, "_word").where("u <> v").select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """doc_id, _key, fp and component_id (smallest doc_id reachable) of every row."""
-    prints = materialise(fingerprints(docs, shingle), "simhash-prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("_first")), "simhash-classes")
+    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
+    prints = written(fingerprints(docs, shingle), "simhash-prints")
+    first = F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long")
+    classes = written(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")), "simhash-classes")
     parts = connected_components(links(classes, reach), "simhash-links")
-    named = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_part"))
-    first = named.groupBy("_part").agg(F.min("_first").alias("component_id"))
-    named = named.join(first, "_part").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "_key", "fp", "component_id")
+    named = classes.join(parts, F.struct("first", "fp") == F.col("node"), "left")
+    named = written(named.select("fp", F.nullif(F.coalesce("component.first", "first"), F.lit(NO_ID)).alias("component_id"), "copies"), "simhash-named")
+    return attached(prints, named, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
-def hex_digits(fp: str) -> F.Column:
+def hex_digits(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """One row of each component: that of the smallest doc_id. Columns of docs."""
-    return first_of(docs, near_duplicates(docs, shingle, reach))
+    """One row of each component: one of the smallest doc_id. Columns of docs."""
+    found = near_duplicates(docs, shingle, reach)
+    return first_of(docs, written(found.select("doc_id", "component_id"), "simhash-kept"))
 
 
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    found = materialise(groups, "simhash-kept")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = first.groupBy("doc_id").agg(F.min("_key").alias("_k")).withColumnRenamed("doc_id", "_d")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    out = keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_d"]) & (keyed["_key"] == stays["_k"]), "left_semi").drop("_key")
-    repeated = first.count() > stays.count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of docs for each component of groups (doc_id, component_id), one of its smallest doc_id."""
+    late = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
+    rows = docs.select(fresh(docs).alias("doc"))
+    out = rows.join(late, F.col("doc.doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"))
+    if not repeated.isEmpty():
+        # Of rows that repeat a doc_id one of the smallest hash stays; rows of one hash are equal.
+        known = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+        same = F.col("doc.doc_id").eqNullSafe(F.col("_d"))
+        single = out.join(repeated, same, "left_anti")
+        several = out.join(repeated, same, "left_semi").select("doc", F.col("doc.doc_id").alias("_d"), F.xxhash64(*known).alias("_h"))
+        best = several.groupBy("_d").agg(F.min("_h").alias("_least")).withColumnRenamed("_d", "_e")
+        chosen = several.join(best, F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_h") == F.col("_least")))
+        out = single.unionAll(chosen.dropDuplicates(["_d"]).select("doc"))
+    return out.select("doc.*")
 
 
 #: Similarity of near copies as a fraction; words of a shingle; sampled documents and shingles whose order they set.
@@ -216,85 +290,132 @@ SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
 
 
 def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text, in words as fingerprint() has them."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+    """Sorted distinct hashes of the shingles of a text."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *grams_of(words_of(text), shingle)]))
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that several of a bounded sample of documents have, rarest first (at most COMMON)."""
     one_in = max(1, docs.count() // ORDERED)
 
-    def compute(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([shingles(t).view(np.int64) for t in s])
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(shingles, f["text"])]), return_counts=True)
+            yield pd.DataFrame({"s": s.view(np.int64), "n": n})
 
-    each = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.explode(F.pandas_udf(compute, "array<long>")("text")).alias("s"))
-    top = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.col("n").desc(), "s").limit(COMMON).toPandas()
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text").mapInPandas(count, "s long, n long")
+    top = drawn.groupBy("s").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.col("n").desc(), "s").limit(COMMON).toPandas()
     return top["s"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
-def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, _key, fp, cls (hash of the set of five-word shingles), n, shared (its first shingles), all (the set)."""
-    common = common_shingles(long_texts(docs))
+def class_of(x: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return xxhash.xxh3_64_intdigest(x.tobytes(), 7)
+
+
+def ordered(x: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Sorted shingles in the order of all sets: unknown ones by value, then common ones, commonest last."""
+    if not len(common) or not len(x):
+        return x
     by = np.argsort(common, kind="stable")
     known = common[by]
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    place = np.where(known[at] == x, by[at] + 1, 0)
+    return x[np.argsort(place, kind="stable")]
+
+
+def shingled(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, fp, cls (hash of the set of shingles), n (its size), head (its first shingles) of every row."""
 
     def compute(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             rows = []
             for t in s:
-                x = shingles(t)
+                grams = list(grams_of(words_of(t), WORDS))
+                x = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
                 first = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1 if len(x) else 0
-                place = np.zeros(len(x), np.int64)
-                if len(known) and len(x):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    place = np.where(known[at] == x, by[at] + 1, 0)
-                shared = x[np.lexsort((x, place))[:first]]
-                rows.append((fingerprint(t, shingle), xxhash.xxh64_intdigest(x.tobytes(), 7), len(x), shared.view(np.int64), x.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "shared", "all"])
+                rows.append((majority(grams), class_of(x), len(x), ordered(x, common)[:first].view(np.int64)))
+            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "head"])
             for c in ("fp", "cls"):
                 out[c] = np.array(out[c].tolist(), np.uint64).view(np.int64)
             yield out
 
-    one = F.pandas_udf(compute, "fp long, cls long, n int, shared array<long>, all array<long>")
-    return docs.select("doc_id", F.xxhash64("text").alias("_key"), one("text").alias("s")).select("doc_id", "_key", "s.*")
+    one = F.pandas_udf(compute, "fp long, cls long, n int, head array<long>")
+    return docs.select("doc_id", one("text").alias("s")).select("doc_id", "s.*")
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, common: np.ndarray) -> bool:
+    """False if the first shingles alone show that sets of n and m shingles are too different.
+
+    Up to where the shorter beginning ends, a shingle of one that the other lacks is in one set only.
+    """
+    top, below = SIMILAR
+    if n * below < m * top or m * below < n * top:
+        return False
+    together = ordered(np.unique(np.concatenate([x, y])), common)
+    in_x, in_y = np.isin(together, x), np.isin(together, y)
+    end = min(np.flatnonzero(in_x)[-1], np.flatnonzero(in_y)[-1]) + 1
+    apart = int((in_x[:end] != in_y[:end]).sum())
+    return apart * (top + below) <= (below - top) * (n + m)
+
+
+def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, set) of the asked classes, from the texts of their smallest doc_ids."""
+
+    @F.pandas_udf("cls long, set binary")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        x = [shingles(t) for t in texts]
+        return pd.DataFrame({"cls": np.array([class_of(s) for s in x], np.uint64).view(np.int64), "set": [s.tobytes() for s in x]})
 
+    wanted = names.join(asked, "cls").select(F.col("cls").alias("_cls"), F.nullif("first", F.lit(NO_ID)).alias("_d"))
+    texts = docs.select("doc_id", "text").join(wanted.select("_d").distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    sets = texts.select(whole("text").alias("s")).select("s.*")
+    return sets.join(asked, "cls", "left_semi").dropDuplicates(["cls"])
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes whose sets are similar enough."""
-    pairs = materialise(pairs.distinct(), "simhash-candidates")
-    asked = pairs.select(F.col("u").alias("cls")).unionAll(pairs.select(F.col("v").alias("cls"))).distinct()
-    held = materialise(sets.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "simhash-sets")
-    a, b = (held.select(F.col("cls").alias(x), F.col("all").alias(f"_{x}")) for x in "uv")
+
+def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """The pairs (u, v) of classes (cls, n, head) whose sets are similar enough."""
+    pairs = written(pairs.distinct(), "simhash-candidates")
+    a, b = (classes.select(F.col("cls").alias(x), F.struct("n", "head").alias(f"_{x}")) for x in "uv")
+
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
+        u, v = ((np.asarray(h, np.int64).view(np.uint64) for h in s) for s in (x, y))
+        return pd.Series([may_be_similar(*z, common) for z in zip(u, v, n, m)], dtype=bool)
+
+    likely = pairs.join(a, "u").join(b, "v").where(possible("_u.head", "_u.n", "_v.head", "_v.n")).select("u", "v")
+    likely = written(likely, "simhash-likely")
+    asked = likely.select(F.col("u").alias("cls")).unionAll(likely.select(F.col("v").alias("cls"))).distinct()
+    sets = written(sets_of(asked, names, docs), "simhash-sets")
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        both = (len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y))
+        u, v = ([np.frombuffer(b, np.uint64) for b in s] for s in (x, y))
+        both = (len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(u, v))
         top, below = SIMILAR
-        return pd.Series([i * (top + below) >= top * (len(p) + len(q)) for i, p, q in zip(both, x, y)], dtype=bool)
+        return pd.Series([i * (top + below) >= top * (len(p) + len(q)) for i, p, q in zip(both, u, v)], dtype=bool)
 
-    found = pairs.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v")
-    return materialise(found, "simhash-similar")
+    a, b = (sets.select(F.col("cls").alias(x), F.col("set").alias(f"_{x}")) for x in "uv")
+    found = written(likely.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v"), "simhash-similar")
+    dropped(pairs, likely, sets)
+    return found
 
 
-def similar_links(sets: DataFrame, links: DataFrame, rounds: int = 2) -> DataFrame:
-    """links and, between their components, links of classes (cls, n, shared, all) that are similar enough.
+def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, common: np.ndarray, rounds: int = 1) -> DataFrame:
+    """links and, between their components, links of classes (cls, n, head) that are similar enough.
 
     First each class only meets one other of a shingle's, which joins large groups of near copies;
     last, all classes meet that share a shingle and are not in one component yet: no pair is left out.
     """
-    rows = sets.dropDuplicates(["cls"]).select("cls", "n", F.explode("shared").alias("s"))
-    rows = materialise(rows, "simhash-shingles")
-    shared = materialise(rows.join(rows.groupBy("s").agg(F.count("*").alias("_c")).where("_c > 1").select("s"), "s"), "simhash-shared")
+    rows = classes.select("cls", "n", F.explode("head").alias("s"))
+    twice = rows.groupBy("s").agg(F.count("*").alias("_c")).where("_c > 1").select("s")
+    shared = written(rows.join(twice, "s"), "simhash-shared")
     top, below = SIMILAR
     alike = (F.col("n") * below >= F.col("_n") * top) & (F.col("_n") * below >= F.col("n") * top)
     for k in range(rounds + 1):
-        parts = materialise(connected_components(links, "simhash-rounds"), "simhash-parts")
+        parts = connected_components(links, "simhash-rounds")
         named = shared.join(parts, shared["cls"] == parts["node"], "left").select("s", "cls", "n", F.coalesce("component", "cls").alias("part"))
+        named = written(named, "simhash-parts")
         other = F.struct(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("part").alias("_part"))
         if k < rounds:
             met = named.groupBy("s").agg(F.min_by(other, F.xxhash64("cls", F.lit(k))).alias("o"), F.min("part").alias("_a"), F.max("part").alias("_b"))
@@ -302,26 +423,43 @@ def similar_links(sets: DataFrame, links: DataFrame, rounds: int = 2) -> DataFra
             pairs = named.join(met, "s").where((F.col("part") != F.col("_part")) & alike)
         else:
             pairs = named.join(named.select("s", other.alias("o")).select("s", "o.*"), "s").where((F.col("part") < F.col("_part")) & alike)
-        links = links.unionAll(verified(pairs.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v")), sets))
+        pairs = pairs.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v"))
+        links = links.unionAll(verified(pairs, classes, names, docs, common))
+        dropped(named)
+    dropped(shared)
     return links
 
 
-def similar_groups(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """doc_id, _key and component_id: documents joined by fingerprints within reach or by similar sets of shingles."""
-    sets = materialise(shingled(docs, shingle), "simhash-shingled")
-    prints = sets.groupBy("fp").agg(F.min("cls").alias("rep"))
-    prints = materialise(prints, "simhash-prints")
-    near = links(prints.select("fp"), reach)
-    reps = [prints.select(F.col("fp").alias(x), F.col("rep").alias(f"_{x}")) for x in "uv"]
-    near = near.join(reps[0], "u").join(reps[1], "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    same = sets.join(prints, "fp").where("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v"))
-    start = materialise(near.unionAll(same).distinct(), "simhash-near")
-    parts = connected_components(similar_links(sets, start), "simhash-links")
-    named = sets.select("doc_id", "_key", "cls").join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "_key", F.coalesce("component", "cls").alias("_part"))
-    first = named.groupBy("_part").agg(F.min("doc_id").alias("component_id"))
-    return named.join(first, "_part").select("doc_id", "_key", "component_id")
+def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
+    """doc_id and component_id of every row: documents joined by fingerprints (of five-word shingles)
+    within reach or by similar sets of these shingles."""
+    common = common_shingles(docs)
+    rows = written(shingled(docs, common), "simhash-shingled")
+    # One row stands for all that have its set of shingles: one of the smallest doc_id.
+    names = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long").alias("first"), F.count("*").alias("copies"))
+    names = written(names, "simhash-names")
+    picked = rows.select("doc_id", "cls", "n", "head").join(names.select(F.col("cls").alias("_cls"), "first"), F.col("cls") == F.col("_cls"))
+    picked = picked.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first")).select("cls", "n", "head")
+    classes = written(picked, "simhash-classes")
+    if classes.count() > names.count():  # rows that repeat a doc_id and its text
+        classes = written(classes.dropDuplicates(["cls"]), "simhash-classes")
+    prints = written(rows.groupBy("fp").agg(F.min("cls").alias("first")), "simhash-prints")
+    near = links(prints, reach).select(F.col("u.first").alias("u"), F.col("v.first").alias("v"))
+    same = rows.select("fp", "cls").distinct().join(prints, "fp").where("cls <> first").select(F.col("cls").alias("u"), F.col("first").alias("v"))
+    start = written(near.unionAll(same).distinct(), "simhash-near")
+    ends = similar_links(classes, start, names, docs, common)
+    # Nodes carry their smallest doc_id, so that no join by component is needed to name it.
+    facts = names.select("cls", F.struct("first", "cls").alias("_x"))
+    a, b = (facts.select(F.col("cls").alias(x), F.col("_x").alias(f"_{x}")) for x in "uv")
+    ends = ends.join(a, "u").join(b, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    parts = connected_components(ends, "simhash-links")
+    named = names.join(parts, F.struct("first", "cls") == F.col("node"), "left")
+    named = written(named.select("cls", F.nullif(F.coalesce("component.first", "first"), F.lit(NO_ID)).alias("component_id"), "copies"), "simhash-named")
+    out = written(attached(rows.select("doc_id", "cls"), named, "cls", "copies").select("doc_id", "component_id"), "simhash-groups")
+    dropped(rows, names, classes, prints, start, named)
+    return out
 
 
-def keep_first_similar(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
+def keep_first_similar(docs: DataFrame, reach: int = 2) -> DataFrame:
     """keep_first for documents joined by fingerprints or by 4/5 of their five-word shingles."""
-    return first_of(docs, similar_groups(docs, shingle, reach))
+    return first_of(docs, similar_groups(docs, reach))

@@ -7,32 +7,40 @@ bucket; there sorting brings equal windows together and gives each its smallest
 of later documents are sent back as word ranges, and each document drops its ranges.
 
 Of equal super-k-mers met in one batch only those of the smallest doc_id travel: all others are
-known to repeat. So a passage of millions of copies reaches its bucket once a batch, and windows
-across its borders are dealt by the rare words around it.
+known to repeat. A task remembers those that repeated in its batches, so a passage of millions of
+copies reaches its bucket a few times a task; windows across its borders are dealt by the rare words
+around it. Minimisers that would fill a bucket by themselves, found by bytes in a share of all
+documents, are split: their windows are dealt by their three smallest words together.
 
 Nulls: a null text has no words; a null doc_id is larger than all ids, and windows of rows without
-ids don't remove each other. Rows that repeat a doc_id are judged alike and all returned; a window
-is only removed for a smaller doc_id. Empty tables give empty results. Columns other than doc_id
-and text are ignored.
+ids don't remove each other. Ties: rows that repeat a doc_id are judged alike and all returned; a
+window is only removed for a smaller doc_id. A text of any length is one row, its words are held at
+once; batches and buckets are bounded in words. Empty tables give empty results. Columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import NO_ID, give_back, long_texts, partitions_of
+from statuta.llm.common import NO_ID, fresh, give_back, partitions_of, text_parts
 
 #: Documents of the sample for frequent words, a word's share of them that makes it frequent,
 #: most frequent words held; words of a batch; buckets for each input split; level of compression.
 SAMPLE, SHARE, FREQUENT, BATCH, BUCKETS, LEVEL = 4096, 0.01, 1 << 14, 400_000, 16, 6
+#: Bytes of super-k-mers of one minimiser past which it is split, the share of documents by which they are
+#: told (1 in), words that deal a split minimiser's windows; bytes of repeated strings that a task remembers.
+HOT_BYTES, HOT_SAMPLE, DEPTH, REMEMBERED = 1 << 26, 64, 3, 1 << 23
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 R = 0x9E3779B97F4A7C15
 R_INVERSE = pow(R, -1, 1 << 64)
@@ -58,7 +66,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def super_kmers(docs: list[list[bytes]], width: int, frequent: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(docs: list[list[bytes]], width: int, frequent: np.ndarray, hot: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(strings, minimiser, document, first word, windows) of a batch's super-k-mers."""
     sizes = np.array([len(d) for d in docs], np.int64)
     words = [w for d in docs for w in d]
@@ -73,6 +81,11 @@ def super_kmers(docs: list[list[bytes]], width: int, frequent: np.ndarray) -> tu
     doc = np.repeat(np.arange(len(docs)), sizes)
     least = sliding_min(rank, width)
     valid = doc[: len(least)] == doc[width - 1 :]
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
+        split = np.flatnonzero((hot[at] == least) & valid)
+        several = np.sort(rank[split[:, None] + np.arange(width)], axis=1)[:, :DEPTH]
+        least[split] = (several * powers(R, DEPTH + 1)[1:]).sum(1, dtype=np.uint64)
     cut = np.ones(len(least) + 1, bool)
     cut[1:-1] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1]) | (doc[1 : len(least)] != doc[: len(least) - 1])
     edges = np.flatnonzero(cut)
@@ -112,6 +125,7 @@ def range_rows(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, first: np.nda
 
 
 ROW = "bucket int, doc_id long, key long, ranges binary, packed binary"
+ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("ranges", pa.binary()), ("packed", pa.binary())])
 
 
 def pack(strings: list[bytes], doc: np.ndarray, first: np.ndarray, ids: np.ndarray, keys: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -119,17 +133,37 @@ def pack(strings: list[bytes], doc: np.ndarray, first: np.ndarray, ids: np.ndarr
     head = np.array([len(strings), len(which)], np.int64).tobytes()
     numbers = np.concatenate([np.diff(local, prepend=0), first]).astype(np.int32).tobytes()
     # Ids ascend within a batch, so their differences are small numbers that compress well.
-    return squeeze.compress(head + np.diff(ids[which], prepend=0).tobytes() + keys[which].astype(np.int32).tobytes() + numbers + b"\n".join(strings))
+    return squeeze.compress(head + np.diff(ids[which], prepend=0).tobytes() + keys[which].tobytes() + numbers + b"\n".join(strings))
 
 
 def unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """(strings joined by newlines, doc_id, key, first word) of a packed bucket part."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
-    ids, keys = np.cumsum(np.frombuffer(raw, np.int64, m, 16)), np.frombuffer(raw, np.int32, m, 16 + 8 * m)
-    local = np.cumsum(np.frombuffer(raw, np.int32, n, 16 + 12 * m))
-    first = np.frombuffer(raw, np.int32, n, 16 + 12 * m + 4 * n)
-    return raw[16 + 12 * m + 8 * n :], ids[local], keys[local], first
+    ids, keys = np.cumsum(np.frombuffer(raw, np.int64, m, 16)), np.frombuffer(raw, np.int64, m, 16 + 8 * m)
+    local = np.cumsum(np.frombuffer(raw, np.int32, n, 16 + 16 * m))
+    first = np.frombuffer(raw, np.int32, n, 16 + 16 * m + 4 * n)
+    return raw[16 + 16 * m + 8 * n :], ids[local], keys[local], first
+
+
+#: Bytes whose powers are held at a time.
+STRETCH = 1 << 20
+
+
+def rolling_sums(buffer: np.ndarray, *at: np.ndarray) -> list[np.ndarray]:
+    """Sums of (byte + 1) * R**place before the given ascending places, modulo 2**64; no byte of a text is 255."""
+    out = [np.zeros(len(x), np.uint64) for x in at]
+    factor, before = powers(R, STRETCH), np.uint64(0)
+    step, scale = np.uint64(pow(R, STRETCH, 1 << 64)), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for p in range(0, len(buffer) + 1, STRETCH):
+            part = buffer[p : p + STRETCH]
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((part + np.uint64(1)) * factor[: len(part)] * scale, dtype=np.uint64)]) + before
+            for x, o in zip(at, out):
+                i, j = np.searchsorted(x, [p, p + STRETCH])
+                o[i:j] = sums[x[i:j] - p]
+            before, scale = sums[-1], scale * step
+    return out
 
 
 def repeated_windows(data: bytes, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +178,11 @@ def repeated_windows(data: bytes, ids: np.ndarray, width: int) -> tuple[np.ndarr
     kmer = np.concatenate([[0], np.cumsum(buffer[sep] == 10)])
     begin = np.flatnonzero(kmer[: len(kmer) - width + 1] == kmer[width - 1 :])
     a, b, kmer_of = starts[begin], ends[begin + width - 1], kmer[begin]
-    total = powers(R, len(buffer) + 1)  # turned into sums in place: one number a byte is much as it is
-    total[1:] *= buffer + np.uint8(1)  # no byte of a text is 255
-    total[0] = 0
-    np.cumsum(total, out=total)
-    h = total[b] - total[a]
-    del total
-    h *= powers(R_INVERSE, len(buffer) + 1)[a]
+    low, high = rolling_sums(buffer, starts, ends)
+    h = high[begin + width - 1] - low[begin]
+    del low, high
+    near, far = powers(R_INVERSE, STRETCH), powers(pow(R_INVERSE, STRETCH, 1 << 64), len(buffer) // STRETCH + 1)
+    h *= near[a % STRETCH] * far[a // STRETCH]
     doc = ids[kmer_of]
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
@@ -193,24 +225,55 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def text_key(text: Column) -> Column:
-    """Tells apart rows that share a doc_id but not their text, in 32 bits."""
-    return F.shiftright(F.xxhash64(text), 32)
+def hot_minimisers(docs: DataFrame, width: int, frequent: np.ndarray) -> np.ndarray:
+    """Sorted minimisers whose super-k-mers have over HOT_BYTES bytes, told from a share of all documents.
+
+    They are at most one for every HOT_BYTES bytes of super-k-mers.
+    """
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HOT_SAMPLE)) == 0).select("text")
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            strings, least, *_ = super_kmers([(t or "").encode().split() for t in f["text"]], width, frequent, np.zeros(0, np.uint64))
+            value, at = np.unique(least, return_inverse=True)
+            yield pd.DataFrame({"least": value.view(np.int64), "n": np.bincount(at, weights=[len(x) for x in strings], minlength=len(value)).astype(np.int64)})
+
+    sums = drawn.mapInPandas(weigh, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    top = sums.where(F.col("n") * HOT_SAMPLE > HOT_BYTES).select("least").toPandas()["least"]
+    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+
+
+def text_key(docs: DataFrame) -> Column:
+    """Tells apart rows that share a doc_id but not their text; 0 where no doc_id repeats."""
+    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return F.lit(0).cast("long") if repeats.isEmpty() else F.xxhash64("text")
 
 
-def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
+def removed_ranges(docs: DataFrame, key: Column, width: int = 13) -> DataFrame:
     """doc_id (NO_ID for null), key, ranges: word ranges to drop, an array of binaries a document."""
-    frequent = frequent_words(long_texts(docs))
+    frequent = frequent_words(docs)
+    hot = hot_minimisers(docs, width, frequent)
     buckets = max(8, BUCKETS * partitions_of(docs))
-    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").where("text IS NOT NULL")
+    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), key.alias("key"), "text").where("text IS NOT NULL")
 
-    def send(ids: list[int], keys: list[int], docs: list[list[bytes]]) -> pd.DataFrame:
+    def send(ids: list[int], keys: list[int], docs: list[list[bytes]], sent: dict[bytes, int]) -> pd.DataFrame:
         order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
         ids, keys = np.array(ids, np.int64)[order], np.array(keys, np.int64)[order]
-        strings, least, doc, first, n = super_kmers([docs[i] for i in order], width, frequent)
+        strings, least, doc, first, n = super_kmers([docs[i] for i in order], width, frequent, hot)
         seen: dict[bytes, int] = {}
         lead = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
         known = ids[doc] > ids[doc[lead]] if len(strings) else np.zeros(0, bool)
+        # Strings that repeated in this or an earlier batch: has a smaller doc_id sent them?
+        late = []
+        for i in set(lead[known].tolist()) | {seen[s] for s in sent.keys() & seen.keys()}:
+            mine = int(ids[doc[i]])
+            if sent.get(strings[i], NO_ID) < mine:
+                late.append(i)
+            else:
+                sent[strings[i]] = mine
+        known |= np.isin(lead, late)
+        if sum(map(len, sent)) > REMEMBERED:
+            sent.clear()
         out = range_rows(ids, keys, doc[known], first[known], first[known] + n[known] + width - 1)
         rows = [(int(d) % buckets, int(d), int(k), r, None) for d, k, r in zip(out["doc_id"], out["key"], out["ranges"])]
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
@@ -223,20 +286,21 @@ def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
             rows.append((b, 0, 0, None, pack([strings[i] for i in part.tolist()], doc[part], first[part], ids, keys, squeeze)))
         return pd.DataFrame(rows, columns=["bucket", "doc_id", "key", "ranges", "packed"])
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, keys, held, n = [], [], [], 0
-        for f in frames:
-            for i, k, t in zip(f["doc_id"].tolist(), f["key"].tolist(), f["text"]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, held, n, sent = [], [], [], 0, {}
+        to_arrow = functools.partial(pa.RecordBatch.from_pandas, schema=ARROW, preserve_index=False)
+        for part in (p for b in batches for p in text_parts(b)):
+            for i, k, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
                 words = t.encode().split()
                 if len(words) < width:
                     continue
                 ids.append(i), keys.append(k), held.append(words)
                 n += len(words)
                 if n >= BATCH:
-                    yield send(ids, keys, held)
+                    yield to_arrow(send(ids, keys, held, sent))
                     ids, keys, held, n = [], [], [], 0
         if held:
-            yield send(ids, keys, held)
+            yield to_arrow(send(ids, keys, held, sent))
             ids, keys, held = [], [], []
         give_back()
 
@@ -247,6 +311,7 @@ def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
         if parts:
             data = b"\n".join(p[0] for p in parts)
             ids, keys, first = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+            del parts
             kmer, window = repeated_windows(data, ids, width)
             if len(kmer):
                 # Documents as dense numbers, by doc_id and text.
@@ -261,7 +326,7 @@ def removed_ranges(docs: DataFrame, width: int = 13) -> DataFrame:
         give_back()
         return out
 
-    sent = source.mapInPandas(cut, ROW)
+    sent = source.mapInArrow(cut, ROW)
     back = sent.groupBy("bucket").applyInPandas(resolve, "doc_id long, key long, ranges binary")
     return back.groupBy("doc_id", "key").agg(F.collect_list("ranges").alias("ranges"))
 
@@ -281,10 +346,12 @@ def joined(words: list[bytes], keep: np.ndarray) -> bytes:
 
 
 def with_ranges(docs: DataFrame, width: int) -> DataFrame:
-    """docs with the column _ranges; the small side is hashed, texts are dealt but not sorted."""
-    ranges = removed_ranges(docs, width).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("ranges").alias("_ranges"))
-    on = (F.coalesce(docs["doc_id"], F.lit(NO_ID)).cast("long") == F.col("_d")) & (text_key(docs["text"]) == F.col("_k"))
-    return docs.join(ranges.hint("shuffle_hash"), on, "left").drop("_d", "_k")
+    """Rows (doc, ranges): docs as one struct; the small side is hashed, texts are dealt but not sorted."""
+    key = text_key(docs)
+    ranges = removed_ranges(docs, key, width)
+    rows = docs.select(fresh(docs).alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("_d"), key.alias("_k"))
+    r = ranges.select(F.col("doc_id").alias("_e"), F.col("key").alias("_l"), "ranges").hint("shuffle_hash")
+    return rows.join(r, (F.col("_d") == F.col("_e")) & (F.col("_k") == F.col("_l")), "left").select("doc", "ranges")
 
 
 def digests(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -299,7 +366,7 @@ def digests(docs: DataFrame, width: int = 13) -> DataFrame:
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
     rows = with_ranges(docs.select("doc_id", "text"), width)
-    return rows.select("doc_id", digest("text", "_ranges").alias("d")).select("doc_id", "d.*")
+    return rows.select("doc.doc_id", digest("doc.text", "ranges").alias("d")).select("doc_id", "d.*")
 
 
 def cleaned(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -313,12 +380,15 @@ def cleaned(docs: DataFrame, width: int = 13) -> DataFrame:
     def clean(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         out = []
         for t, r in zip(texts, ranges):
-            words, keep = kept(t, r) if r is not None else ([], np.ones(0, bool))
-            out.append(t if keep.all() else joined(words, keep).decode() if keep.any() else None)
+            words, keep = kept(t, r)
+            out.append(joined(words, keep).decode() if keep.any() else None)
         return pd.Series(out, dtype=object)
 
-    rows = with_ranges(docs, width).withColumn("_new", clean("text", "_ranges")).where("_new IS NOT NULL OR text IS NULL")
-    cut = F.col("_new") != F.col("text")
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("_new").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.col("_new")).select(*docs.columns)
+    rows = with_ranges(docs, width).withColumn("new", clean(F.when(F.col("ranges").isNotNull(), F.col("doc.text")), "ranges"))
+    cut = F.col("ranges").isNotNull()
+    rows = rows.where(~cut | F.col("new").isNotNull())
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(cut, F.col("new")).otherwise(columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(cut, F.length("new").cast("long")).otherwise(columns["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in columns.items()])

@@ -2,12 +2,15 @@
 
 The ids are those of the `tokenizers` file of the vocabulary; they are computed from the same
 vocabulary's ranks with tiktoken, which is several times faster, and tests hold both together.
-Words repeat, so each task keeps a bounded table of pieces already encoded.
+
+The vocabulary's own split of a text ends a piece before every blank that a visible character
+follows. So a text in which no blank is followed by white space, and which does not end with one,
+can be cut at its blanks, and each part has the same ids wherever it stands. Parts repeat: a task
+keeps a bounded table of those already encoded and drops it at its end.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import re
 from array import array
@@ -18,16 +21,16 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k"
 #: Special string of the vocabulary and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Pieces remembered by a task; past that the table starts anew.
-REMEMBERED = 400_000
-#: The vocabulary's own split, for texts of these characters only: letters of Latin script, ASCII
-#: digits, marks and blanks. In them \w without digits and underline is what the vocabulary calls a letter.
-SIMPLE = re.compile(r"[\t\n\x0b\f\r -~À-ÖØ-öø-ɏ]*")
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ɏ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ɏ0-9]+|\s+(?!\S)|\s+")
+#: Parts remembered by a task; past that the table starts anew. Longer parts are not kept.
+REMEMBERED, LONGEST = 100_000, 40
+#: A blank at which a text must not be cut.
+UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 @functools.cache
 def encoding(vocabulary: str = VOCABULARY):
+    import base64
+
     import public_tokenizers
     import tiktoken
 
@@ -43,28 +46,37 @@ def byte_lengths(vocabulary: str = VOCABULARY) -> np.ndarray:
     return np.array([len(e.decode_single_token_bytes(i)) for i in range(SPECIAL_ID)] + [len(SPECIAL)], np.int64)
 
 
-class _Pieces(dict):
-    """Piece -> bytes of its ids; encodes what it lacks."""
+class _Parts(dict):
+    """Part of a text after a blank -> bytes of its ids, the blank's included; encodes what it lacks."""
 
     def __init__(self, vocabulary: str) -> None:
-        self.one = encoding(vocabulary)._core_bpe.encode_single_piece
+        self.encode = encoding(vocabulary)._core_bpe.encode_ordinary
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = array("I", self.one(piece.encode())).tobytes()
+    def __missing__(self, part: str) -> bytes:
+        out = array("I", self.encode(f" {part}")).tobytes()
+        if len(part) <= LONGEST:
+            self[part] = out
         return out
 
 
-_pieces = functools.cache(_Pieces)
+_parts = functools.cache(_Parts)
+
+
+def forget() -> None:
+    """Drop the tables of parts: a worker waits for its next task without them."""
+    _parts.cache_clear()
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Ids of a text as unsigned 32-bit numbers; special strings are ordinary text."""
-    if not SIMPLE.fullmatch(text):
-        return np.array(encoding(vocabulary).encode_ordinary(text), np.uint32)
-    known = _pieces(vocabulary)
+    whole = encoding(vocabulary)._core_bpe.encode_ordinary
+    if UNSAFE.search(text):
+        return np.array(whole(text), np.uint32)
+    first, *others = text.split(" ")
+    known = _parts(vocabulary)
     if len(known) > REMEMBERED:
         known.clear()
-    return np.frombuffer(b"".join(map(known.__getitem__, SPLIT.findall(text))), np.uint32)
+    return np.frombuffer(b"".join([array("I", whole(first)).tobytes(), *map(known.__getitem__, others)]), np.uint32)
 
 
 def encode_document(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
