@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statuta.functions import facts, text, values
-from statuta.operators import chunking
+from statuta.operators import chunking, markup
 from statuta.plans.tables import Registry
 
 R = Registry()
@@ -134,10 +134,20 @@ def f17_field_code(t):
     return t.part.select("p_partkey", f["code"].alias("code"))
 
 
-@R.query()
+_CLOSE = "'</(?:p|div|li|tr|h[1-6]|blockquote|section|article)>'"
+_CLEAN = f"""
+h AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<head[^>]*>.*?</head *>|<script.*?</script>|<style.*?</style>', '', 'gis') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(MARKED, '<br */?>', chr(10), 'gi'), {_CLOSE}, chr(10) || chr(10), 'gi') AS x FROM h),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), E' \\n') AS x FROM e)"""
+_SIGNS = "regexp_replace(regexp_replace(regexp_replace(x, '<h1[^>]*>', chr(10) || chr(10) || '# ', 'gi'), '<li[^>]*>', chr(10) || '- ', 'gi'), '<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'gis')"
+
+
+@R.query(f"WITH {_CLEAN.replace('MARKED', 'x')} SELECT page_id, length(x)::INT AS n_chars, length(x) >= 200 AS meaningful, sha256(x) AS digest FROM c")
 def f18_html_text(t):
     """Pages as clean text."""
-    return chunking.with_clean_text(t.pages, "html").select("page_id", F.length("clean_text").alias("n_chars"), chunking.is_meaningful(F.col("clean_text")).alias("meaningful"), F.sha2("clean_text", 256).alias("digest"))
+    c = t.pages.select("page_id", markup.clean_text(F.col("html")).alias("x"))
+    return c.select("page_id", F.length("x").alias("n_chars"), markup.is_meaningful(F.col("x")).alias("meaningful"), F.sha2("x", 256).alias("digest"))
 
 
 @R.query()
@@ -146,17 +156,34 @@ def f19_chunk(t):
     return chunking.chunks(t.documents, "doc_id", "text").select("doc_id", "chunk_index", "heading", "char_count", "kind")
 
 
-@R.query()
+@R.query("""
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag || ' & ' || l_linestatus AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P')
+SELECT DISTINCT k AS o_orderkey, 0 AS "table", 0 AS row, 2 AS n_cells, '| Order ' || k || ' |  |' AS line FROM l UNION ALL SELECT k, 0, r, 2, '| ' || n || ' | ' || s || ' |' FROM l""")
 def f26_grid(t):
-    """tables of pages as grids."""
-    return chunking.table_rows(t.pages, "page_id", "html").select("page_id", "table", "row", F.size("cells").alias("n_cells"), "line")
+    """tables of landed pages as grids; a page for each order, its heading over two columns."""
+    flags = F.concat(F.lit("<TD> "), "l_returnflag", F.lit(" &amp;\n"), "l_linestatus", F.lit("</td></tr>"))
+    line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td>"), flags)
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", line.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    o = t.orders.where("o_orderstatus = 'P'").select("o_orderkey").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    page = F.concat(F.lit("<p>x</p><table><tr><th colspan='2'>Order "), F.col("o_orderkey").cast("string"), F.lit("</th></tr>"), "x", F.lit("</table>"))
+    return markup.table_rows(o.select("o_orderkey", page.alias("html")), "o_orderkey", "html").select("o_orderkey", "table", "row", F.size("cells").alias("n_cells"), "line")
 
 
-@R.query()
-def f27_markdown(t):
-    """Pages as markdown and as safe HTML."""
-    m = chunking.to_markdown(t.pages, "html").select("page_id", "markdown")
-    return m.select("page_id", F.length("markdown").alias("n_markdown"), F.length(chunking.safe_html("markdown")).alias("n_html"))
+@R.query(f"WITH {_CLEAN.replace('MARKED', _SIGNS)} SELECT page_id, sha256(x) AS markdown FROM c")
+def f25_markdown(t):
+    """Pages as markdown: headings, list items, links; blocks break, inline tags join tightly."""
+    return t.pages.select("page_id", F.sha2(markup.markdown_text(F.col("html")), 256).alias("markdown"))
+
+
+@R.query(r"""
+WITH b AS (SELECT doc_id, i, trim(b) AS b FROM (SELECT doc_id, unnest(p) AS b, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split('# ' || source || chr(10) || chr(10) || '- a' || chr(10) || '- **b** & c' || chr(10) || chr(10) || replace(text, chr(10), ' '), chr(10) || chr(10)) AS p FROM documents))),
+h AS (SELECT doc_id, i, replace(replace(replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS x FROM b WHERE b <> ''),
+m AS (SELECT doc_id, i, regexp_replace(regexp_replace(x, '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '\*(.+?)\*', '<em>\1</em>', 'g') AS x FROM h)
+SELECT doc_id, sha256(string_agg(CASE i WHEN 1 THEN '<h1>' || substr(x, 3) || '</h1>' WHEN 2 THEN '<ul><li>a</li><li><strong>b</strong> &amp; c</li></ul>' ELSE CASE WHEN regexp_matches(x, '^#{1,6}\s+[^\n]*$') THEN 'heading' WHEN x LIKE '- %' THEN '<ul><li>' || substr(x, 3) || '</li></ul>' ELSE '<p>' || x || '</p>' END END, '' ORDER BY i)) AS html FROM m GROUP BY doc_id""")
+def f27_safe_html(t):
+    """Markdown as HTML in which everything is escaped before any tag is made."""
+    md = F.concat(F.lit("# "), "source", F.lit("\n\n- a\n- **b** & c\n\n"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    return t.documents.select("doc_id", F.sha2(markup.safe_html(md), 256).alias("html"))
 
 
 @R.query("SELECT doc_id, sha256(text || chr(31) || lang || chr(31) || source) AS digest FROM documents")
@@ -172,10 +199,10 @@ def f32_shorten(t):
 
 
 @R.query("""
-SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS tail, replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS tail, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
 def f34_url_parts(t):
-    """parts of addresses; escaped markup."""
-    return t.pages.select("page_id", F.regexp_extract("url", r"([^/]+)/?$", 1).alias("tail"), text.escape_html(F.substring("html", 1, 200)).alias("escaped"))
+    """parts of addresses; whole pages of escaped markup."""
+    return t.pages.select("page_id", F.regexp_extract("url", r"([^/]+)/?$", 1).alias("tail"), text.escape_html("html").alias("escaped"))
 
 
 @R.query("""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statuta.functions import facts, text, values
-from statuta.operators import chunking, graph, impact, jobs, keys, retrieval
+from statuta.operators import chunking, graph, impact, jobs, keys, markup, retrieval
 
 
 def column(spark, value, kind, make):
@@ -85,15 +85,64 @@ def test_chunks_by_articles_with_limits():
     assert chunking.chunk("ngắn") == [("Toàn văn", "ngắn", "full")]
 
 
+def slow_chunk(text, most, least):
+    """Chunks by joining paragraph after paragraph."""
+    out = []
+    for head, body, kind in next((x for x in (chunking.by_heads(text, v) for v in chunking.LEVELS) if len(x) > 1), [("Toàn văn", text, "full")]) if len(text) >= least else [("Toàn văn", text, "full")]:
+        if len(body) > most and len(text) >= least:
+            held = None
+            for p in [*body.split("\n\n"), None]:
+                if p is not None and len(p) <= most and (held is None or len(held) + 2 + len(p) <= most):
+                    held = p if held is None else f"{held}\n\n{p}"
+                    continue
+                if held is not None and held.strip():
+                    out.append((head, held.strip(), kind))
+                held = p if p is not None and len(p) <= most else None
+                if p is not None and len(p) > most:
+                    out += [(head, p[i : i + most].strip(), kind) for i in range(0, len(p), most) if p[i : i + most].strip()]
+        elif len(body) < least and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{body}", out[-1][2])
+        else:
+            out.append((head, body, kind))
+    return out
+
+
+def test_chunks_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for _ in range(150):
+        parts = ["x" * rng.randint(1, 90) + " y" * rng.randint(0, 40) for _ in range(rng.randint(1, 12))]
+        heads = [f"{rng.choice(['Điều', 'Chương'])} {i + 1}. t{i}" for i in range(rng.randint(0, 6))]
+        both = parts + heads
+        rng.shuffle(both)
+        texts.append(rng.choice(["\n\n", "\n"]).join(both))
+    for most, least in ((120, 30), (2000, 100), (60, 1)):
+        for t in texts:
+            assert [tuple(c) for c in chunking.chunk(t, most, least)] == slow_chunk(t, most, least)
+
+
 def test_html_cleaning(spark):
-    html = "<head><title>t</title></head><style>p{}</style><p>A&nbsp;<b>đậm</b> &#272;&#9999999999;</p><!-- x --><table><tr><td>1</td><td>2</td></tr></table><script>bad"
-    df = spark.createDataFrame([(html,), (None,)], "html string")
-    got = [r["clean_text"] for r in chunking.with_clean_text(df, "html").collect()]
-    assert got[0] == "A **đậm** Đ\n\n| 1 | 2" and got[1] == ""
+    html = "<head><title>t</title></head><style>p{}</style><p>A&nbsp;<b>đậm</b> &#272;&#9999999999;&#xD800;</p><!-- x --><table><tr><td>1</td><td>2</td></tr></table><script>bad"
+    df = spark.createDataFrame([(html,), (None,), ("<p><b>open<br>x <i>y</i></p>a\r\nb  c <unknown z> &lt;p&gt; &amp;lt; <!-- open",), ("<STRONG>a <em>b</strong> c",)], "html string")
+    got = [r["x"] for r in df.select(markup.clean_text(F.col("html")).alias("x")).collect()]
+    assert got == ["A **đậm** Đ\n\n| 1 | 2", "", "open\nx *y*\n\na\nb c <p> &lt;", "**a b** c"]
+
+
+def test_markdown_of_pages():
+    page = "<h2>T</h2><ul><li>a</li><li><a class=x href='/u?a=1'>b <b>c</b></a></li></ul><a>no</a><hr/><th>k</th>"
+    assert markup.readable(page, markdown=True) == "## T\n\n- a\n\n- [b **c**](/u?a=1)\n\nno\n---\n| **k**"
+
+
+def test_safe_html(spark):
+    md = "# A <b>\n\n- x\n- *y*\n\n a & **b**\nc \n\n\n\n####### no"
+    assert column(spark, md, "string", markup.safe_html) == "<h1>A &lt;b&gt;</h1><ul><li>x</li><li><em>y</em></li></ul><p>a &amp; <strong>b</strong><br>c</p><p>####### no</p>"
+    assert column(spark, None, "string", markup.safe_html) == ""
 
 
 def test_grid_spans():
-    g = chunking.grids('<table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td></tr></table>')
+    g = markup.grids('<table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td></tr></table>')
     assert g == [[["a", "b", ""], ["", "c", "d"]]]
 
 
