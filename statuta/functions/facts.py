@@ -74,16 +74,19 @@ def hierarchy(number: Column, kind: Column | None = None, agency: Column | None
     def facts(level, name, scope, issuer, normative) -> Column:
         return F.struct(F.lit(level).alias("level"), F.lit(name).alias("kind"), F.lit(scope).alias("scope"), F.lit(issuer).cast("string").alias("agency"), F.lit(normative).alias("normative"))
 
-    key = ascii_number(number)
-    out = F.when(F.coalesce(number, F.lit("")).rlike(r"(?iU)^\s*(Dự thảo|Dự án)\b"), facts(NO_NORM, "du_thao", "khong_xac_dinh", None, False))
-    for pattern, *rest in NUMBER_RULES:
-        out = out.when(key.rlike(pattern), facts(*rest))
-    if kind is not None:
-        for name, rest in TYPE_RULES.items():
-            out = out.when(F.lower(F.trim(kind)) == name, facts(*rest))
-    if agency is not None:
-        out = out.when(agency.rlike(LOCAL_AGENCY), facts(NO_NORM, "khong_xac_dinh", "tinh", None, False))
-    return out.otherwise(facts(NO_NORM, "khong_xac_dinh", "khong_xac_dinh", None, False))
+    def ladder(key: Column) -> Column:
+        out = F.when(F.coalesce(number, F.lit("")).rlike(r"(?iU)^\s*(Dự thảo|Dự án)\b"), facts(NO_NORM, "du_thao", "khong_xac_dinh", None, False))
+        for pattern, *rest in NUMBER_RULES:
+            out = out.when(key.rlike(pattern), facts(*rest))
+        if kind is not None:
+            for name, rest in TYPE_RULES.items():
+                out = out.when(F.lower(F.trim(kind)) == name, facts(*rest))
+        if agency is not None:
+            out = out.when(agency.rlike(LOCAL_AGENCY), facts(NO_NORM, "khong_xac_dinh", "tinh", None, False))
+        return out.otherwise(facts(NO_NORM, "khong_xac_dinh", "khong_xac_dinh", None, False))
+
+    # One element: the key is made once a row, however many rules look at it.
+    return F.get(F.transform(F.array(ascii_number(number)), ladder), F.lit(0))
 
 
 def level_weight(level: Column) -> Column:

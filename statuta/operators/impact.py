@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuta.functions.facts import level_weight
+from statuta.operators.running import running_sum
 
 LEXICON, EMBEDDING, BEST = 0.45, 0.55, 5
 
@@ -66,13 +67,13 @@ def impact(rows: DataFrame, doc: str) -> DataFrame:
 def percentile_vs_reference(rows: DataFrame, group: str, value: str, is_reference: Column, name: str) -> DataFrame:
     """100 * (reference rows of the group at or below the value) / (reference rows of the group); 0 without any.
 
-    Ties are counted once a value: counts per distinct value are summed, so rows of one value
-    need not meet in one task.
+    Ties are counted once a value: counts per distinct value are summed, partition by partition, so
+    neither the rows of a value nor those of a group need to meet in one task.
     """
     flagged = rows.withColumn("_ref", is_reference.cast("int"))
     counts = flagged.groupBy(group, value).agg(F.sum("_ref").alias("_n"))
-    w = Window.partitionBy(group).orderBy(value)
-    upto = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
-    upto = upto.select(F.col(group).alias("_g"), F.col(value).alias("_v"), "_upto", "_all")
-    j = flagged.join(upto, flagged[group].eqNullSafe(F.col("_g")) & flagged[value].eqNullSafe(F.col("_v")))
-    return j.withColumn(name, F.when(F.col("_all") > 0, 100.0 * F.col("_upto") / F.col("_all")).otherwise(0.0)).drop("_ref", "_g", "_v", "_upto", "_all")
+    upto = running_sum(counts, group, [value], F.col("_n"), "_upto").select(F.col(group).alias("_g"), F.col(value).alias("_v"), "_upto")
+    whole = flagged.groupBy(F.col(group).alias("_h")).agg(F.sum("_ref").alias("_all"))
+    share = upto.join(whole, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", F.when(F.col("_all") > 0, 100.0 * F.col("_upto") / F.col("_all")).otherwise(0.0).alias(name))
+    j = flagged.join(share, flagged[group].eqNullSafe(F.col("_g")) & flagged[value].eqNullSafe(F.col("_v")))
+    return j.drop("_ref", "_g", "_v")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from statuta.operators.running import running_sum
 
 ALWAYS, BYPASS, INTENSITY, COOLDOWN, HORIZON = 5, 3, 60.0, 7, 7
 
@@ -38,7 +39,7 @@ def schedule(new: DataFrame, booked: DataFrame, cap: int, horizon: int = HORIZON
     of ord, earlier days first. Whole days are filled, so this folds over days, not jobs: jobs of
     a day are ranked, and each day's free places become intervals of ranks.
     """
-    ranked = new.withColumn("_r", F.row_number().over(Window.partitionBy("day").orderBy("ord", "key")))
+    ranked = running_sum(new, "day", ["ord", "key"], F.lit(1), "_r")
     sizes = new.groupBy("day").agg(F.count("*").alias("n"))
     per_day = sizes.withColumn("what", F.lit("new")).unionAll(booked.select("day", "n", F.lit("old").alias("what")))
 

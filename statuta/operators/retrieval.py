@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from statuta.functions.text import strip_marks
 from statuta.functions.values import distance
+from statuta.session import written
 
 K1, B = 1.2, 0.75
+#: Distinct search terms, and query vectors, up to which they are sent to every task.
+MOST_TERMS, FEW = 1000, 10_000
 #: Fixed values of the final score: shares of relevance, recency, use; decay a day; scale of a full fusion score.
 SHARES, DECAY, FULL, RRF = (0.5, 0.3, 0.2), 0.023, 0.033, 60
 
@@ -32,10 +35,20 @@ def search_mode(text: Column) -> Column:
     return F.when(code | (F.size(F.split(F.trim(text), r"\s+")) <= 1), "KEYWORD").otherwise("HYBRID")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, len): the inverted index."""
-    t = docs.select(key, tokens(F.col(text)).alias("_t"))
-    return t.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def found_terms(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """A written table (key, len, found): length of each text in words and, of those, the terms of any query."""
+    terms = [r["term"] for r in queries.select(F.explode("terms").alias("term")).distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} distinct search terms at a time")
+    words = tokens(F.col(text))
+    kept = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("found")))
+    return written(docs.select(key, F.get(kept, F.lit(0)).alias("t")).select(key, "t.*"), "found-terms")
+
+
+def postings(found: DataFrame, key: str) -> DataFrame:
+    """(term, key, tf, len): the inverted index of found terms."""
+    t = found.select(key, "len", F.explode("found").alias("term"))
+    return t.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def chunk_filter(
@@ -59,25 +72,36 @@ def chunk_filter(
     return c & (F.col("issue_date").isNull() | (F.col("issue_date") <= last)) if last is not None else c
 
 
-def bm25(index: DataFrame, key: str, queries: DataFrame, n_docs: int, mean_len: float, all_terms: bool = True) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, all_terms: bool = True) -> DataFrame:
     """(query, key, score) of every match; queries has (query, terms).
 
-    Terms meet postings by term; a term in a third of all documents is split by adaptive skew joins.
+    Texts are read once; only searched terms leave them. Postings stay where they are: what meets them is
+    one row a searched term, at most MOST_TERMS of them a query.
     """
+    found = found_terms(docs, key, text, queries)
+    hit = postings(found, key)
     q = queries.select("query", F.size("terms").alias("_want"), F.explode("terms").alias("term"))
-    hit = index.join(q.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean_len)))
-    j = hit.join(q.join(df, "term"), "term")
+    df = found.select(F.explode(F.array_distinct("found")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    whole = found.agg(F.count("*").alias("_docs"), F.avg("len").alias("_mean"))  # one row
+    idf = F.greatest(F.log((F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("_mean")))
+    j = hit.join(F.broadcast(q.join(df, "term").join(F.broadcast(whole))), "term")
     g = j.groupBy("query", key, "_want").agg(F.sum(part).alias("score"), F.count("*").alias("_have"))
     return (g.where("_have = _want") if all_terms else g).drop("_want", "_have")
 
 
 def nearest(vectors: DataFrame, key: str, v: str, queries: DataFrame) -> DataFrame:
-    """(query, key, distance) over all vectors, filtered beforehand; queries has (query, v), a stated few."""
-    q = F.broadcast(queries.select("query", F.col("v").alias("_q")))
-    return vectors.join(q).select("query", key, distance(F.col(v), F.col("_q")).alias("distance"))
+    """(query, key, distance) over all vectors, filtered beforehand; queries has (query, v).
+
+    Up to FEW queries are broadcast; more meet the vectors in blocks of that many, by a key.
+    """
+    q, blocks = queries.select("query", F.col("v").alias("_q")), -(-queries.count() // FEW)
+    if blocks <= 1:
+        met = vectors.join(F.broadcast(q))
+    else:
+        each = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = each.join(q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "_block")
+    return met.select("query", key, distance(F.col(v), F.col("_q")).alias("distance"))
 
 
 def ranked(hits: DataFrame, by: list[Column], limit: int, name: str = "rank") -> DataFrame:

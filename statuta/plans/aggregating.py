@@ -244,7 +244,18 @@ def m06_cooldown(t):
     return jobs.out_of_cooldown(c, j, F.lit("2024-01-31").cast("date"))
 
 
-@R.query()
+@R.query("""
+WITH RECURSIVE e AS (SELECT ts::DATE AS day, event_id AS ord, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS r FROM events WHERE event_type = 'signup'),
+o AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+c AS (SELECT greatest(1, (SELECT count(*) FROM e) // 28 + coalesce((SELECT max(n) FROM o), 0)) AS cap),
+b AS (SELECT min(day) AS lo, max(day) AS hi FROM (SELECT day FROM e UNION ALL SELECT day FROM o)),
+d AS (SELECT lo + i::INT AS day, i FROM (SELECT lo, unnest(range(0, date_diff('day', lo, hi) + 9)) AS i FROM b)),
+n AS (SELECT list(coalesce(x, 0) ORDER BY i) AS new, list(coalesce(y, 0) ORDER BY i) AS used, count(*) - 8 AS days FROM (SELECT i, (SELECT count(*) FROM e WHERE e.day = d.day) AS x, (SELECT n FROM o WHERE o.day = d.day) AS y FROM d)),
+s(k, used, rest, take) AS (SELECT -1::BIGINT, used, 0::BIGINT, 0::BIGINT FROM n UNION ALL
+  SELECT k, list_concat(list_concat(used[1:j - 1], [used[j] + t]), used[j + 1:]), l - t, t FROM (SELECT k, used, j, l, least(l, greatest(0, cap - used[j])) AS t, days FROM
+  (SELECT s.k + 1 AS k, s.used AS used, (s.k + 1) // 8 + (s.k + 1) % 8 + 1 AS j, CASE WHEN (s.k + 1) % 8 = 0 THEN n.new[(s.k + 1) // 8 + 1] ELSE rest END AS l, cap, days FROM s, n, c)) WHERE k < 8 * days),
+p AS (SELECT lo + (k // 8)::INT AS day, lo + (k // 8 + k % 8)::INT AS scheduled_for, take, coalesce(sum(take) OVER (PARTITION BY k // 8 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS up FROM s, b WHERE k >= 0)
+SELECT e.day, ord, ord::VARCHAR AS key, scheduled_for FROM e LEFT JOIN p ON p.day = e.day AND r > up AND r <= up + take""")
 def m07_daily_cap(t):
     """Every job gets the first day with room within a week."""
     e = t.events.where("event_type = 'signup'").select(F.to_date("ts").alias("day"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("key"))

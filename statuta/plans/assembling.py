@@ -93,11 +93,11 @@ def r10_usage(t):
     return t.events.where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("uses"), F.max("ts").alias("last_used"))
 
 
-@R.query("SELECT doc_id, array_to_string(string_split('[' || source || '] ' || lang || ' ' || text, ' ')[1:150], ' ') AS input FROM documents")
+@R.query("SELECT doc_id, array_to_string(string_split('[' || source || '] ' || lang || ' ' || text, ' ')[1:1500], ' ') AS input FROM documents")
 def r11_embedding_input(t):
     """Number, heading and content, cut at a number of words, as a model connector takes it."""
     whole = F.concat(F.lit("["), "source", F.lit("] "), "lang", F.lit(" "), "text")
-    return t.documents.select("doc_id", F.array_join(F.slice(F.split(whole, " "), 1, 150), " ").alias("input"))
+    return t.documents.select("doc_id", F.array_join(F.slice(F.split(whole, " "), 1, 1500), " ").alias("input"))
 
 
 @R.query("""

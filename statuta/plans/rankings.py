@@ -74,7 +74,10 @@ def w07_systematic_sample(t):
     return e.where(F.pmod("vec_id", F.lit(step)) == 0).orderBy("vec_id").limit(100)
 
 
-@R.query()
+@R.query("""
+WITH RECURSIVE l AS (SELECT doc_id, length(x) AS n, i FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+f(doc_id, i, used, batch, n) AS (SELECT doc_id, i, n, 0, n FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN used + l.n > 1000 THEN l.n ELSE used + l.n END, batch + (used + l.n > 1000)::INT, l.n FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+SELECT doc_id, batch, count(*) AS n_lines, sum(n)::BIGINT AS n_chars FROM f GROUP BY 1, 2""")
 def w08_budget_packing(t):
     """Lines of each document in batches of at most 1000 characters, in order; a longer line alone."""
     lines = t.documents.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("sizes"))
