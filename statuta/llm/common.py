@@ -12,12 +12,14 @@ from pyspark.sql.window import Window
 
 from statuta.session import dropped, written
 
-__all__ = ["NO_ID", "attached", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "table", "text_parts", "with_global_index", "written"]
+__all__ = ["NO_ID", "attached", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
 
 #: Stands for a missing doc_id inside operators: it is larger than every other id.
 NO_ID = (1 << 63) - 1
 #: Rows of one key past which a join no longer leaves the key to one task.
 HOT = 1 << 20
+#: Rows of an Arrow batch where texts go to Python for a written table.
+BATCH_ROWS = 1000
 #: Bytes of text that a function takes from an Arrow batch at a time.
 PART = 1 << 23
 
@@ -41,6 +43,18 @@ def text_parts(batch: pa.RecordBatch, column: str = "text", most: int = PART) ->
         yield batch.slice(at)
 
 
+def written_by_batches(df: DataFrame, tag: str) -> DataFrame:
+    """written() with Arrow batches of at most BATCH_ROWS rows: what a task and its Python worker hold of texts at a
+    time follows this number. The session's own setting is put back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return written(df, tag)
+    finally:
+        conf.set(key, before)
+
+
 def give_back() -> None:
     """Return freed memory to the machine. Workers outlive their tasks and wait for the next ones beside those
     that run; what they no longer use would count against the executor all that time."""

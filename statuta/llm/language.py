@@ -27,10 +27,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import fresh, give_back, written
+from statuta.llm.common import fresh, give_back, written, written_by_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -44,25 +45,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def grams_of(word: str, n: int) -> list[str]:
+    """N-grams of a word with its ends marked; the word itself for n = 0."""
+    if not n:
+        return [word]
     edged = f"<{word}>" if n > 1 else word
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
+def hashes_of(n: int, terms: list[str]) -> np.ndarray:
+    """64-bit numbers of terms, one function for each n."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, n) for t in terms), np.uint64, len(terms))
+
+
 def count_terms(rows: DataFrame) -> DataFrame:
-    """(n, term, lang, count): words (n = 0) and n-grams of the given (lang, text) rows."""
+    """(n, term, lang, count): hashed words (n = 0) and n-grams of the given (lang, text) rows."""
 
     def flush(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
         for lang, words in held.items():
             for n in (0, *LENGTHS):
                 terms: Counter = Counter()
                 for w, c in words.items():
-                    if n:
-                        for g in grams_of(w, n):
-                            terms[g] += c
-                    else:
-                        terms[w] = c
+                    for g in grams_of(w, n):
+                        terms[g] += c
                 if terms:
-                    yield pd.DataFrame({"n": n, "term": list(terms), "lang": lang, "count": list(terms.values())})
+                    yield pd.DataFrame({"n": n, "term": hashes_of(n, list(terms)).view(np.int64), "lang": lang, "count": list(terms.values())})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -76,65 +82,59 @@ def count_terms(rows: DataFrame) -> DataFrame:
         held = {}
         give_back()
 
-    counted = rows.select("lang", "text").mapInPandas(count, "n int, term string, lang string, count long")
+    counted = rows.select("lang", "text").mapInPandas(count, "n int, term long, lang string, count long")
     return counted.groupBy("n", "term", "lang").agg(F.sum("count").alias("count"))
 
 
 class Model:
-    """Log frequencies: `rows` has a line for every term; a table for words and for each n maps terms to lines.
+    """Log frequencies: for words and for each n a sorted array of terms and a line of scores for each.
 
-    counts: columns n, term, lang and count, or a function that gives those of one n, so that one table is held at a time.
+    counts: columns n, term (hashed), lang and count, or a function that gives those of one n, so that one table is held at a time.
     """
 
     def __init__(self, languages: list[str], counts: pd.DataFrame | Callable[[int], pd.DataFrame], totals: dict[tuple[int, str], int]) -> None:
         self.languages = languages
-        self.tables: dict[int, dict[str, int]] = {}
-        at = {lang: i for i, lang in enumerate(languages)}
-        blocks, line = [], 0
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in (0, *LENGTHS):
             mine = counts(n) if callable(counts) else counts[counts["n"] == n]
-            terms = sorted(set(mine["term"]))
-            table = {t: i for i, t in enumerate(terms)}
+            terms, line = np.unique(mine["term"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
             m = np.full((len(terms), len(languages)), ADDED)
-            np.add.at(m, ([table[t] for t in mine["term"]], [at[x] for x in mine["lang"]]), mine["count"].to_numpy(np.float64))
+            np.add.at(m, (line, pd.Index(languages).get_indexer(mine["lang"])), mine["count"].to_numpy(np.float64))
             whole = np.array([totals.get((n, lang), 0) + ADDED * (len(terms) + 1) for lang in languages])
-            blocks.append(np.log(m / whole))
-            self.tables[n] = {t: i + line for t, i in table.items()}
-            line += len(terms)
-        self.rows = np.concatenate(blocks) if blocks else np.zeros((0, len(languages)))
-
-    def unseen(self, words: list[str]) -> np.ndarray:
-        """A line of scores for each word that is not known."""
-        lines, sizes = [], []
-        for w in words:
-            found: list[int] = []
-            for n in LENGTHS:
-                table = self.tables[n]
-                found = [table[g] for g in grams_of(w, n) if g in table]
-                if found:
-                    break
-            lines += found
-            sizes.append(len(found))
-        out, sizes = np.zeros((len(words), len(self.languages))), np.array(sizes)
-        some = np.flatnonzero(sizes)
-        if len(some):
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            out[some] = np.add.reduceat(self.rows[lines], starts, axis=0) / sizes[some, None]
+            self.tables[n] = terms, np.log(m / whole)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A line of scores for each word: its own if it is known, else the mean of its longest known n-grams."""
+        out = np.zeros((len(words), len(self.languages)))
+        left = np.arange(len(words))
+        for n in (0, *LENGTHS):
+            terms, lines = self.tables[n]
+            if not len(left) or not len(terms):
+                continue
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            h = hashes_of(n, [g for gs in grams for g in gs])
+            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+            known = terms[at] == h
+            word = np.repeat(np.arange(len(left)), sizes)[known]
+            found = np.bincount(word, minlength=len(left))
+            some = np.flatnonzero(found)
+            if len(some):
+                starts = np.searchsorted(word, some)
+                out[left[some]] = np.add.reduceat(lines[at[known]], starts, axis=0) / found[some, None]
+            left = left[found == 0]
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         bags = [Counter(WORD.findall(t.lower())) if t else Counter() for t in texts]
-        known = self.tables[0]
-        new = list({w for b in bags for w in b if w not in known})
-        extra = {w: i + len(self.rows) for i, w in enumerate(new)}
-        rows = np.concatenate([self.rows, self.unseen(new)]) if new else self.rows
+        places = {w: i for i, w in enumerate(dict.fromkeys(w for b in bags for w in b))}
+        lines = self.scores(list(places))
         out = []
         for bag in bags:
             if not self.languages or not any(c.isalpha() for w in bag for c in w):
                 out.append((UNKNOWN, 0.0))
                 continue
-            lines = [known[w] if w in known else extra[w] for w in bag]
-            s = np.fromiter(bag.values(), np.float64, len(bag)) @ rows[lines]
+            s = np.fromiter(bag.values(), np.float64, len(bag)) @ lines[[places[w] for w in bag]]
             p = np.exp(s - s.max())
             out.append((self.languages[int(np.argmax(s))], float(p.max() / p.sum())))
         return out
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, rows_per_language: int = 8000, languages: int = 1000, r
     most = max(1, min(rows_per_language, rows // len(names)))
     shares = docs.sparkSession.createDataFrame([(x, max(1, int(n) // most)) for x, n in zip(top["lang"], top["n"])], "lang string, one_in long")
     drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), "one_in") == 0)
-    counts = written(count_terms(drawn), "language-counts")
+    counts = written_by_batches(count_terms(drawn), "language-counts")
     totals = {(r["n"], r["lang"]): r["s"] for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("s")).collect()}
     often = counts.groupBy("n", "term").agg(F.sum("count").alias("all")).where(F.col("all") >= least).drop("all")
     kept = written(counts.join(often, ["n", "term"]), "language-kept")

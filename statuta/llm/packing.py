@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import give_back, grouped_prefix, written
-from statuta.llm.tokens import VOCABULARY, encode_document, forget
+from statuta.llm.common import give_back, grouped_prefix, written_by_batches
+from statuta.llm.tokens import VOCABULARY, encode_document
 
 END = 2
 #: Weights of tokens, documents and attention cost in the residual norm.
@@ -54,7 +54,6 @@ def pieces(docs: DataFrame, capacity: int = 1024, end: int = END, vocabulary: st
                 row = (len(ids), [zlib.crc32(p) for p in parts])
                 rows.append((*row, [p.astype(np.int32) for p in parts]) if with_ids else row)
             yield pd.DataFrame(rows, columns=["n", "crc", "ids"][: 2 + with_ids])
-        forget()
         give_back()
 
     cuts = docs.select("doc_id", cut("text").alias("c")).select("doc_id", "c.*")
@@ -135,4 +134,4 @@ def pack(
 
 def packed_documents(docs: DataFrame, capacity: int = 1024, with_ids: bool = False, **limits) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
-    return pack(written(pieces(docs, capacity, with_ids=with_ids), "packing-pieces"), capacity, **limits)
+    return pack(written_by_batches(pieces(docs, capacity, with_ids=with_ids), "packing-pieces"), capacity, **limits)

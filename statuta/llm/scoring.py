@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import dropped, give_back, written
+from statuta.llm.common import dropped, give_back, written, written_by_batches
 
 #: Hash buckets of words; groups of tokens and tokens of a group; frequent buckets with a token of
 #: their own; width; tokens on each side; positions of a step; tokens of a batch of documents.
@@ -59,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"word": word.view(np.int64), "n": n})
 
     rows = docs.select("text").mapInPandas(count, "word long, n long")
-    return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "scoring-words")
+    return written_by_batches(rows.groupBy("word").agg(F.sum("n").alias("n")), "scoring-words")
 
 
 def bucket_counts(words: DataFrame) -> np.ndarray:
@@ -198,7 +198,7 @@ def encoded(docs: DataFrame, token: np.ndarray, occurrences: np.ndarray, known:
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), encode("text").alias("e")).select("doc_id", "place", "e.*")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).withColumn("row", F.monotonically_increasing_id())
-    return written(rows, "scoring-tokens")
+    return written_by_batches(rows, "scoring-tokens")
 
 
 def averaged(copies: DataFrame) -> tuple[np.ndarray, int] | None:

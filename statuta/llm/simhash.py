@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, VariantType
 
-from statuta.llm.common import NO_ID, attached, connected_components, dropped, fresh, written
+from statuta.llm.common import NO_ID, attached, connected_components, dropped, fresh, give_back, written, written_by_batches
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
 SAMPLE, MAX_LEAVES, CAPACITY = 1 << 18, 1 << 16, 1 << 15
@@ -248,7 +248,7 @@ def shared_neighbours(classes: DataFrame, reach: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
-    prints = written(fingerprints(docs, shingle), "simhash-prints")
+    prints = written_by_batches(fingerprints(docs, shingle), "simhash-prints")
     first = F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long")
     classes = written(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")), "simhash-classes")
     parts = connected_components(links(classes, reach), "simhash-links")
@@ -289,9 +289,44 @@ def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
 SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
 
 
-def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
+#: Odd multipliers that make one number of the hashes of a shingle's words.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the five-word shingles of a text, made of those of its words; fewer words are one shingle."""
+    words = words_of(text)
+    if words and len(words) < WORDS:
+        words = [b" ".join(words)] + [b""] * (WORDS - 1)
+    if not words:
+        return np.zeros(0, np.uint64)
+    h, n = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), len(words) - WORDS + 1
+    x = sum(h[k : k + n] * f for k, f in enumerate(FACTORS))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # spreads every bit over all
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *grams_of(words_of(text), shingle)]))
+    return np.unique(shingle_hashes(text))
+
+
+class Order:
+    """The order in which all sets are read: unknown shingles by value, then common ones, commonest last."""
+
+    def __init__(self, common: np.ndarray) -> None:
+        self.place = np.argsort(common, kind="stable")
+        self.known = common[self.place]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Sorted shingles in this order."""
+        if not len(self.known) or not len(x):
+            return x
+        at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+        there = self.known[at] == x
+        last = x[there][np.argsort(self.place[at[there]], kind="stable")]
+        return np.concatenate([x[~there], last])
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -313,38 +348,28 @@ def class_of(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes(), 7)
 
 
-def ordered(x: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Sorted shingles in the order of all sets: unknown ones by value, then common ones, commonest last."""
-    if not len(common) or not len(x):
-        return x
-    by = np.argsort(common, kind="stable")
-    known = common[by]
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    place = np.where(known[at] == x, by[at] + 1, 0)
-    return x[np.argsort(place, kind="stable")]
-
-
-def shingled(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def shingled(docs: DataFrame, order: Order) -> DataFrame:
     """doc_id, fp, cls (hash of the set of shingles), n (its size), head (its first shingles) of every row."""
 
     def compute(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             rows = []
             for t in s:
-                grams = list(grams_of(words_of(t), WORDS))
-                x = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
+                grams = shingle_hashes(t)
+                x = np.unique(grams)
                 first = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1 if len(x) else 0
-                rows.append((majority(grams), class_of(x), len(x), ordered(x, common)[:first].view(np.int64)))
+                rows.append((majority([grams]), class_of(x), len(x), order(x)[:first].view(np.int64)))
             out = pd.DataFrame(rows, columns=["fp", "cls", "n", "head"])
             for c in ("fp", "cls"):
                 out[c] = np.array(out[c].tolist(), np.uint64).view(np.int64)
             yield out
+        give_back()
 
     one = F.pandas_udf(compute, "fp long, cls long, n int, head array<long>")
     return docs.select("doc_id", one("text").alias("s")).select("doc_id", "s.*")
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, common: np.ndarray) -> bool:
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, order: Order) -> bool:
     """False if the first shingles alone show that sets of n and m shingles are too different.
 
     Up to where the shorter beginning ends, a shingle of one that the other lacks is in one set only.
@@ -352,11 +377,11 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, common: np.ndar
     top, below = SIMILAR
     if n * below < m * top or m * below < n * top:
         return False
-    together = ordered(np.unique(np.concatenate([x, y])), common)
-    in_x, in_y = np.isin(together, x), np.isin(together, y)
-    end = min(np.flatnonzero(in_x)[-1], np.flatnonzero(in_y)[-1]) + 1
-    apart = int((in_x[:end] != in_y[:end]).sum())
-    return apart * (top + below) <= (below - top) * (n + m)
+    together, times = np.unique(np.concatenate([x, y]), return_counts=True)
+    read = order(together)
+    single = times[np.searchsorted(together, read)] == 1
+    end = min(int(np.flatnonzero(read == z[-1])[0]) for z in (x, y)) + 1
+    return int(single[:end].sum()) * (top + below) <= (below - top) * (n + m)
 
 
 def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -373,7 +398,7 @@ def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     return sets.join(asked, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, common: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
     """The pairs (u, v) of classes (cls, n, head) whose sets are similar enough."""
     pairs = written(pairs.distinct(), "simhash-candidates")
     a, b = (classes.select(F.col("cls").alias(x), F.struct("n", "head").alias(f"_{x}")) for x in "uv")
@@ -381,12 +406,12 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
         u, v = ((np.asarray(h, np.int64).view(np.uint64) for h in s) for s in (x, y))
-        return pd.Series([may_be_similar(*z, common) for z in zip(u, v, n, m)], dtype=bool)
+        return pd.Series([may_be_similar(*z, order) for z in zip(u, v, n, m)], dtype=bool)
 
     likely = pairs.join(a, "u").join(b, "v").where(possible("_u.head", "_u.n", "_v.head", "_v.n")).select("u", "v")
     likely = written(likely, "simhash-likely")
     asked = likely.select(F.col("u").alias("cls")).unionAll(likely.select(F.col("v").alias("cls"))).distinct()
-    sets = written(sets_of(asked, names, docs), "simhash-sets")
+    sets = written_by_batches(sets_of(asked, names, docs), "simhash-sets")
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -401,7 +426,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
     return found
 
 
-def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, common: np.ndarray, rounds: int = 1) -> DataFrame:
+def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, order: Order, rounds: int = 1) -> DataFrame:
     """links and, between their components, links of classes (cls, n, head) that are similar enough.
 
     First each class only meets one other of a shingle's, which joins large groups of near copies;
@@ -424,7 +449,7 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
         else:
             pairs = named.join(named.select("s", other.alias("o")).select("s", "o.*"), "s").where((F.col("part") < F.col("_part")) & alike)
         pairs = pairs.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v"))
-        links = links.unionAll(verified(pairs, classes, names, docs, common))
+        links = links.unionAll(verified(pairs, classes, names, docs, order))
         dropped(named)
     dropped(shared)
     return links
@@ -433,8 +458,8 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
 def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     """doc_id and component_id of every row: documents joined by fingerprints (of five-word shingles)
     within reach or by similar sets of these shingles."""
-    common = common_shingles(docs)
-    rows = written(shingled(docs, common), "simhash-shingled")
+    order = Order(common_shingles(docs))
+    rows = written_by_batches(shingled(docs, order), "simhash-shingled")
     # One row stands for all that have its set of shingles: one of the smallest doc_id.
     names = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long").alias("first"), F.count("*").alias("copies"))
     names = written(names, "simhash-names")
@@ -447,7 +472,7 @@ def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     near = links(prints, reach).select(F.col("u.first").alias("u"), F.col("v.first").alias("v"))
     same = rows.select("fp", "cls").distinct().join(prints, "fp").where("cls <> first").select(F.col("cls").alias("u"), F.col("first").alias("v"))
     start = written(near.unionAll(same).distinct(), "simhash-near")
-    ends = similar_links(classes, start, names, docs, common)
+    ends = similar_links(classes, start, names, docs, order)
     # Nodes carry their smallest doc_id, so that no join by component is needed to name it.
     facts = names.select("cls", F.struct("first", "cls").alias("_x"))
     a, b = (facts.select(F.col("cls").alias(x), F.col("_x").alias(f"_{x}")) for x in "uv")

@@ -1,19 +1,14 @@
 """Tokens of a public byte-level vocabulary inside tasks.
 
-The ids are those of the `tokenizers` file of the vocabulary; they are computed from the same
-vocabulary's ranks with tiktoken, which is several times faster, and tests hold both together.
-
-The vocabulary's own split of a text ends a piece before every blank that a visible character
-follows. So a text in which no blank is followed by white space, and which does not end with one,
-can be cut at its blanks, and each part has the same ids wherever it stands. Parts repeat: a task
-keeps a bounded table of those already encoded and drops it at its end.
+The ids are those of the `tokenizers` file of the vocabulary, its special string included; they are
+computed from the same vocabulary's ranks with tiktoken, which is several times faster, and tests
+hold both together. Nothing is remembered between texts.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
-import re
-from array import array
 
 import numpy as np
 
@@ -21,67 +16,25 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k"
 #: Special string of the vocabulary and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Parts remembered by a task; past that the table starts anew. Longer parts are not kept.
-REMEMBERED, LONGEST = 100_000, 40
-#: A blank at which a text must not be cut.
-UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 @functools.cache
 def encoding(vocabulary: str = VOCABULARY):
-    import base64
-
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
 @functools.cache
 def byte_lengths(vocabulary: str = VOCABULARY) -> np.ndarray:
     """Bytes of the text that each id stands for."""
     e = encoding(vocabulary)
-    return np.array([len(e.decode_single_token_bytes(i)) for i in range(SPECIAL_ID)] + [len(SPECIAL)], np.int64)
-
-
-class _Parts(dict):
-    """Part of a text after a blank -> bytes of its ids, the blank's included; encodes what it lacks."""
-
-    def __init__(self, vocabulary: str) -> None:
-        self.encode = encoding(vocabulary)._core_bpe.encode_ordinary
-
-    def __missing__(self, part: str) -> bytes:
-        out = array("I", self.encode(f" {part}")).tobytes()
-        if len(part) <= LONGEST:
-            self[part] = out
-        return out
-
-
-_parts = functools.cache(_Parts)
-
-
-def forget() -> None:
-    """Drop the tables of parts: a worker waits for its next task without them."""
-    _parts.cache_clear()
-
-
-def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a text as unsigned 32-bit numbers; special strings are ordinary text."""
-    whole = encoding(vocabulary)._core_bpe.encode_ordinary
-    if UNSAFE.search(text):
-        return np.array(whole(text), np.uint32)
-    first, *others = text.split(" ")
-    known = _parts(vocabulary)
-    if len(known) > REMEMBERED:
-        known.clear()
-    return np.frombuffer(b"".join([array("I", whole(first)).tobytes(), *map(known.__getitem__, others)]), np.uint32)
+    return np.array([len(e.decode_single_token_bytes(i)) for i in range(SPECIAL_ID + 1)], np.int64)
 
 
 def encode_document(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Ids of a whole document; a special string in it is one id, as in the `tokenizers` library."""
-    if SPECIAL not in text:
-        return encode(text, vocabulary)
-    special, first, *others = np.array([SPECIAL_ID], np.uint32), *(encode(part, vocabulary) for part in text.split(SPECIAL))
-    return np.concatenate([first, *(x for part in others for x in (special, part))])
+    """Ids of a whole text as unsigned 32-bit numbers; a special string in it is one id."""
+    return encoding(vocabulary).encode_to_numpy(text, allowed_special="all")

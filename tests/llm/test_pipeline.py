@@ -18,7 +18,7 @@ def test_stages_keep_columns_and_take_effect(spark):
             assert docs.columns == columns
     n = {k: v.count() for k, v in seen.items()}
     assert n["language"] >= n["near_duplicates"] >= n["repeated_passages"] > 0
-    kept = simhash.near_duplicates(seen["near_duplicates"], shingle=5)
+    kept = simhash.similar_groups(seen["near_duplicates"])
     assert kept.count() == kept.select("component_id").distinct().count()
     assert seen["packing"].groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
@@ -46,7 +46,7 @@ def test_near_duplicates_of_planted_copies_equal_brute_force(spark):
     rows += [(n + i, f"{line} " + " ".join(f"y{i}x{x}" for x in range(4))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
-    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    prints = [simhash.majority([simhash.shingle_hashes(t)]) for _, t in rows]
     near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2
     part = list(range(len(rows)))
     for a in range(len(rows)):
