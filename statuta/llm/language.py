@@ -58,9 +58,9 @@ def hashes_of(n: int, terms: list[str]) -> np.ndarray:
 
 
 def count_terms(rows: DataFrame) -> DataFrame:
-    """(n, term, lang, count): hashed words (n = 0) and n-grams of the given (lang, text) rows."""
+    """(n, term, lang, count): hashed words (n = 0) and n-grams of the given (lang, text) rows; languages are numbers."""
 
-    def flush(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+    def flush(held: dict[int, Counter]) -> Iterator[pd.DataFrame]:
         for lang, words in held.items():
             for n in (0, *LENGTHS):
                 terms: Counter = Counter()
@@ -71,7 +71,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"n": n, "term": hashes_of(n, list(terms)).view(np.int64), "lang": lang, "count": list(terms.values())})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
+        held: dict[int, Counter] = {}
         for f in frames:
             for lang, text in zip(f["lang"], f["text"]):
                 held.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
@@ -82,25 +82,25 @@ def count_terms(rows: DataFrame) -> DataFrame:
         held = {}
         give_back()
 
-    counted = rows.select("lang", "text").mapInPandas(count, "n int, term long, lang string, count long")
+    counted = rows.select("lang", "text").mapInPandas(count, "n int, term long, lang int, count long")
     return counted.groupBy("n", "term", "lang").agg(F.sum("count").alias("count"))
 
 
 class Model:
     """Log frequencies: for words and for each n a sorted array of terms and a line of scores for each.
 
-    counts: columns n, term (hashed), lang and count, or a function that gives those of one n, so that one table is held at a time.
+    counts gives terms (hashed), numbers of languages and counts for one n, totals the sum of counts for an n and a language.
     """
 
-    def __init__(self, languages: list[str], counts: pd.DataFrame | Callable[[int], pd.DataFrame], totals: dict[tuple[int, str], int]) -> None:
+    def __init__(self, languages: list[str], counts: Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]], totals: dict[tuple[int, int], int]) -> None:
         self.languages = languages
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in (0, *LENGTHS):
-            mine = counts(n) if callable(counts) else counts[counts["n"] == n]
-            terms, line = np.unique(mine["term"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+            term, lang, count = counts(n)
+            terms, line = np.unique(term.view(np.uint64), return_inverse=True)
             m = np.full((len(terms), len(languages)), ADDED)
-            np.add.at(m, (line, pd.Index(languages).get_indexer(mine["lang"])), mine["count"].to_numpy(np.float64))
-            whole = np.array([totals.get((n, lang), 0) + ADDED * (len(terms) + 1) for lang in languages])
+            np.add.at(m, (line, lang), count)
+            whole = np.array([totals.get((n, i), 0) + ADDED * (len(terms) + 1) for i in range(len(languages))])
             self.tables[n] = terms, np.log(m / whole)
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -145,15 +145,20 @@ def fit(docs: DataFrame, rows_per_language: int = 8000, languages: int = 1000, r
     top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).toPandas()  # at most `languages` rows
     names = sorted(top["lang"])
     if not names:
-        return Model([], pd.DataFrame({"n": [], "term": [], "lang": [], "count": []}), {})
+        return Model([], lambda n: (np.zeros(0, np.int64),) * 3, {})
     most = max(1, min(rows_per_language, rows // len(names)))
-    shares = docs.sparkSession.createDataFrame([(x, max(1, int(n) // most)) for x, n in zip(top["lang"], top["n"])], "lang string, one_in long")
-    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), "one_in") == 0)
+    shares = docs.sparkSession.createDataFrame([(x, names.index(x), max(1, int(n) // most)) for x, n in zip(top["lang"], top["n"])], "name string, number int, one_in long")
+    drawn = labelled.join(F.broadcast(shares), F.col("lang") == F.col("name")).select("doc_id", "text", F.col("number").alias("lang"), "one_in").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), "one_in") == 0)
     counts = written_by_batches(count_terms(drawn), "language-counts")
     totals = {(r["n"], r["lang"]): r["s"] for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("s")).collect()}
     often = counts.groupBy("n", "term").agg(F.sum("count").alias("all")).where(F.col("all") >= least).drop("all")
     kept = written(counts.join(often, ["n", "term"]), "language-kept")
-    return Model(names, lambda n: kept.where(F.col("n") == n).select("term", "lang", "count").toPandas(), totals)
+
+    def of(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        columns = kept.where(F.col("n") == n).select("term", "lang", "count").toArrow()  # at most the terms of `rows` texts
+        return tuple(c.to_numpy() for c in columns.columns)
+
+    return Model(names, of, totals)
 
 
 def told(docs: DataFrame, text: str, **bounds: int) -> Column:

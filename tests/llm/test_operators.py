@@ -364,9 +364,9 @@ def test_language_learns_only_from_training_rows(spark, docs):
 
 
 def test_backoff_is_word_first_then_shorter_grams():
-    counts = pd.DataFrame([(0, "the", "en", 9), (0, "der", "de", 9), (4, "<the", "en", 3), (3, "sch", "de", 5), (1, "e", "en", 4)], columns=["n", "term", "lang", "count"])
-    counts["term"] = [language.hashes_of(n, [t]).view(np.int64)[0] for n, t in zip(counts["n"], counts["term"])]
-    m = language.Model(["de", "en"], counts, {(n, x): 20 for n in (0, 1, 2, 3, 4) for x in ("de", "en")})
+    counts = [(0, "the", 1, 9), (0, "der", 0, 9), (4, "<the", 1, 3), (3, "sch", 0, 5), (1, "e", 1, 4)]
+    of = lambda n: tuple(np.array(x, np.int64) for x in ([language.hashes_of(n, [t]).view(np.int64)[0] for k, t, _, _ in counts if k == n], *([c[i] for c in counts if c[0] == n] for i in (2, 3))))
+    m = language.Model(["de", "en"], of, {(n, x): 20 for n in (0, 1, 2, 3, 4) for x in (0, 1)})
     assert [p for p, _ in m.predict(["the", "Schule", "e", None, "12 !", "щ"])][:5] == ["en", "de", "en", "und", "und"]
     assert (m.scores(["thez", "the", "schx", "qq"]) == [m.tables[4][1][0], m.scores(["the"])[0], m.tables[3][1][0], [0, 0]]).all()
 
