@@ -60,5 +60,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: Vectors that take part, as doubles.
+_VECTORS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_TOP_K = f"""
+WITH {_VECTORS}, q AS (SELECT vec_id, list_transform(v, lambda x: floor(64 * x)) AS v FROM e),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 20"""
+_WINDOWS = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS a FROM documents),
+g AS (SELECT doc_id, i, array_to_string(a[i:i + 12], ' ') AS k FROM (SELECT doc_id, a, unnest(range(1, len(a) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS m FROM g GROUP BY k HAVING count(*) > 1),
+r AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM g JOIN f USING (k) WHERE m < doc_id)),
+w AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM d),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN r ON r.doc_id = w.doc_id AND r.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(a)::BIGINT AS n_words, (len(a) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+_COMPONENTS = f"""
+WITH RECURSIVE {_VECTORS}, u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
+
 #: Queries that SQL can express.
-SQL: dict[str, str] = {"op6_license_scan": licenses.scan_sql()}
+SQL: dict[str, str] = {"op2_nra_top_k": _TOP_K, "op4_substring_dedup": _WINDOWS, "op6_license_scan": licenses.scan_sql(), "op10_epsilon_grid_join": _COMPONENTS}
