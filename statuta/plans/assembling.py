@@ -34,14 +34,21 @@ def m08_update_jobs(t):
     )
 
 
-@R.query("""
-WITH p AS (SELECT doc_id, 3 * len(list_filter(k, lambda x: x = 'the')) AS s, 3 * len(list_filter(k, lambda x: x IN ('les', 'und'))) AS b, 3 * len(list_filter(k, lambda x: x IN ('que', 'des'))) AS p
-FROM (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}\\p{M}_]+') AS k FROM documents))
+_HITS = "3 * len(list_filter(h, lambda x: x = '{0}')) + least(1, len(list_filter(k, lambda x: x = '{0}')))"
+
+
+@R.query(f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(source || ' ' || lang || ' ' || string_split(text, ' ')[1]), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS h, regexp_extract_all(lower(substr(text, 1, 1800)), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS k FROM documents),
+p AS (SELECT doc_id, {_HITS.format('the')} AS s, {_HITS.format('les')} + {_HITS.format('fr')} AS b, {_HITS.format('und')} + {_HITS.format('de')} AS p FROM w)
 SELECT doc_id, CASE WHEN s >= 3 AND b = 0 AND p = 0 THEN 'co_quan_nha_nuoc' WHEN s = 0 AND (b >= 3 OR p >= 3) THEN CASE WHEN b >= p THEN 'doanh_nghiep' ELSE 'ca_nhan' END END AS audience FROM p""")
 def m12_funnel(t):
-    """Audience by three lexicons with undecided ones left null."""
-    title = F.substring("text", 1, 200)
-    s, b, p = (forms.points(title, F.lit(""), w) for w in (["the"], ["les", "und"], ["que", "des"]))
+    """Audience by three lexicons over title and body, undecided ones left null.
+
+    The tables have no titles: source, language and the first word stand for one; the body is the whole text, of
+    which the rule itself looks at the first 1,800 characters.
+    """
+    title = F.concat_ws(" ", "source", "lang", F.get(F.split("text", " "), F.lit(0)))
+    s, b, p = (forms.points(title, F.col("text"), w) for w in (["the"], ["les", "fr"], ["und", "de"]))
     d = t.documents.select("doc_id", forms.audience(s, b, p, F.lit(None).cast("string"), ["x"], ["y"]).alias("a"))
     return d.select("doc_id", "a.audience")
 

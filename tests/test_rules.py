@@ -203,3 +203,32 @@ def test_values(spark):
     assert column(spark, "nope", "string", values.any_date) is None
     assert column(spark, "[broken", "string", values.json_array) == []
     assert column(spark, 'x {"k": 1} y', "string", values.embedded_json) == '{"k": 1}'
+
+
+def test_running_sums_of_a_hot_group(spark):
+    from statuta.operators.running import running_sum
+
+    rows = [("hot", i * 7919 % 1000, i) for i in range(1000)] + [("b", 1, 1), ("b", 1, 2), (None, 5, 1), (None, 6, 2)]
+    df = spark.createDataFrame(rows, "g string, v int, ord int")
+    got = running_sum(df, "g", ["v", "ord"], F.col("v"), "s").toPandas().sort_values(["g", "v", "ord"], na_position="first")
+    assert len(got) == len(rows) and (got["s"] == got.groupby("g", dropna=False)["v"].cumsum()).all()
+
+
+def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "id long, v array<double>")
+    q = v.where("id % 3 = 0").select(F.col("id").alias("query"), "v")
+    whole = {tuple(r) for r in retrieval.nearest(v, "id", "v", q).collect()}
+    monkeypatch.setattr(retrieval, "FEW", 3)
+    assert {tuple(r) for r in retrieval.nearest(v, "id", "v", q).collect()} == whole and len(whole) == 300
+
+
+def test_feeds_and_published_indexes(spark, tmp_path):
+    from statuta.sources import payloads
+
+    (tmp_path / "a.xml").write_text("<rss><item><title>A</title><link>https://x/tin/Thue-moi-77.aspx</link><category>Thuế</category><pubDate>Mon, 5 Feb 2024 01:00:00</pubDate></item>"
+                                    "<item><title>B</title><link>https://x/tin/khac.aspx</link><category>Thuế</category></item></rss>")
+    (tmp_path / "i.json").write_text('{"documents": [{"slug": "a", "num": "1", "refs": []}, {"slug": "../b"}, {"num": "2"}]}')
+    (tmp_path / "k9_chunks.json").write_text('[{"chunk_index": 0, "heading": "h", "content": "c", "char_count": 1, "chunk_type": "full"}]')
+    assert [(r["tvpl_id"], str(r["pub_date"])) for r in payloads.feed(spark, str(tmp_path / "a.xml"), ["thuế"]).collect()] == [("77", "2024-02-05")]
+    assert [r["slug"] for r in payloads.vault_index(spark, str(tmp_path / "i.json")).collect()] == ["a"]
+    assert [(r["moj_id"], r["content"]) for r in payloads.chunk_files(spark, str(tmp_path / "k9_chunks.json")).collect()] == [("k9", "c")]
