@@ -12,12 +12,14 @@ from pyspark.sql.window import Window
 
 from statuta.session import dropped, written
 
-__all__ = ["NO_ID", "attached", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
+__all__ = ["NO_ID", "attached", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "small", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
 
 #: Stands for a missing doc_id inside operators: it is larger than every other id.
 NO_ID = (1 << 63) - 1
 #: Rows of one key past which a join no longer leaves the key to one task.
 HOT = 1 << 20
+#: Rows (of a few numbers each) up to which a table is sent to every task instead of shuffling what it meets.
+FEW = 1 << 20
 #: Rows of an Arrow batch where texts go to Python for a written table.
 BATCH_ROWS = 1000
 #: Bytes of text that a function takes from an Arrow batch at a time.
@@ -142,6 +144,11 @@ def attached(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFra
     return rows.join(hot, key).unionByName(rest.join(facts.where(F.col(count) <= HOT).drop(count), key))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most FEW rows; else what it meets is shuffled."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def least_neighbour(both: DataFrame, rows: int) -> DataFrame:
     """both (u, v) with m, the smallest of u and its neighbours. Hubs keep their rows where they are."""
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")

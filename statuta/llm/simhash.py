@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, VariantType
 
-from statuta.llm.common import NO_ID, attached, connected_components, dropped, fresh, give_back, written, written_by_batches
+from statuta.llm.common import NO_ID, attached, connected_components, dropped, fresh, give_back, small, written, written_by_batches
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
 SAMPLE, MAX_LEAVES, CAPACITY = 1 << 18, 1 << 16, 1 << 15
@@ -269,14 +269,14 @@ def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
 
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of docs for each component of groups (doc_id, component_id), one of its smallest doc_id."""
-    late = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
+    late = small(written(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct(), "simhash-late"))
     rows = docs.select(fresh(docs).alias("doc"))
     out = rows.join(late, F.col("doc.doc_id").eqNullSafe(F.col("_d")), "left_anti")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"))
     if not repeated.isEmpty():
         # Of rows that repeat a doc_id one of the smallest hash stays; rows of one hash are equal.
         known = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-        same = F.col("doc.doc_id").eqNullSafe(F.col("_d"))
+        repeated, same = small(written(repeated, "simhash-repeated")), F.col("doc.doc_id").eqNullSafe(F.col("_d"))
         single = out.join(repeated, same, "left_anti")
         several = out.join(repeated, same, "left_semi").select("doc", F.col("doc.doc_id").alias("_d"), F.xxhash64(*known).alias("_h"))
         best = several.groupBy("_d").agg(F.min("_h").alias("_least")).withColumnRenamed("_d", "_e")
@@ -385,7 +385,7 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, order: Order) -
 
 
 def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, set) of the asked classes, from the texts of their smallest doc_ids."""
+    """(cls, set) of the asked classes (a written table), from the texts of their smallest doc_ids."""
 
     @F.pandas_udf("cls long, set binary")
     def whole(texts: pd.Series) -> pd.DataFrame:
@@ -393,15 +393,18 @@ def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"cls": np.array([class_of(s) for s in x], np.uint64).view(np.int64), "set": [s.tobytes() for s in x]})
 
     wanted = names.join(asked, "cls").select(F.col("cls").alias("_cls"), F.nullif("first", F.lit(NO_ID)).alias("_d"))
-    texts = docs.select("doc_id", "text").join(wanted.select("_d").distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    wanted = small(written(wanted.select("_d").distinct(), "simhash-wanted"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     sets = texts.select(whole("text").alias("s")).select("s.*")
-    return sets.join(asked, "cls", "left_semi").dropDuplicates(["cls"])
+    return sets.join(small(asked), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
     """The pairs (u, v) of classes (cls, n, head) whose sets are similar enough."""
     pairs = written(pairs.distinct(), "simhash-candidates")
-    a, b = (classes.select(F.col("cls").alias(x), F.struct("n", "head").alias(f"_{x}")) for x in "uv")
+    ends = lambda p: p.select(F.col("u").alias("cls")).unionAll(p.select(F.col("v").alias("cls"))).distinct()
+    heads = written(classes.join(small(written(ends(pairs), "simhash-ends")), "cls", "left_semi"), "simhash-heads")
+    a, b = (heads.select(F.col("cls").alias(x), F.struct("n", "head").alias(f"_{x}")) for x in "uv")
 
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
@@ -410,7 +413,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
 
     likely = pairs.join(a, "u").join(b, "v").where(possible("_u.head", "_u.n", "_v.head", "_v.n")).select("u", "v")
     likely = written(likely, "simhash-likely")
-    asked = likely.select(F.col("u").alias("cls")).unionAll(likely.select(F.col("v").alias("cls"))).distinct()
+    asked = written(ends(likely), "simhash-asked")
     sets = written_by_batches(sets_of(asked, names, docs), "simhash-sets")
 
     @F.pandas_udf("boolean")
@@ -422,7 +425,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
 
     a, b = (sets.select(F.col("cls").alias(x), F.col("set").alias(f"_{x}")) for x in "uv")
     found = written(likely.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v"), "simhash-similar")
-    dropped(pairs, likely, sets)
+    dropped(pairs, heads, likely, asked, sets)
     return found
 
 
@@ -459,15 +462,15 @@ def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     """doc_id and component_id of every row: documents joined by fingerprints (of five-word shingles)
     within reach or by similar sets of these shingles."""
     order = Order(common_shingles(docs))
-    rows = written_by_batches(shingled(docs, order), "simhash-shingled")
+    rows = shingled(docs, order).withColumn("row", F.monotonically_increasing_id())
+    rows = written_by_batches(rows, "simhash-shingled")
     # One row stands for all that have its set of shingles: one of the smallest doc_id.
-    names = rows.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long").alias("first"), F.count("*").alias("copies"))
+    pick = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("first"), "row"))
+    names = rows.groupBy("cls").agg(pick.alias("p"), F.count("*").alias("copies")).select("cls", "p.first", F.col("p.row").alias("picked"), "copies")
     names = written(names, "simhash-names")
-    picked = rows.select("doc_id", "cls", "n", "head").join(names.select(F.col("cls").alias("_cls"), "first"), F.col("cls") == F.col("_cls"))
-    picked = picked.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first")).select("cls", "n", "head")
-    classes = written(picked, "simhash-classes")
-    if classes.count() > names.count():  # rows that repeat a doc_id and its text
-        classes = written(classes.dropDuplicates(["cls"]), "simhash-classes")
+    others = attached(rows.select("cls", "row"), names.where("copies > 1").select("cls", "picked", "copies"), "cls", "copies").where("row <> picked")
+    others = small(written(others.select("row"), "simhash-others"))
+    classes = rows.select("row", "cls", "n", "head").join(others, "row", "left_anti").drop("row")
     prints = written(rows.groupBy("fp").agg(F.min("cls").alias("first")), "simhash-prints")
     near = links(prints, reach).select(F.col("u.first").alias("u"), F.col("v.first").alias("v"))
     same = rows.select("fp", "cls").distinct().join(prints, "fp").where("cls <> first").select(F.col("cls").alias("u"), F.col("first").alias("v"))
@@ -481,7 +484,7 @@ def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     named = names.join(parts, F.struct("first", "cls") == F.col("node"), "left")
     named = written(named.select("cls", F.nullif(F.coalesce("component.first", "first"), F.lit(NO_ID)).alias("component_id"), "copies"), "simhash-named")
     out = written(attached(rows.select("doc_id", "cls"), named, "cls", "copies").select("doc_id", "component_id"), "simhash-groups")
-    dropped(rows, names, classes, prints, start, named)
+    dropped(rows, names, prints, start, named)
     return out
 
 
