@@ -1,7 +1,8 @@
 """Token counts by offset-mapped attribution.
 
 Every whole document is encoded once. A token's span is known from the bytes it stands for, so
-the spans tile the text. Sections tile it too (here: lines, each with its line end), and an
+the spans tile the text; they are in bytes, as characters can be split over tokens. Sections tile
+it too (lines, each with its line end, or the fields of a row), and an
 interval join of both gives each section its tokens. A token that crosses section borders is
 allocated by rule: `first` (the section of its first byte), `most` (the section with most of its
 bytes, the earlier of equals) or `share` (each section in proportion to its bytes).
@@ -58,22 +59,44 @@ def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tup
     return out, crossing
 
 
-def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, section, n_bytes, n_tokens (double for `share`), n_crossing for every section."""
+def counted(texts: Iterator[tuple[str, np.ndarray]], rule: str, vocabulary: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, tokens, crossing tokens) of the sections of each text with the ends of its sections."""
+    lengths, rows = byte_lengths(vocabulary), []
+    for text, ends in texts:
+        tokens, crossing = allocate(np.cumsum(lengths[encode_document(text, vocabulary)]), ends, rule)
+        rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
+    return rows
+
+
+def result_type(rule: str) -> str:
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    kind = "double" if rule == "share" else "long"
+    return f"n_bytes array<long>, n_tokens array<{'double' if rule == 'share' else 'long'}>, n_crossing array<long>"
+
+
+def field_tokens(docs: DataFrame, fields: list[str], rule: str = "most", vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, field, n_bytes, n_tokens, n_crossing: the named fields of a row, one after the other, are one document,
+    encoded once; a token over the border of two fields is allocated by the rule. A null field is empty."""
+
+    @F.pandas_udf(result_type(rule))
+    def count(*columns: pd.Series) -> pd.DataFrame:
+        parts = [[(x or "").encode() for x in row] for row in zip(*columns)]
+        rows = counted(((b"".join(p).decode(), np.cumsum([len(x) for x in p])) for p in parts), rule, vocabulary)
+        return pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
+
+    each = docs.select("doc_id", count(*[F.col(f"`{f}`").cast("string") for f in fields]).alias("c"))
+    names = F.array(*[F.lit(f) for f in fields]).alias("field")
+    each = each.select("doc_id", F.explode(F.arrays_zip(names, "c.n_bytes", "c.n_tokens", "c.n_crossing")).alias("s"))
+    return each.select("doc_id", F.col("s")["field"].alias("field"), "s.n_bytes", "s.n_tokens", "s.n_crossing")
+
+
+def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, section, n_bytes, n_tokens (double for `share`), n_crossing for every section."""
 
-    @F.pandas_udf(f"n_bytes array<long>, n_tokens array<{kind}>, n_crossing array<long>")
+    @F.pandas_udf(result_type(rule))
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lengths = byte_lengths(vocabulary)
         for texts in batches:
-            rows = []
-            for t in texts:
-                data = (t or "").encode()
-                ends = line_borders(data)
-                tokens, crossing = allocate(np.cumsum(lengths[encode_document(t or "", vocabulary)]), ends, rule)
-                rows.append((np.diff(ends, prepend=0), tokens if rule == "share" else tokens.astype(np.int64), crossing))
+            rows = counted(((t or "", line_borders((t or "").encode())) for t in texts), rule, vocabulary)
             yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "n_crossing"])
         give_back()
 

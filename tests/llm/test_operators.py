@@ -667,6 +667,20 @@ def test_attribution_equals_brute_force(spark, docs, rule):
         assert list(by[doc]["n_bytes"]) == sizes and np.allclose(by[doc]["n_tokens"], counts)
 
 
+def test_attribution_to_fields(spark):
+    rows = [(1, "Hello wor", "ld, again", None), (2, None, None, None), (3, "", "naïve 日", "本 x")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string, field string")
+    for rule in attribution.RULES:
+        got = {(r["doc_id"], r["field"]): r for r in attribution.field_tokens(df, ["title", "body", "field"], rule).collect()}
+        for doc, *parts in rows:
+            whole = "".join(p or "" for p in parts)
+            ends = np.cumsum([len((p or "").encode()) for p in parts])
+            tokens_, crossing = attribution.allocate(np.cumsum(tokens.byte_lengths()[tokens.encode_document(whole)]), ends, rule)
+            assert [got[doc, f]["n_tokens"] for f in ("title", "body", "field")] == list(tokens_) and sum(tokens_) == len(tokens.encode_document(whole))
+            assert [got[doc, f]["n_bytes"] for f in ("title", "body", "field")] == [len((p or "").encode()) for p in parts]
+    assert got[1, "title"]["n_crossing"] == 1
+
+
 def test_attribution_odd_rows(spark, odd, none):
     got = attribution.section_tokens(odd).toPandas()
     assert got["n_bytes"].sum() == sum(len((r["text"] or "").encode()) for r in odd.select("text").collect())
