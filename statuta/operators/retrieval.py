@@ -90,18 +90,22 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, all_terms: bo
     return (g.where("_have = _want") if all_terms else g).drop("_want", "_have")
 
 
-def nearest(vectors: DataFrame, key: str, v: str, queries: DataFrame) -> DataFrame:
-    """(query, key, distance) over all vectors, filtered beforehand; queries has (query, v).
+def met(rows: DataFrame, stated: DataFrame, key: str) -> DataFrame:
+    """Every row with every one of a stated set (a table of queries or centroids with a key).
 
-    Up to FEW queries are broadcast; more meet the vectors in blocks of that many, by a key.
+    Up to FEW of the set are broadcast; more meet the rows in blocks of that many, by a number.
     """
-    q, blocks = queries.select("query", F.col("v").alias("_q")), -(-queries.count() // FEW)
+    blocks = -(-stated.count() // FEW)
     if blocks <= 1:
-        met = vectors.join(F.broadcast(q))
-    else:
-        each = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = each.join(q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "_block")
-    return met.select("query", key, distance(F.col(v), F.col("_q")).alias("distance"))
+        return rows.join(F.broadcast(stated))
+    each = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.join(stated.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "_block").drop("_block")
+
+
+def nearest(vectors: DataFrame, key: str, v: str, queries: DataFrame) -> DataFrame:
+    """(query, key, distance) over all vectors, filtered beforehand; queries has (query, v)."""
+    both = met(vectors, queries.select("query", F.col("v").alias("_q")), "query")
+    return both.select("query", key, distance(F.col(v), F.col("_q")).alias("distance"))
 
 
 def ranked(hits: DataFrame, by: list[Column], limit: int, name: str = "rank") -> DataFrame:

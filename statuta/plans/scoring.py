@@ -23,7 +23,7 @@ def a17_centroid(t):
 def _similar(t):
     """Cosine of every vector with every label's centroid: ten labels."""
     c = impact.as_vectors(impact.centroids(t.embeddings, "label", "embedding"), "label").withColumnRenamed("label", "code")
-    return t.embeddings.join(F.broadcast(c)).select("vec_id", "label", "code", values.cosine(F.col("embedding"), F.col("centroid")).alias("cos"))
+    return retrieval.met(t.embeddings, c, "code").select("vec_id", "label", "code", values.cosine(F.col("embedding"), F.col("centroid")).alias("cos"))
 
 
 _COS = """
@@ -46,7 +46,7 @@ def a19_topk_mean(t):
     """Mean of the best z-scores per document and code."""
     s = _similar(t)
     stats = s.groupBy("code").agg(F.avg("cos").alias("mean"), F.stddev_pop("cos").alias("sd"))
-    z = s.join(F.broadcast(stats), "code").withColumn("z", values.zscore(F.col("cos"), F.col("mean"), F.col("sd")))  # ten codes
+    z = s.join(stats, "code").withColumn("z", values.zscore(F.col("cos"), F.col("mean"), F.col("sd")))
     b = impact.best_mean(z.withColumn("doc", F.floor(F.col("vec_id") / 5)), ["doc", "code"], "z", ["vec_id"], 3)
     return b.select("doc", "code", F.round("score", 5).alias("score"))
 
