@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import give_back
+from statuta.llm.common import give_back, written_by_batches
 from statuta.llm.tokens import VOCABULARY, byte_lengths, encode_document
 
 RULES = ("first", "most", "share")
@@ -102,4 +102,4 @@ def section_tokens(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABU
 
     each = docs.select("doc_id", count("text").alias("c"))
     each = each.select("doc_id", F.posexplode(F.arrays_zip("c.n_bytes", "c.n_tokens", "c.n_crossing")).alias("section", "s"))
-    return each.select("doc_id", "section", "s.n_bytes", "s.n_tokens", "s.n_crossing")
+    return written_by_batches(each.select("doc_id", "section", "s.n_bytes", "s.n_tokens", "s.n_crossing"), "attribution-sections")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import fresh, give_back, written, written_by_batches
+from statuta.llm.common import fresh, give_back, small, written, written_by_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -177,12 +177,18 @@ def told(docs: DataFrame, text: str, **bounds: int) -> Column:
 
 
 def predicted(docs: DataFrame, *columns: str, **bounds: int) -> DataFrame:
-    """The named columns of docs with held_out, lang_pred and score."""
+    """The named columns of docs with held_out, lang_pred and score, as a written table."""
     rows = docs.select(fresh(docs).alias("doc")).withColumn("told", told(docs, "doc.text", **bounds))
-    return rows.select(*[F.col(f"doc.`{c}`") for c in columns], held_out(F.col("doc.doc_id")).alias("held_out"), "told.lang_pred", "told.score")
+    rows = rows.select(*[F.col(f"doc.`{c}`") for c in columns], held_out(F.col("doc.doc_id")).alias("held_out"), "told.lang_pred", "told.score")
+    return written_by_batches(rows, "language-told")
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is told with a score of at least `least`, columns as given."""
-    rows = docs.select(fresh(docs).alias("doc")).withColumn("told", told(docs, "doc.text"))
-    return rows.where((F.col("told.lang_pred") != UNKNOWN) & (F.col("told.score") >= least)).select("doc.*")
+    key = F.xxhash64("text")
+    rows = docs.select("doc_id", key.alias("key"), told(docs, "text").alias("told"))
+    lost = rows.where((F.col("told.lang_pred") == UNKNOWN) | (F.col("told.score") < least)).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+    # Equal texts are judged alike, so a row is known by its doc_id and text.
+    lost = small(written_by_batches(lost, "language-lost").distinct())
+    rows = docs.select(fresh(docs).alias("doc"), key.alias("key"))
+    return rows.join(lost, F.col("doc.doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left_anti").select("doc.*")

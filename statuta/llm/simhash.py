@@ -387,16 +387,18 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, order: Order) -
 def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, set) of the asked classes (a written table), from the texts of their smallest doc_ids."""
 
-    @F.pandas_udf("cls long, set binary")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        x = [shingles(t) for t in texts]
-        return pd.DataFrame({"cls": np.array([class_of(s) for s in x], np.uint64).view(np.int64), "set": [s.tobytes() for s in x]})
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = [shingles(t) for t in f["text"]]
+            yield pd.DataFrame({"cls": np.array([class_of(s) for s in x], np.uint64).view(np.int64), "set": [s.tobytes() for s in x]})
+        give_back()
 
     wanted = names.join(asked, "cls").select(F.col("cls").alias("_cls"), F.nullif("first", F.lit(NO_ID)).alias("_d"))
     wanted = small(written(wanted.select("_d").distinct(), "simhash-wanted"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    sets = texts.select(whole("text").alias("s")).select("s.*")
-    return sets.join(small(asked), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = texts.select("text").mapInPandas(whole, "cls long, set binary").join(small(asked), "cls", "left_semi")
+    sets = written_by_batches(sets, "simhash-sets")
+    return sets if sets.count() <= asked.count() else sets.dropDuplicates(["cls"])  # rows may repeat a doc_id and a set
 
 
 def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
@@ -414,7 +416,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
     likely = pairs.join(a, "u").join(b, "v").where(possible("_u.head", "_u.n", "_v.head", "_v.n")).select("u", "v")
     likely = written(likely, "simhash-likely")
     asked = written(ends(likely), "simhash-asked")
-    sets = written_by_batches(sets_of(asked, names, docs), "simhash-sets")
+    sets = sets_of(asked, names, docs)
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -432,7 +434,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
 def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, order: Order, rounds: int = 1) -> DataFrame:
     """links and, between their components, links of classes (cls, n, head) that are similar enough.
 
-    First each class only meets one other of a shingle's, which joins large groups of near copies;
+    First each class only meets the smallest of a shingle's, which joins large groups of near copies;
     last, all classes meet that share a shingle and are not in one component yet: no pair is left out.
     """
     rows = classes.select("cls", "n", F.explode("head").alias("s"))
@@ -446,7 +448,7 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
         named = written(named, "simhash-parts")
         other = F.struct(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("part").alias("_part"))
         if k < rounds:
-            met = named.groupBy("s").agg(F.min_by(other, F.xxhash64("cls", F.lit(k))).alias("o"), F.min("part").alias("_a"), F.max("part").alias("_b"))
+            met = named.groupBy("s").agg(F.min_by(other, "cls").alias("o"), F.min("part").alias("_a"), F.max("part").alias("_b"))
             met = met.where("_a <> _b").select("s", "o.*")
             pairs = named.join(met, "s").where((F.col("part") != F.col("_part")) & alike)
         else:

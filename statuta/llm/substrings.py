@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import NO_ID, fresh, give_back, partitions_of, text_parts
+from statuta.llm.common import NO_ID, fresh, give_back, partitions_of, text_parts, written_by_batches
 
 #: Documents of the sample for frequent words, a word's share of them that makes it frequent,
 #: most frequent words held; words of a batch; buckets for each input split; level of compression.
@@ -355,7 +355,7 @@ def with_ranges(docs: DataFrame, width: int) -> DataFrame:
 
 
 def digests(docs: DataFrame, width: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row, as a written table."""
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
     def digest(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -366,7 +366,7 @@ def digests(docs: DataFrame, width: int = 13) -> DataFrame:
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
     rows = with_ranges(docs.select("doc_id", "text"), width)
-    return rows.select("doc.doc_id", digest("doc.text", "ranges").alias("d")).select("doc_id", "d.*")
+    return written_by_batches(rows.select("doc.doc_id", digest("doc.text", "ranges").alias("d")).select("doc_id", "d.*"), "substrings-digests")
 
 
 def cleaned(docs: DataFrame, width: int = 13) -> DataFrame:
