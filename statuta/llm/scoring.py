@@ -247,6 +247,20 @@ def trained(rows: DataFrame, net: Network, share: int, rate: float, seed: int) -
     return Network(mean[0]) if mean and mean[1] else net
 
 
+def held_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(word, n) of the most frequent words, sorted by word: all whose count reaches the least eighth of an octave
+    that at most HELD words reach. That level comes from a histogram of a few hundred rows."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).toPandas().sort_values("level", ascending=False)
+    fits = sizes["level"][sizes["words"].cumsum() <= HELD]
+    if not len(fits):
+        return np.zeros(0, np.uint64), np.zeros(0)
+    top = words.where(level >= int(fits.min())).select("word", "n").toArrow()  # at most HELD rows
+    known, times = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.float64)
+    by = np.argsort(known)
+    return known[by], times[by]
+
+
 def fit(docs: DataFrame, rounds: int = 2, share: int = 2, rate: float = 0.1, words: DataFrame | None = None) -> tuple[np.ndarray, Network, DataFrame]:
     """(token of every bucket, network, table of encoded documents).
 
@@ -255,11 +269,9 @@ def fit(docs: DataFrame, rounds: int = 2, share: int = 2, rate: float = 0.1, wor
     words = word_counts(docs) if words is None else words
     counts = bucket_counts(words)
     token, occurrences = vocabulary(counts)
-    top = words.orderBy(F.col("n").desc(), "word").limit(HELD).toPandas()  # at most HELD rows
-    known = top["word"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(known)
+    known, times = held_words(words)
     shards = max(1, -(-int(counts.sum()) // SHARD))
-    rows = encoded(docs, token, occurrences, known[by], np.log(top["n"].to_numpy(np.float64))[by], shards)
+    rows = encoded(docs, token, occurrences, known, np.log(times), shards)
     net = Network.start(occurrences)
     for r in range(rounds):
         net = trained(rows, net, share, rate / (1 + r), r)
