@@ -414,7 +414,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
         return pd.Series([may_be_similar(*z, order) for z in zip(u, v, n, m)], dtype=bool)
 
     likely = pairs.join(a, "u").join(b, "v").where(possible("_u.head", "_u.n", "_v.head", "_v.n")).select("u", "v")
-    likely = written(likely, "simhash-likely")
+    likely = written_by_batches(likely, "simhash-likely")
     asked = written(ends(likely), "simhash-asked")
     sets = sets_of(asked, names, docs)
 
@@ -426,7 +426,7 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
         return pd.Series([i * (top + below) >= top * (len(p) + len(q)) for i, p, q in zip(both, u, v)], dtype=bool)
 
     a, b = (sets.select(F.col("cls").alias(x), F.col("set").alias(f"_{x}")) for x in "uv")
-    found = written(likely.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v"), "simhash-similar")
+    found = written_by_batches(likely.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v"), "simhash-similar")
     dropped(pairs, heads, likely, asked, sets)
     return found
 
