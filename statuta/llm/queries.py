@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import attribution, epsilon, language, licenses, mixing, packing, scoring, simhash, substrings, topk
+from statuta.llm import attribution, centroids, codes, epsilon, language, licenses, mixing, packing, scoring, sharding, simhash, substrings, topk
 from statuta.llm.common import table
 
 
@@ -52,11 +52,24 @@ def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op11_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, width=64)
+
+
+def op12_weighted_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def op13_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_masked_likelihood, op2_nra_top_k, op3_word_backoff_language, op4_substring_dedup, op5_vector_best_fit,
         op6_license_scan, op7_source_mix, op8_simhash_vptree, op9_offset_attribution, op10_epsilon_grid_join,
+        op11_partial_distance_clusters, op12_weighted_codebooks, op13_stratified_shards,
     )
 }
 
@@ -82,5 +95,51 @@ r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r J
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
+
+def _nearest(n: int, row: str) -> str:
+    """Round n: the nearest entry (c) of each row, of lower number at equal distances."""
+    pairs = f"SELECT x.{row.replace(', ', ', x.')}, y.c, sum((x.x - y.x) * (x.x - y.x))::BIGINT AS d FROM x JOIN c{n} y USING ({row.replace("r", "i", 1)}) GROUP BY ALL"
+    return f"a{n} AS MATERIALIZED (SELECT {row}, min_by(c, (d, c)) AS c, min(d) AS d FROM ({pairs}) GROUP BY {row})"
+
+
+def _moved(n: int, row: str, entry: str) -> str:
+    """The entries after round n: floors of means, unused ones as they were."""
+    means = f"SELECT {entry.replace('c', 'a.c')}, x.i, (sum(x.x) // count(*) - CASE WHEN sum(x.x) % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS x FROM a{n} a JOIN x USING ({row}) GROUP BY ALL"
+    return f"c{n + 1} AS MATERIALIZED (SELECT {entry}, i, coalesce(m.x, o.x) AS x FROM c{n} o LEFT JOIN ({means}) m USING ({entry}, i))"
+
+
+_CLUSTERS = f"""
+WITH {_VECTORS}, k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(v, lambda x: floor(64 * x)::BIGINT) AS q FROM e WHERE len(v) = 64),
+x AS MATERIALIZED (SELECT r, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM k),
+s AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM k QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM s),
+{", ".join(f"{_nearest(n, 'r')}, {_moved(n, 'r', 'c')}" for n in range(3))}, {_nearest(3, "r")},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c3 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a3 JOIN k USING (r) JOIN h USING (c)"""
+_CODES = f"""
+WITH {_VECTORS.replace("vec_id,", "vec_id, label,")},
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) AS r, vec_id, label, list_transform(v, lambda x: floor(256 * x)::BIGINT) AS q FROM e),
+x AS MATERIALIZED (SELECT r, (i - 1) // (n // 16) AS p, i, x FROM (SELECT r, unnest(q) AS x, generate_subscripts(q, 1) AS i, len(q) AS n FROM k)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS c, i, x FROM x WHERE r <= 64),
+{", ".join(f"{_nearest(n, 'r, p')}, {_moved(n, 'r, p', 'p, c')}" for n in range(2))}, {_nearest(2, "r, p")},
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, c, i)) AS h FROM c2),
+z AS (SELECT r, string_agg(lower(printf('%02x', c)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN z USING (r), h"""
+#: The checksum goes over the bytes with a table of 256 remainders.
+_SHARDS = """
+WITH RECURSIVE p(n, c) AS (SELECT 0, range(256)::UINTEGER[] UNION ALL SELECT n + 1, list_transform(c, lambda x: xor(x >> 1, (x & 1) * 3988292384)::UINTEGER) FROM p WHERE n < 8),
+t AS (SELECT c AS crc FROM p WHERE n = 8),
+d AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UINTEGER) AS b,
+('0x' || substr(md5('13:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+z AS (SELECT doc_id, source, size, h, xor(list_reduce(list_prepend(4294967295::UINTEGER, b), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS LAST) - 1 AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total,
+(('0x' || substr(md5('13:' || coalesce(source, '')), 1, 15))::BIGINT::DOUBLE + 0.5) / 1152921504606846976::DOUBLE AS u FROM z),
+g AS (SELECT *, row_number() OVER (ORDER BY (r::DOUBLE + u) / n::DOUBLE, source NULLS LAST, r) - 1 AS i FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (i * 8 // total)::INT AS shard, (i - ((i * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard FROM g"""
+
 #: Queries that SQL can express.
-SQL: dict[str, str] = {"op2_nra_top_k": _TOP_K, "op4_substring_dedup": _WINDOWS, "op6_license_scan": licenses.scan_sql(), "op10_epsilon_grid_join": _COMPONENTS}
+SQL: dict[str, str] = {
+    "op2_nra_top_k": _TOP_K, "op4_substring_dedup": _WINDOWS, "op6_license_scan": licenses.scan_sql(), "op10_epsilon_grid_join": _COMPONENTS,
+    "op11_partial_distance_clusters": _CLUSTERS, "op12_weighted_codebooks": _CODES, "op13_stratified_shards": _SHARDS,
+}
