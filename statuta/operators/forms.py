@@ -44,8 +44,9 @@ def audience(state: Column, business: Column, person: Column, kind: Column, veto
 
 
 def body_references(body: Column, most: int = 8, head: int = 4000) -> Column:
-    """The first distinct numbers of strict shape in the head of a body."""
-    found = F.regexp_extract_all(F.substring(F.coalesce(body, F.lit("")), 1, head), F.lit(r"\b\d+/\d{4}/[A-ZĐ][A-ZĐa-z0-9\-]*"), F.lit(0))
+    """The first distinct numbers of strict shape in the head of a body: a running number, a year of this or the last
+    century and two to fifteen capitals, digits and hyphens. Telephone, tax and account numbers are none."""
+    found = F.regexp_extract_all(F.substring(F.coalesce(body, F.lit("")), 1, head), F.lit(r"(?U)\b\d{1,4}[A-ZĐ]?/(?:19|20)\d{2}/[A-ZĐ][A-ZĐ0-9\-]{1,14}\b"), F.lit(0))
     return F.slice(F.array_distinct(found), 1, most)
 
 

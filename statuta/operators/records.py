@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.text import fold, shorten
-from statuta.operators import markup
+from statuta.operators import trees
 from statuta.operators.forms import body_references
 
+#: Kinds of documents that stand before a number.
+KINDS = (
+    "Bộ luật", "Luật", "Pháp lệnh", "Hiến pháp", "Nghị quyết", "Nghị quyết liên tịch", "Nghị định", "Quyết định", "Chỉ thị", "Thông tư",
+    "Thông tư liên tịch", "Công văn", "Thông báo", "Kế hoạch", "Hướng dẫn", "Lệnh", "Sắc lệnh",
+)
+
 
 def kept_in_order(df: DataFrame, key: str, items: str, allowed: DataFrame, name: str) -> DataFrame:
     """(key, items): of each list the items that are in `allowed` (column name), in the list's order."""
@@ -75,38 +81,105 @@ def chained(done: DataFrame, affected: DataFrame, queued: DataFrame) -> DataFram
     return rows.dropDuplicates(["key"]).join(queued.select("key"), "key", "left_anti")
 
 
-_ITEM = r"""<p class="nqTitle">\s*<a href="(/(bieumau|hopdong)/(\d+)/([^"]*))"[^>]*>([\s\S]*?)</a>"""
+_PATH = r"^/(bieumau|hopdong)/(\d+)/([^/?#]*)"
+_DAY = r"(\d{1,2}/\d{1,2}/\d{4})"
+
+
+def _day(text: Column) -> Column:
+    """The first day/month/year of a text; null if there is none or it is no date."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(text, _DAY, 1), F.lit("")), F.lit("d/M/yyyy")).cast("date")
 
 
-def listing(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, form_key, url, title, pos, total, has_next): items of listing pages, the first of each form of a page.
+def listing(pages: DataFrame, key: str, html: str, base: str = "") -> DataFrame:
+    """(key, form_key, source, external_id, slug, title, url, keywords, updated_on, pos, total, has_next, error): items of
+    listing pages, the first of each form of a page.
 
-    total is the count that the page states, if any.
+    An item is a link right inside a title paragraph; its keywords and its date stand in the row around it. total is the
+    count that the page states, if any. A page that can't be read is one row with an error and no item; a page
+    without items gives no row.
     """
-    found = F.regexp_extract_all(html, F.lit(_ITEM), F.lit(0))
-    said = F.regexp_replace(F.regexp_extract(html, r"Tìm thấy\s+([\d.,]+)\s+biểu mẫu", 1), "[.,]", "")
-    more = F.lower(F.array_join(F.regexp_extract_all(html, F.lit(r"<a[^>]*>([^<]*)</a>"), F.lit(1)), "\n")).contains("trang sau")
-    e = pages.select(key, F.posexplode(found).alias("pos", "_x"), said.try_cast("int").alias("total"), more.alias("has_next"))
-    part = lambda i: F.regexp_extract("_x", _ITEM, i)
-    title = F.trim(F.regexp_replace(F.regexp_replace(part(5), r"<[^>]*>", ""), r"(?U)\s+", " "))
-    rows = e.select(key, F.concat(part(2), F.lit("-"), part(3)).alias("form_key"), part(1).alias("url"), title.alias("title"), "pos", "total", "has_next")
-    first = rows.groupBy(key, "form_key").agg(F.min_by(F.struct("url", "title", "pos", "total", "has_next"), "pos").alias("_r"))
-    return first.select(key, "form_key", "_r.*")
-
-
-def detail(pages: DataFrame, key: str, html: str, least: int = 200) -> DataFrame:
-    """(key, title, body, updated_on, refs, status) of form pages; a body that is too short is no error of the
-    job but a status, EMPTY_BODY. References come from the page's field, else from the body."""
-    span = F.regexp_extract(html, r"(?s)<p>[^<]*(?:Biểu mẫu|Mẫu hợp đồng)[^<]*=&gt;\s*<span>(.*?)</span>", 1)
-    title = F.trim(F.coalesce(F.nullif(span, F.lit("")), F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)))
-    day = F.to_date(F.nullif(F.regexp_extract(html, r"Cập nhật:?\s*(\d{2}/\d{2}/\d{4})", 1), F.lit("")), "dd/MM/yyyy")
-    field = field_references(F.regexp_extract(html, r'(?s)<div class="can-cu">(.*?)</div>', 1))
-    body = markup.clean_text(F.regexp_extract(html, r'(?s)<div class="body">(.*?)</div>', 1))
-    p = pages.select(key, title.alias("title"), body.alias("body"), day.alias("updated_on"), field.alias("_field"))
-    labels = F.transform("_field", lambda s: s["label"])
-    refs = F.when(F.size("_field") > 0, labels).otherwise(body_references(F.col("body")))
+    p = pages.select(F.col(key), trees.tree(F.col(html)).alias("_t"))
+    text = F.col("_t.text")
+
+    def item(a: Column, divs: Column, words: Column) -> Column:
+        around = F.filter(divs, lambda d: trees.within(a, d))
+        striped = F.filter(around, lambda d: F.exists(d["classes"], lambda c: c.rlike(r"^content-\d+$")))
+        path = lambda i: F.regexp_extract(a["attrs"]["href"], _PATH, i)
+
+        def row(block: Column) -> Column:
+            said = F.transform(F.filter(words, lambda k: trees.within(k, block)), lambda k: trees.text_of(text, k))
+            right = trees.first(F.filter(divs, lambda d: trees.within(d, block) & F.array_contains(d["classes"], "right-col")))
+            return F.struct(
+                F.concat(path(1), F.lit("-"), path(2)).alias("form_key"), path(1).alias("source"), path(2).alias("external_id"), path(3).alias("slug"), trees.text_of(text, a).alias("title"),
+                F.concat(F.lit(base), a["attrs"]["href"]).alias("url"), F.filter(said, lambda k: k != "").alias("keywords"), _day(trees.text_of(text, right)).alias("updated_on"), block.isNotNull().alias("_held"),
+            )
+
+        return trees.bound(F.coalesce(trees.nearest(striped), trees.nearest(around)), row)
+
+    def items(nodes: Column) -> Column:
+        titled = lambda n: trees.select(F.array(trees.parent(nodes, n)), "p", "nqTitle")
+        links = trees.select(nodes, "a", where=lambda n: (F.size(titled(n)) > 0) & n["attrs"]["href"].rlike(_PATH))
+        bots = trees.select(nodes, "p", "links-bot")
+        inner = trees.bound(bots, lambda b: trees.select(nodes, "a", where=lambda n: F.exists(b, lambda p: trees.within(n, p))))
+        return trees.bound(trees.select(nodes, "div"), lambda divs: trees.bound(inner, lambda words: F.transform(links, lambda a: item(a, divs, words))))
+
+    said = F.regexp_extract(trees.joined(text, " "), r"(?iU)Tìm thấy\s*([\d.,]+)\s*(?:biểu\s*)?mẫu", 1)
+    more = F.exists(trees.select(F.col("_t.nodes"), "a"), lambda a: F.lower(trees.text_of(text, a)).contains("trang sau"))
+    p = p.select(key, items(F.col("_t.nodes")).alias("_items"), F.regexp_replace(said, "[.,]", "").try_cast("int").alias("total"), more.alias("has_next"), F.col("_t.error").alias("error"))
+    kept = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast(p.schema["_items"].dataType.elementType))).otherwise(F.filter("_items", lambda i: i["_held"]))
+    e = p.select(key, F.posexplode(kept).alias("pos", "_i"), "total", "has_next", "error")
+    rows = e.select(key, "_i.*", "pos", "total", "has_next", "error").drop("_held")
+    return rows.groupBy(key, "form_key").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (key, "form_key")]), "pos").alias("_r")).select(key, "form_key", "_r.*")
+
+
+def detail(pages: DataFrame, key: str, html: str, base: str = "", kinds: tuple[str, ...] = KINDS, least: int = 200) -> DataFrame:
+    """(key, title, body_html, body, updated_on, refs, status) of form pages.
+
+    The title stands in the path line, else in the page's title; the day and the references in the span under it; the
+    body in its own element, else in the first large one of the frame around it. refs: doc_num (without the kind before it),
+    label, url, document_id and source (`field` or `body`): where the page names none, those of the head of the
+    body count. A body that is too short is no error of the job but a status, EMPTY_BODY; a page that can't be read
+    has the status UNREADABLE.
+    """
+    p = pages.select(F.col(key), F.col(html).alias("_html"), trees.tree(F.col(html)).alias("_t"))
+    text, nodes = F.col("_t.text"), F.col("_t.nodes")
+    plain = lambda n: trees.joined(trees.raw_text(text, n))
+    spans = trees.select(nodes, "span", where=lambda n: (trees.parent(nodes, n)["tag"] == "p") & plain(n).contains("Cập nhật:"))
+
+    def path_line(n: Column) -> Column:
+        return trees.bound(plain(n), lambda t: t.contains("=>") & (t.contains("Biểu mẫu") | t.contains("Mẫu hợp đồng")))
+
+    said = trees.bound(trees.first(trees.select(nodes, "p", where=path_line)), lambda line: trees.text_of(text, trees.first(trees.select(nodes, "span", where=lambda n: trees.within(n, line)))))
+    head = trees.text_of(text, trees.first(trees.select(nodes, "title")))
+
+    def frame(outer: Column) -> Column:
+        large = trees.select(nodes, "div", where=lambda n: (n["parent"] == outer["at"]) & (F.length(trees.text_of(text, n)) >= least))
+        return F.coalesce(trees.first(large), outer)
+
+    body = F.coalesce(trees.first(trees.select(nodes, cls="divNoiDungBM")), trees.bound(trees.first(trees.select(nodes, "div", "divTNPL")), frame))
+
+    def field(span: Column) -> Column:
+        links = trees.select(nodes, "a", where=lambda n: trees.within(n, span) & n["attrs"]["href"].contains("/van-ban/"))
+
+        def ref(a: Column) -> Column:
+            href, label = a["attrs"]["href"], trees.text_of(text, a)
+            url = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
+            document = F.nullif(F.regexp_extract(href, r"(?i)-(\d+)\.aspx", 1), F.lit(""))
+            return F.struct(without_kind(label, kinds).alias("doc_num"), label.alias("label"), url.alias("url"), document.alias("document_id"), F.lit("field").alias("source"))
+
+        return F.filter(F.transform(links, ref), lambda r: r["label"] != "")
+
+    p = p.select(key, "_html", "_t", F.coalesce(F.nullif(said, F.lit("")), head, F.lit("")).alias("title"), trees.first(spans).alias("_span"), body.alias("_body"))
+    content = F.coalesce(trees.squeezed(trees.joined(trees.raw_text(text, F.col("_body")), "", "\n")), F.lit(""))
+    day = _day(F.regexp_extract(plain(F.col("_span")), rf"(?U)Cập\s*nhật:\s*{_DAY}", 1))
+    p = p.select(key, "title", trees.inner_html(F.col("_html"), F.col("_body")).alias("body_html"), content.alias("body"), day.alias("updated_on"),
+                 F.coalesce(field(F.col("_span")), F.array()).alias("_field"), F.col("_t.error").alias("_error"))
+    none = F.lit(None).cast("string")
+    told = F.transform(body_references(F.col("body")), lambda x: F.struct(x.alias("doc_num"), x.alias("label"), none.alias("url"), none.alias("document_id"), F.lit("body").alias("source")))
     short = F.length("body") < least
-    return p.select(key, "title", F.when(~short, F.col("body")).alias("body"), "updated_on", refs.alias("refs"), F.when(short, "EMPTY_BODY").otherwise("OK").alias("status"))
+    status = F.when(F.col("_error").isNotNull(), "UNREADABLE").when(short, "EMPTY_BODY").otherwise("OK")
+    kept = lambda c: F.when(~short, F.col(c)).alias(c)
+    return p.select(key, "title", kept("body_html"), kept("body"), "updated_on", F.when(F.size("_field") > 0, F.col("_field")).otherwise(told).alias("refs"), status.alias("status"))
 
 
 _REF = r'<a[^>]*href="[^"]*/van-ban/[^"]*?-(\d+)\.aspx"[^>]*>([^<]*)</a>'

@@ -324,30 +324,56 @@ def m09_chained_jobs(t):
     return records.chained(_jobs(t), affected, queued)
 
 
-@R.query("SELECT p_size, 'bieumau-' || p_partkey AS form_key, p_name AS title, 1234 AS total, p_size < 50 AS has_next FROM part")
+@R.query("""
+SELECT p_partkey // 20 AS page, CASE p_partkey % 3 WHEN 0 THEN 'hopdong-' ELSE 'bieumau-' END || p_partkey AS form_key, 'mau-' || p_partkey AS slug, p_name AS title, 1234 AS total, (p_partkey // 20) % 7 > 0 AS has_next,
+'https://x/' || CASE p_partkey % 3 WHEN 0 THEN 'hopdong' ELSE 'bieumau' END || '/' || p_partkey || '/mau-' || p_partkey || '?tab=1' AS url, p_brand || ';' || replace(p_type, 'POLISHED ', 'POLISHED & ') AS keywords,
+CASE WHEN p_partkey % 5 > 0 THEN DATE '2024-01-01' + (p_size::INT) END AS updated_on FROM part""")
 def s06_form_listing(t):
-    """Listing pages as items, one a form, with the stated total and whether a page follows."""
-    k = F.col("p_partkey").cast("string")
-    item = F.concat(F.lit('<div class="content-'), (F.col("p_partkey") % 2).cast("string"), F.lit('"><p class="nqTitle">\n<a href="/bieumau/'), k, F.lit("/mau-"), k, F.lit('">\n <b>'), "p_name", F.lit("</b>\n</a></p></div>"))
-    page = t.part.groupBy("p_size").agg(F.array_join(F.collect_list(F.concat(item, item)), "").alias("items"))
-    next_page = F.when(F.col("p_size") < 50, '<a href="?p=2">Trang sau »</a>').otherwise("")
-    html = F.concat(F.lit('<p>Tìm thấy 1.234 biểu mẫu</p><p class="nqTitle"><a href="/tin/1/x">x</a></p>'), "items", next_page)
-    return records.listing(page.select("p_size", html.alias("html")), "p_size", "html").select("p_size", "form_key", "title", "total", "has_next")
+    """Listing pages of at most twenty rows as items with keywords, dates, the stated total and whether a page follows.
+    Rows are nested and striped, attributes stand in any order, texts are cut into tags, each item stands there twice."""
+    lit, k = F.lit, F.col("p_partkey")
+    key = k.cast("string")
+    path = F.concat(F.when(k % 3 == 0, "/hopdong/").otherwise("/bieumau/"), key, lit("/mau-"), key, lit("?tab=1"))
+    mid = F.ceil(F.length("p_name") / 2).cast("int")
+    name = F.concat(lit("<b><span>"), F.substring("p_name", lit(1), mid), lit("</span><span>"), F.substring("p_name", mid + 1, lit(99)), lit("</span></b>"))
+    link = F.when(k % 2 == 0, F.concat(lit("<a title='a > b' class=t href=\""), path, lit('">'))).otherwise(F.concat(lit("<a href='"), path, lit("' title=\"x\">")))
+    words = F.concat(lit("<p class='x links-bot'>Từ khoá: <a href=/tu>"), "p_brand", lit("</a>, <a href=/tu><i> "), F.replace("p_type", lit("POLISHED "), lit("POLISHED &amp; ")), lit("\n</i></a><a> </a></p>"))
+    day = F.when(k % 5 > 0, F.date_format(F.date_add(lit("2024-01-01").cast("date"), F.col("p_size")), "'Cập nhật: 'd/M/yyyy")).otherwise("Cập nhật: 31/02/2024")
+    right = F.concat(lit("<div><div class='right-col small'><em>"), day, lit("</em></div></div>"))
+    item = F.concat(lit("<div class='row content-"), (k % 2).cast("string"), lit("'><div><p class='nqTitle big'>\n"), link, lit("\n"), name, lit("\n</a></p><div>x</div></div>"), words, right, lit("</div>"))
+    page = t.part.groupBy(F.floor(k / 20).alias("page")).agg(F.array_join(F.collect_list(F.concat(item, item)), "").alias("items"))  # twenty a page
+    head = lit("<title>x</title><script>var a = '<div class=content-1>';</script><p>Tìm thấy <b>1.234</b> biểu mẫu</p><p class='nqTitle'><a href='/tin/1/x'>x</a></p>")
+    more = F.when(F.col("page") % 7 > 0, "<div class=pages><a href='?p=2'><b>Trang</b> <span>sau</span> »</a>").otherwise("<!-- <a>Trang sau</a> --><a>Trang trước</a>")
+    got = records.listing(page.select("page", F.concat(head, "items", more).alias("html")), "page", "html", base="https://x")
+    return got.select("page", "form_key", "slug", "title", "total", "has_next", "url", F.array_join("keywords", ";").alias("keywords"), "updated_on")
 
 
 @R.query("""
+WITH b AS (SELECT *, 'Căn cứ số ' || p_partkey % 10000 || '/2024/NĐ-CP, điện thoại 028/3930/3279.' || ' ' || repeat(p_name || ' ', p_size) AS body FROM part),
+d AS (SELECT *, length(trim(body)) >= 200 AS fine FROM b)
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'T ' || p_brand END AS title, CASE WHEN p_partkey % 3 > 0 THEN DATE '2024-02-05' END AS updated_on,
-CASE WHEN p_partkey % 5 = 0 THEN 'Luật 1' ELSE p_partkey || '/2024/NĐ-CP' END AS refs, CASE WHEN length(p_partkey || '/2024/NĐ-CP' || repeat(chr(10) || p_name, p_size)) < 200 THEN 'EMPTY_BODY' ELSE 'OK' END AS status FROM part""")
+CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 = 0 THEN '131/2025/TT-BTC|Thông tư 131/2025/TT-BTC|https://x/van-ban/a-77.aspx|77|field;Luật Thuế|Luật Thuế|http://y/van-ban/b||field'
+  ELSE (p_partkey % 10000) || '/2024/NĐ-CP|' || (p_partkey % 10000) || '/2024/NĐ-CP|||body' END AS refs,
+CASE WHEN fine THEN 'OK' ELSE 'EMPTY_BODY' END AS status, CASE WHEN fine THEN sha256(trim(body)) END AS body FROM d""")
 def s07_form_detail(t):
-    """Form pages as title, day, references and a status for bodies that are too short."""
-    k = F.col("p_partkey")
-    span = F.when(k % 2 == 0, F.concat(F.lit("<p>Biểu mẫu =&gt; <span> "), "p_name", F.lit("</span></p>"))).otherwise("")
-    day = F.when(k % 3 > 0, "<i>Cập nhật: 05/02/2024</i>").otherwise("")
-    field = F.when(k % 5 == 0, '<div class="can-cu"><a href="/van-ban/x/luat-77.aspx">Luật 1</a> <a href="/tin/2">y</a></div>').otherwise("")
-    body = F.concat(F.lit('<div class="body"><p>'), k.cast("string"), F.lit("/2024/NĐ-CP"), F.repeat(F.concat(F.lit("\n "), "p_name"), F.col("p_size")), F.lit("</p></div>"))
-    html = F.concat(F.lit("<title>T "), "p_brand", F.lit("</title>"), span, day, field, body)
-    d = records.detail(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html")
-    return d.select("p_partkey", "title", "updated_on", F.array_join("refs", ",").alias("refs"), "status")
+    """Form pages of both kinds as title, body, day, references and a status for bodies that are too short. Blocks
+    are nested, words cut into tags, attributes stand in any order."""
+    lit, k = F.lit, F.col("p_partkey")
+    cut = lambda c: F.concat(F.substring(c, lit(1), lit(7)), lit("</span><span>"), F.substring(c, lit(8), lit(99)))
+    path = F.when(k % 2 == 0, F.concat(lit("<p>Trang chủ =&gt; <i>Biểu mẫu</i> =&gt; <span> "), "p_name", lit(" </span></p>"))).otherwise("<p>Biểu mẫu</p>")
+    links = "<a class=q href='/van-ban/a-77.aspx'>Thông tư <b>131/2025/TT-BTC</b></a> <a href='/tin/2'>y</a> <a href=\"http://y/van-ban/b\">Luật Thuế</a>"
+    meta = F.when(k % 3 > 0, F.concat(lit("<p><span style='x'><b>Cập nhật:</b> 5/02/2024 "), F.when(k % 5 == 0, f"Căn cứ: {links}").otherwise(""), lit("</span></p>"))).otherwise(f"<p><b>{links}</b></p>")
+    start = F.concat(lit("<div><p><span>Căn cứ </span><span>số "), (k % 10000).cast("string"), lit("/2024/NĐ</span><span>-CP, điện thoại 028/3930/3279.</span></p></div>"))
+    body = F.concat(start, F.repeat(F.concat(lit("<div><span>"), cut(F.col("p_name")), lit("</span></div>")), F.col("p_size")))
+    share = lit("<div class='share'>In / Zing Me</div>")
+    own = F.concat(lit("<div id=b class=\"a divNoiDungBM\" style=x>"), body, lit("</div>"), share)
+    frame = F.concat(lit("<div class='divTNPL'>"), share, lit("<div>"), body, lit("</div>"), lit("<div>"), F.repeat(lit("quảng cáo "), lit(30)), lit("</div></div>"))
+    short = F.concat(lit("<div class='divTNPL'>"), body, lit("</div>"))  # too short for a block of its own: the whole frame
+    large = F.length(F.concat(lit("Căn cứ số "), (k % 10000).cast("string"), lit("/2024/NĐ-CP, điện thoại 028/3930/3279."), F.repeat("p_name", F.col("p_size")))) >= 200  # without breaks
+    html = F.concat(lit("<html><title>T "), "p_brand", lit("</title><body>"), path, meta, F.when(k % 4 < 2, own).otherwise(F.when(large, frame).otherwise(short)))
+    d = records.detail(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html", base="https://x")
+    refs = F.transform("refs", lambda r: F.concat_ws("|", r["doc_num"], r["label"], F.coalesce(r["url"], lit("")), F.coalesce(r["document_id"], lit("")), r["source"]))
+    return d.select("p_partkey", "title", "updated_on", F.array_join(refs, ";").alias("refs"), "status", F.sha2("body", 256).alias("body"))
 
 
 @R.query("""
