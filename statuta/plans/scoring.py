@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuta.functions import values
-from statuta.operators import graph, impact, retrieval
+from statuta.operators import cells, graph, impact, index, retrieval
+from statuta.operators.kept import generations
 from statuta.plans.tables import Registry
+from statuta.session import shared_folder
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -111,15 +115,21 @@ r AS (SELECT query, doc_id, round(score, 5) AS score, row_number() OVER (PARTITI
 """
 
 
+def _kept(t, name, build):
+    """Where a table's index is: it is made once an application and read by every search after that."""
+    spark = t.documents.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{hashlib.sha256(t._folder.encode()).hexdigest()[:16]}"
+    return path if generations(spark, path) else build(path)
+
+
 def _text_hits(t, limit=100):
-    hits = retrieval.bm25(t.documents, "doc_id", "text", _searches(t))
-    hits = hits.withColumn("score", F.round("score", 5))
-    return retrieval.ranked(hits, [F.desc("score"), F.col("doc_id")], limit)
+    path = _kept(t, "index", lambda p: index.build(t.documents, "doc_id", F.col("text"), p))
+    return index.search(t.documents.sparkSession, path, _searches(t), limit, digits=5).withColumnRenamed("key", "doc_id")
 
 
 @R.query("WITH " + _BM25 + "SELECT query, doc_id, score, rank FROM r WHERE rank <= 100")
 def r02_bm25(t):
-    """Full-text top 100 of several searches."""
+    """Full-text top 100 of several searches, from a kept index."""
     return _text_hits(t).select("query", "doc_id", "score", "rank")
 
 
@@ -134,13 +144,13 @@ k AS (SELECT q.vec_id::INT AS query, v.vec_id, round(list_distance(q.v, v.v), 6)
 
 
 def _near(t, limit=50):
-    hits = retrieval.nearest(t.embeddings, "vec_id", "embedding", _asked(t)).withColumn("distance", F.round("distance", 6))
-    return retrieval.ranked(hits, [F.col("distance"), F.col("vec_id")], limit)
+    path = _kept(t, "cells", lambda p: cells.build(t.embeddings, "vec_id", "embedding", p))
+    return cells.search(t.embeddings.sparkSession, path, _asked(t), limit, digits=6).withColumnRenamed("key", "vec_id")
 
 
 @R.query("WITH " + _KNN + "SELECT query, vec_id, distance, rank FROM k WHERE rank <= 50")
 def r03_knn(t):
-    """Nearest vectors of stated queries, filtered first."""
+    """Nearest vectors of stated queries, from kept cells."""
     return _near(t).select("query", "vec_id", "distance", "rank")
 
 
