@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function of (spark, sf_dir)) and SQL (name -> text).
-MODULES: list[str] = [f"statuta.plans.{m}" for m in ("rankings", "joining", "aggregating", "texts", "scoring", "assembling", "records", "further")]
+MODULES: list[str] = [f"statuta.plans.{m}" for m in ("rankings", "joining", "aggregating", "texts", "scoring", "assembling", "records", "further", "streams")]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from statuta.functions.facts import hierarchy
 from statuta.functions.values import any_date
+from statuta.streaming.scans import whole_row
 
 #: Reference kinds by code; other codes are not verified and keep their number.
 RELATIONS = {1: "Bãi bỏ", 3: "Căn cứ", 9: "Căn cứ", 10: "Sửa đổi, bổ sung", 12: "Thay thế"}
@@ -67,9 +68,9 @@ def reference_rows(items: DataFrame) -> DataFrame:
 
 
 def incremental(items: DataFrame, cutoff: Column) -> DataFrame:
-    """Items by id, once each, not older than the cutoff."""
+    """Items by id, once each (the latest, of several the one of the smallest hash), not older than the cutoff."""
     d = items.withColumn("_d", any_date(F.col("issueDate")))
-    r = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_d")))
+    r = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_d"), *whole_row(items)))
     return d.where(F.col("_d") >= cutoff).withColumn("_r", r).where("_r = 1").drop("_r", "_d")
 
 

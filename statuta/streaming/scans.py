@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.window import Window
 
+from statuta.streaming.keyed import PROVIDER, ROCKS
+
+
+def whole_row(rows: DataFrame) -> list[Column]:
+    """An order of rows that leaves nothing to chance: a hash of all columns, then those that have an order."""
+    known = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return [F.xxhash64(*known), *known]
+
 
 def new_rows(rows: DataFrame, key: str, at: str, cutoff: Column) -> DataFrame:
-    """One row a key (the latest) not older than the cutoff."""
-    r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))
+    """One row a key (the latest) not older than the cutoff; of several the one of the smallest hash of all columns."""
+    r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), *whole_row(rows)))
     return rows.where(F.col(at) >= cutoff).withColumn("_r", r).where("_r = 1").drop("_r")
 
 
@@ -36,34 +41,22 @@ def stream_latest(stream: DataFrame, key: list[str], at: str, lateness: str = "4
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(key)
 
 
-def stream_status_changes(stream: DataFrame, key: str, at: str, status: str) -> DataFrame:
-    """Status changes of a stream, with the last status of every key as state."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get[0] if state.exists else None
-        rows = []
-        for f in frames:
-            for t, new in f.sort_values(at)[[at, status]].itertuples(index=False):
-                if old is not None and new != old:
-                    rows.append((k[0], t, old, new))
-                old = new
-        if old is not None:
-            state.update((old,))
-        yield pd.DataFrame(rows, columns=[key, at, "old_status", "new_status"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, {at} timestamp, old_status string, new_status string"
-    return stream.select(key, at, status).groupBy(key).applyInPandasWithState(step, out, "status string", "append", GroupStateTimeout.NoTimeout)
-
-
 def monthly_counts(stream: DataFrame, at: str, lateness: str = "45 days") -> DataFrame:
     """Counts by 30-day windows of a stream."""
     return stream.withWatermark(at, lateness).groupBy(F.window(at, "30 days")).agg(F.count("*").alias("n"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drive a stream over all landed files once; the checkpoint advances only after the sink has the rows."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    """Drive a stream over all landed files once; the checkpoint advances only after the sink has the rows. The state
+    store is RocksDB; the session's own setting is put back."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+    query.awaitTermination()
 
 
 def land_snapshot(df: DataFrame, path: str, source: str, day: str) -> None:
