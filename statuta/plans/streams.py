@@ -18,7 +18,7 @@ QUERIES, SQL = R.queries, R.sql
 def _stream(t) -> DataFrame:
     """The events as a stream of files."""
     spark = t.events.sparkSession
-    return spark.readStream.schema(t.events.schema).parquet(f"{t._folder}/events.parquet")
+    return spark.readStream.schema(t.events.schema).parquet(f"{t._folder}/events.parquet*")  # a glob: a lone file is no folder
 
 
 def _ran(stream: DataFrame) -> DataFrame:
