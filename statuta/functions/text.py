@@ -125,19 +125,6 @@ def term_count(x: Column | str, term: str, traps: dict[str, tuple[str, ...]] | N
     return F.greatest(F.lit(0), hits)
 
 
-def weighted_terms(x: Column | str, weights: dict[str, float] | None = None, held_by: dict[str, tuple[str, ...]] | None = None, traps=None) -> Column:
-    """Sum of weight * count over terms; what a longer term holds isn't counted again."""
-    weights, held_by = weights or RESTRICTIONS, HELD_BY if held_by is None else held_by
-    low = F.lower(F.coalesce(_c(x), F.lit("")))
-    total = F.lit(0.0)
-    for term, weight in weights.items():
-        n = term_count(low, term, traps)
-        for longer in held_by.get(term, ()):
-            n = n - term_count(low, longer, traps)
-        total = total + F.greatest(F.lit(0), n) * weight
-    return total
-
-
 def token_overlap(a: Column | str, b: Column | str, longer_than: int = 2) -> Column:
     """Shared tokens as a share of the smaller token set."""
 

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.text import term_count
+from statuta.functions import phrases
 
 SURE, HEAD = 3, 1800
 
 
 def points(title: Column, body: Column, terms: list[str]) -> Column:
-    """Three for each hit in the title, one for any in the head of the body, summed over terms."""
-    low, start = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, HEAD))
-    total = F.lit(0)
-    for t in terms:
-        total = total + 3 * term_count(low, t) + F.least(F.lit(1), term_count(start, t))
-    return total
+    """Three for each hit in the title, one for any in the head of the body, summed over terms; all terms in one pass."""
+    return phrases.points(title, body, terms, HEAD)
 
 
 def kind_of_paper(title: Column, kinds: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statuta.functions import facts, text, values
+from statuta.functions import facts, phrases, text, values
 from statuta.operators import chunking, markup
 from statuta.plans.tables import Registry
 
@@ -38,28 +38,51 @@ def f03_word_count(t):
     return t.documents.select("doc_id", text.term_count(F.lower("text"), "the", {}).cast("double").alias("points"))
 
 
-TERMS = {"the": 3.0, "and": 2.0, "que": 1.0, "und": 1.0, "les": 0.5}
+#: Weights, phrases that hold shorter ones, and phrases that mislead.
+TERMS = {"the": 3.0, "and": 2.0, "que": 1.0, "und": 1.0, "les": 0.5, "of the": 2.0}
+HELD_BY, TRAPS = {"the": ("of the",)}, {"and": ("and the", "hand"), "que": ("es que",)}
 
+#: Every separator between two bars: a word or phrase is a plain string then, and neighbours share no border.
+_BARRED = r"'|' || regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', '|\1|', 'g') || '|'"
 
-@R.query(_count_sql(list(TERMS.items())))
-def f20_weighted_terms(t):
-    """Weighted sum of term counts."""
-    return t.documents.select("doc_id", text.weighted_terms("text", TERMS, {}, {}).alias("points"))
 
+def _hits(text: str, term: str) -> str:
+    """SQL: how often a term (an expression) stands in a barred text."""
+    return f"((length({text}) - length(replace({text}, '|' || replace({term}, ' ', '| |') || '|', ''))) // length('|' || replace({term}, ' ', '| |') || '|'))"
 
-CLASSES = {"E": ["the", "and", "with"], "F": ["les", "des", "que"], "G": ["und", "der", "mit"], "S": ["los", "por", "con"]}
 
+def _net(term: str) -> str:
+    trapped = "".join(f" - (length(low) - length(replace(low, '{x}', ''))) // length('{x}')" for x in TRAPS.get(term, ()))
+    return f"greatest(0, {_hits('d', repr(term))}{trapped})"
 
-@R.query("""
-WITH k AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')) AS k FROM documents),
-c(code, words) AS (VALUES ('E', ['the', 'and', 'with']), ('F', ['les', 'des', 'que']), ('G', ['und', 'der', 'mit']), ('S', ['los', 'por', 'con']))
-SELECT doc_id, code, len(list_intersect(k, words)) AS score FROM k, c WHERE len(list_intersect(k, words)) >= 2""")
+
+_POINTS = " + ".join(f"{w}::DOUBLE * greatest(0, {_net(t)}{''.join(f' - {_net(x)}' for x in HELD_BY.get(t, ()))})" for t, w in TERMS.items())
+
+
+@R.query(f"SELECT doc_id, {_POINTS} AS points FROM (SELECT doc_id, lower(text) AS low, {_BARRED.format('text')} AS d FROM documents)")
+def f20_weighted_terms(t):
+    """Weighted sum of term counts, less what longer terms hold and what misleads, in one pass."""
+    return t.documents.select("doc_id", phrases.weighted_total(F.col("text"), TERMS, HELD_BY, TRAPS).alias("points"))
+
+
+@R.query(f"""
+WITH b AS (SELECT 'N' || (item_id % 20) AS code, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM benchmark),
+l AS (SELECT DISTINCT code, w[i] || ' ' || w[i + 1] AS term FROM b, range(1, 6) r(i) WHERE len(w) > i UNION SELECT 'S' || (i % 5), 'src' || i FROM range(20) r(i) UNION SELECT 'L' || x, x FROM (VALUES ('en'), ('fr'), ('the'), ('que')) v(x)),
+d AS (SELECT doc_id, {_BARRED.format("array_to_string(string_split(text, ' ')[1:12], ' ')")} AS title, {_BARRED.format("source || ' ' || lang")} AS field, {_BARRED.format('text')} AS body FROM documents),
+s AS (SELECT doc_id, code, sum(3 * {_hits('title', 'term')} + 3 * {_hits('field', 'term')} + least(1, {_hits('body', 'term')})) AS score FROM d, l GROUP BY ALL)
+SELECT doc_id, code, score::INT AS score FROM s WHERE score >= 3""")
 def f21_class_scores(t):
-    """keywords found per class, classes of a least score."""
-    dim = t.documents.sparkSession.createDataFrame([(c, w) for c, ws in CLASSES.items() for w in ws], "code string, word string")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0)))
-    e = t.documents.select("doc_id", F.explode(words).alias("word"))
-    return e.join(F.broadcast(dim), "word").groupBy("doc_id", "code").agg(F.count("*").alias("score")).where("score >= 2")  # 12 words
+    """classes by hundreds of phrases: title three a hit, field three, body once a phrase; from three on.
+
+    The tables have no lexicon: phrases of two words of the benchmark's texts stand for one, first words for a title.
+    """
+    b = t.benchmark.select(F.concat(F.lit("N"), (F.col("item_id") % 20).cast("string")).alias("code"), F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    pair = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
+    spark = t.benchmark.sparkSession
+    more = spark.createDataFrame([(f"S{i % 5}", f"src{i}") for i in range(20)] + [(f"L{x}", x) for x in ("en", "fr", "the", "que")], "code string, term string")
+    lexicon = b.select("code", F.explode(pair).alias("term")).where("term IS NOT NULL").unionByName(more)
+    title, field = F.array_join(F.slice(F.split("text", " "), 1, 12), " "), F.concat("source", F.lit(" "), "lang")
+    return phrases.class_scores(t.documents, "doc_id", title, field, F.col("text"), lexicon, traps={})
 
 
 @R.query("""

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from statuta.functions import facts, text, values
+from statuta.functions import facts, phrases, text, values
 from statuta.operators import chunking, graph, impact, jobs, keys, markup, retrieval
 
 
@@ -35,9 +35,9 @@ def test_term_count_needs_borders_and_skips_traps(spark, term, sentence, n):
 
 
 def test_longer_terms_hold_shorter_ones(spark):
-    assert column(spark, "Nghiêm cấm", "string", text.weighted_terms) == 3.0
-    assert column(spark, "không được phép", "string", text.weighted_terms) == 2.0
-    assert column(spark, "buộc phải", "string", text.weighted_terms) == 3.0  # the short one counts, too
+    assert column(spark, "Nghiêm cấm", "string", phrases.weighted_total) == 3.0
+    assert column(spark, "không được phép", "string", phrases.weighted_total) == 2.0
+    assert column(spark, "buộc phải", "string", phrases.weighted_total) == 3.0  # the short one counts, too
 
 
 def test_number_keys(spark):
