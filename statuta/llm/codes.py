@@ -126,19 +126,19 @@ def quantised(embeddings: DataFrame, parts: int = 16, entries: int = 64, rounds:
     held = rows.where(F.size("q") == width)
     seeds = start_vectors(held, entries)
     books = [[s[p * size : (p + 1) * size] for s in seeds] for p in range(parts)]
-    whole = written(held.groupBy("q").agg(F.count("*").alias("copies")), "codes-whole")
+    whole = written(held.groupBy("q").agg(F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "codes-whole")
     cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.slice("q", p * size + 1, F.lit(size)))).alias("pos", "part")
     distinct = written(whole.select("copies", cut).groupBy("pos", "part").agg(F.sum("copies").alias("weight")), "codes-distinct")
     for _ in range(rounds):
         books = moved(distinct, books)
     # Back to the distinct vectors. A part that very many of them share is looked up where they are.
     facts = coded(distinct, books).select(F.struct("pos", "part").alias("key"), "code", "far", "weight")
-    named = whole.select("q", "copies", cut).select("q", F.struct("pos", "part").alias("key"))
+    named = whole.select("id", cut).select("id", F.struct("pos", "part").alias("key"))
     met = attached(named, written(facts, "codes-parts"), "key", "weight")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col("key.pos").alias("p"), "code"))), lambda x: x["code"])
     error = F.when(F.count("far") == parts, F.sum(F.col("far").cast(WIDE))).cast(WIDE)
-    done = met.groupBy("q").agg(in_order.alias("codes"), F.when(error <= F.lit(LONG), error).cast("long").alias("error"))  # a row a part
-    done = written(done.join(whole, "q").select("q", "codes", "error", "copies"), "codes-done")
+    done = met.groupBy("id").agg(in_order.alias("codes"), F.when(error <= F.lit(LONG), error).cast("long").alias("error"))  # a row a part
+    done = written(done.join(whole, "id").select("q", "codes", "error", "copies"), "codes-done")
     return attached(held, done, "q", "copies").select("vec_id", "label", "codes", "error").unionByName(other), books
 
 
