@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statuta.plans.tables import Registry
 from statuta.session import shared_folder
+from statuta.sources import paged, sinks
 from statuta.streaming import keyed, scans
 
 R = Registry()
@@ -44,3 +45,46 @@ def m03_stream_arrivals(t):
     """Rows of a stream that are new, or changed since the key's row before."""
     digest = F.concat("event_type", F.lit("/"), (F.col("event_id") % 3).cast("string"))
     return _ran(keyed.arrivals(_stream(t).withColumn("digest", digest), "user_id", "ts", "digest", tie="event_id", lateness="0 seconds"))
+
+
+def _pages(t) -> str:
+    """The events as responses, newest first, about fifty pages; each page but the first repeats the last item before it."""
+    size = max(1, t.events.count() // 50)
+    e = sinks.positioned(t.events.select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], "r")
+    item = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.concat("event_id", F.lit("/2024/QĐ")).alias("docNum"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("issueDate")))
+    page = (F.floor(F.col("r") / size) + 1).cast("int")
+    rows = e.select(F.explode(F.when(F.col("r") % size == size - 1, F.array(page, page + 1)).otherwise(F.array(page))).alias("p"), "r", item.alias("item"))
+    return paged.land(rows, f"{shared_folder(t.events.sparkSession)}/pages-{uuid.uuid4().hex}", "p", "r", "item")
+
+
+_PAGED = """
+n AS (SELECT greatest(1, count(*) // 50) AS size FROM events),
+p AS (SELECT event_id, ts::DATE AS issued, (row_number() OVER (ORDER BY ts DESC, event_id) - 1) AS r FROM events),
+q AS (SELECT event_id, issued, (r // size + 1)::INT AS page, r % size = size - 1 AS again FROM p, n),
+c AS (SELECT least(40, coalesce(min(page), 40)) AS stop FROM (SELECT page, issued FROM q UNION ALL SELECT page + 1, issued FROM q WHERE again) WHERE issued < DATE '{}')
+"""
+
+
+@R.query("WITH " + _PAGED.format("2024-01-20") + "SELECT event_id::VARCHAR AS id, page, issued FROM q, c WHERE page <= stop AND issued >= DATE '2024-01-20'")
+def s02_paged_scan(t):
+    """A registry read page by page up to the page that crosses a cutoff, forty at most, each id once."""
+    return paged.scan(t.events.sparkSession, _pages(t), "2024-01-20").select("id", "page", "issued")
+
+
+@R.query("WITH " + _PAGED.format("2024-01-25") + "SELECT event_id::VARCHAR AS id, min(page) AS page, count(*) AS n FROM (SELECT event_id, page, issued FROM q UNION ALL SELECT event_id, page + 1, issued FROM q WHERE again), c WHERE page <= stop AND issued >= DATE '2024-01-25' GROUP BY event_id")
+def s12_paged_stream(t):
+    """The same pages as a stream that is stopped after a few pages and goes on: no page twice, none left out."""
+    spark, path = t.events.sparkSession, _pages(t)
+    spark.dataSource.register(paged.PagedSource)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.format("paged").options(path=path, cutoff="2024-01-25", pages="4").load()
+    for once in (True, False):
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        if once:
+            q.trigger(availableNow=True).start().awaitTermination()
+        else:
+            run = q.trigger(processingTime="0 seconds").start()
+            run.processAllAvailable()
+            run.stop()
+    rows = spark.read.schema(paged.SCHEMA).parquet(f"{folder}/out")
+    return rows.groupBy("id").agg(F.min("page").alias("page"), F.count("*").alias("n"))
