@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuta.functions import values
-from statuta.operators import cells, graph, impact, index, retrieval
+from statuta.operators import cells, crawl, graph, impact, index, retrieval
 from statuta.operators.kept import generations
 from statuta.plans.tables import Registry
 from statuta.session import shared_folder
@@ -258,3 +259,23 @@ def g08_closure(t):
     seeds = t.customer.where("c_acctbal > 9800").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
     store = t.supplier.where("s_suppkey % 5 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
     return graph.closure(_edges(t), store, seeds, cap=2)
+
+
+@R.query()
+def g08_closure_rounds(t):
+    """The closure loop in two runs of half a budget: priorities, rounds, failures, hubs, what is pending.
+
+    Parts cite parts through the lines of orders; a part of size 7 isn't there, one of size 9 can't be read. SQL has no
+    loop over such state; tests hold it against one document at a time.
+    """
+    spark, n = t.part.sparkSession, t.part.count()
+    cited = F.col("l_partkey").cast("string")
+    relation = F.when(F.col("l_returnflag") == "A", "Căn cứ").when(F.col("l_returnflag") == "R", "Thay thế").otherwise("khác")
+    refs = t.lineitem.select((F.col("l_orderkey") % n + 1).cast("string").alias("source"), cited.alias("target"), F.concat(cited, F.lit("/2024")).alias("number"), relation.alias("relation"))
+    key = F.col("p_partkey").cast("string")
+    store = t.part.where("p_size <> 7").select(key.alias("node"), F.concat(key, F.lit("/2024")).alias("number"), F.when(F.col("p_size") == 9, "broken").alias("error"))
+    seeds = t.part.where("p_retailprice > 1900").select(key.alias("node"), F.lit(None).cast("int").alias("depth"))
+    path = crawl.start(f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}", seeds, refs)
+    for _ in range(2):
+        crawl.run(spark, path, refs, store, budget=max(1, n // 4), batch=min(crawl.MOST_BATCH, max(1, n // 5)), nodes=n, hub=2 * t.lineitem.count() // n)
+    return crawl.state(spark, path)[0].select("target", "state", "depth", "in_degree", F.round("priority", 6).alias("priority"), "attempts", "error")
