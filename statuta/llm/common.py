@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from statuta.session import dropped, written
 
-__all__ = ["NO_ID", "attached", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "small", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
+__all__ = ["NO_ID", "attached", "collected", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "small", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
 
 #: Stands for a missing doc_id inside operators: it is larger than every other id.
 NO_ID = (1 << 63) - 1
@@ -71,6 +72,14 @@ def partitions_of(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the driver find out which shuffles nothing refers to any more: their files go from the executors' disks now,
+    not when the driver's memory happens to fill. What its Python has freed goes back, too."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def with_global_index(df: DataFrame, order: list, name: str, tag: str, parts: int) -> DataFrame:
     """Add a gapless 0-based rank in the given total order without a single-task window.
 

@@ -14,8 +14,9 @@ stars, whose nodes carry their smallest doc_id along.
 Near copies that share at least 4/5 of their five-word shingles can be up to 20 bits apart, where
 no triangle bound prunes. keep_first_similar finds those exactly, too: two sets of that Jaccard
 similarity share a shingle among the first n - ceil(4n/5) + 1 of each in any one order, so sets meet
-by these shingles (commonest last); what the two beginnings prove too different goes, the others
-are compared whole.
+by these shingles (commonest last). A pair whose first common shingle comes too late, or whose parities (bits
+that flip with every shingle of a residue) differ in more places than similar sets can, goes while they meet; the
+others are compared whole.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id is
 larger than all ids (null if a component has no other). Repeated rows stay rows of one class.
@@ -35,8 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, VariantType
+from pyspark.sql.window import Window
 
-from statuta.llm.common import NO_ID, attached, connected_components, dropped, fresh, give_back, small, written, written_by_batches
+from statuta.llm.common import NO_ID, attached, collected, connected_components, dropped, fresh, give_back, small, written, written_by_batches
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
 SAMPLE, MAX_LEAVES, CAPACITY = 1 << 18, 1 << 16, 1 << 15
@@ -287,6 +289,8 @@ def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 #: Similarity of near copies as a fraction; words of a shingle; sampled documents and shingles whose order they set.
 SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
+#: Words of 64 bits that a set's parities take; rounds in which a class meets one other before all pairs are looked for.
+PARITIES, ROUNDS = 8, 2
 
 
 #: Odd multipliers that make one number of the hashes of a shingle's words.
@@ -348,8 +352,17 @@ def class_of(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes(), 7)
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES residues whether an odd number of a set's shingles has it.
+
+    Two sets' parities differ in as many places at most as there are shingles that only one of them has.
+    """
+    odd = np.bincount((x & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingled(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, fp, cls (hash of the set of shingles), n (its size), head (its first shingles) of every row."""
+    """doc_id, fp, cls (hash of the set of shingles), n (its size), head (its first shingles), bits (parities) of every row."""
 
     def compute(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
@@ -358,30 +371,31 @@ def shingled(docs: DataFrame, order: Order) -> DataFrame:
                 grams = shingle_hashes(t)
                 x = np.unique(grams)
                 first = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1 if len(x) else 0
-                rows.append((majority([grams]), class_of(x), len(x), order(x)[:first].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "head"])
+                rows.append((majority([grams]), class_of(x), len(x), order(x)[:first].view(np.int64), parities(x)))
+            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "head", "bits"])
             for c in ("fp", "cls"):
                 out[c] = np.array(out[c].tolist(), np.uint64).view(np.int64)
             yield out
         give_back()
 
-    one = F.pandas_udf(compute, "fp long, cls long, n int, head array<long>")
+    one = F.pandas_udf(compute, "fp long, cls long, n int, head array<long>, bits array<long>")
     return docs.select("doc_id", one("text").alias("s")).select("doc_id", "s.*")
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, n: int, m: int, order: Order) -> bool:
-    """False if the first shingles alone show that sets of n and m shingles are too different.
+def may_be_similar(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of n and m shingles can be similar whose first common shingle is number i of one and j of the other.
 
-    Up to where the shorter beginning ends, a shingle of one that the other lacks is in one set only.
+    They share what follows at most, and have to share 4/9 of both sizes together.
     """
     top, below = SIMILAR
-    if n * below < m * top or m * below < n * top:
-        return False
-    together, times = np.unique(np.concatenate([x, y]), return_counts=True)
-    read = order(together)
-    single = times[np.searchsorted(together, read)] == 1
-    end = min(int(np.flatnonzero(read == z[-1])[0]) for z in (x, y)) + 1
-    return int(single[:end].sum()) * (top + below) <= (below - top) * (n + m)
+    return ((n - i) * (top + below) >= (n + m) * top) & ((m - j) * (top + below) >= (n + m) * top)
+
+
+def parities_allow(n: Column, x: Column, m: Column, y: Column) -> Column:
+    """Whether parities differ in no more places than similar sets can have single shingles."""
+    top, below = SIMILAR
+    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, PARITIES)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return apart * (top + below) <= (n + m) * (below - top)
 
 
 def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -401,21 +415,9 @@ def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     return sets if sets.count() <= asked.count() else sets.dropDuplicates(["cls"])  # rows may repeat a doc_id and a set
 
 
-def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
-    """The pairs (u, v) of classes (cls, n, head) whose sets are similar enough."""
-    pairs = written(pairs.distinct(), "simhash-candidates")
-    ends = lambda p: p.select(F.col("u").alias("cls")).unionAll(p.select(F.col("v").alias("cls"))).distinct()
-    heads = written(classes.join(small(written(ends(pairs), "simhash-ends")), "cls", "left_semi"), "simhash-heads")
-    a, b = (heads.select(F.col("cls").alias(x), F.struct("n", "head").alias(f"_{x}")) for x in "uv")
-
-    @F.pandas_udf("boolean")
-    def possible(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
-        u, v = ((np.asarray(h, np.int64).view(np.uint64) for h in s) for s in (x, y))
-        return pd.Series([may_be_similar(*z, order) for z in zip(u, v, n, m)], dtype=bool)
-
-    likely = pairs.join(a, "u").join(b, "v").where(possible("_u.head", "_u.n", "_v.head", "_v.n")).select("u", "v")
-    likely = written_by_batches(likely, "simhash-likely")
-    asked = written(ends(likely), "simhash-asked")
+def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes (a written table) whose whole sets are similar enough."""
+    asked = written(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select(F.col("v").alias("cls"))).distinct(), "simhash-asked")
     sets = sets_of(asked, names, docs)
 
     @F.pandas_udf("boolean")
@@ -426,37 +428,64 @@ def verified(pairs: DataFrame, classes: DataFrame, names: DataFrame, docs: DataF
         return pd.Series([i * (top + below) >= top * (len(p) + len(q)) for i, p, q in zip(both, u, v)], dtype=bool)
 
     a, b = (sets.select(F.col("cls").alias(x), F.col("set").alias(f"_{x}")) for x in "uv")
-    found = written_by_batches(likely.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v"), "simhash-similar")
-    dropped(pairs, heads, likely, asked, sets)
+    found = written_by_batches(pairs.join(a, "u").join(b, "v").where(similar("_u", "_v")).select("u", "v"), "simhash-similar")
+    dropped(asked, sets)
     return found
 
 
-def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, order: Order, rounds: int = 1) -> DataFrame:
-    """links and, between their components, links of classes (cls, n, head) that are similar enough.
+def one_partner(named: DataFrame, seed: int) -> DataFrame:
+    """Pairs (u, v) of classes in different components: for each class the one that most of its shingles name.
 
-    First each class only meets the smallest of a shingle's, which joins large groups of near copies;
-    last, all classes meet that share a shingle and are not in one component yet: no pair is left out.
+    named: s, cls, n, i, part. A shingle names one of its classes, drawn by a hash.
+    """
+    hub = F.min_by(F.struct("cls", "n", "i", "part"), F.struct(F.xxhash64(F.lit(seed), "cls"), "cls")).over(Window.partitionBy("s"))
+    met = named.withColumn("o", hub).where((F.col("part") != F.col("o.part")) & may_be_similar(F.col("n"), F.col("i"), F.col("o.n"), F.col("o.i")))
+    times = met.groupBy("cls", F.col("o.cls").alias("other")).agg(F.count("*").alias("c"))
+    best = times.groupBy("cls").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    return best.select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v")).distinct()
+
+
+def all_partners(named: DataFrame, bits: DataFrame) -> DataFrame:
+    """All pairs (u, v) of classes in different components that may be similar, by what they share and by their parities.
+
+    The larger set of a pair meets smaller ones by a shingle and a step of sizes: similar sets are at most one step apart, so
+    the sets of a frequent shingle are dealt by size. Of the smaller set only the first ninth of shingles counts.
     """
-    rows = classes.select("cls", "n", F.explode("head").alias("s"))
-    twice = rows.groupBy("s").agg(F.count("*").alias("_c")).where("_c > 1").select("s")
-    shared = written(rows.join(twice, "s"), "simhash-shared")
     top, below = SIMILAR
-    alike = (F.col("n") * below >= F.col("_n") * top) & (F.col("_n") * below >= F.col("n") * top)
+    rows = named.join(small(bits), "cls").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / float(np.log(below / top)) + 1e-9).cast("int"))
+    larger = rows.select("s", "step", "cls", "n", "i", "part", "bits")
+    less = rows.where(F.col("i") * (top + below) <= F.col("n") * (below - top))
+    names = {"cls": "_cls", "n": "_n", "i": "_i", "part": "_part", "bits": "_bits"}
+    less = less.select("s", F.explode(F.array("step", F.col("step") + 1)).alias("step"), *[F.col(c).alias(x) for c, x in names.items()])
+    n, m = F.col("n"), F.col("_n")
+    on = [F.col("part") != F.col("_part"), (n > m) | ((n == m) & (F.col("cls") != F.col("_cls"))), may_be_similar(n, F.col("i"), m, F.col("_i")), parities_allow(n, F.col("bits"), m, F.col("_bits"))]
+    a, b = larger.alias("a"), less.alias("b")
+    both = a.join(b, [F.col("a.s") == F.col("b.s"), F.col("a.step") == F.col("b.step"), *on])
+    return both.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v")).distinct()
+
+
+def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """links and, between their components, links of classes (cls, n, head, bits) that are similar enough.
+
+    First each class only meets one other, which joins large groups of near copies; last, all classes meet that share a
+    shingle, may be similar and are not in one component yet: no pair is left out.
+    """
+    rows = classes.select("cls", "n", F.posexplode("head").alias("i", "s"))
+    shared = rows.withColumn("_c", F.count("*").over(Window.partitionBy("s"))).where("_c > 1").drop("_c")
+    shared = written(shared, "simhash-shared")
     for k in range(rounds + 1):
+        collected(docs.sparkSession)
         parts = connected_components(links, "simhash-rounds")
-        named = shared.join(parts, shared["cls"] == parts["node"], "left").select("s", "cls", "n", F.coalesce("component", "cls").alias("part"))
-        named = written(named, "simhash-parts")
-        other = F.struct(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-        if k < rounds:
-            met = named.groupBy("s").agg(F.min_by(other, "cls").alias("o"), F.min("part").alias("_a"), F.max("part").alias("_b"))
-            met = met.where("_a <> _b").select("s", "o.*")
-            pairs = named.join(met, "s").where((F.col("part") != F.col("_part")) & alike)
-        else:
-            pairs = named.join(named.select("s", other.alias("o")).select("s", "o.*"), "s").where((F.col("part") < F.col("_part")) & alike)
-        pairs = pairs.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v"))
-        links = links.unionAll(verified(pairs, classes, names, docs, order))
-        dropped(named)
-    dropped(shared)
+        named = shared.join(small(written(parts, "simhash-nodes")), F.col("cls") == F.col("node"), "left").select("s", "cls", "n", "i", F.coalesce("component", "cls").alias("part"))
+        ends = [f("part").over(Window.partitionBy("s")) for f in (F.min, F.max)]
+        named = written(named.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <> _b").drop("_a", "_b"), "simhash-parts")
+        dropped(shared)
+        shared = named.drop("part")  # what is in one component by now stays there
+        pairs = one_partner(named, k) if k < rounds else all_partners(named, classes.select("cls", "bits"))
+        pairs = written(pairs, "simhash-pairs")
+        links = links.unionAll(verified(pairs, names, docs))
+        dropped(pairs)
+    dropped(named)
     return links
 
 
@@ -472,12 +501,12 @@ def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     names = written(names, "simhash-names")
     others = attached(rows.select("cls", "row"), names.where("copies > 1").select("cls", "picked", "copies"), "cls", "copies").where("row <> picked")
     others = small(written(others.select("row"), "simhash-others"))
-    classes = rows.select("row", "cls", "n", "head").join(others, "row", "left_anti").drop("row")
+    classes = rows.select("row", "cls", "n", "head", "bits").join(others, "row", "left_anti").drop("row")
     prints = written(rows.groupBy("fp").agg(F.min("cls").alias("first")), "simhash-prints")
     near = links(prints, reach).select(F.col("u.first").alias("u"), F.col("v.first").alias("v"))
     same = rows.select("fp", "cls").distinct().join(prints, "fp").where("cls <> first").select(F.col("cls").alias("u"), F.col("first").alias("v"))
     start = written(near.unionAll(same).distinct(), "simhash-near")
-    ends = similar_links(classes, start, names, docs, order)
+    ends = similar_links(classes, start, names, docs)
     # Nodes carry their smallest doc_id, so that no join by component is needed to name it.
     facts = names.select("cls", F.struct("first", "cls").alias("_x"))
     a, b = (facts.select(F.col("cls").alias(x), F.col("_x").alias(f"_{x}")) for x in "uv")
