@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from statuta.functions.facts import level_weight
@@ -13,10 +19,37 @@ LEXICON, EMBEDDING, BEST = 0.45, 0.55, 5
 
 
 def centroids(vectors: DataFrame, group: str, v: str, digits: int | None = None) -> DataFrame:
-    """(group, at, value): the mean vector of each group, a row a component."""
-    e = vectors.select(group, F.posexplode(v).alias("at", "x"))
-    mean = F.avg(F.col("x").cast("double"))
-    return e.groupBy(group, "at").agg((F.round(mean, digits) if digits is not None else mean).alias("value"))
+    """(group, at, value): the mean vector of each group, a row a component.
+
+    Every Arrow batch is summed up to one row a group, so what is shuffled follows the groups, not the vectors. Null
+    components count for nothing; vectors may be of different lengths.
+    """
+    kind = vectors.schema[group].dataType
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not size.sum():
+                continue
+            names = b.column(0).dictionary_encode(null_encoding="encode")
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            x = lists.flatten()
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            width, many = int(size.max()), len(names.dictionary)
+            cell = names.indices.to_numpy(zero_copy_only=False)[row] * width + at
+            values = pc.fill_null(x.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+            total = np.bincount(cell, weights=values, minlength=many * width).reshape(many, width)
+            n = np.bincount(cell, weights=there, minlength=many * width).reshape(many, width).astype(np.int64)
+            had = np.bincount(cell, minlength=many * width).reshape(many, width)
+            lists = [pa.array(x.tolist(), pa.list_(t)) for x, t in ((total, pa.float64()), (n, pa.int64()), (had, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([names.dictionary, *lists], ["g", "total", "n", "had"])
+
+    parts = vectors.select(group, v).mapInArrow(sums, StructType([StructField("g", kind), *StructType.fromDDL("total array<double>, n array<long>, had array<long>").fields]))
+    e = parts.select("g", F.posexplode(F.arrays_zip("total", "n", "had")).alias("at", "x")).where("x.had > 0")
+    mean = F.sum("x.total") / F.nullif(F.sum("x.n"), F.lit(0))
+    return e.groupBy(F.col("g").alias(group), "at").agg((F.round(mean, digits) if digits is not None else mean).alias("value"))
 
 
 def as_vectors(components: DataFrame, group: str) -> DataFrame:

@@ -232,3 +232,9 @@ def test_feeds_and_published_indexes(spark, tmp_path):
     assert [(r["tvpl_id"], str(r["pub_date"])) for r in payloads.feed(spark, str(tmp_path / "a.xml"), ["thuế"]).collect()] == [("77", "2024-02-05")]
     assert [r["slug"] for r in payloads.vault_index(spark, str(tmp_path / "i.json")).collect()] == ["a"]
     assert [(r["moj_id"], r["content"]) for r in payloads.chunk_files(spark, str(tmp_path / "k9_chunks.json")).collect()] == [("k9", "c")]
+
+
+def test_mean_vectors_of_ragged_rows(spark):
+    rows = [(1, [1.0, 2.0]), (1, [3.0, None]), (1, [5.0]), (None, [7.0, 8.0]), (2, None), (2, []), (3, [None])]
+    got = {(r["g"], r["at"]): r["value"] for r in impact.centroids(spark.createDataFrame(rows, "g int, v array<double>").repartition(3), "g", "v").collect()}
+    assert got == {(1, 0): 3.0, (1, 1): 2.0, (None, 0): 7.0, (None, 1): 8.0, (3, 0): None}
