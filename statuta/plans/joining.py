@@ -29,10 +29,11 @@ def j03_left(t):
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", "quality", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
-@R.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@R.query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 250000)")
 def j04_anti(t):
     """Rows without a partner."""
-    return t.customer.select("c_custkey").join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    open_ = t.orders.where("o_orderstatus = 'P' AND o_totalprice > 250000")
+    return t.customer.select("c_custkey").join(open_, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @R.query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -191,10 +192,10 @@ def j20_edge_resolution(t):
     return j.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("by_id", "by_number", "central").alias("target"))
 
 
-@R.query("SELECT p_size, max(p_partkey) AS p_partkey FROM part GROUP BY p_size HAVING count(*) = 1")
+@R.query("SELECT n_chars, max(doc_id) AS doc_id FROM documents GROUP BY n_chars HAVING count(*) = 1")
 def j31_unique_index(t):
     """Keys with exactly one row."""
-    return keys.unique_lookup(t.part, "p_size", "p_partkey")
+    return keys.unique_lookup(t.documents, "n_chars", "doc_id")
 
 
 @R.query("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text
 from statuta.operators import keys, records
+from statuta.operators.running import running_sum
 from statuta.plans.tables import Registry
 
 R = Registry()
@@ -78,7 +79,7 @@ def f53_month_folder(t):
 
 
 @R.query("""
-WITH l AS (SELECT user_id AS run, ts AS w, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status, event_id, event_type FROM events WHERE user_id % 5 = 0),
+WITH l AS (SELECT user_id AS run, ts AS w, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status, event_id, event_type FROM events),
 z AS (SELECT run, min(w) AS started_at, max(CASE WHEN status <> 'RUNNING' THEN w END) AS finished_at, arg_max(l.status, (w, event_id)) AS status, max(CASE WHEN event_type = 'purchase' THEN {'w': w, 'e': event_id} END) AS m FROM l GROUP BY run)
 SELECT run, started_at, finished_at, status, m.e % 100 AS found, NULL::BIGINT AS skipped FROM z""")
 def e07_run_log(t):
@@ -86,7 +87,7 @@ def e07_run_log(t):
     kind = F.col("event_type")
     status = F.when(kind == "view", "RUNNING").when(kind == "error", "FAILED").otherwise("SUCCESS")
     metrics = F.when(kind == "purchase", F.create_map(F.lit("found"), F.col("event_id") % 100, F.lit("odd"), F.lit(1).cast("long")))
-    log = t.events.where("user_id % 5 = 0").select(F.col("user_id").alias("run"), F.struct("ts", "event_id").alias("at"), status.alias("status"), metrics.alias("metrics"))
+    log = t.events.select(F.col("user_id").alias("run"), F.struct("ts", "event_id").alias("at"), status.alias("status"), metrics.alias("metrics"))
     r = records.latest_runs(log, "run", "at", ["found", "skipped"])
     return r.select("run", F.col("started_at.ts").alias("started_at"), F.col("finished_at.ts").alias("finished_at"), "status", "found", "skipped")
 
@@ -147,14 +148,11 @@ def e21_report_or_refusal(t):
     return j.select("c_custkey", F.when(F.col("n").isNull(), "Không tìm thấy văn bản liên quan.").otherwise(F.concat(F.lit("n="), F.col("n").cast("string"))).alias("report"))
 
 
-@R.query("""
-WITH p AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS r FROM part WHERE p_size % 3 = 0)
-SELECT p_brand, string_agg(p_name, ' | ' ORDER BY r) AS titles FROM p GROUP BY p_brand""")
+@R.query("SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS pos, p_name AS title FROM part")
 def e23_form_index(t):
-    """An index by task group, sorted by title."""
-    entry = F.struct("p_name", "p_partkey")
-    g = t.part.where("p_size % 3 = 0").groupBy("p_brand").agg(F.array_sort(F.collect_list(entry)).alias("l"))
-    return g.select("p_brand", F.array_join(F.transform("l", lambda s: s["p_name"]), " | ").alias("titles"))
+    """An index by task group, sorted by title: entries with their places, however many a group has."""
+    index = running_sum(t.part.select("p_brand", "p_name", "p_partkey"), "p_brand", ["p_name", "p_partkey"], F.lit(1), "pos")
+    return index.select("p_brand", "pos", F.col("p_name").alias("title"))
 
 
 @R.query("""
