@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.operators.running import running_sum
+from statuta.session import written
 
 ALWAYS, BYPASS, INTENSITY, COOLDOWN, HORIZON = 5, 3, 60.0, 7, 7
 
@@ -100,3 +101,33 @@ def packed_by_budget(sizes: Column, budget: int) -> Column:
         return F.struct(F.when(fresh, size.cast("long")).otherwise(acc["used"] + size).cast("long").alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
 
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def budget_batches(rows: DataFrame, group: str, order: list[str], size: str, budget: int, name: str = "batch") -> DataFrame:
+    """rows with the number of their batch (from 0): a group's rows in order (unique in a group), greedily filled to a
+    budget; an oversize row is alone. A null size is 0.
+
+    A group may be of any size. Running sums tell for every row where a batch that began there would end; the batches that
+    really begin are those reachable from the first row, found by doubling the steps: as many rounds as the logarithm of the
+    number of batches, each a join.
+    """
+    r = running_sum(rows.withColumn("_len", F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("_w", F.col("_len")), group, order, F.col("_w"), "_upto")
+    r = written(running_sum(r, group, order, F.lit(1), "_place").withColumn("_key", F.struct(group)), "budget-rows")
+    # How many rows of the group end at or before the place where a batch from here is full.
+    ends = r.select("_key", F.col("_upto").alias("_v"), F.lit(0).alias("_kind"), "_place", F.lit(1).alias("_one"))
+    full = r.select("_key", (F.col("_upto") - F.col("_w") + budget).alias("_v"), F.lit(1).alias("_kind"), "_place", F.lit(0).alias("_one"))
+    met = running_sum(ends.unionByName(full), "_key", ["_v", "_kind", "_place"], F.col("_one"), "_many").where("_kind = 1")
+    jump = written(met.select("_key", "_place", (F.greatest("_many", "_place") + 1).alias("_to")), "budget-steps")
+    last = r.groupBy("_key").agg(F.max("_place").alias("_last"))
+    jump = written(jump.join(last, "_key").where("_to <= _last").drop("_last"), "budget-steps")
+    starts = written(last.select("_key", F.lit(1).cast("long").alias("_place")), "budget-starts")
+    while not jump.isEmpty():
+        more = starts.join(jump, ["_key", "_place"]).select("_key", F.col("_to").alias("_place"))
+        if more.isEmpty():
+            break
+        starts = written(starts.unionByName(more).distinct(), "budget-starts")
+        then = jump.select("_key", F.col("_place").alias("_to"), F.col("_to").alias("_then"))
+        jump = written(jump.join(then, ["_key", "_to"]).select("_key", "_place", F.col("_then").alias("_to")), "budget-steps")
+    flagged = r.join(starts.withColumn("_first", F.lit(1)), ["_key", "_place"], "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    out = running_sum(flagged, "_key", ["_place"], F.col("_first"), "_batch")
+    return out.withColumn(name, (F.col("_batch") - 1).cast("int")).select(*[c for c in rows.columns if c != name], name)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuta.operators.impact import percentile_vs_reference
-from statuta.operators.jobs import packed_by_budget
+from statuta.operators.jobs import budget_batches
 from statuta.plans.tables import Registry
 from statuta.sources.sinks import positioned
 
@@ -80,10 +80,9 @@ f(doc_id, i, used, batch, n) AS (SELECT doc_id, i, n, 0, n FROM l WHERE i = 1 UN
 SELECT doc_id, batch, count(*) AS n_lines, sum(n)::BIGINT AS n_chars FROM f GROUP BY 1, 2""")
 def w08_budget_packing(t):
     """Lines of each document in batches of at most 1000 characters, in order; a longer line alone."""
-    lines = t.documents.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("sizes"))
-    b = packed_by_budget(F.col("sizes"), 1000)
-    e = lines.select("doc_id", F.explode(F.arrays_zip(b.alias("batch"), F.col("sizes").alias("size"))).alias("z"))
-    return e.groupBy("doc_id", F.col("z.batch").alias("batch")).agg(F.count("*").alias("n_lines"), F.sum("z.size").alias("n_chars"))
+    lines = t.documents.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.length(x))).alias("line", "size"))
+    b = budget_batches(lines, "doc_id", ["line"], "size", 1000)
+    return b.groupBy("doc_id", "batch").agg(F.count("*").alias("n_lines"), F.sum("size").alias("n_chars"))
 
 
 @R.query("SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS idx FROM customer")

@@ -238,3 +238,22 @@ def test_mean_vectors_of_ragged_rows(spark):
     rows = [(1, [1.0, 2.0]), (1, [3.0, None]), (1, [5.0]), (None, [7.0, 8.0]), (2, None), (2, []), (3, [None])]
     got = {(r["g"], r["at"]): r["value"] for r in impact.centroids(spark.createDataFrame(rows, "g int, v array<double>").repartition(3), "g", "v").collect()}
     assert got == {(1, 0): 3.0, (1, 1): 2.0, (None, 0): 7.0, (None, 1): 8.0, (3, 0): None}
+
+
+@pytest.mark.parametrize("n", [40, 20_000])
+def test_batches_of_any_group_equal_the_fold(spark, n):
+    """One group of many rows, some of size 0, null or over the budget, beside small groups and a null one."""
+    import random
+
+    rng = random.Random(n)
+    rows = [(0, i, rng.choice([0, None, 3, 7, 20, 40, 99, 250])) for i in range(n)] + [(g, i, rng.randrange(90)) for g in (1, 2, None) for i in range(g or 5)]
+    want, used, batch = {}, {}, {}
+    for g, i, s in rows:
+        s = s or 0
+        if g not in used or used[g] + s > 100:
+            used[g], batch[g] = 0, batch.get(g, -1) + 1
+        used[g] += s
+        want[g, i] = batch[g]
+    df = spark.createDataFrame(rows, "g int, i int, size int").repartition(5)
+    got = {(r["g"], r["i"]): r["batch"] for r in jobs.budget_batches(df, "g", ["i"], "size", 100).collect()}
+    assert got == want
