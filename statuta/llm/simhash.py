@@ -289,7 +289,7 @@ def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 #: Similarity of near copies as a fraction; words of a shingle; sampled documents and shingles whose order they set.
 SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
-#: Words of 64 bits that a set's parities take; rounds in which a class meets one other before all pairs are looked for.
+#: Words of 64 bits that a set's parities take; rounds in which of a class's pairs only the nearest is compared.
 PARITIES, ROUNDS = 8, 2
 
 
@@ -391,11 +391,9 @@ def may_be_similar(n: Column, i: Column, m: Column, j: Column) -> Column:
     return ((n - i) * (top + below) >= (n + m) * top) & ((m - j) * (top + below) >= (n + m) * top)
 
 
-def parities_allow(n: Column, x: Column, m: Column, y: Column) -> Column:
-    """Whether parities differ in no more places than similar sets can have single shingles."""
-    top, below = SIMILAR
-    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, PARITIES)), F.bit_count(x[0].bitwiseXOR(y[0])))
-    return apart * (top + below) <= (n + m) * (below - top)
+def parities_apart(x: Column, y: Column) -> Column:
+    """In how many places parities differ."""
+    return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, PARITIES)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
 
 def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -433,59 +431,79 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def one_partner(named: DataFrame, seed: int) -> DataFrame:
-    """Pairs (u, v) of classes in different components: for each class the one that most of its shingles name.
-
-    named: s, cls, n, i, part. A shingle names one of its classes, drawn by a hash.
-    """
-    hub = F.min_by(F.struct("cls", "n", "i", "part"), F.struct(F.xxhash64(F.lit(seed), "cls"), "cls")).over(Window.partitionBy("s"))
-    met = named.withColumn("o", hub).where((F.col("part") != F.col("o.part")) & may_be_similar(F.col("n"), F.col("i"), F.col("o.n"), F.col("o.i")))
-    times = met.groupBy("cls", F.col("o.cls").alias("other")).agg(F.count("*").alias("c"))
-    best = times.groupBy("cls").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-    return best.select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v")).distinct()
+def shared_shingles(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s, cls, n, i, part): first shingles that classes of several components have; part names the component."""
+    rows = classes.select("cls", "n", F.posexplode("head").alias("i", "s"))
+    rows = rows.join(small(parts), F.col("cls") == F.col("node"), "left").select("s", "cls", "n", "i", F.coalesce("component", "cls").alias("part"))
+    ends = [f("part").over(Window.partitionBy("s")) for f in (F.min, F.max)]
+    return rows.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <> _b").drop("_a", "_b")
 
 
-def all_partners(named: DataFrame, bits: DataFrame) -> DataFrame:
-    """All pairs (u, v) of classes in different components that may be similar, by what they share and by their parities.
+def by_size(shared: DataFrame) -> DataFrame:
+    """(s, step, less, cls, n, i, part): classes that have a partner of a fitting size and another component.
 
-    The larger set of a pair meets smaller ones by a shingle and a step of sizes: similar sets are at most one step apart, so
-    the sets of a frequent shingle are dealt by size. Of the smaller set only the first ninth of shingles counts.
+    The larger set of a pair (less: 0) meets smaller ones (1) by a shingle and a step of sizes: similar sets are at most one step
+    apart, so the sets of a frequent shingle are dealt by size. Of the smaller set only the first ninth of shingles counts.
     """
     top, below = SIMILAR
-    rows = named.join(small(bits), "cls").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / float(np.log(below / top)) + 1e-9).cast("int"))
-    larger = rows.select("s", "step", "cls", "n", "i", "part", "bits")
-    less = rows.where(F.col("i") * (top + below) <= F.col("n") * (below - top))
-    names = {"cls": "_cls", "n": "_n", "i": "_i", "part": "_part", "bits": "_bits"}
-    less = less.select("s", F.explode(F.array("step", F.col("step") + 1)).alias("step"), *[F.col(c).alias(x) for c, x in names.items()])
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(below / top)) + 1e-9).cast("int")
+    rows = shared.withColumn("step", step)
+    first = rows.where(F.col("i") * (top + below) <= F.col("n") * (below - top))
+    names = ["cls", "n", "i", "part"]
+    both = rows.select("s", "step", F.lit(0).alias("less"), *names).unionAll(first.select("s", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.lit(1).alias("less"), *names))
+    other = [f(F.when(F.col("less") == k, F.col("part"))).over(Window.partitionBy("s", "step")) for k in (0, 1) for f in (F.min, F.max)]
+    both = both.withColumns({f"_{k}": c for k, c in enumerate(other)})
+    met = lambda lo, hi: F.coalesce((F.col(lo) != F.col("part")) | (F.col(hi) != F.col("part")), F.lit(False))
+    return both.where(F.when(F.col("less") == 0, met("_2", "_3")).otherwise(met("_0", "_1"))).drop("_0", "_1", "_2", "_3")
+
+
+def candidates(sized: DataFrame, bits: DataFrame) -> DataFrame:
+    """(u, v, apart): pairs of classes in different components that may be similar, by what they share and by their parities."""
+    top, below = SIMILAR
+    rows = sized.join(small(bits), "cls")
+    x = rows.where("less = 0").drop("less").alias("x")
+    y = rows.where("less = 1").select("s", "step", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "i", "part", "bits")]).alias("y")
     n, m = F.col("n"), F.col("_n")
-    on = [F.col("part") != F.col("_part"), (n > m) | ((n == m) & (F.col("cls") != F.col("_cls"))), may_be_similar(n, F.col("i"), m, F.col("_i")), parities_allow(n, F.col("bits"), m, F.col("_bits"))]
-    a, b = larger.alias("a"), less.alias("b")
-    both = a.join(b, [F.col("a.s") == F.col("b.s"), F.col("a.step") == F.col("b.step"), *on])
-    return both.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v")).distinct()
+    on = [F.col("part") != F.col("_part"), (n > m) | ((n == m) & (F.col("cls") != F.col("_cls"))), may_be_similar(n, F.col("i"), m, F.col("_i")), parities_apart(F.col("bits"), F.col("_bits")) * (top + below) <= (n + m) * (below - top)]
+    both = x.join(y, [F.col("x.s") == F.col("y.s"), F.col("x.step") == F.col("y.step"), *on])
+    pairs = both.select(F.least("cls", "_cls").alias("u"), F.greatest("cls", "_cls").alias("v"), parities_apart(F.col("bits"), F.col("_bits")).alias("apart"))
+    return pairs.distinct()
+
+
+def nearest_partners(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that are the nearest of one of their ends, by parities."""
+    both = pairs.select(F.col("u").alias("cls"), "u", "v", "apart").unionAll(pairs.select(F.col("v").alias("cls"), "u", "v", "apart"))
+    return both.groupBy("cls").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("p")).select("p.*").distinct()
 
 
 def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """links and, between their components, links of classes (cls, n, head, bits) that are similar enough.
 
-    First each class only meets one other, which joins large groups of near copies; last, all classes meet that share a
-    shingle, may be similar and are not in one component yet: no pair is left out.
+    All classes meet that share a first shingle and may be similar. Of these pairs first only the nearest of each class
+    is compared, which joins groups of near copies; last, all pairs that aren't in one component yet: none is left out.
     """
-    rows = classes.select("cls", "n", F.posexplode("head").alias("i", "s"))
-    shared = rows.withColumn("_c", F.count("*").over(Window.partitionBy("s"))).where("_c > 1").drop("_c")
-    shared = written(shared, "simhash-shared")
+    spark = docs.sparkSession
+    parts = written(connected_components(links, "simhash-rounds"), "simhash-nodes")
+    shared = written(shared_shingles(classes, parts), "simhash-shared")
+    collected(spark)
+    sized = written(by_size(shared), "simhash-sized")
+    dropped(shared)
+    collected(spark)
+    pairs = written(candidates(sized, classes.select("cls", "bits")), "simhash-candidates")
+    dropped(sized)
+    collected(spark)
     for k in range(rounds + 1):
-        collected(docs.sparkSession)
-        parts = connected_components(links, "simhash-rounds")
-        named = shared.join(small(written(parts, "simhash-nodes")), F.col("cls") == F.col("node"), "left").select("s", "cls", "n", "i", F.coalesce("component", "cls").alias("part"))
-        ends = [f("part").over(Window.partitionBy("s")) for f in (F.min, F.max)]
-        named = written(named.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <> _b").drop("_a", "_b"), "simhash-parts")
-        dropped(shared)
-        shared = named.drop("part")  # what is in one component by now stays there
-        pairs = one_partner(named, k) if k < rounds else all_partners(named, classes.select("cls", "bits"))
-        pairs = written(pairs, "simhash-pairs")
-        links = links.unionAll(verified(pairs, names, docs))
-        dropped(pairs)
-    dropped(named)
+        of = lambda x, y: parts.select(F.col("node").alias(f"_{x}"), F.col("component").alias(y))
+        if k:
+            parts = written(connected_components(links, "simhash-rounds"), "simhash-nodes")
+        a, b = (small(of(x, f"_p{x}")) for x in "uv")
+        open_ = pairs.join(a, F.col("u") == F.col("_u"), "left").join(b, F.col("v") == F.col("_v"), "left")
+        open_ = open_.where(F.coalesce("_pu", "u") != F.coalesce("_pv", "v")).select("u", "v", "apart")
+        now = written(open_.select("u", "v") if k == rounds else nearest_partners(open_), "simhash-pairs")
+        links = links.unionAll(verified(now, names, docs))
+        dropped(now)
+        collected(spark)
+    dropped(pairs)
     return links
 
 
