@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from statuta.functions.values import quarter_label
-from statuta.operators import jobs, keys
+from statuta.operators import jobs, keys, ranking, rollups
 from statuta.plans.tables import Registry
 from statuta.streaming import scans
 
@@ -24,14 +23,13 @@ def a02_unresolved(t):
 @R.query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def a04_duplicates(t):
     """A4: keys met more than once."""
-    return t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1")
+    return rollups.repeated(t.lineitem, ["l_orderkey", "l_partkey"])
 
 
 @R.query("SELECT event_type, CASE WHEN coalesce(max((props->>'k')::INT), 0) = 0 THEN 1 ELSE max((props->>'k')::INT) END AS most FROM events GROUP BY 1")
 def a05_max_or_one(t):
     """A5: a maximum that is 1 when null or 0."""
-    m = F.max(F.from_json("props", "k int")["k"])
-    return t.events.groupBy("event_type").agg(m.alias("m")).select("event_type", F.when(F.coalesce("m", F.lit(0)) == 0, 1).otherwise(F.col("m")).alias("most"))
+    return t.events.groupBy("event_type").agg(rollups.maximum_or_one(F.from_json("props", "k int")["k"]).alias("most"))
 
 
 @R.query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -44,7 +42,7 @@ def a06_state_counts(t):
 SELECT o_custkey, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'P') AS p, count_if(o_orderstatus = 'X') AS x FROM orders GROUP BY 1""")
 def a07_pivot_states(t):
     """A column a state, zero where there is none."""
-    p = t.orders.groupBy("o_custkey").pivot("o_orderstatus", ["F", "P", "X"]).count().fillna(0)
+    p = rollups.pivoted(t.orders, "o_custkey", "o_orderstatus", ["F", "P", "X"])
     return p.select("o_custkey", F.col("F").alias("f"), F.col("P").alias("p"), F.col("X").alias("x"))
 
 
@@ -53,8 +51,7 @@ SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct([event_type, 'k' ||
 def a08_explode_count(t):
     """Rows counted once in each of their groups."""
     k = F.from_json("props", "k int")["k"] % 4
-    tags = F.array_distinct(F.array("event_type", F.concat(F.lit("k"), k.cast("string"))))
-    return t.events.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return rollups.counted_in_each(t.events, F.array("event_type", F.concat(F.lit("k"), k.cast("string"))))
 
 
 @R.query("""
@@ -62,9 +59,7 @@ WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
 SELECT lang, n FROM g WHERE (SELECT count(*) FROM g) >= 3 ORDER BY n DESC, lang LIMIT 7""")
 def a10_top_groups(t):
     """Largest groups, none if there are fewer than three."""
-    g = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
-    enough = g.agg((F.count("*") >= 3).alias("_ok"))
-    return g.join(F.broadcast(enough)).where("_ok").orderBy(F.desc("n"), "lang").limit(7).select("lang", "n")
+    return rollups.largest_groups(t.documents, "lang", 7, least=3)
 
 
 @R.query("""
@@ -72,9 +67,7 @@ SELECT strftime(o_orderdate, '%m/%y') AS month, count(*) AS n FROM orders WHERE
 GROUP BY strftime(o_orderdate, '%m/%y'), year(o_orderdate), month(o_orderdate) HAVING count(*) >= 4 ORDER BY year(o_orderdate), month(o_orderdate) LIMIT 8""")
 def a12_month_calendar(t):
     """The next months in order of the calendar."""
-    o = t.orders.where(F.col("o_orderdate") >= F.lit("2000-06-01").cast("timestamp"))
-    g = o.groupBy(F.date_format("o_orderdate", "MM/yy").alias("month"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n"))
-    return g.where("n >= 4").orderBy("y", "m").limit(8).select("month", "n")
+    return rollups.months(t.orders, "o_orderdate", F.lit("2000-06-01").cast("timestamp"), 4, 8)
 
 
 @R.query("""
@@ -84,15 +77,13 @@ def a13_share_top(t):
     """Largest shares of the whole."""
     n = F.broadcast(t.nation)  # 25 rows
     j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    g = j.groupBy("n_name").agg(F.sum("o_totalprice").alias("s"))
-    return g.withColumn("share", F.round(100 * F.col("s") / F.sum("s").over(Window.partitionBy()), 4)).orderBy(F.desc("s"), "n_name").limit(8).select("n_name", "share")
+    return rollups.largest_shares(j, "n_name", "o_totalprice", 8, 4)
 
 
 @R.query("SELECT l_orderkey, l_linenumber, l_partkey, round(100 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS pct FROM lineitem")
 def a20_share(t):
     """Parts of 100 in each unit."""
-    pct = 100 * F.col("l_quantity") / F.sum("l_quantity").over(Window.partitionBy("l_orderkey"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(pct, 6).alias("pct"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(ranking.share_of("l_quantity", "l_orderkey"), 6).alias("pct"))
 
 
 @R.query("""
@@ -100,10 +91,7 @@ SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) A
   arg_min(l_shipdate, (l_orderkey, l_linenumber, l_shipdate)) AS first_reason FROM lineitem GROUP BY l_suppkey""")
 def a21_group_rollup(t):
     """Sorted keys, minimum, maximum and the first reason of a group."""
-    return t.lineitem.groupBy("l_suppkey").agg(
-        F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("keys"), F.min("l_linenumber").alias("lowest"), F.max("l_quantity").alias("highest"),
-        F.min_by("l_shipdate", F.struct("l_orderkey", "l_linenumber", "l_shipdate")).alias("first_reason"),
-    )
+    return rollups.rollup(t.lineitem, "l_suppkey", "l_returnflag", "l_linenumber", "l_quantity", "l_shipdate", ["l_orderkey", "l_linenumber", "l_shipdate"])
 
 
 @R.query("""
@@ -111,9 +99,8 @@ SELECT n_nationkey, arg_max(c_custkey, (round(c_acctbal, 1), -c_custkey)) AS c_c
 GROUP BY n_nationkey HAVING max(round(c_acctbal, 1)) >= 9000""")
 def a22_argmax(t):
     """The row of the largest rounded value, then a threshold on it."""
-    b = F.round("c_acctbal", 1)
     j = t.customer.join(F.broadcast(t.nation.select("n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
-    return j.groupBy("n_nationkey").agg(F.max_by("c_custkey", F.struct(b, -F.col("c_custkey"))).alias("c_custkey"), F.max(b).alias("top")).where("top >= 9000")
+    return rollups.best_rows(j, "n_nationkey", "c_acctbal", "c_custkey", 1, 9000)
 
 
 @R.query("""
@@ -123,10 +110,7 @@ SELECT count(*) AS n, round(avg(list_contains(top, '1-URGENT')::INT), 6) AS hit_
 def a24_quality_rates(t):
     """Hit rate of an expected code in the top two, rate of no overlap with allowed ones."""
     b = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.sum("o_totalprice").alias("s"))
-    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("s"), "o_orderpriority"))
-    top = b.withColumn("r", r).where("r <= 2").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("top"))
-    hit, none = F.array_contains("top", "1-URGENT"), ~F.arrays_overlap("top", F.array(F.lit("2-HIGH"), F.lit("3-MEDIUM")))
-    return top.agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), 6).alias("hit_rate"), F.round(F.avg(none.cast("int")), 6).alias("violation_rate"))
+    return rollups.quality_rates(b, "o_custkey", "o_orderpriority", "s", 2, "1-URGENT", ["2-HIGH", "3-MEDIUM"], 6)
 
 
 @R.query("""
@@ -134,8 +118,7 @@ WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROU
 SELECT o_orderpriority, arg_max(o_orderstatus, (n, o_orderstatus)) AS dominant, round(max(n)::DOUBLE / sum(n)::DOUBLE, 6) AS share FROM c GROUP BY 1""")
 def a25_dominant_share(t):
     """A histogram per code and its dominant value's share."""
-    c = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
-    return c.groupBy("o_orderpriority").agg(F.max_by("o_orderstatus", F.struct("n", "o_orderstatus")).alias("dominant"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
+    return rollups.dominant(t.orders, "o_orderpriority", "o_orderstatus", 6)
 
 
 @R.query("""
@@ -144,11 +127,8 @@ c AS (SELECT count_if(pred = 1 AND quality = 1)::DOUBLE AS tp, count_if(pred = 1
 SELECT round(tp / (tp + fp), 6) AS prec, round(tp / (tp + fn), 6) AS rec, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def a26_prf1(t):
     """Precision, recall and F1 of a predicate."""
-    p = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("quality", (F.col("n_chars") > 1500).alias("pred"))
-    q = F.col("quality") == 1
-    c = p.agg(F.count_if(F.col("pred") & q).alias("tp"), F.count_if(F.col("pred") & ~q).alias("fp"), F.count_if(~F.col("pred") & q).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select(F.round(tp / (tp + fp), 6).alias("prec"), F.round(tp / (tp + fn), 6).alias("rec"), F.round(2 * tp / (2 * tp + fp + fn), 6).alias("f1"))
+    p = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return rollups.precision_recall(p, F.col("n_chars") > 1500, F.col("quality") == 1, 6)
 
 
 @R.query("""
@@ -156,23 +136,19 @@ WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
 SELECT source, n, least(n, greatest(4, floor(200 * sqrt(n) / sum(sqrt(n)) OVER ())::BIGINT)) AS quota FROM g""")
 def a27_sqrt_quota(t):
     """Quotas by the root of the size, 4 at least, the size at most."""
-    g = t.documents.groupBy("source").agg(F.count("*").alias("n"))
-    share = F.floor(200 * F.sqrt("n") / F.sum(F.sqrt("n")).over(Window.partitionBy()))
-    return g.withColumn("quota", F.least(F.col("n"), F.greatest(F.lit(4), share)).cast("long"))
+    return rollups.root_quotas(t.documents, "source", 200, 4)
 
 
 @R.query("SELECT o_orderstatus, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY o_orderstatus")
 def a29_distribution(t):
     """Counts with shares of the whole."""
-    g = t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    return rollups.distribution(t.orders, "o_orderstatus", 4)
 
 
 @R.query("SELECT sum(n - 1)::BIGINT AS extra FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_returnflag HAVING count(*) > 1)")
 def a32_duplication(t):
     """Surplus rows over a key of four."""
-    g = t.lineitem.groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").agg(F.count("*").alias("n")).where("n > 1")
-    return g.agg(F.sum(F.col("n") - 1).alias("extra"))
+    return rollups.surplus(t.lineitem, ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"])
 
 
 @R.query("""
@@ -180,9 +156,8 @@ SELECT o_orderpriority, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS q,
 (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1 GROUP BY 1, 2 HAVING count(*) >= 5""")
 def a34_quarterly_eligible(t):
     """Top rows by quarter, groups of five at least."""
-    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    g = t.orders.withColumn("r", r).where("r = 1").groupBy("o_orderpriority", quarter_label(F.col("o_orderdate")).alias("q")).agg(F.count("*").alias("n"))
-    return g.where("n >= 5")
+    top = ranking.first_of_each(t.orders, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"])
+    return top.groupBy("o_orderpriority", quarter_label(F.col("o_orderdate")).alias("q")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
 def _changes(t):

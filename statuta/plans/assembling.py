@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statuta.operators import forms, jobs
+from statuta.operators import forms, jobs, rollups
 from statuta.plans.tables import Registry
 from statuta.sources import payloads, sinks
 
@@ -171,8 +171,8 @@ def k05_retry_queue(t):
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem LEFT JOIN (SELECT o_orderkey, (o_custkey % 4)::INT AS n FROM orders) ON o_orderkey = l_orderkey WHERE n IS NULL OR l_linenumber < n""")
 def k10_stale_tail(t):
     """Parts past a document's new length go."""
-    n = t.orders.select(F.col("o_orderkey").alias("_k"), (F.col("o_custkey") % 4).cast("int").alias("n"))
-    return t.lineitem.join(n, F.col("l_orderkey") == F.col("_k"), "left").where("n IS NULL OR l_linenumber < n").select("l_orderkey", "l_linenumber", "l_partkey")
+    n = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 4).cast("int").alias("n"))
+    return rollups.live_parts(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), n, "l_orderkey", "l_linenumber", "n")
 
 
 @R.query("""SELECT '{"item_id":' || item_id || ',"n":' || length(text) || '}' AS value FROM benchmark""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statuta.operators import graph, keys, similar
+from statuta.operators import graph, keys, ranking, rollups, similar
 from statuta.plans.tables import Registry
 
 R = Registry()
@@ -48,7 +48,7 @@ WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey % 1000) GRO
 def j06_not_exists_group(t):
     """Numbers that are cited and missing, with counts."""
     c = t.orders.select((F.col("o_custkey") % 1000).alias("cited"))
-    return c.join(t.supplier, F.col("cited") == F.col("s_suppkey"), "left_anti").groupBy("cited").agg(F.count("*").alias("n"))
+    return rollups.missing(c, t.supplier.select(F.col("s_suppkey").alias("cited")), "cited")
 
 
 @R.query("""
@@ -242,8 +242,7 @@ WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINE
 def j27_semi_topk(t):
     """First rows of each key in a set."""
     o = t.orders.join(t.customer.where("c_mktsegment = 'MACHINERY'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return o.withColumn("r", r).where("r <= 4").select("o_custkey", "o_orderkey")
+    return ranking.first_of_each(o, "o_custkey", ["o_orderdate", "o_orderkey"], 4).select("o_custkey", "o_orderkey")
 
 
 @R.query("""
@@ -271,10 +270,10 @@ WITH ledger AS (SELECT doc_id, sha256(CASE WHEN doc_id % 6 = 0 THEN 'old' ELSE t
 SELECT d.doc_id, l.doc_id IS NULL OR sha256(d.text) <> l.h OR NOT l.ok AS redo FROM documents d LEFT JOIN ledger l ON d.doc_id = l.doc_id""")
 def j17_ledger(t):
     """Work to redo: absent, changed or failed before."""
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "text")
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
     old = F.sha2(F.when(F.col("doc_id") % 6 == 0, "old").otherwise(F.col("text")), 256)
-    led = t.documents.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("_d"), old.alias("_h"), (F.col("doc_id") % 10 != 0).alias("_ok"))
-    return d.join(led, d.doc_id == led["_d"], "left").select("doc_id", (F.col("_d").isNull() | (F.col("h") != F.col("_h")) | ~F.col("_ok")).alias("redo"))
+    led = t.documents.where("doc_id % 4 <> 0").select("doc_id", old.alias("h"), (F.col("doc_id") % 10 != 0).alias("ok"))
+    return rollups.work_to_redo(d, led, "doc_id", "h", "ok").select("doc_id", "redo")
 
 
 @R.query("SELECT l_suppkey FROM lineitem EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
@@ -288,8 +287,7 @@ SELECT user_id, list_min(list_intersect(list(DISTINCT k), [1, 2, 3, 5, 8, 13, 21
 FROM (SELECT user_id, (props->>'k')::INT AS k FROM events) GROUP BY user_id""")
 def u04_intersect_min(t):
     """Smallest member of an intersection of code sets."""
-    k = F.from_json("props", "k int")["k"]
-    return t.events.groupBy("user_id").agg(F.collect_set(k).alias("ks")).select("user_id", F.array_min(F.array_intersect("ks", F.array(*[F.lit(x) for x in (1, 2, 3, 5, 8, 13, 21)]))).alias("code"))
+    return rollups.smallest_common(t.events, "user_id", F.from_json("props", "k int")["k"], [1, 2, 3, 5, 8, 13, 21])
 
 
 @R.query("SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from statuta.operators.impact import percentile_vs_reference
+from statuta.operators import ranking
 from statuta.operators.jobs import budget_batches
 from statuta.plans.tables import Registry
 from statuta.sources.sinks import positioned
@@ -42,8 +42,7 @@ SELECT o_custkey, o_orderkey, o_totalprice, rn AS place FROM
 (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rn FROM orders) WHERE rn <= 3""")
 def w04_top3(t):
     """Three largest orders of each customer."""
-    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return t.orders.select("o_custkey", "o_orderkey", "o_totalprice").withColumn("place", r).where("place <= 3")
+    return ranking.first_of_each(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 3)
 
 
 @R.query("""
@@ -51,9 +50,7 @@ SELECT o_custkey, o_orderkey, round(o_totalprice - nxt, 4) AS margin FROM
 (SELECT *, row_number() OVER w AS rn, lead(o_totalprice) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn = 1""")
 def w05_margin(t):
     """Lead of the best over the runner-up."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    r = t.orders.withColumn("rn", F.row_number().over(w)).withColumn("nxt", F.lead("o_totalprice").over(w)).where("rn = 1")
-    return r.select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") - F.col("nxt"), 4).alias("margin"))
+    return ranking.margin(t.orders, "o_custkey", "o_totalprice", ["o_orderkey"]).select("o_custkey", "o_orderkey", F.round("margin", 4).alias("margin"))
 
 
 @R.query("""
@@ -62,16 +59,14 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >=
 def w06_reindex(t):
     """Positions from 0 after rows are dropped."""
     k = t.lineitem.where("l_quantity >= 10").select("l_orderkey", "l_linenumber").distinct()
-    return k.withColumn("idx", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("long"))
+    return ranking.reindexed(k, "l_orderkey", ["l_linenumber"])
 
 
 @R.query("""
 SELECT vec_id, label FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 100) = 0 ORDER BY vec_id LIMIT 100""")
 def w07_systematic_sample(t):
     """A sampling operator, every n-th id up to 100 rows."""
-    e = t.embeddings.select("vec_id", "label")
-    step = max(1, e.count() // 100)
-    return e.where(F.pmod("vec_id", F.lit(step)) == 0).orderBy("vec_id").limit(100)
+    return ranking.systematic_sample(t.embeddings.select("vec_id", "label"), "vec_id", 100)
 
 
 @R.query("""
@@ -102,7 +97,7 @@ SELECT o_orderkey, o_orderstatus FROM orders
 ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey DESC LIMIT 40""")
 def t03_case_order(t):
     """Running first, then queued, then the rest; newest first."""
-    rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rank = ranking.case_rank(F.col("o_orderstatus"), "P", "O")
     return t.orders.select("o_orderkey", "o_orderstatus").orderBy(rank, F.desc("o_orderkey")).limit(40)
 
 
@@ -111,7 +106,7 @@ SELECT p_partkey, 2 * (p_name ILIKE '%a%')::INT + 4 * (p_size > 25)::INT + (p_br
 WHERE p_retailprice >= 900 ORDER BY points DESC, p_partkey LIMIT 30""")
 def t07_candidate_ranking(t):
     """Points for each property, ties by key."""
-    points = 2 * F.col("p_name").ilike("%a%").cast("int") + 4 * (F.col("p_size") > 25).cast("int") + F.col("p_brand").isNotNull().cast("int")
+    points = ranking.points((F.col("p_name").ilike("%a%"), 2), (F.col("p_size") > 25, 4), (F.col("p_brand").isNotNull(), 1))
     return t.part.where("p_retailprice >= 900").select("p_partkey", points.alias("points")).orderBy(F.desc("points"), "p_partkey").limit(30)
 
 
@@ -120,7 +115,7 @@ SELECT l_orderkey, l_partkey, l_linenumber, round(share, 6) AS share FROM
 (SELECT *, 100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS share FROM lineitem) WHERE share >= 40""")
 def t08_large_shares(t):
     """Lines that make up a stated share of their order."""
-    share = 100 * F.col("l_extendedprice") / F.sum("l_extendedprice").over(Window.partitionBy("l_orderkey"))
+    share = ranking.share_of("l_extendedprice", "l_orderkey")
     return t.lineitem.withColumn("share", share).where("share >= 40").select("l_orderkey", "l_partkey", "l_linenumber", F.round("share", 6).alias("share"))
 
 
@@ -128,8 +123,7 @@ def t08_large_shares(t):
 SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY o_custkey""")
 def t09_in_order(t):
     """All keys of a group joined in order."""
-    s = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
-    return t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(s, lambda x: x["o_orderkey"].cast("string")), ",").alias("keys"))
+    return ranking.joined_in_order(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", ",", "keys")
 
 
 @R.query("""
@@ -138,5 +132,4 @@ FROM events WHERE list_contains(['purchase', 'signup'], event_type)) WHERE r <=
 def t10_group_listing(t):
     """Newest rows of a group by membership."""
     e = t.events.where(F.array_contains(F.array(F.lit("purchase"), F.lit("signup")), F.col("event_type")))
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))
-    return e.withColumn("r", r).where("r <= 5").select("event_id", "user_id", "ts")
+    return ranking.first_of_each(e, "user_id", [F.desc("ts"), "event_id"], 5).select("event_id", "user_id", "ts")
\ No newline at end of file

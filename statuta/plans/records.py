@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statuta.functions import text
-from statuta.operators import keys, records
+from statuta.operators import keys, records, rollups
 from statuta.operators.running import running_sum
 from statuta.plans.tables import Registry
 
@@ -126,10 +126,9 @@ WITH a AS (SELECT l_orderkey AS k, l_partkey % 50 AS x FROM lineitem WHERE l_lin
 SELECT k AS l_orderkey, string_agg(x::VARCHAR, ',' ORDER BY x) AS allowed FROM a GROUP BY k""")
 def e17_allowed_list(t):
     """Sorted distinct numbers of two lists of a payload."""
-    own = F.collect_list(F.when(F.col("l_linenumber") <= 2, F.col("l_partkey") % 50))
-    hit = F.collect_list(F.when(F.col("l_linenumber") > 2, F.col("l_suppkey") % 50))
-    g = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.array_distinct(F.concat(own, hit))).alias("n"))
-    return g.select("l_orderkey", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("allowed"))
+    own, hit = F.when(F.col("l_linenumber") <= 2, F.col("l_partkey") % 50), F.when(F.col("l_linenumber") > 2, F.col("l_suppkey") % 50)
+    g = rollups.sorted_union(t.lineitem, "l_orderkey", own, hit)
+    return g.select("l_orderkey", F.array_join(F.transform("allowed", lambda x: x.cast("string")), ",").alias("allowed"))
 
 
 @R.query("SELECT conv_id, turn, substr(text, 1, 1500) AS excerpt FROM conversations WHERE conv_id % 10 = 3 AND turn < 4")
@@ -273,11 +272,8 @@ WITH c AS (SELECT n_nationkey AS code, count(c_custkey) AS n, count(c_custkey) F
 SELECT code, CASE WHEN n > 0 THEN n ELSE (SELECT count(*) FROM customer) END AS n_documents, cited AS n_cited, CASE WHEN n > 0 THEN 'industry' ELSE 'whole store' END AS scope FROM c""")
 def e46_industry_statistics(t):
     """Counts over a whole industry, not only over what a report cites, with the scope where there is none."""
-    c = t.customer.groupBy(F.col("c_nationkey").alias("_c")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 9000).alias("cited"))
-    whole = t.customer.agg(F.count("*").alias("_all"))
-    j = t.nation.select(F.col("n_nationkey").alias("code")).join(c, F.col("code") == F.col("_c"), "left").join(F.broadcast(whole))  # one row
-    some = F.coalesce("n", F.lit(0)) > 0
-    return j.select("code", F.when(some, F.col("n")).otherwise(F.col("_all")).alias("n_documents"), F.coalesce("cited", F.lit(0)).alias("n_cited"), F.when(some, "industry").otherwise("whole store").alias("scope"))
+    codes = t.nation.select(F.col("n_nationkey").alias("code"))
+    return rollups.scoped_counts(codes, t.customer.withColumn("code", F.col("c_nationkey")), "code", F.col("c_acctbal") > 9000)
 
 
 @R.query("SELECT o_custkey AS child, max(o_orderkey) AS parent FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1 HAVING count(*) = 1")
