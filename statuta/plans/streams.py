@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statuta.plans.tables import Registry
 from statuta.session import shared_folder
-from statuta.sources import paged, sinks
+from statuta.sources import paged, payloads, sinks
 from statuta.streaming import keyed, scans
 
 R = Registry()
@@ -88,3 +88,42 @@ def s12_paged_stream(t):
             run.stop()
     rows = spark.read.schema(paged.SCHEMA).parquet(f"{folder}/out")
     return rows.groupBy("id").agg(F.min("page").alias("page"), F.count("*").alias("n"))
+
+
+def _landed(df: DataFrame, name: str, **options) -> str:
+    """Where rows of text were written, a folder a value of the other column if there is one."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.options(**options)
+    (writer.partitionBy(*[c for c in df.columns if c != "value"]) if len(df.columns) > 1 else writer).text(path)
+    return path
+
+
+@R.query("""
+SELECT event_id::VARCHAR AS tvpl_id, 'van-ban-' || event_type || '-x' AS slug, event_type AS category, ts::DATE AS pub_date FROM events
+WHERE event_type IN ('purchase', 'error') AND event_id % 7 <> 0""")
+def s05_feed(t):
+    """Entries of landed feeds whose address or category names a field; an entry without an id goes."""
+    e, lit = t.events, F.lit
+    link = F.concat(lit("https://x/van-ban/"), F.upper("event_type"), lit("/van-ban-"), "event_type", lit("-x"), F.when(F.col("event_id") % 7 != 0, F.concat(lit("-"), "event_id", lit(".aspx"))).otherwise(".html"))
+    day = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0700'")
+    item = F.concat(lit("<item><title>Mẫu &amp; "), "event_id", lit("</title><link>"), link, lit("</link><category>"), "event_type", lit("</category><pubDate>"), day, lit("</pubDate></item>"))
+    feeds = max(1, e.count() // 200)
+    lists = e.groupBy((F.col("event_id") % feeds).alias("feed")).agg(F.array_join(F.collect_list(item), "\n").alias("items"))  # two hundred a feed
+    files = lists.select("feed", F.concat(lit("<rss><channel>"), "items", lit("</channel></rss>")).alias("value"))
+    got = payloads.feed(e.sparkSession, _landed(files, "feed"), ["Purchase", "ERROR"])
+    return got.select("tvpl_id", "slug", "category", "pub_date")
+
+
+@R.query("""
+SELECT CASE WHEN s_suppkey % 6 = 1 THEN 'a-' || s_suppkey ELSE 's' || s_suppkey END AS slug, s_name AS num, CASE WHEN s_acctbal < 0 THEN 'het_toan_bo' ELSE 'con_hieu_luc' END AS state, 'r' || s_nationkey AS refs
+FROM supplier WHERE s_suppkey % 6 NOT IN (0, 2, 3)""")
+def s10_vault_index(t):
+    """Rows of published indexes, a file for each of 25 nations; entries without a slug or with one that leaves the folder go."""
+    k, lit = F.col("s_suppkey"), F.lit
+    key = k.cast("string")
+    slug = F.when(k % 6 == 0, F.concat(lit("../"), key)).when(k % 6 == 1, F.concat(lit("a-"), key)).when(k % 6 == 2, F.concat(lit("a/"), key)).when(k % 6 != 3, F.concat(lit("s"), key))
+    state = F.when(F.col("s_acctbal") < 0, "het_toan_bo").otherwise("con_hieu_luc")
+    row = F.struct(slug.alias("slug"), F.col("s_name").alias("num"), state.alias("state"), F.array(F.concat(lit("r"), "s_nationkey")).alias("refs"))
+    files = t.supplier.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(row).alias("documents"))).alias("value"))  # 25 files, as they are published
+    got = payloads.vault_index(t.supplier.sparkSession, _landed(files, "vault"))
+    return got.select("slug", "num", "state", F.array_join("refs", ",").alias("refs"))
