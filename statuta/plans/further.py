@@ -439,12 +439,18 @@ def e13_incident_edges(t):
 
 
 @R.query("""
-WITH f AS (SELECT * FROM (VALUES (1, 'state', 5), (2, 'industry', 0), (3, 'month', 4), (4, 'level', 2)) x(pos, name, n)) SELECT row_number() OVER (ORDER BY pos)::INT AS number, name FROM f WHERE n > 0 AND name <> 'industry'""")
+WITH c AS (SELECT o_custkey, count_if(o_orderstatus = 'P') AS state, count_if(o_orderpriority = '1-URGENT') AS industry, count(DISTINCT year(o_orderdate)) AS month, count_if(o_totalprice > 400000) AS level FROM orders GROUP BY 1),
+f AS (SELECT o_custkey, pos, name, n FROM (SELECT o_custkey, unnest([1, 2, 3, 4]) AS pos, unnest(['state', 'industry', 'month', 'level']) AS name, unnest([state, industry, month, level]) AS n FROM c) WHERE n > 0)
+SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY pos)::INT AS number, name, n FROM f""")
 def e16_figures(t):
-    """Figures of a report, empty ones dropped, numbered without gaps."""
-    f = t.region.sparkSession.createDataFrame([(1, "state", 5), (2, "industry", 0), (3, "month", 4), (4, "level", 2)], "pos int, name string, n int")
-    kept = f.where("n > 0").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("l"))  # a handful of figures
-    return kept.select(F.posexplode("l").alias("i", "s")).select((F.col("i") + 1).alias("number"), "s.name")
+    """The figures of each customer's report, empty ones dropped, numbered without gaps."""
+    counts = {
+        "state": F.count_if(F.col("o_orderstatus") == "P"), "industry": F.count_if(F.col("o_orderpriority") == "1-URGENT"), "month": F.countDistinct(F.year("o_orderdate")),
+        "level": F.count_if(F.col("o_totalprice") > 400000),
+    }
+    c = t.orders.groupBy("o_custkey").agg(*[n.alias(k) for k, n in counts.items()])
+    some = F.filter(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in counts]), lambda f: f["n"] > 0)
+    return c.select("o_custkey", F.posexplode(some).alias("i", "f")).select("o_custkey", (F.col("i") + 1).alias("number"), "f.name", "f.n")
 
 
 @R.query("""

@@ -60,13 +60,17 @@ def f28_gates(t):
     return t.part.select("p_partkey", records.article_fault(title, F.lit("d"), body, F.when(k != 3, True), (20, 36, 100, 40)).alias("fault"))
 
 
-@R.query("""
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'bãi bỏ' WHEN 1 THEN 'thay thế' WHEN 2 THEN NULL ELSE 'sửa đổi' END AS verb FROM orders""")
+#: Words that stand for verbs of relations: the tables have none.
+VERBS = ["the", "und", "que", "les", "an", "of"]
+
+
+@R.query(f"""
+WITH d AS (SELECT doc_id, strpos(text, '. ') AS pos, text FROM documents), b AS (SELECT doc_id, pos, CASE WHEN pos > 1 THEN lower(substr(text, greatest(1, pos - 140), least(140, pos - 1))) ELSE '' END AS b FROM d),
+v AS (SELECT unnest({VERBS}) AS v), p AS (SELECT doc_id, v, length(b) - strpos(reverse(b), reverse(v)) - length(v) AS p FROM b, v WHERE pos > 0 AND contains(b, v))
+SELECT doc_id, x.v AS verb FROM d LEFT JOIN (SELECT doc_id, arg_max(v, (p, v)) AS v FROM p GROUP BY doc_id) x USING (doc_id)""")
 def f33_nearest_verb(t):
-    """the verb that ends last in the 140 characters before a number."""
-    k, far = F.col("o_orderkey") % 4, F.repeat(F.lit("x "), F.lit(80))
-    s = F.when(k == 0, F.lit("thay thế A và Bãi bỏ số 12/2020")).when(k == 1, F.lit("bãi bỏ A, thay thế 12/2020 và sửa đổi")).when(k == 2, F.concat(F.lit("bãi bỏ "), far, F.lit("12/2020"))).otherwise("sửa đổi 12/2020; bãi bỏ 12/2020")
-    return t.orders.select("o_orderkey", text.nearest_before(s, F.lit("12/2020"), ["bãi bỏ", "thay thế", "sửa đổi"]).alias("verb"))
+    """The verb that stands last in the 140 characters before a place, here the end of the first sentence."""
+    return t.documents.select("doc_id", text.nearest_before("text", F.lit(". "), VERBS).alias("verb"))
 
 
 @R.query("""
