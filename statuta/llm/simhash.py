@@ -289,8 +289,10 @@ def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 #: Similarity of near copies as a fraction; words of a shingle; sampled documents and shingles whose order they set.
 SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
-#: Words of 64 bits that a set's parities take; rounds in which of a class's pairs only the nearest is compared.
+#: Words of 64 bits that a set's few parities take; rounds in which of a class's pairs only the nearest is compared.
 PARITIES, ROUNDS = 8, 2
+#: Classes of one size that make a shingle a crowded one; neighbours that a class meets there in a round.
+CROWD, NEIGHBOURS = 16, 4
 
 
 #: Odd multipliers that make one number of the hashes of a shingle's words.
@@ -352,17 +354,31 @@ def class_of(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes(), 7)
 
 
-def parities(x: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITIES residues whether an odd number of a set's shingles has it.
+def parities(x: np.ndarray, width: int) -> np.ndarray:
+    """For each of `width` residues (a power of two) whether an odd number of a set's shingles has it, as bytes.
 
-    Two sets' parities differ in as many places at most as there are shingles that only one of them has.
+    Two sets' parities differ in as many places at most as there are shingles that only one of them has. Those of half
+    the width are the two halves' differences.
     """
-    odd = np.bincount((x & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    odd = np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def wide(n: int) -> int:
+    """Parities that tell sets of n shingles apart."""
+    return max(64 * PARITIES, 1 << (n - 1).bit_length()) if n else 64 * PARITIES
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Parities (bytes) at a smaller width."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def shingled(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, fp, cls (hash of the set of shingles), n (its size), head (its first shingles), bits (parities) of every row."""
+    """doc_id, fp, cls (hash of the set of shingles), n (its size), head (its first shingles), bits and wide (parities, few and as many as
+    tell sets of this size apart) of every row."""
 
     def compute(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
@@ -371,14 +387,14 @@ def shingled(docs: DataFrame, order: Order) -> DataFrame:
                 grams = shingle_hashes(t)
                 x = np.unique(grams)
                 first = len(x) - -(-SIMILAR[0] * len(x) // SIMILAR[1]) + 1 if len(x) else 0
-                rows.append((majority([grams]), class_of(x), len(x), order(x)[:first].view(np.int64), parities(x)))
-            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "head", "bits"])
+                rows.append((majority([grams]), class_of(x), len(x), order(x)[:first].view(np.int64), parities(x, 64 * PARITIES).view(np.int64), parities(x, wide(len(x))).tobytes()))
+            out = pd.DataFrame(rows, columns=["fp", "cls", "n", "head", "bits", "wide"])
             for c in ("fp", "cls"):
                 out[c] = np.array(out[c].tolist(), np.uint64).view(np.int64)
             yield out
         give_back()
 
-    one = F.pandas_udf(compute, "fp long, cls long, n int, head array<long>, bits array<long>")
+    one = F.pandas_udf(compute, "fp long, cls long, n int, head array<long>, bits array<long>, wide binary")
     return docs.select("doc_id", one("text").alias("s")).select("doc_id", "s.*")
 
 
@@ -431,9 +447,13 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def shared_shingles(classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(s, cls, n, i, part): first shingles that classes of several components have; part names the component."""
-    rows = classes.select("cls", "n", F.posexplode("head").alias("i", "s"))
+def steps(n: Column) -> Column:
+    """Steps of sizes: sets of more than one step's difference aren't similar."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(SIMILAR[1] / SIMILAR[0])) + 1e-9).cast("int")
+
+
+def in_several_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s, cls, n, i, part): rows (s, cls, n, i) of shingles that classes of several components have; part names the component."""
     rows = rows.join(small(parts), F.col("cls") == F.col("node"), "left").select("s", "cls", "n", "i", F.coalesce("component", "cls").alias("part"))
     ends = [f("part").over(Window.partitionBy("s")) for f in (F.min, F.max)]
     return rows.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <> _b").drop("_a", "_b")
@@ -446,8 +466,7 @@ def by_size(shared: DataFrame) -> DataFrame:
     apart, so the sets of a frequent shingle are dealt by size. Of the smaller set only the first ninth of shingles counts.
     """
     top, below = SIMILAR
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(below / top)) + 1e-9).cast("int")
-    rows = shared.withColumn("step", step)
+    rows = shared.withColumn("step", steps(F.col("n")))
     first = rows.where(F.col("i") * (top + below) <= F.col("n") * (below - top))
     names = ["cls", "n", "i", "part"]
     both = rows.select("s", "step", F.lit(0).alias("less"), *names).unionAll(first.select("s", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.lit(1).alias("less"), *names))
@@ -457,6 +476,26 @@ def by_size(shared: DataFrame) -> DataFrame:
     return both.where(F.when(F.col("less") == 0, met("_2", "_3")).otherwise(met("_0", "_1"))).drop("_0", "_1", "_2", "_3")
 
 
+def neighbours(shared: DataFrame, bits: DataFrame, seed: int) -> DataFrame:
+    """(u, v, apart): pairs of classes in different components that stand next to each other in a crowded shingle.
+
+    The classes of a step of sizes that share a shingle are put in an order drawn by a hash, another one for every
+    shingle and round; each meets the few before it. In a group of near copies most find one, so that the group is one
+    component before all pairs are looked for.
+    """
+    top, below = SIMILAR
+    group = Window.partitionBy("s", "step")
+    rows = shared.withColumn("step", steps(F.col("n"))).withColumn("_c", F.count("*").over(group)).where(F.col("_c") >= CROWD).drop("_c")
+    order = group.orderBy(F.xxhash64(F.lit(seed), "s", "cls"), "cls")
+    rows = rows.join(small(bits), "cls").withColumn("_h", F.struct("cls", "n", "part", "bits"))
+    rows = rows.withColumn("_o", F.array(*[F.lag("_h", k).over(order) for k in range(1, NEIGHBOURS + 1)]))
+    apart = lambda o: parities_apart(F.col("bits"), o["bits"])
+    fits = F.filter("_o", lambda o: o.isNotNull() & (o["part"] != F.col("part")) & (apart(o) * (top + below) <= (F.col("n") + o["n"]) * (below - top)))
+    best = F.array_min(F.transform(fits, lambda o: F.struct(apart(o).alias("apart"), o["cls"].alias("other"))))
+    near = rows.withColumn("_b", best).where("_b IS NOT NULL").select("cls", "_b.other", "_b.apart")
+    return near.select(F.least("cls", "other").alias("u"), F.greatest("cls", "other").alias("v"), "apart").distinct()
+
+
 def candidates(sized: DataFrame, bits: DataFrame) -> DataFrame:
     """(u, v, apart): pairs of classes in different components that may be similar, by what they share and by their parities."""
     top, below = SIMILAR
@@ -470,6 +509,24 @@ def candidates(sized: DataFrame, bits: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) that all parities of their sets (cls, n, wide) allow, with how far these are apart."""
+    top, below = SIMILAR
+
+    @F.pandas_udf("int")
+    def differences(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            p, q = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            size = min(len(p), len(q))
+            out.append(int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()))
+        return pd.Series(out, dtype="int32")
+
+    a, b = (classes.select(F.col("cls").alias(x), F.struct("n", "wide").alias(f"_{x}")) for x in "uv")
+    both = pairs.select("u", "v").join(a, "u").join(b, "v").withColumn("apart", differences("_u.wide", "_v.wide"))
+    return both.where(F.col("apart") * (top + below) <= (F.col("_u.n") + F.col("_v.n")) * (below - top)).select("u", "v", "apart")
+
+
 def nearest_partners(pairs: DataFrame) -> DataFrame:
     """(u, v) of the pairs that are the nearest of one of their ends, by parities."""
     both = pairs.select(F.col("u").alias("cls"), "u", "v", "apart").unionAll(pairs.select(F.col("v").alias("cls"), "u", "v", "apart"))
@@ -477,32 +534,42 @@ def nearest_partners(pairs: DataFrame) -> DataFrame:
 
 
 def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """links and, between their components, links of classes (cls, n, head, bits) that are similar enough.
+    """links and, between their components, links of classes (cls, n, head, bits, wide) that are similar enough.
 
-    All classes meet that share a first shingle and may be similar. Of these pairs first only the nearest of each class
-    is compared, which joins groups of near copies; last, all pairs that aren't in one component yet: none is left out.
+    First classes meet their neighbours in crowded shingles, which joins large groups of near copies. Then all classes
+    of different components meet that share a first shingle and may be similar. Of these pairs first only the nearest of
+    each class is compared; last, all that aren't in one component yet: none is left out.
     """
-    spark = docs.sparkSession
-    parts = written(connected_components(links, "simhash-rounds"), "simhash-nodes")
-    shared = written(shared_shingles(classes, parts), "simhash-shared")
+    spark, bits = docs.sparkSession, classes.select("cls", "bits")
+    known = lambda: written(connected_components(links, "simhash-rounds"), "simhash-nodes")
+    parts = known()
+    shared = written(in_several_parts(classes.select("cls", "n", F.posexplode("head").alias("i", "s")), parts), "simhash-shared")
+    for k in range(rounds):
+        collected(spark)
+        near = written(nearest_partners(neighbours(shared, bits, k)), "simhash-near")
+        links = links.unionAll(verified(near, names, docs))
+        parts = known()
+        rest = written(in_several_parts(shared.drop("part"), parts), "simhash-shared")
+        dropped(near, shared)
+        shared = rest
     collected(spark)
     sized = written(by_size(shared), "simhash-sized")
     dropped(shared)
     collected(spark)
-    pairs = written(candidates(sized, classes.select("cls", "bits")), "simhash-candidates")
-    dropped(sized)
-    collected(spark)
+    met = written(candidates(sized, bits), "simhash-candidates")
+    ends = small(written(met.select(F.col("u").alias("cls")).unionAll(met.select(F.col("v").alias("cls"))).distinct(), "simhash-ends"))
+    pairs = written(likely(met, written(classes.join(ends, "cls", "left_semi").select("cls", "n", "wide"), "simhash-wide")), "simhash-likely")
+    dropped(sized, met)
     for k in range(rounds + 1):
+        collected(spark)
         of = lambda x, y: parts.select(F.col("node").alias(f"_{x}"), F.col("component").alias(y))
-        if k:
-            parts = written(connected_components(links, "simhash-rounds"), "simhash-nodes")
+        parts = known() if k else parts
         a, b = (small(of(x, f"_p{x}")) for x in "uv")
         open_ = pairs.join(a, F.col("u") == F.col("_u"), "left").join(b, F.col("v") == F.col("_v"), "left")
         open_ = open_.where(F.coalesce("_pu", "u") != F.coalesce("_pv", "v")).select("u", "v", "apart")
         now = written(open_.select("u", "v") if k == rounds else nearest_partners(open_), "simhash-pairs")
         links = links.unionAll(verified(now, names, docs))
         dropped(now)
-        collected(spark)
     dropped(pairs)
     return links
 
@@ -519,7 +586,7 @@ def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     names = written(names, "simhash-names")
     others = attached(rows.select("cls", "row"), names.where("copies > 1").select("cls", "picked", "copies"), "cls", "copies").where("row <> picked")
     others = small(written(others.select("row"), "simhash-others"))
-    classes = rows.select("row", "cls", "n", "head", "bits").join(others, "row", "left_anti").drop("row")
+    classes = rows.select("row", "cls", "n", "head", "bits", "wide").join(others, "row", "left_anti").drop("row")
     prints = written(rows.groupBy("fp").agg(F.min("cls").alias("first")), "simhash-prints")
     near = links(prints, reach).select(F.col("u.first").alias("u"), F.col("v.first").alias("v"))
     same = rows.select("fp", "cls").distinct().join(prints, "fp").where("cls <> first").select(F.col("cls").alias("u"), F.col("first").alias("v"))
