@@ -14,6 +14,8 @@ can't be read; see retry), NO_ID (a number that says nothing). Ties of priority
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,11 +82,13 @@ def state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     return load(spark, path, found[-1:], "queue"), load(spark, path, found[-1:], "documents"), load(spark, path, found[-1:], "whole").first().asDict()
 
 
-def run(spark: SparkSession, path: str, refs: DataFrame, store: DataFrame, budget: int, batch: int = 20, nodes: int = NODES, hub: int = HUB, max_depth: int = 0) -> dict:
+def run(spark: SparkSession, path: str, refs: DataFrame, store: DataFrame, budget: int, batch: int = 20, nodes: int = NODES, hub: int = HUB, max_depth: int = 0,
+        on_documents: Callable[[DataFrame], None] | None = None) -> dict:
     """Go on until `budget` documents were fetched, nothing is pending or there are `nodes` documents.
 
-    store: (node, number, error) of the landed documents; one with an error, or that isn't there, fails. Returns the counters of
-    this run, why it stopped and what is pending.
+    store: (node, number, error) of the landed documents; one with an error, or that isn't there, fails. on_documents gets
+    the fetched ones (node, depth, round) of every step before its state is saved: after a lost run it gets a step again. Returns
+    the counters of this run, why it stopped and what is pending.
     """
     if not 0 < batch <= MOST_BATCH:
         raise ValueError(f"a batch holds 1 to {MOST_BATCH} targets")
@@ -120,7 +124,10 @@ def run(spark: SparkSession, path: str, refs: DataFrame, store: DataFrame, budge
         got = got.join(degree, "_name", "left").withColumn("state", F.when((F.col("state") == DONE) & (F.coalesce("_degree", F.lit(0)) > hub), HUBS).otherwise(F.col("state")))
         got = written(got.withColumn("attempts", F.col("attempts") + 1).select(*QUEUE), "crawl-done")
         queue = queue.join(light(got.select("target")), "target", "left_anti").unionByName(got)
-        documents = documents.unionByName(got.where(F.col("state").isin(DONE, HUBS)).select(F.col("target").alias("node"), "depth", "round"))
+        fetched = got.where(F.col("state").isin(DONE, HUBS)).select(F.col("target").alias("node"), "depth", "round")
+        documents = documents.unionByName(fetched)
+        if on_documents is not None:
+            on_documents(fetched)
         tally = {r["state"]: r["n"] for r in got.groupBy("state").agg(F.count("*").alias("n")).collect()}
         counts["fetched"] += tally.get(DONE, 0) + tally.get(HUBS, 0)
         for name, key in (("failed", FAILED), ("hubs", HUBS), ("junk", NO_ID)):

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from statuta import lifecycles
 from statuta.functions import values
 from statuta.operators import cells, crawl, graph, impact, index, retrieval
 from statuta.operators.kept import generations
@@ -187,6 +188,28 @@ def r07_hybrid(t):
     return retrieval.ranked(g, [F.desc("final"), F.col("rank_a").asc_nulls_last(), F.col("doc_id")], 20, "pos").select("query", "doc_id", "final", "pos")
 
 
+@R.query("WITH " + _BM25 + "," + _KNN + """,
+c AS (SELECT doc_id, DATE '2024-01-01' - (doc_id % 300)::INT AS day, doc_id % 9 AS uses FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 3),
+a AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY r.rank) AS ra FROM r JOIN c USING (doc_id) QUALIFY ra <= 100),
+b AS (SELECT query // 50 AS query, vec_id AS doc_id, row_number() OVER (PARTITION BY query ORDER BY k.rank) AS rb FROM k JOIN c ON c.doc_id = vec_id WHERE query IN (50, 100, 150, 200) QUALIFY rb <= 100),
+f AS (SELECT query, doc_id, ra, rb, coalesce(1.0::DOUBLE / (60 + ra), 0) + coalesce(1.0::DOUBLE / (60 + rb), 0) AS rrf FROM a FULL JOIN b USING (query, doc_id)),
+g AS (SELECT f.*, round(0.5::DOUBLE * least(1.0, rrf / 0.033) + 0.3::DOUBLE * exp(-0.023 * (DATE '2024-02-01' - day)) + 0.2::DOUBLE * uses / 8, 5) AS final FROM f JOIN c USING (doc_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY final DESC, ra NULLS LAST, doc_id) AS pos FROM g)
+SELECT query::INT AS query, doc_id, final, pos::INT AS pos FROM h WHERE pos <= 10""")
+def r07_search_entry(t):
+    """The search job: default filters before both lists, vectors from an embedder, recency and use."""
+    k, none = F.col("doc_id"), F.lit(None)
+    chunks = t.documents.select(
+        k.alias("key"), k.cast("string").alias("doc"), none.cast("string").alias("status"), F.when(k % 7 == 0, "het_toan_bo").alias("eff_state"), F.when(k % 11 == 3, True).alias("is_closure_node"),
+        none.cast("boolean").alias("is_vbqppl"), none.cast("int").alias("hierarchy_level"), F.col("source").alias("field_name"), F.date_sub(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")).alias("issue_date"), (k % 9).alias("uses"),
+    )
+    vectors = t.embeddings.where("vec_id IN (50, 100, 150, 200)").select((F.col("vec_id") / 50).cast("int").alias("query"), F.col("embedding").alias("v"))
+    texts, near = _kept(t, "index", lambda p: index.build(t.documents, "doc_id", F.col("text"), p)), _kept(t, "cells", lambda p: cells.build(t.embeddings, "vec_id", "embedding", p))
+    queries = _searches(t).select("query", F.col("words").alias("text"))
+    found = lifecycles.hybrid_search(t.documents.sparkSession, texts, chunks, queries, near, lambda asked: asked.join(vectors, "query"), as_of=F.lit("2024-02-01").cast("date"), digits=5)
+    return found.select("query", F.col("key").alias("doc_id"), "final", "pos")
+
+
 @R.query("WITH " + _BM25 + "SELECT doc_id, score, query FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, query) AS z FROM r WHERE rank <= 35) WHERE z = 1")
 def r08_multi_query(t):
     """Best score of each row over several searches."""

@@ -77,7 +77,9 @@ def test_loop_equals_one_document_at_a_time(spark, tmp_path):
     refs, store, seeds = web(1)
     r, s, d = frames(spark, refs, store, seeds)
     path = crawl.start(str(tmp_path / "c"), d, r)
-    done = crawl.run(spark, path, r, s, budget=40, batch=25, hub=1)
+    steps = []
+    done = crawl.run(spark, path, r, s, budget=40, batch=25, hub=1, on_documents=lambda df: steps.append(sorted(x["node"] for x in df.collect())))
+    assert sum(map(len, steps)) == done["fetched"] == len({n for step in steps for n in step})
     docs, queue, _ = slow(refs, store, seeds, 40, 25, 1)
     got_docs, got_queue, counts = told(spark, path)
     # A budget that ends in the middle of a round: the slow loop stops there without queueing what the round found.
