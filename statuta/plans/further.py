@@ -68,14 +68,13 @@ def k12_daily_snapshot(t):
     return t.events.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("source")).agg(F.count("*").alias("n"))
 
 
-@R.query("""
-SELECT s_suppkey FROM supplier WHERE (s_suppkey % 4 = 3 OR s_suppkey % 4 <> 2) AND s_suppkey % 5 <> 1""")
+@R.query("SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0 AND s_nationkey <= 20")
 def p02_default_filters(t):
     """A caller's filters win over the default ones key by key; an empty list lifts a default."""
     default, caller = {"exclude_states": ["het_toan_bo", "chua"], "closure": False}, {"exclude_states": ["het_toan_bo"]}
-    k = F.col("s_suppkey")
-    s = t.supplier.select("s_suppkey", F.when(k % 4 == 2, "het_toan_bo").when(k % 4 == 1, "chua").alias("eff_state"), F.when(k % 5 == 1, True).alias("is_closure_node"),
-                          F.lit(None).cast("boolean").alias("is_vbqppl"), F.lit(None).cast("int").alias("hierarchy_level"), F.lit(None).cast("date").alias("issue_date"), F.lit(None).cast("string").alias("field_name"))
+    none, b = F.lit(None), F.col("s_acctbal")
+    s = t.supplier.select("s_suppkey", F.when(b < 0, "het_toan_bo").when(b < 1000, "chua").alias("eff_state"), F.when(F.col("s_nationkey") > 20, True).alias("is_closure_node"),
+                          none.cast("boolean").alias("is_vbqppl"), none.cast("int").alias("hierarchy_level"), none.cast("date").alias("issue_date"), none.cast("string").alias("field_name"))
     return s.where(retrieval.chunk_filter(**(default | caller))).select("s_suppkey")
 
 
@@ -95,11 +94,11 @@ def p06_publishable(t):
     return t.labels.where((F.coalesce("quality", F.lit(0)) == 1) | (F.coalesce("toxic", F.lit(0)) == 1)).select("doc_id")
 
 
-@R.query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 1")
+@R.query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW'")
 def p07_pending_uploads(t):
-    """Rows not synced yet that are no closure nodes."""
-    k = F.col("o_orderkey")
-    o = t.orders.select(k, F.when(k % 3 == 0, F.col("o_orderdate")).alias("synced"), F.when(k % 4 == 1, True).when(k % 4 == 2, False).alias("closure"))
+    """Rows not synced yet that are no closure nodes; an unknown flag is none."""
+    low = F.when(F.col("o_orderpriority") == "5-LOW", True).when(F.col("o_orderpriority") != "4-NOT SPECIFIED", False)
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("synced"), low.alias("closure"))
     return o.where("synced IS NULL AND NOT coalesce(closure, false)").select("o_orderkey")
 
 

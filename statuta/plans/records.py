@@ -30,14 +30,16 @@ def p08_unnotified(t):
     return o.where("notified_at IS NULL AND event IS NOT NULL").orderBy(F.desc("o_orderdate")).select("o_orderkey", "o_orderdate")
 
 
-@R.query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 <> 0 AND s_acctbal > 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 1")
+@R.query("SELECT p_partkey FROM part WHERE p_size > 10 AND p_retailprice > 950 AND p_type <> 'ECONOMY' AND p_brand NOT IN ('Brand#1', 'Brand#2')")
 def p12_index_listing(t):
     """Rows of an index: normative, with a slug, no closure node (null counts as none), no junk number."""
-    k = F.col("s_suppkey")
-    s = t.supplier.select("s_suppkey", (k % 5 != 0).alias("is_vbqppl"), F.when(F.col("s_acctbal") > 0, F.concat(F.lit("s-"), k)).alias("slug"),
-                          F.when(k % 7 == 0, True).when(k % 7 == 1, False).alias("closure"), F.when(k % 11 == 1, " Không số ").otherwise(k.cast("string")).alias("number"))
+    s = t.part.select(
+        "p_partkey", (F.col("p_size") > 10).alias("is_vbqppl"), F.when(F.col("p_retailprice") > 950, F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"),
+        F.when(F.col("p_type") == "ECONOMY", True).when(F.col("p_type") == "SMALL", False).alias("closure"),
+        F.when(F.col("p_brand") == "Brand#1", " Không số ").when(F.col("p_brand") == "Brand#2", "-").otherwise(F.col("p_brand")).alias("number"),
+    )
     junk = F.trim(F.coalesce("number", F.lit(""))).isin("Không số", "Khong so", "", "-")
-    return s.where(F.col("is_vbqppl") & F.col("slug").isNotNull() & ~F.coalesce("closure", F.lit(False)) & ~junk).select("s_suppkey")
+    return s.where(F.col("is_vbqppl") & F.col("slug").isNotNull() & ~F.coalesce("closure", F.lit(False)) & ~junk).select("p_partkey")
 
 
 @R.query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey || '/2024/NĐ-CP' WHEN 1 THEN 'Bộ luật ' || o_orderpriority ELSE o_orderkey || '/QĐ' END AS label FROM orders")
@@ -167,11 +169,10 @@ def e25_appendix(t):
     return t.lineitem.select("l_orderkey", (F.col("l_partkey") % 300).alias("number")).distinct().join(links, "number", "left").select("l_orderkey", "number", "link")
 
 
-@R.query("SELECT p_partkey, CASE p_size WHEN 1 THEN '01. Doanh nghiệp' WHEN 2 THEN '02. Đầu tư' WHEN 27 THEN '27. Lĩnh vực khác' ELSE '27. Lĩnh vực khác' END AS folder FROM part")
+@R.query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 27 THEN lpad(p_size::VARCHAR, 2, '0') || '. Lĩnh vực ' || p_size ELSE '27. Lĩnh vực 27' END AS folder FROM part")
 def e28_folder_label(t):
     """Numbered folders, unknown codes in the last."""
-    names = {1: "Doanh nghiệp", 2: "Đầu tư", 27: "Lĩnh vực khác"}
-    return t.part.select("p_partkey", records.numbered_folder(F.col("p_size"), names, 27).alias("folder"))
+    return t.part.select("p_partkey", records.numbered_folder(F.col("p_size"), {i: f"Lĩnh vực {i}" for i in range(1, 28)}, 27).alias("folder"))
 
 
 @R.query("""
@@ -203,13 +204,13 @@ def e33_missing_numbers(t):
     return r.where("doc_key IS NULL AND contains(number, '/')").select("number").distinct().orderBy("number").limit(100)
 
 
-@R.query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '1,3' WHEN 1 THEN '2,' || (10 + s_suppkey % 7) WHEN 2 THEN '1,3' ELSE '5' END AS codes FROM supplier")
+@R.query("""
+SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '1,3' ELSE array_to_string(list_sort(list_distinct([p_size, (p_partkey % 9)::INT, round(p_retailprice)::INT])), ',') END AS codes FROM part""")
 def e34_whitelists(t):
-    """Codes of a setting, the default where it is empty or wrong."""
-    k = F.col("s_suppkey") % 4
-    setting = F.when(k == 0, " ; ").when(k == 1, F.concat((10 + F.col("s_suppkey") % 7).cast("string"), F.lit(" ;2,2"))).when(k == 2, "4,x").otherwise("5")
-    codes = records.whitelist(setting, [3, 1])
-    return t.supplier.select("s_suppkey", F.array_join(F.transform(codes, lambda x: x.cast("string")), ",").alias("codes"))
+    """Codes of a setting, the default where it holds anything but numbers."""
+    numbers = F.concat("p_size", F.lit(" ; "), (F.col("p_partkey") % 9).cast("string"), F.lit(","), F.round("p_retailprice").cast("int").cast("string"), F.lit(";;"), "p_size")
+    codes = records.whitelist(F.when(F.col("p_size") % 10 == 0, F.concat("p_size", F.lit(","), "p_type")).otherwise(numbers), [3, 1])
+    return t.part.select("p_partkey", F.array_join(F.transform(codes, lambda x: x.cast("string")), ",").alias("codes"))
 
 
 @R.query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'khac' END AS label, least(1.0, greatest(0.0, user_id / 40.0 - 1))::DOUBLE AS confidence FROM events")
@@ -232,12 +233,11 @@ def e36_citation_check(t):
     return cited.join(known, "n", "left").groupBy("o_orderkey").agg(F.count("*").alias("total"), F.count_if(F.col("k").isNull()).alias("missing"))
 
 
-@R.query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_name || chr(10) || '# not a head' END AS body FROM supplier")
+@R.query("SELECT doc_id, CASE WHEN lang = 'en' THEN sha256(nullif(regexp_replace(text || chr(10) || '# not a head', '^\\s+|\\s+$', '', 'g'), '')) END AS body FROM documents")
 def e37_section(t):
     """A section of markdown, from its head to the next."""
-    head = F.when(F.col("s_suppkey") % 3 == 0, "## Other").otherwise("## Nội dung")
-    page = F.concat(F.lit("# T\n\n"), head, F.lit(" \n\n"), "s_name", F.lit("\n# not a head\n\n## Next\nx"))
-    return t.supplier.select("s_suppkey", records.section(page, "Nội dung").alias("body"))
+    page = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit(" \n"), "text", F.lit("\n# not a head\n\n## Next\nx"))
+    return t.documents.select("doc_id", F.sha2(records.section(page, "en"), 256).alias("body"))
 
 
 @R.query("""
