@@ -182,13 +182,15 @@ def detail(pages: DataFrame, key: str, html: str, base: str = "", kinds: tuple[s
     return p.select(key, "title", kept("body_html"), kept("body"), "updated_on", F.when(F.size("_field") > 0, F.col("_field")).otherwise(told).alias("refs"), status.alias("status"))
 
 
-_REF = r'<a[^>]*href="[^"]*/van-ban/[^"]*?-(\d+)\.aspx"[^>]*>([^<]*)</a>'
+def field_references(field: Column) -> Column:
+    """Array of (id, label) of the links to documents in a piece of markup; other links are none."""
+    number = r"(?i)/van-ban/.*-(\d+)\.aspx"
 
+    def read(t: Column) -> Column:
+        links = trees.select(t["nodes"], "a", where=lambda n: n["attrs"]["href"].rlike(number))
+        return F.transform(links, lambda n: F.struct(F.regexp_extract(n["attrs"]["href"], number, 1).alias("id"), trees.text_of(t["text"], n).alias("label")))
 
-def field_references(field: Column) -> Column:
-    """Array of (id, label) of the links to documents; other links are none."""
-    found = F.regexp_extract_all(field, F.lit(_REF), F.lit(0))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, _REF, 1).alias("id"), F.trim(F.regexp_extract(x, _REF, 2)).alias("label")))
+    return trees.bound(trees.tree(field), read)
 
 
 def without_kind(label: Column, kinds: list[str]) -> Column:

@@ -220,7 +220,7 @@ def r08_multi_query(t):
 SELECT doc_id, CASE WHEN regexp_matches(trim(w), '[{}();=<>\\[\\]]|[/\\\\]|\\.\\w{2,4}$') OR len(string_split_regex(trim(w), '\\s+')) <= 1 THEN 'KEYWORD' ELSE 'HYBRID' END AS mode
 FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 4) WHEN 1 THEN substr(text, 1, 30) ELSE 'a/b c' END AS w FROM documents)""")
 def r04_search_mode(t):
-    """Keyword or hybrid search."""
+    """Keyword or hybrid search. The tables have no queries: the first 4 or 30 characters of texts stand for some."""
     w = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 4)).when(F.col("doc_id") % 3 == 1, F.substring("text", 1, 30)).otherwise("a/b c")
     return t.documents.select("doc_id", retrieval.search_mode(w).alias("mode"))
 
