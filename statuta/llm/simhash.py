@@ -487,7 +487,7 @@ def neighbours(shared: DataFrame, bits: DataFrame, seed: int) -> DataFrame:
     group = Window.partitionBy("s", "step")
     rows = shared.withColumn("step", steps(F.col("n"))).withColumn("_c", F.count("*").over(group)).where(F.col("_c") >= CROWD).drop("_c")
     order = group.orderBy(F.xxhash64(F.lit(seed), "s", "cls"), "cls")
-    rows = rows.join(small(bits), "cls").withColumn("_h", F.struct("cls", "n", "part", "bits"))
+    rows = rows.join(bits, "cls").withColumn("_h", F.struct("cls", "n", "part", "bits"))
     rows = rows.withColumn("_o", F.array(*[F.lag("_h", k).over(order) for k in range(1, NEIGHBOURS + 1)]))
     apart = lambda o: parities_apart(F.col("bits"), o["bits"])
     fits = F.filter("_o", lambda o: o.isNotNull() & (o["part"] != F.col("part")) & (apart(o) * (top + below) <= (F.col("n") + o["n"]) * (below - top)))
@@ -499,7 +499,7 @@ def neighbours(shared: DataFrame, bits: DataFrame, seed: int) -> DataFrame:
 def candidates(sized: DataFrame, bits: DataFrame) -> DataFrame:
     """(u, v, apart): pairs of classes in different components that may be similar, by what they share and by their parities."""
     top, below = SIMILAR
-    rows = sized.join(small(bits), "cls")
+    rows = sized.join(bits, "cls")
     x = rows.where("less = 0").drop("less").alias("x")
     y = rows.where("less = 1").select("s", "step", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "i", "part", "bits")]).alias("y")
     n, m = F.col("n"), F.col("_n")
