@@ -37,7 +37,7 @@ from statuta.llm.common import NO_ID, fresh, give_back, partitions_of, text_part
 
 #: Documents of the sample for frequent words, a word's share of them that makes it frequent,
 #: most frequent words held; words of a batch; buckets for each input split; level of compression.
-SAMPLE, SHARE, FREQUENT, BATCH, BUCKETS, LEVEL = 4096, 0.01, 1 << 14, 400_000, 16, 6
+SAMPLE, SHARE, FREQUENT, BATCH, BUCKETS, LEVEL = 4096, 0.01, 1 << 14, 200_000, 16, 6
 #: Bytes of super-k-mers of one minimiser past which it is split, the share of documents by which they are
 #: told (1 in), words that deal a split minimiser's windows; bytes of repeated strings that a task remembers.
 HOT_BYTES, HOT_SAMPLE, DEPTH, REMEMBERED = 1 << 26, 64, 3, 1 << 23
