@@ -348,7 +348,7 @@ def joined(words: list[bytes], keep: np.ndarray) -> bytes:
 def with_ranges(docs: DataFrame, width: int) -> DataFrame:
     """Rows (doc, ranges): docs as one struct; the small side is hashed, texts are dealt but not sorted."""
     key = text_key(docs)
-    ranges = removed_ranges(docs, key, width)
+    ranges = written_by_batches(removed_ranges(docs, key, width), "substrings-ranges")
     rows = docs.select(fresh(docs).alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("_d"), key.alias("_k"))
     r = ranges.select(F.col("doc_id").alias("_e"), F.col("key").alias("_l"), "ranges").hint("shuffle_hash")
     return rows.join(r, (F.col("_d") == F.col("_e")) & (F.col("_k") == F.col("_l")), "left").select("doc", "ranges")
