@@ -290,7 +290,7 @@ def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
 #: Similarity of near copies as a fraction; words of a shingle; sampled documents and shingles whose order they set.
 SIMILAR, WORDS, ORDERED, COMMON = (4, 5), 5, 4096, 1 << 16
 #: Words of 64 bits that a set's few parities take; rounds in which of a class's pairs only the nearest is compared.
-PARITIES, ROUNDS = 8, 2
+PARITIES, ROUNDS = 8, 1
 #: Classes of one size that make a shingle a crowded one; neighbours that a class meets there in a round.
 CROWD, NEIGHBOURS = 16, 4
 
