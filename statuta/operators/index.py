@@ -1,6 +1,6 @@
 """A kept inverted index: searches read postings, never texts.
 
-Documents are put in order of their length and cut into blocks of BLOCK. A posting row is a term in a block: the entries
+Documents are put in order of their characters and cut into blocks of 64. A posting row is a term in a block: the entries
 (key, count, length), and of these the largest count and the smallest length, which bound the term's share of the score of
 any document there, whatever the corpus is by then. Postings are range-partitioned and sorted by term, so a search for
 a few terms skips the files of all others.
@@ -40,9 +40,11 @@ def documents(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def _generation(spark: SparkSession, path: str, number: int, fresh: DataFrame, dead: DataFrame, lost: DataFrame, before: tuple[int, int]) -> None:
     """Write a generation: fresh (key, digest, text), dead (key, gen, block, len), lost (term, df: what the dead had)."""
-    placed = fresh.withColumn("words", tokens(F.col("text"))).select("key", "digest", "words", F.size("words").alias("len"))
-    placed = placed.repartitionByRange("len", "key").sortWithinPartitions("len", "key").withColumn("_at", F.monotonically_increasing_id())
-    placed = written(placed, "index-blocks").select("key", "digest", "words", "len", F.lit(number).alias("gen"), F.shiftright("_at", BLOCK_BITS).alias("block"))
+    # Texts are put in order by their characters, so that words are made once, after the shuffle.
+    placed = fresh.withColumn("_chars", F.length("text")).repartitionByRange("_chars", "key").sortWithinPartitions("_chars", "key")
+    placed = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("words", tokens(F.col("text")))
+    placed = written(placed.select("key", "digest", "words", F.lit(number).alias("gen"), F.shiftright("_at", BLOCK_BITS).alias("block")), "index-blocks")
+    placed = placed.withColumn("len", F.size("words"))
     words = placed.select("key", "len", "gen", "block", F.explode("words").alias("term"))
     entries = words.groupBy("term", "gen", "block", "key", "len").agg(F.count("*").alias("tf"))
     rows = entries.groupBy("term", "gen", "block").agg(
