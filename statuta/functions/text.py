@@ -77,7 +77,7 @@ def public_slug(number: Column | str, key: Column | str) -> Column:
 
 #: Shapes of document numbers and prefixes of papers that are no legal documents.
 CITATION = r"\b\d+[/-](?:\d{4}[/-])?[A-ZĐ][A-ZĐ0-9a-z\-]*\b"
-TITLE_NUMBER = r"\b(\d{1,6}[A-Za-zĐđ]{0,3}/(?:\d{4}/)?[A-Za-zĐđÀ-ỹ][A-Za-zĐđÀ-ỹ0-9]*(?:[-–][A-Za-zĐđÀ-ỹ0-9.]+)*|\d{1,6}-[A-Za-zĐđÀ-ỹ][A-Za-zĐđÀ-ỹ0-9]*/[A-Za-zĐđÀ-ỹ][A-Za-zĐđÀ-ỹ0-9.\-]*)"
+TITLE_NUMBER = r"\b(\d+[A-Za-zĐđ]{0,3}/(?:\d{4}/)?[A-Za-zĐđÀ-ỹ][A-Za-zĐđÀ-ỹ0-9]*(?:[-–][A-Za-zĐđÀ-ỹ0-9.]+)*|\d+-[A-Za-zĐđÀ-ỹ][A-Za-zĐđÀ-ỹ0-9]*/[A-Za-zĐđÀ-ỹ][A-Za-zĐđÀ-ỹ0-9.\-]*)"
 PAPER_PREFIXES = ("HD", "PLHD", "BB", "GXN", "GUQ", "DN", "TTR")
 
 
@@ -95,7 +95,8 @@ def citations(x: Column | str, pattern: str = "(?U)" + CITATION) -> Column:
 
 
 def title_number(x: Column | str) -> Column:
-    """The first document number of a title, or an empty string."""
+    """The first document number of a title, or an empty string. Running numbers have any count of digits: where
+    seven were none, a later reference in the title passed for its number."""
     return F.regexp_extract(F.coalesce(_c(x), F.lit("")), "(?U)" + TITLE_NUMBER, 1)
 
 

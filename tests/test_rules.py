@@ -46,6 +46,8 @@ def test_number_keys(spark):
     assert column(spark, "292/2026/NĐ-CP", "string", text.slug) == "292-2026-ndd-cp"
     assert column(spark, "Theo 112/2025/QH15, số 01/HĐ-BHXH-2025 và 12/11, 112/2025/QH15.", "string", text.citations) == ["112/2025/QH15"]
     assert column(spark, "Nghị định 292/2026/NĐ-CP sửa 1/2020/NĐ-CP", "string", text.title_number) == "292/2026/NĐ-CP"
+    assert column(spark, "Nghị định 8999998/2026/NĐ-CP sửa 1/2020/NĐ-CP", "string", text.title_number) == "8999998/2026/NĐ-CP"
+    assert column(spark, "Chỉ thị 1234567-TB/VPTW", "string", text.title_number) == "1234567-TB/VPTW"
 
 
 def test_public_slug_marks_doubtful_numbers(spark):
