@@ -98,7 +98,7 @@ def listing(pages: DataFrame, key: str, html: str, base: str = "") -> DataFrame:
     count that the page states, if any. A page that can't be read is one row with an error and no item; a page
     without items gives no row.
     """
-    p = pages.select(F.col(key), trees.tree(F.col(html)).alias("_t"))
+    p = trees.planted(pages.select(F.col(key), F.col(html).alias("_html")), "_html").drop("_html")
     text = F.col("_t.text")
 
     def item(a: Column, divs: Column, words: Column) -> Column:
@@ -141,7 +141,7 @@ def detail(pages: DataFrame, key: str, html: str, base: str = "", kinds: tuple[s
     body count. A body that is too short is no error of the job but a status, EMPTY_BODY; a page that can't be read
     has the status UNREADABLE.
     """
-    p = pages.select(F.col(key), F.col(html).alias("_html"), trees.tree(F.col(html)).alias("_t"))
+    p = trees.planted(pages.select(F.col(key), F.col(html).alias("_html")), "_html")
     text, nodes = F.col("_t.text"), F.col("_t.nodes")
     plain = lambda n: trees.joined(trees.raw_text(text, n))
     spans = trees.select(nodes, "span", where=lambda n: (trees.parent(nodes, n)["tag"] == "p") & plain(n).contains("Cập nhật:"))

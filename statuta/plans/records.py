@@ -8,6 +8,7 @@ from statuta.functions import text
 from statuta.operators import keys, records, rollups
 from statuta.operators.running import running_sum
 from statuta.plans.tables import Registry
+from statuta.session import spread
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -339,7 +340,8 @@ def s06_form_listing(t):
     day = F.when(k % 5 > 0, F.date_format(F.date_add(lit("2024-01-01").cast("date"), F.col("p_size")), "'Cập nhật: 'd/M/yyyy")).otherwise("Cập nhật: 31/02/2024")
     right = F.concat(lit("<div><div class='right-col small'><em>"), day, lit("</em></div></div>"))
     item = F.concat(lit("<div class='row content-"), (k % 2).cast("string"), lit("'><div><p class='nqTitle big'>\n"), link, lit("\n"), name, lit("\n</a></p><div>x</div></div>"), words, right, lit("</div>"))
-    page = t.part.groupBy(F.floor(k / 20).alias("page")).agg(F.array_join(F.collect_list(F.concat(item, item)), "").alias("items"))  # twenty a page
+    parts = spread(t.part.withColumn("page", F.floor(k / 20)), 5_000, "page")
+    page = parts.groupBy("page").agg(F.array_join(F.collect_list(F.concat(item, item)), "").alias("items"))  # twenty a page
     head = lit("<title>x</title><script>var a = '<div class=content-1>';</script><p>Tìm thấy <b>1.234</b> biểu mẫu</p><p class='nqTitle'><a href='/tin/1/x'>x</a></p>")
     more = F.when(F.col("page") % 7 > 0, "<div class=pages><a href='?p=2'><b>Trang</b> <span>sau</span> »</a>").otherwise("<!-- <a>Trang sau</a> --><a>Trang trước</a>")
     got = records.listing(page.select("page", F.concat(head, "items", more).alias("html")), "page", "html", base="https://x")
@@ -369,7 +371,7 @@ def s07_form_detail(t):
     short = F.concat(lit("<div class='divTNPL'>"), body, lit("</div>"))  # too short for a block of its own: the whole frame
     large = F.length(F.concat(lit("Căn cứ số "), (k % 10000).cast("string"), lit("/2024/NĐ-CP, điện thoại 028/3930/3279."), F.repeat("p_name", F.col("p_size")))) >= 200  # without breaks
     html = F.concat(lit("<html><title>T "), "p_brand", lit("</title><body>"), path, meta, F.when(k % 4 < 2, own).otherwise(F.when(large, frame).otherwise(short)))
-    d = records.detail(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html", base="https://x")
+    d = records.detail(spread(t.part, 5_000, "p_partkey").select("p_partkey", html.alias("html")), "p_partkey", "html", base="https://x")
     refs = F.transform("refs", lambda r: F.concat_ws("|", r["doc_num"], r["label"], F.coalesce(r["url"], lit("")), F.coalesce(r["document_id"], lit("")), r["source"]))
     return d.select("p_partkey", "title", "updated_on", F.array_join(refs, ";").alias("refs"), "status", F.sha2("body", 256).alias("body"))
 

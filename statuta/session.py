@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def build(name: str = "statuta", **conf: str) -> SparkSession:
@@ -48,6 +48,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *by: Column | str) -> DataFrame:
+    """df in parts of about `rows` rows, by columns if named: for small rows that much is made of. Input splits and adaptive
+    plans go by bytes, so a million keys may be one task."""
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by written() that nothing will read again."""
     for t in tables:

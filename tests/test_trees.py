@@ -4,10 +4,12 @@ import datetime
 import random
 from html import escape
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from statuta.operators import forms, records, trees
+from statuta.session import spread
 
 
 def nodes_of(page):
@@ -132,3 +134,18 @@ def test_form_pages_give_what_was_written(spark):
 ])
 def test_references_of_a_body(spark, body, want):
     assert spark.createDataFrame([(body,)], "b string").select(forms.body_references(F.col("b")).alias("r")).first()["r"] == want
+
+
+def test_pages_are_read_in_bounded_parts_and_keep_their_columns(spark):
+    page = "<p class=a>" + "x" * 1000 + "</p>"
+    parts = list(trees._parts(pa.array([page] * 600 + [None, page * 500, "<b>"])))
+    assert [i for at, part in parts for i in range(at, at + len(part))] == list(range(603))
+    assert all(len(part) == 1 or sum(len(p or "") for p in part) <= trees.PART for _, part in parts) and len(parts) > 4
+    df = spark.createDataFrame([(i, f"<p id={i}>{i}</p>" if i % 3 else None) for i in range(300)], "k int, html string").coalesce(1)
+    got = trees.planted(df, "html").select("k", "html", "_t.text", F.get("_t.nodes", F.lit(0))["attrs"]["id"].alias("id")).collect()
+    assert {(r["k"], r["html"], r["text"].strip(trees.STRING + trees.BLOCK), r["id"]) for r in got} == {(i, f"<p id={i}>{i}</p>", str(i), str(i)) if i % 3 else (i, None, "", None) for i in range(300)}
+
+
+def test_small_rows_that_much_is_made_of_are_spread(spark):
+    assert spread(spark.range(25_000).coalesce(1), 10_000, "id").rdd.getNumPartitions() == 3
+    assert spread(spark.range(0), 10_000).rdd.getNumPartitions() == 1
