@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from statuta.functions import facts, text, values
 from statuta.operators import forms, graph, impact, jobs, keys, records, retrieval
 from statuta.plans.tables import Registry
+from statuta.session import spread
 from statuta.sources import payloads, sinks
 from statuta.streaming import scans
 
@@ -431,8 +432,8 @@ def e05_whole_group(t):
 @R.query("SELECT s_suppkey AS node, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey = s_suppkey OR l_orderkey = s_suppkey)) AS n_edges FROM supplier")
 def e13_incident_edges(t):
     """Edges at either end of a number."""
-    e = t.lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
-    ends = e.select(F.col("a").alias("n"), "a", "b").unionAll(e.where("a <> b").select("b", "a", "b"))
+    e = spread(t.lineitem.select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")), 1_000_000, "a", "b").distinct()
+    ends = e.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("n"))
     g = ends.groupBy("n").agg(F.count("*").alias("n_edges"))
     return t.supplier.join(g, F.col("n") == F.col("s_suppkey"), "left").select(F.col("s_suppkey").alias("node"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
