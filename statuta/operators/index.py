@@ -1,6 +1,7 @@
 """A kept inverted index: searches read postings, never texts.
 
-Documents are put in order of their characters and cut into blocks of 64. A posting row is a term in a block: the entries
+Documents are dealt by key, put in order of their characters inside each part and cut into blocks of 64. A task makes the
+rows of its blocks, so what is shuffled is each text once and each posting once. A posting row is a term in a block: the entries
 (key, count, length), and of these the largest count and the smallest length, which bound the term's share of the score of
 any document there, whatever the corpus is by then. Postings are range-partitioned and sorted by term, so a search for
 a few terms skips the files of all others.
@@ -18,14 +19,23 @@ Nulls: a null text is an empty one, a row without a key is left out. Of rows of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuta.operators.kept import generations, light, load, save
 from statuta.operators.retrieval import K1, MOST_TERMS, B, tokens
-from statuta.session import written
+from statuta.session import dropped, written
 
+#: Texts of an Arrow batch where blocks are made.
+BATCH = 256
 #: Documents of a block; blocks a query that are read first, and the most that are taken by rank.
 BLOCK_BITS, FIRST, MOST = 6, 16, 4096
 #: What a bound may be too low by, from the order of additions.
@@ -38,24 +48,63 @@ def documents(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.withColumn("digest", F.sha2("text", 256))
 
 
+def _inverted(gen: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a block, and one without a term that lists the block's documents with their digests.
+
+    Rows (key, digest, block, words) come block by block; a block that a batch cuts waits for the rest. What is held
+    follows a block, not the batch.
+    """
+    left = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b], left.schema)])
+        starts = [*np.flatnonzero(np.diff(t["block"].to_numpy(), prepend=-1)).tolist(), t.num_rows]
+        for first, end in pairwise(starts[:-1]):
+            yield from _postings(gen, t.slice(first, end - first))
+        left = t.slice(starts[-2]) if t.num_rows else left  # the last block may go on
+    if left is not None:
+        yield from _postings(gen, left)
+
+
+def _postings(gen: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of one block."""
+    key, digest, words = (t[c].combine_chunks() for c in ("key", "digest", "words"))
+    block, docs = t["block"][0].as_py(), t.num_rows
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("int32")
+    term = pc.list_flatten(words).dictionary_encode()
+    # One number for each term and document, so equal numbers are a term's places in a document.
+    found, tf = np.unique(term.indices.to_numpy().astype("int64") * docs + np.repeat(np.arange(docs), size), return_counts=True)
+    code, doc = found // docs, found % docs
+
+    def rows(terms: pa.Array, doc: np.ndarray, tf: np.ndarray, first: np.ndarray, digests: pa.Array) -> pa.RecordBatch:
+        each = pa.StructArray.from_arrays([key.take(pa.array(doc)), pa.array(tf, pa.int64()), pa.array(size[doc], pa.int32())], ["key", "tf", "len"])
+        ends = np.append(first, len(doc))
+        facts = [np.full(len(first), gen, "int32"), np.full(len(first), block, "int64"), np.diff(ends).astype("int64"), np.maximum.reduceat(tf, first), np.minimum.reduceat(size[doc], first)]
+        columns = [terms, *map(pa.array, facts), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), digests]
+        return pa.RecordBatch.from_arrays(columns, ["term", "gen", "block", "n", "tf_max", "len_min", "entries", "digests"])
+
+    yield rows(pa.nulls(1, pa.string()), np.arange(docs), np.zeros(docs, "int64"), np.array([0]), pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), digest))
+    if len(found):
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        yield rows(term.dictionary.take(pa.array(code[first])), doc, tf, first, pa.nulls(len(first), pa.list_(pa.string())))
+
+
 def _generation(spark: SparkSession, path: str, number: int, fresh: DataFrame, dead: DataFrame, lost: DataFrame, before: tuple[int, int]) -> None:
     """Write a generation: fresh (key, digest, text), dead (key, gen, block, len), lost (term, df: what the dead had)."""
-    # Texts are put in order by their characters, so that words are made once, after the shuffle.
-    placed = fresh.withColumn("_chars", F.length("text")).repartitionByRange("_chars", "key").sortWithinPartitions("_chars", "key")
-    placed = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("words", tokens(F.col("text")))
-    placed = written(placed.select("key", "digest", "words", F.lit(number).alias("gen"), F.shiftright("_at", BLOCK_BITS).alias("block")), "index-blocks")
-    placed = placed.withColumn("len", F.size("words"))
-    words = placed.select("key", "len", "gen", "block", F.explode("words").alias("term"))
-    entries = words.groupBy("term", "gen", "block", "key", "len").agg(F.count("*").alias("tf"))
-    rows = entries.groupBy("term", "gen", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("tf_max"), F.min("len").alias("len_min"), F.array_sort(F.collect_list(F.struct("key", "tf", "len"))).alias("entries")
-    )  # a block's documents at most
+    # Texts come dealt by key and are put in order inside each part, so blocks of like lengths form where texts lie.
+    placed = fresh.withColumn("_chars", F.length("text")).sortWithinPartitions("_chars", "key").withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.select("key", "digest", F.shiftright("_at", BLOCK_BITS).alias("block"), tokens(F.col("text")).alias("words"))
+    kind = fresh.schema["key"].dataType.simpleString()
+    form = f"term string, gen int, block long, n long, tf_max long, len_min int, entries array<struct<key:{kind},tf:bigint,len:int>>, digests array<string>"
+    blocks = written(placed.mapInArrow(partial(_inverted, number), form), "index-blocks", BATCH)
+    listed = blocks.where("term IS NULL").select("gen", "block", F.explode(F.arrays_zip("entries", "digests")).alias("d"))
+    rows = blocks.where("term IS NOT NULL").drop("digests")
     rows = save(rows.repartitionByRange("term", "gen", "block").sortWithinPartitions("term", "gen", "block"), path, number, "postings")
     gained = rows.groupBy("term").agg(F.sum("n").alias("df"))
     terms = gained.unionByName(lost.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
     save(terms.repartitionByRange("term").sortWithinPartitions("term"), path, number, "terms")
     gone = save(dead.select("key", "gen", "block", "len"), path, number, "dead")
-    mine = save(placed.select("key", "digest", "len", "gen", "block"), path, number, "docs")
+    mine = save(listed.select("d.entries.key", F.col("d.digests").alias("digest"), "d.entries.len", "gen", "block"), path, number, "docs")
+    dropped(blocks)
     total = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first())
     (more, long), (less, short) = total(mine), total(gone)
     whole = spark.createDataFrame([(before[0] + more - less, before[1] + long - short)], "docs long, words long")

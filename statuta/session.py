@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def build(name: str = "statuta", **conf: str) -> SparkSession:
     """A session with adaptive plans and UTC; master and memory come from spark-submit."""
     b = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
@@ -34,15 +37,23 @@ def _file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The application's folder goes when the application ends.
+    The application's folder goes when the application ends. batch: rows of an Arrow batch in this write, where texts go to
+    Python; the session's own setting is put back.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     path = f"{folder}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RECORDS)
+    if batch is not None and (int(before) <= 0 or int(before) > batch):
+        spark.conf.set(RECORDS, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch is not None:
+            spark.conf.set(RECORDS, before)
     p, files = _file_system(spark, folder)
     files.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)

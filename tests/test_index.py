@@ -117,3 +117,33 @@ def test_rows_of_one_key_and_empty_tables(spark, tmp_path):
     assert fast(spark, none, asked(spark, "a"), 5) == []
     index.update(spark, none, frame(spark, [(5, "a")]), "id", F.col("text"))
     assert [r[1] for r in fast(spark, none, asked(spark, "a", "b"), 5)] == [5]
+
+
+def test_building_shuffles_texts_and_postings_once(spark, tmp_path):
+    """What tasks write to shuffles: each text, each posting, counts by term. Blocks that Arrow batches cut are whole."""
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=200))) for i in range(1500)]
+    docs = frame(spark, rows)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    store, jvm, gateway = spark._jsc.sc().statusStore(), spark._jvm, spark.sparkContext._gateway
+    none = jvm.java.util.ArrayList()
+
+    def shuffled():
+        stages = store.stageList(none, False, False, gateway.new_array(jvm.double, 0), none).iterator()
+        n = 0
+        while stages.hasNext():
+            n += stages.next().shuffleWriteRecords()
+        return n
+
+    before = shuffled()
+    path = index.build(docs, "id", F.col("text"), str(tmp_path / "i"))
+    made = shuffled() - before
+    postings = kept.load(spark, path, [0], "postings")
+    assert postings.groupBy("term", "gen", "block").count().where("count > 1").isEmpty()
+    assert postings.groupBy("block").agg(F.countDistinct(F.get("entries.key", F.lit(0)))).count() == kept.load(spark, path, [0], "docs").select("block").distinct().count()
+    assert made <= len(rows) + postings.count() + 4 * len(words) * 4 + 100
+    want = {(k, w, t.split().count(w)) for k, t in rows for w in set(t.split())}
+    got = postings.select("term", F.explode("entries").alias("e")).select("e.key", "term", "e.tf").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
