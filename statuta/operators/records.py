@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.text import fold, shorten
-from statuta.operators import trees
+from statuta.operators import kept, trees
 from statuta.operators.forms import body_references
+from statuta.session import written
 
 #: Kinds of documents that stand before a number.
 KINDS = (
@@ -51,6 +52,21 @@ def replaced_by_source(old: DataFrame, new: DataFrame, source: str) -> DataFrame
 DONE, FAILED, BLOCKED = "DONE", "FAILED", "BLOCKED_CITATION"
 
 
+def _unknown(cited: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of cited (number and more) whose number isn't known, however often a number is cited.
+
+    Up to FEW known numbers go to every task. Of more, a number of over FEW rows is at most one in FEW rows, so those go, and
+    only the rows of other numbers are dealt by number.
+    """
+    known = known.select("number")
+    if known.count() <= kept.FEW:
+        return cited.join(F.broadcast(known), "number", "left_anti")
+    cited = written(cited, "cited")
+    hot = written(cited.groupBy("number").agg(F.count("*").alias("_n")).where(F.col("_n") > kept.FEW).select("number"), "cited-often")
+    lost = hot.join(known, "number", "left_anti")
+    return cited.join(F.broadcast(lost), "number", "left_semi").unionByName(cited.join(F.broadcast(hot), "number", "left_anti").join(known, "number", "left_anti"))
+
+
 def outcomes(jobs: DataFrame, outputs: DataFrame, known: DataFrame) -> DataFrame:
     """(job, status, citation_total, citation_missing, error) of jobs that ran.
 
@@ -60,11 +76,14 @@ def outcomes(jobs: DataFrame, outputs: DataFrame, known: DataFrame) -> DataFrame
     """
     o = outputs.select(F.col("job").alias("_job"), "error", F.array_distinct("cited").alias("cited"), "allowed")
     parents = outputs.where("error IS NULL").select(F.col("job").alias("_p"))
-    j = jobs.join(o, F.col("job") == F.col("_job"), "left").join(parents, F.col("parent") == F.col("_p"), "left")
-    lone = (F.col("kind") == "c") & F.col("_p").isNull()
+    # Only jobs that need a parent look for it, by two numbers: rows of no parent would all meet in one task.
+    asking = jobs.where("kind = 'c' AND parent IS NOT NULL").select(F.col("job").alias("_fed"), "parent")
+    fed = asking.join(parents, F.col("parent") == F.col("_p"), "left_semi").select("_fed").distinct()
+    j = jobs.join(o, F.col("job") == F.col("_job"), "left").join(fed, F.col("job") == F.col("_fed"), "left")
+    lone = (F.col("kind") == "c") & F.col("_fed").isNull()
     j = j.withColumn("error", F.when(lone, "parent has no output").when(F.col("_job").isNull(), F.coalesce("error", F.lit("no output"))).otherwise(F.col("error")))
     cited = j.where("error IS NULL").select("job", F.explode(F.array_except("cited", F.coalesce("allowed", F.array().cast("array<string>")))).alias("number"))
-    missing = cited.join(known, "number", "left_anti").groupBy(F.col("job").alias("_m")).agg(F.count("*").alias("_missing"))
+    missing = _unknown(cited, known).groupBy(F.col("job").alias("_m")).agg(F.count("*").alias("_missing"))
     j = j.join(missing, F.col("job") == F.col("_m"), "left").withColumn("_missing", F.coalesce("_missing", F.lit(0)))
     status = F.when(F.col("error").isNotNull(), FAILED).when(F.col("_missing") > 0, BLOCKED).otherwise(DONE)
     ran = F.col("error").isNull()
