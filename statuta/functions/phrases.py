@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.functions.parts import mapped
 from statuta.functions.text import HELD_BY, RESTRICTIONS, TRAPS
 
 #: Phrases that a lexicon may hold: it lies in the memory of every task.
@@ -79,9 +80,11 @@ def phrase_counts(text: Column, terms: Iterable[str], traps: Mapping[str, Sequen
     """Array of (term, n) of the phrases found, in the order of the list; an empty one for null."""
     p = Phrases(terms, traps)
 
-    @F.pandas_udf("array<struct<term:string,n:int>>")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"term": p.terms[i], "n": n} for i, n in sorted(p.counts(t).items())], na_action=None)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
+
+    @F.arrow_udf("array<struct<term:string,n:int>>")
+    def count(texts: pa.Array) -> pa.Array:
+        return mapped(lambda t: [{"term": p.terms[i], "n": n} for i, n in sorted(p.counts(t).items())], kind, texts)
 
     return count(text)
 
@@ -97,9 +100,9 @@ def weighted_total(text: Column, weights: Mapping[str, float] | None = None, hel
         n = p.counts(t)
         return sum((max(0, n.get(i, 0) - sum(n.get(j, 0) for j in longer)) * w for i, w, longer in parts), 0.0)
 
-    @F.pandas_udf("double")
-    def add(texts: pd.Series) -> pd.Series:
-        return texts.map(total, na_action=None).astype("float64")
+    @F.arrow_udf("double")
+    def add(texts: pa.Array) -> pa.Array:
+        return mapped(total, pa.float64(), texts)
 
     return add(text)
 
@@ -108,9 +111,9 @@ def points(title: Column, body: Column, terms: Iterable[str], head: int | None =
     """`weight` for each hit in the title, one for any in the body (or its first `head` characters), summed over terms."""
     p = Phrases(terms, traps)
 
-    @F.pandas_udf("int")
-    def add(titles: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([weight * sum(p.counts(t).values()) + len(p.counts(b)) for t, b in zip(titles, bodies)], dtype="int32")
+    @F.arrow_udf("int")
+    def add(titles: pa.Array, bodies: pa.Array) -> pa.Array:
+        return mapped(lambda t, b: weight * sum(p.counts(t).values()) + len(p.counts(b)), pa.int32(), titles, bodies)
 
     return add(title, F.substring(body, 1, head) if head else body)
 
@@ -143,8 +146,10 @@ def class_scores(
                     out[code] = out.get(code, 0) + w * (1 if once else n)
         return [{"code": c, "score": s} for c, s in sorted(out.items()) if s >= least]
 
-    @F.pandas_udf("array<struct<code:string,score:int>>")
-    def scored(titles: pd.Series, fields: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([score(*x) for x in zip(titles, fields, bodies)])
+    kind = pa.list_(pa.struct([("code", pa.string()), ("score", pa.int32())]))
+
+    @F.arrow_udf("array<struct<code:string,score:int>>")
+    def scored(titles: pa.Array, fields: pa.Array, bodies: pa.Array) -> pa.Array:
+        return mapped(score, kind, titles, fields, bodies)
 
     return docs.select(key, F.explode(scored(title, field, body)).alias("_s")).select(key, "_s.*")
