@@ -6,64 +6,72 @@ last. The result is that of the same table read at once, whatever the size of mi
 within the lateness; later rows are dropped by the watermark, which starts at 1970: times before that are late. A key that has had no row for `forget` is dropped, too: its
 next row has nothing before it.
 
+What a key costs is calls to its state, so rows come as JSON that Spark writes and are held as such, up to HELD in an entry: a
+call appends a key's rows of a batch, another reads them. Checkpoints of before, with an entry a row, can't be gone on with.
+
 State of this kind needs the RocksDB state store; `run_available` starts a stream with it.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+OUT = Row("_key", "_at", "_old", "_new")
+
+
+#: Rows in an entry of a key's list at most.
+HELD = 1000
 
 
 class _Held(StatefulProcessor):
-    """Rows (microseconds, tie, value) wait in a list; `passed` is called with those the watermark has passed, in order."""
+    """Rows (JSON arrays of microseconds, tie, value) wait in a list; `passed` is called with those the watermark has passed, in order."""
 
     def __init__(self, forget: int | None) -> None:
         self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "at bigint, tie string, value string")
+        self.held = handle.getListState("held", "rows string")
         self.last = handle.getValueState("last", "at bigint, value string, seen boolean")
 
     def before(self) -> tuple[int, str | None, bool]:
-        return self.last.get() if self.last.exists() else (0, None, False)
+        return self.last.get() or (0, None, False)
 
     def wake(self, at: int) -> None:
         """A timer for when the watermark (in milliseconds) is past a time."""
         self.handle.registerTimer(at // 1000 + 1)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         first = None
-        for f in rows:
-            f.columns = ["_key", "_at", "_tie", "_value"]  # frames come with numbers for names
-            at = pd.to_datetime(f["_at"]).astype("datetime64[us]").astype("int64").tolist()
-            text = lambda c: [None if v is None or v != v else v for v in f[c].tolist()]
-            some = list(zip(at, [t or "" for t in text("_tie")], text("_value")))
-            if some:
-                self.held.appendList(some)
-                first = min(at) if first is None else min(first, *at)
+        texts = (r[2] for r in rows)
+        while some := list(itertools.islice(texts, HELD)):
+            self.held.appendValue((",".join(some),))
+            least = min(int(t[2 : t.index('"', 2)]) for t in some)
+            first = least if first is None else min(first, least)
         if first is not None:
             self.wake(first)
-        yield pd.DataFrame()
+        return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        every = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        every = [(int(at), tie, value) for (text,) in self.held.get() for at, tie, value in json.loads(f"[{text}]")]
         due = sorted((r for r in every if r[0] < now), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
         rest = [r for r in every if r[0] >= now]
         out = self.passed(due) if due else []
         if due:
             if rest:
-                self.held.put(rest)
+                texts = [json.dumps([str(at), tie, value]) for at, tie, value in rest]
+                self.held.put([(",".join(texts[i : i + HELD]),) for i in range(0, len(texts), HELD)])
             else:
                 self.held.clear()
         if rest:
@@ -74,7 +82,7 @@ class _Held(StatefulProcessor):
                 self.last.clear()
             elif seen:
                 self.wake(at + self.forget)
-        yield pd.DataFrame(out, columns=["_key", "_at", "_old", "_new"]).assign(_key=key[0]) if out else pd.DataFrame()
+        return iter([OUT(key[0], *row) for row in out])
 
     def passed(self, due: list[tuple]) -> list[tuple]:
         """Rows to emit; the state before them becomes the last of them."""
@@ -84,7 +92,7 @@ class _Held(StatefulProcessor):
             if self.forget is not None and seen and now - at > self.forget:
                 old, seen = None, False
             if told := self.told(seen, old, new):
-                out.append((None, pd.Timestamp(now, unit="us"), *told))
+                out.append((now, *told))
             at, old, seen = now, new, True
         self.last.update((at, old, True))
         return out
@@ -115,13 +123,14 @@ def _microseconds(duration: str | None) -> int | None:
 
 
 def _processed(stream: DataFrame, kind: type[_Held], key: str, at: str, value: str, tie: str | None, lateness: str, forget: str | None, names: tuple[str, str]) -> DataFrame:
-    rows = stream.select(F.col(key).alias("_key"), F.col(at).cast("timestamp").alias("_at"), (F.col(tie) if tie else F.lit("")).cast("string").alias("_tie"), F.col(value).cast("string").alias("_value"))
-    rows = rows.where("_at IS NOT NULL").withWatermark("_at", lateness)
+    time, order = F.col(at).cast("timestamp"), F.coalesce((F.col(tie) if tie else F.lit("")).cast("string"), F.lit(""))
+    row = F.to_json(F.array(F.unix_micros(time).cast("string"), order, F.col(value).cast("string")))
+    rows = stream.select(F.col(key).alias("_key"), time.alias("_at"), row.alias("_row")).where("_at IS NOT NULL").withWatermark("_at", lateness)
     type_ = rows.schema["_key"].dataType.simpleString()
-    done = rows.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=kind(_microseconds(forget)), outputStructType=f"_key {type_}, _at timestamp, _old string, _new string", outputMode="append", timeMode="eventTime"
+    done = rows.groupBy("_key").transformWithState(
+        statefulProcessor=kind(_microseconds(forget)), outputStructType=f"_key {type_}, _at long, _old string, _new string", outputMode="append", timeMode="eventTime"
     )
-    return done.select(F.col("_key").alias(key), F.col("_at").alias(at), F.col("_old").alias(names[0]), F.col("_new").alias(names[1]))
+    return done.select(F.col("_key").alias(key), F.timestamp_micros("_at").alias(at), F.col("_old").alias(names[0]), F.col("_new").alias(names[1]))
 
 
 def status_changes(stream: DataFrame, key: str, at: str, status: str, tie: str | None = None, lateness: str = "45 days", forget: str | None = None) -> DataFrame:

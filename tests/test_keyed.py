@@ -92,3 +92,37 @@ def test_latest_row_of_a_key_is_no_chance(spark):
     df = spark.createDataFrame(rows, "k long, at long, n long, s string")
     got = {scans.new_rows(df.repartition(n), "k", "at", F.lit(0)).first()["n"] for n in (1, 2, 5, 9)}
     assert len(got) == 1
+
+
+class Listed:
+    """A list state that tells how many entries it holds."""
+
+    def __init__(self):
+        self.entries = []
+
+    def appendValue(self, entry):
+        self.entries.append(entry)
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return None
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+def test_rows_of_a_key_are_few_entries_of_its_state():
+    rows = [(1, None, f'["{10**6 + i * 1000}","","A"]') for i in range(2 * keyed.HELD + 1)]
+    state, processor = Listed(), keyed._Changes(None)
+    processor.init(state)
+    assert list(processor.handleInputRows((1,), iter(rows[::-1]), None)) == []
+    assert len(state.entries) == 3 and state.timer == 1001
+
+
+def test_any_text_is_a_status(spark, tmp_path):
+    texts = ['a"b', "a,b]", "\\", "đã hết\n", None, "", "😀"]
+    rows = [(1, 100 + i, i, s) for i, s in enumerate(texts * 2)]
+    stream = landed(spark, str(tmp_path / "in"), [rows, [END]])
+    assert changes(spark, stream, str(tmp_path), lateness="1 hour") == at_once(spark, [(k, t, str(n), s) for k, t, n, s in rows])
