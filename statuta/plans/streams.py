@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.plans.tables import Registry
-from statuta.session import shared_folder
+from statuta.session import shared_folder, written
 from statuta.sources import paged, payloads, sinks
 from statuta.streaming import keyed, scans
 
@@ -110,7 +110,7 @@ def s05_feed(t):
     feeds = max(1, e.count() // 200)
     lists = e.groupBy((F.col("event_id") % feeds).alias("feed")).agg(F.array_join(F.collect_list(item), "\n").alias("items"))  # two hundred a feed
     files = lists.select("feed", F.concat(lit("<rss><channel>"), "items", lit("</channel></rss>")).alias("value"))
-    got = payloads.feed(e.sparkSession, _landed(files, "feed"), ["Purchase", "ERROR"])
+    got = payloads.feeds(written(files.select("value"), "feed"), ["Purchase", "ERROR"])
     return got.select("tvpl_id", "slug", "category", "pub_date")
 
 

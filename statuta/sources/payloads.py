@@ -74,9 +74,21 @@ def incremental(items: DataFrame, cutoff: Column) -> DataFrame:
     return d.where(F.col("_d") >= cutoff).withColumn("_r", r).where("_r = 1").drop("_r", "_d")
 
 
+ENTRY = "title string, link string, category string, pubDate string"
+
+
 def feed(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """Entries of landed RSS files whose link or category names one of the fields; entries without an id go."""
-    x = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, category string, pubDate string").load(path)
+    return _entries(spark.read.format("xml").option("rowTag", "item").schema(ENTRY).load(path), fields)
+
+
+def feeds(texts: DataFrame, fields: list[str], text: str = "value") -> DataFrame:
+    """The same of a table with an RSS text a row: many feeds are few files. Of a text that breaks off its whole entries count."""
+    items = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0))).alias("item"))
+    return _entries(items.select(F.from_xml("item", ENTRY).alias("i")).select("i.*"), fields)
+
+
+def _entries(x: DataFrame, fields: list[str]) -> DataFrame:
     x = x.withColumn("tvpl_id", F.regexp_extract("link", r"-(\d+)\.aspx", 1)).withColumn("slug", F.regexp_extract("link", r"/([^/]+)-\d+\.aspx", 1))
     hay = F.lower(F.concat_ws(" ", "link", "category"))
     wanted = F.lit(False)

@@ -64,3 +64,17 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o1")).count() == 4
     scans.run_available(scans.stream_latest(stream(), ["k", "t"], "t"), str(tmp_path / "o1"), str(tmp_path / "c1"))
     assert spark.read.parquet(str(tmp_path / "o1")).count() == 4  # nothing new has landed
+
+
+def test_feeds_of_a_table(spark, tmp_path):
+    """What files of a feed each give, a table with a feed a row gives, too; of one that breaks off the whole entries."""
+    item = "<item><title>a &amp; b\n</title><link>https://x/van-ban/Thue/ab-{}.aspx</link><category>{}</category><pubDate>Wed, 22 Jul 2026 00:00:00 +0700</pubDate></item>"
+    texts = [f"<rss><channel>{item.format(n, 'Thue')}\n{item.format(n + 1, 'Khac &lt;x&gt;')}</channel></rss>" for n in (10, 20, 30)]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.xml").write_text(t)
+    told = lambda df: sorted((r["tvpl_id"], r["slug"], r["title"], r["category"], str(r["pub_date"])) for r in df.collect())
+    table = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+    want = told(payloads.feed(spark, str(tmp_path), ["thue"]))
+    assert told(payloads.feeds(table, ["thue"])) == want and len(want) == 6
+    odd = [(f'<rss><channel><item id="1">{item.format(7, "Thue")[6:]}<item><title>cut',), (None,), ("",), ("<rss/>",)]
+    assert [r[0] for r in told(payloads.feeds(spark.createDataFrame(odd, "value string"), ["thue"]))] == ["7"]
