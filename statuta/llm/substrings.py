@@ -41,6 +41,8 @@ SAMPLE, SHARE, FREQUENT, BATCH, BUCKETS, LEVEL = 4096, 0.01, 1 << 14, 200_000, 1
 #: Bytes of super-k-mers of one minimiser past which it is split, the share of documents by which they are
 #: told (1 in), words that deal a split minimiser's windows; bytes of repeated strings that a task remembers.
 HOT_BYTES, HOT_SAMPLE, DEPTH, REMEMBERED = 1 << 26, 64, 3, 1 << 23
+#: Bytes of text that are words at a time.
+SLICE = 1 << 20
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 R = 0x9E3779B97F4A7C15
 R_INVERSE = pow(R, -1, 1 << 64)
@@ -66,19 +68,32 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+#: Words joined by blanks, their hashes and lengths: a few bytes a word, where words of their own would be fifty.
+Read = tuple[bytes, np.ndarray, np.ndarray]
+
+
+def read(words: list[bytes]) -> Read:
+    return b" ".join(words), word_hashes(words), np.fromiter(map(len, words), np.int64, len(words))
+
+
 def super_kmers(docs: list[list[bytes]], width: int, frequent: np.ndarray, hot: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(strings, minimiser, document, first word, windows) of a batch's super-k-mers."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    words = [w for d in docs for w in d]
+    return kmers_of([read(d) for d in docs], width, frequent, hot)
+
+
+def kmers_of(docs: list[Read], width: int, frequent: np.ndarray, hot: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of documents as read."""
+    sizes = np.array([len(h) for _, h, _ in docs], np.int64)
     none = np.zeros(0, np.int64)
-    if len(words) < width:
+    if sizes.sum() < width:
         return [], none.astype(np.uint64), none, none, none
-    h = word_hashes(words)
+    h = np.concatenate([h for _, h, _ in docs])
     rank = h >> np.uint64(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
         rank = np.where(frequent[at] == h, rank | np.uint64(1 << 63), rank)
     doc = np.repeat(np.arange(len(docs)), sizes)
+    del h
     least = sliding_min(rank, width)
     valid = doc[: len(least)] == doc[width - 1 :]
     if len(hot):
@@ -88,13 +103,14 @@ def super_kmers(docs: list[list[bytes]], width: int, frequent: np.ndarray, hot:
         least[split] = (several * powers(R, DEPTH + 1)[1:]).sum(1, dtype=np.uint64)
     cut = np.ones(len(least) + 1, bool)
     cut[1:-1] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1]) | (doc[1 : len(least)] != doc[: len(least) - 1])
+    del rank
     edges = np.flatnonzero(cut)
     begin, end = edges[:-1], edges[1:]
     keep = valid[begin]
     begin, end = begin[keep], end[keep]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    lengths = np.concatenate([x for _, _, x in docs])
     byte = np.concatenate([[0], np.cumsum(lengths + 1)])
-    text = b" ".join(words)
+    text = b" ".join(t for t, h, _ in docs if len(h))
     last = end + width - 2
     strings = [text[a:b] for a, b in zip(byte[begin].tolist(), (byte[last] + lengths[last]).tolist())]
     start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -147,7 +163,7 @@ def unpack(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Bytes whose powers are held at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 16
 
 
 def rolling_sums(buffer: np.ndarray, *at: np.ndarray) -> list[np.ndarray]:
@@ -176,18 +192,22 @@ def repeated_windows(data: bytes, ids: np.ndarray, width: int) -> tuple[np.ndarr
     sep = np.flatnonzero((buffer == 32) | (buffer == 10))
     starts, ends = np.concatenate([[0], sep + 1]), np.append(sep, len(buffer))
     kmer = np.concatenate([[0], np.cumsum(buffer[sep] == 10)])
+    first = np.searchsorted(kmer, np.arange(kmer[-1] + 1))
     begin = np.flatnonzero(kmer[: len(kmer) - width + 1] == kmer[width - 1 :])
     a, b, kmer_of = starts[begin], ends[begin + width - 1], kmer[begin]
+    del sep, kmer
     low, high = rolling_sums(buffer, starts, ends)
     h = high[begin + width - 1] - low[begin]
-    del low, high
+    del low, high, starts, ends
     near, far = powers(R_INVERSE, STRETCH), powers(pow(R_INVERSE, STRETCH, 1 << 64), len(buffer) // STRETCH + 1)
     h *= near[a % STRETCH] * far[a // STRETCH]
+    del near, far
     doc = ids[kmer_of]
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = h[1:] != h[:-1]
+    del h
     run = np.cumsum(fresh) - 1
     lead = np.flatnonzero(fresh)  # each run's smallest document
     later = np.flatnonzero(doc > doc[lead[run]])
@@ -202,8 +222,7 @@ def repeated_windows(data: bytes, ids: np.ndarray, width: int) -> tuple[np.ndarr
             least[text] = min(least.get(text, NO_ID), int(ids[kmer_of[w]]))
         flagged.append(np.array([w for w in members.tolist() if ids[kmer_of[w]] > least[data[a[w] : b[w]]]], np.int64))
     hit = np.unique(np.concatenate(flagged).astype(np.int64))
-    window = begin - np.searchsorted(kmer, kmer_of)
-    return kmer_of[hit], window[hit]
+    return kmer_of[hit], begin[hit] - first[kmer_of[hit]]
 
 
 def frequent_words(docs: DataFrame) -> np.ndarray:
@@ -218,6 +237,7 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
             h = word_hashes([w for s in words for w in s]).view(np.int64)
             value, times = np.unique(h, return_counts=True)
             yield pd.DataFrame({"h": value, "n": times})
+        give_back()
 
     counts = drawn.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     least = max(2, int(SHARE * n / one_in))
@@ -237,6 +257,7 @@ def hot_minimisers(docs: DataFrame, width: int, frequent: np.ndarray) -> np.ndar
             strings, least, *_ = super_kmers([(t or "").encode().split() for t in f["text"]], width, frequent, np.zeros(0, np.uint64))
             value, at = np.unique(least, return_inverse=True)
             yield pd.DataFrame({"least": value.view(np.int64), "n": np.bincount(at, weights=[len(x) for x in strings], minlength=len(value)).astype(np.int64)})
+        give_back()
 
     sums = drawn.mapInPandas(weigh, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
     top = sums.where(F.col("n") * HOT_SAMPLE > HOT_BYTES).select("least").toPandas()["least"]
@@ -256,10 +277,10 @@ def removed_ranges(docs: DataFrame, key: Column, width: int = 13) -> DataFrame:
     buckets = max(8, BUCKETS * partitions_of(docs))
     source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), key.alias("key"), "text").where("text IS NOT NULL")
 
-    def send(ids: list[int], keys: list[int], docs: list[list[bytes]], sent: dict[bytes, int]) -> pd.DataFrame:
+    def send(ids: list[int], keys: list[int], docs: list[Read], sent: dict[bytes, int]) -> pd.DataFrame:
         order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
         ids, keys = np.array(ids, np.int64)[order], np.array(keys, np.int64)[order]
-        strings, least, doc, first, n = super_kmers([docs[i] for i in order], width, frequent, hot)
+        strings, least, doc, first, n = kmers_of([docs[i] for i in order], width, frequent, hot)
         seen: dict[bytes, int] = {}
         lead = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
         known = ids[doc] > ids[doc[lead]] if len(strings) else np.zeros(0, bool)
@@ -289,16 +310,17 @@ def removed_ranges(docs: DataFrame, key: Column, width: int = 13) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, held, n, sent = [], [], [], 0, {}
         to_arrow = functools.partial(pa.RecordBatch.from_pandas, schema=ARROW, preserve_index=False)
-        for part in (p for b in batches for p in text_parts(b)):
+        for part in (p for b in batches for p in text_parts(b, most=SLICE)):
             for i, k, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
                 words = t.encode().split()
                 if len(words) < width:
                     continue
-                ids.append(i), keys.append(k), held.append(words)
+                ids.append(i), keys.append(k), held.append(read(words))
                 n += len(words)
                 if n >= BATCH:
                     yield to_arrow(send(ids, keys, held, sent))
                     ids, keys, held, n = [], [], [], 0
+                    give_back()
         if held:
             yield to_arrow(send(ids, keys, held, sent))
             ids, keys, held = [], [], []

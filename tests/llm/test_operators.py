@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -781,3 +782,19 @@ def test_scoring_odd_rows(spark, odd, none):
     got = scoring.pseudo_likelihood(odd, rounds=1).toPandas()
     assert len(got) == 10 and (got.loc[got["n_tokens"] == 0, "log_likelihood"] == 0).all() and (got["log_likelihood"] <= 0).all()
     assert scoring.pseudo_likelihood(none, rounds=1).count() == 0
+
+
+def test_windows_take_few_bytes_a_word():
+    """Of a bucket's windows at its peak, and of words that wait for their batch."""
+    words = [b"w%05d" % i for i in np.random.default_rng(5).integers(0, 30_000, 100_000)]
+    data = b"\n".join(b" ".join(words[i : i + 40]) for i in range(0, len(words), 40))
+    tracemalloc.start()
+    try:
+        substrings.repeated_windows(data, np.arange(2500), 13)
+        assert tracemalloc.get_traced_memory()[1] < 150 * len(words)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        held = substrings.read(b" ".join(words).split())
+        assert tracemalloc.get_traced_memory()[0] - before < 30 * len(held[1])
+    finally:
+        tracemalloc.stop()
