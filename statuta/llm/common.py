@@ -7,13 +7,13 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statuta.session import dropped, written
 
-__all__ = ["NO_ID", "attached", "collected", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "partitions_of", "prefix_sums", "small", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
+__all__ = ["NO_ID", "attached", "collected", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "joined_to", "partitions_of", "prefix_sums", "small", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
 
 #: Stands for a missing doc_id inside operators: it is larger than every other id.
 NO_ID = (1 << 63) - 1
@@ -166,18 +166,29 @@ def least_neighbour(both: DataFrame, rows: int) -> DataFrame:
     return attached(both, written(least, "components-least"), "u", "_n")
 
 
+def _edges_written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """edges as a written table; their number and a sum of their hashes, counted while they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), tag)
+    return out, (seen.get["n"], seen.get["h"])
+
+
+def joined_to(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges (u, v): known components (node, component) as stars, and further links between their nodes."""
+    return parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(links)
+
+
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """Rows (node, component) for a graph of edges (u, v); component is the smallest node.
 
     Nodes are of any ordered type: a struct carries facts of its node along, so that no join on the
     component is needed to name it. Alternating large-star and small-star steps: every step is one
     minimum per node and one join, so no neighbourhood is ever gathered; each round is written, so
-    lineage stays short, and the round before is deleted.
+    lineage stays short, and the round before is deleted. A caller that adds links to known components
+    gives these as stars (rows of an earlier result) instead of all links so far: fewer rounds are left.
     """
-    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    e, now = _edges_written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     before = None
-    state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    now = tuple(e.agg(*state).first())
     while now != before:
         before = now
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -185,10 +196,11 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         # Small star: every node now points at smaller ones only.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), tag)
+        new, now = _edges_written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), tag)
         dropped(e)
         e = new
-        now = tuple(e.agg(*state).first())
+    both = large = low = small = None
+    collected(e.sparkSession)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, VariantType
 from pyspark.sql.window import Window
 
-from statuta.llm.common import NO_ID, attached, collected, connected_components, dropped, fresh, give_back, small, written, written_by_batches
+from statuta.llm.common import NO_ID, attached, collected, connected_components, dropped, fresh, give_back, joined_to, small, written, written_by_batches
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
 SAMPLE, MAX_LEAVES, CAPACITY = 1 << 18, 1 << 16, 1 << 15
@@ -534,11 +534,12 @@ def nearest_partners(pairs: DataFrame) -> DataFrame:
 
 
 def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """links and, between their components, links of classes (cls, n, head, bits, wide) that are similar enough.
+    """Edges of the components of links and of further links of classes (cls, n, head, bits, wide) that are similar enough.
 
     First classes meet their neighbours in crowded shingles, which joins large groups of near copies. Then all classes
     of different components meet that share a first shingle and may be similar. Of these pairs first only the nearest of
-    each class is compared; last, all that aren't in one component yet: none is left out.
+    each class is compared; last, all that aren't in one component yet: none is left out. What is linked so far
+    goes on as stars.
     """
     spark, bits = docs.sparkSession, classes.select("cls", "bits")
     known = lambda: written(connected_components(links, "simhash-rounds"), "simhash-nodes")
@@ -547,7 +548,7 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
     for k in range(rounds):
         collected(spark)
         near = written(nearest_partners(neighbours(shared, bits, k)), "simhash-near")
-        links = links.unionAll(verified(near, names, docs))
+        links = joined_to(parts, verified(near, names, docs))
         parts = known()
         rest = written(in_several_parts(shared.drop("part"), parts), "simhash-shared")
         dropped(near, shared)
@@ -568,7 +569,7 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
         open_ = pairs.join(a, F.col("u") == F.col("_u"), "left").join(b, F.col("v") == F.col("_v"), "left")
         open_ = open_.where(F.coalesce("_pu", "u") != F.coalesce("_pv", "v")).select("u", "v", "apart")
         now = written(open_.select("u", "v") if k == rounds else nearest_partners(open_), "simhash-pairs")
-        links = links.unionAll(verified(now, names, docs))
+        links = joined_to(parts, verified(now, names, docs))
         dropped(now)
     dropped(pairs)
     return links

@@ -156,6 +156,36 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def jobs_of(spark, f):
+    """What f returns, and the number of Spark jobs it took."""
+    sc, group = spark.sparkContext, f"jobs-{f.__name__}-{id(f)}"
+    sc.setJobGroup(group, group)
+    try:
+        out = f()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_go_on_from_stars(spark):
+    """What is linked already takes no rounds again, and no round takes a job of its own for its count."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(500, 501), (502, 503)], "u long, v long")
+    more = spark.createDataFrame([(299, 503), (501, 600)], "u long, v long")
+    parts = common.written(common.connected_components(chain, "t"), "t-nodes")
+    found = lambda edges: {r["node"]: r["component"] for r in common.connected_components(edges, "t").collect()}
+    whole, jobs = jobs_of(spark, lambda: found(chain.unionAll(more)))
+    got, fewer = jobs_of(spark, lambda: found(common.joined_to(parts, more)))
+    assert got == whole == {**dict.fromkeys([*range(301), 502, 503], 0), 500: 500, 501: 500, 600: 500}
+    assert fewer <= 0.75 * jobs, (fewer, jobs)
+    none = chain.where("u < 0")
+    (n, h), taken = jobs_of(spark, lambda: common._edges_written(none, "t")[1])
+    assert (n, h) == (0, None) and found(none) == {} and taken <= 1
+    t, (n, h) = common._edges_written(chain, "t")
+    from pyspark.sql import functions as F
+
+    assert (n, h) == tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) and n == 302
+
+
 @pytest.mark.parametrize("hot", [3, 1 << 20])
 def test_components_with_a_hub_of_structs(spark, monkeypatch, hot):
     from pyspark.sql import functions as F
