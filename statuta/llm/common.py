@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from statuta.session import dropped, written
 
-__all__ = ["NO_ID", "attached", "collected", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "joined_to", "partitions_of", "prefix_sums", "small", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
+__all__ = ["NO_ID", "attached", "collected", "connected_components", "dropped", "fresh", "give_back", "grouped_prefix", "joined_to", "partitions_of", "prefix_sums", "small", "small_table", "table", "text_parts", "with_global_index", "written", "written_by_batches"]
 
 #: Stands for a missing doc_id inside operators: it is larger than every other id.
 NO_ID = (1 << 63) - 1
@@ -158,6 +158,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def small_table(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table like small(), its rows counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count("*").alias("n")), tag)
+    return F.broadcast(out) if seen.get["n"] <= FEW else out
+
+
 def least_neighbour(both: DataFrame, rows: int) -> DataFrame:
     """both (u, v) with m, the smallest of u and its neighbours. Hubs keep their rows where they are."""
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
@@ -199,8 +206,8 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         new, now = _edges_written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), tag)
         dropped(e)
         e = new
-    both = large = low = small = None
-    collected(e.sparkSession)
+        both = large = low = small = None
+        collected(e.sparkSession)  # a round leaves half a dozen shuffles
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, VariantType
 from pyspark.sql.window import Window
 
-from statuta.llm.common import NO_ID, attached, collected, connected_components, dropped, fresh, give_back, joined_to, small, written, written_by_batches
+from statuta.llm.common import NO_ID, attached, collected, connected_components, dropped, fresh, give_back, joined_to, small, small_table, written, written_by_batches
 
 #: Classes that fit the tree; leaves of the tree; rows of a leaf that are joined in one task.
 SAMPLE, MAX_LEAVES, CAPACITY = 1 << 18, 1 << 16, 1 << 15
@@ -271,14 +271,14 @@ def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
 
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of docs for each component of groups (doc_id, component_id), one of its smallest doc_id."""
-    late = small(written(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct(), "simhash-late"))
+    late = small_table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct(), "simhash-late")
     rows = docs.select(fresh(docs).alias("doc"))
     out = rows.join(late, F.col("doc.doc_id").eqNullSafe(F.col("_d")), "left_anti")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"))
     if not repeated.isEmpty():
         # Of rows that repeat a doc_id one of the smallest hash stays; rows of one hash are equal.
         known = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-        repeated, same = small(written(repeated, "simhash-repeated")), F.col("doc.doc_id").eqNullSafe(F.col("_d"))
+        repeated, same = small_table(repeated, "simhash-repeated"), F.col("doc.doc_id").eqNullSafe(F.col("_d"))
         single = out.join(repeated, same, "left_anti")
         several = out.join(repeated, same, "left_semi").select("doc", F.col("doc.doc_id").alias("_d"), F.xxhash64(*known).alias("_h"))
         best = several.groupBy("_d").agg(F.min("_h").alias("_least")).withColumnRenamed("_d", "_e")
@@ -422,7 +422,7 @@ def sets_of(asked: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
         give_back()
 
     wanted = names.join(asked, "cls").select(F.col("cls").alias("_cls"), F.nullif("first", F.lit(NO_ID)).alias("_d"))
-    wanted = small(written(wanted.select("_d").distinct(), "simhash-wanted"))
+    wanted = small_table(wanted.select("_d").distinct(), "simhash-wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     sets = texts.select("text").mapInPandas(whole, "cls long, set binary").join(small(asked), "cls", "left_semi")
     sets = written_by_batches(sets, "simhash-sets")
@@ -454,7 +454,7 @@ def steps(n: Column) -> Column:
 
 def in_several_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """(s, cls, n, i, part): rows (s, cls, n, i) of shingles that classes of several components have; part names the component."""
-    rows = rows.join(small(parts), F.col("cls") == F.col("node"), "left").select("s", "cls", "n", "i", F.coalesce("component", "cls").alias("part"))
+    rows = rows.join(parts, F.col("cls") == F.col("node"), "left").select("s", "cls", "n", "i", F.coalesce("component", "cls").alias("part"))
     ends = [f("part").over(Window.partitionBy("s")) for f in (F.min, F.max)]
     return rows.withColumn("_a", ends[0]).withColumn("_b", ends[1]).where("_a <> _b").drop("_a", "_b")
 
@@ -542,7 +542,7 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
     goes on as stars.
     """
     spark, bits = docs.sparkSession, classes.select("cls", "bits")
-    known = lambda: written(connected_components(links, "simhash-rounds"), "simhash-nodes")
+    known = lambda: small_table(connected_components(links, "simhash-rounds"), "simhash-nodes")
     parts = known()
     shared = written(in_several_parts(classes.select("cls", "n", F.posexplode("head").alias("i", "s")), parts), "simhash-shared")
     for k in range(rounds):
@@ -558,14 +558,14 @@ def similar_links(classes: DataFrame, links: DataFrame, names: DataFrame, docs:
     dropped(shared)
     collected(spark)
     met = written(candidates(sized, bits), "simhash-candidates")
-    ends = small(written(met.select(F.col("u").alias("cls")).unionAll(met.select(F.col("v").alias("cls"))).distinct(), "simhash-ends"))
+    ends = small_table(met.select(F.col("u").alias("cls")).unionAll(met.select(F.col("v").alias("cls"))).distinct(), "simhash-ends")
     pairs = written(likely(met, written(classes.join(ends, "cls", "left_semi").select("cls", "n", "wide"), "simhash-wide")), "simhash-likely")
     dropped(sized, met)
     for k in range(rounds + 1):
         collected(spark)
         of = lambda x, y: parts.select(F.col("node").alias(f"_{x}"), F.col("component").alias(y))
         parts = known() if k else parts
-        a, b = (small(of(x, f"_p{x}")) for x in "uv")
+        a, b = (of(x, f"_p{x}") for x in "uv")
         open_ = pairs.join(a, F.col("u") == F.col("_u"), "left").join(b, F.col("v") == F.col("_v"), "left")
         open_ = open_.where(F.coalesce("_pu", "u") != F.coalesce("_pv", "v")).select("u", "v", "apart")
         now = written(open_.select("u", "v") if k == rounds else nearest_partners(open_), "simhash-pairs")
@@ -586,7 +586,7 @@ def similar_groups(docs: DataFrame, reach: int = 2) -> DataFrame:
     names = rows.groupBy("cls").agg(pick.alias("p"), F.count("*").alias("copies")).select("cls", "p.first", F.col("p.row").alias("picked"), "copies")
     names = written(names, "simhash-names")
     others = attached(rows.select("cls", "row"), names.where("copies > 1").select("cls", "picked", "copies"), "cls", "copies").where("row <> picked")
-    others = small(written(others.select("row"), "simhash-others"))
+    others = small_table(others.select("row"), "simhash-others")
     classes = rows.select("row", "cls", "n", "head", "bits", "wide").join(others, "row", "left_anti").drop("row")
     prints = written(rows.groupBy("fp").agg(F.min("cls").alias("first")), "simhash-prints")
     near = links(prints, reach).select(F.col("u.first").alias("u"), F.col("v.first").alias("v"))
